@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -29,8 +30,9 @@ from .runtime import arrow_rows
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO = 200_000  # pre-tokens whose ids a worker remembers
-MEMO_BYTES = 48  # longer pre-tokens are merged each time
+MEMO = 300_000  # pre-tokens whose ids a worker remembers, and as many space-separated words
+MEMO_BYTES = 48  # longer ones are merged each time
+SHORT = 32  # bytes up to which the plain merge loop is quicker
 PAIRS = 1_000_000  # pairs whose compatibility a worker remembers
 WINDOW = 4096  # bytes of a long pre-token merged at a time, besides the lookahead
 
@@ -65,6 +67,8 @@ class MergeList:
             raise ValueError("a token has no rule")
         if any(bytes([b]) not in tokens for b in range(256)):
             raise ValueError("a byte has no token")
+        self.made = [tokens[a + b] for a, b in rules]
+        self.byte_id = [tokens[bytes([b])] for b in range(256)]
         #: For each token the longest proper prefix that is a token, or -1.
         self.shorter = [-1] * top
         #: Longest token by its first three bytes.
@@ -125,6 +129,27 @@ def lookahead(m: MergeList) -> int:
     return most
 
 
+#: Whether a text has a space that no visible character follows.
+LOOSE_SPACE = re.compile(r" (?!\S)").search
+
+
+class _Words(dict):
+    """Maps a word to the ids of a space and the word; a bounded memo above the encoder's."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        e = self.encoder
+        out = b"".join(map(e.__getitem__, e.find(" " + word)))
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = out
+        return out
+
+
 class Encoder(dict):
     """Maps a pre-token to its ids as little-endian 32-bit integers; a bounded memo."""
 
@@ -136,10 +161,11 @@ class Encoder(dict):
         self.find = regex.compile(pattern).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
         self.pairs: dict[int, bool] = {}
+        self.words = _Words(self)
 
     def __missing__(self, pretoken: str) -> bytes:
         data = pretoken.encode()
-        ids = array("I", self.merge(data) if len(data) <= WINDOW else self.stream([data]))
+        ids = array("I", self.short(data) if len(data) <= SHORT else self.merge(data) if len(data) <= WINDOW else self.stream([data]))
         out = ids.tobytes()
         if len(data) <= MEMO_BYTES:
             if len(self) >= MEMO:
@@ -147,6 +173,27 @@ class Encoder(dict):
             self[pretoken] = out
         return out
 
+    def short(self, data: bytes) -> list[int]:
+        """The tokens of a short pre-token: the rule of least rank first, of equal ones the left."""
+        one = self.m.id_of.get(data)
+        if one is not None:
+            return [one]
+        get, made, none = self.m.pair_rank.get, self.m.made, len(self.m.made)
+        ids = list(map(self.m.byte_id.__getitem__, data))
+        ranks = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            r = min(ranks)
+            if r == none:
+                break
+            k = ranks.index(r)
+            ids[k] = made[r]
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = get((ids[k - 1], ids[k]), none)
+            if k < len(ranks):
+                ranks[k] = get((ids[k], ids[k + 1]), none)
+        return ids
+
     def merge(self, data: bytes) -> list[int]:
         """The tokens of one pre-token: longest first, shorter where neighbours clash, back where all clash."""
         m, pairs = self.m, self.pairs
@@ -198,13 +245,22 @@ class Encoder(dict):
         if held:
             yield from self.merge(held)
 
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens.
+
+        Where every space is followed by a visible character, a pre-token begins at each space and none crosses
+        it, so that the words between spaces are encoded (and remembered) on their own.
+        """
+        if LOOSE_SPACE(text):
+            return b"".join(map(self.__getitem__, self.find(text)))
+        head, *words = text.split(" ")
+        return b"".join(map(self.__getitem__, self.find(head))) + b"".join(map(self.words.__getitem__, words))
+
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
-        if self.split is None:
-            return b"".join(map(self.__getitem__, self.find(text)))
-        if not any(s in text for s in self.special):
-            return b"".join(map(self.__getitem__, self.find(text)))
-        return b"".join(array("I", [self.special[s]]).tobytes() if i % 2 else b"".join(map(self.__getitem__, self.find(s))) for i, s in enumerate(self.split(text)))
+        if self.split is None or not any(s in text for s in self.special):
+            return self.plain(text)
+        return b"".join(array("I", [self.special[s]]).tobytes() if i % 2 else self.plain(s) for i, s in enumerate(self.split(text)))
 
     def encode(self, text: str) -> list[int]:
         return array("I", self.encode_bytes(text)).tolist()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .runtime import arrow_rows
 
 MARK = "▁"  # the model's sign for a space
-MEMO = 200_000  # pre-tokens remembered by a worker
+MEMO = 300_000  # pre-tokens remembered by a worker, and as many words
 MEMO_CHARS = 64  # longer pre-tokens are merged each time
 LIMIT = 4096
 
@@ -54,6 +54,7 @@ class PieceCounter(dict):
         self.cut = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
         super().__init__(self.prove(pieces))
         self._proven = dict(self)
+        self._words = _Words(self)
 
     def prove(self, pieces: list[str]) -> dict[str, int]:
         """The vocabulary strings that are one pre-token and encode alone as one token."""
@@ -71,9 +72,29 @@ class PieceCounter(dict):
     def count(self, text: str) -> int:
         if not text:
             return 0
+        if self.prefix and text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text:
+            # Single spaces only: the words between them are the pre-tokens, but for line ends inside.
+            return sum(map(self._words.__getitem__, text.split(" ")))
         return sum(map(self.__getitem__, self.cut.findall(self.prefix + text.replace(" ", MARK))))
 
 
+class _Words(dict):
+    """Maps a word to the tokens of the space mark and the word; a bounded memo above the counter's."""
+
+    def __init__(self, counter: PieceCounter):
+        super().__init__()
+        self._counter = counter
+
+    def __missing__(self, word: str) -> int:
+        c = self._counter
+        n = sum(map(c.__getitem__, c.cut.findall(MARK + word)))
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = n
+        return n
+
+
 _COUNTERS: dict[str, PieceCounter] = {}
 
 
