@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, exact_dedup, token_count
+from . import bpe_stream, exact_dedup, langid, mixing, simhash, token_count, toxicity
 from .runtime import documents
 
 
@@ -17,6 +17,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return langid.language_id(documents(spark, sf_dir), F.coalesce(held_out, F.lit(False)))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(documents(spark, sf_dir), carry={"text_sha256": exact_dedup.full_hash(F.col("text"))})
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -26,11 +31,27 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def toxic_held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), toxic_held_out())
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), F.array("source"))
+
+
 def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.bpe_round_trip(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op3_token_counts, op9_bpe_stream)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_token_counts, op7_toxicity, op8_mixing, op9_bpe_stream, op10_simhash)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
