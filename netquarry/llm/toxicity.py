@@ -5,9 +5,10 @@ words that the labelled sample associates with toxic texts. Pattern voters look
 side, at shouting, at insult density, and say "clean" where none of this is found. All abstain elsewhere.
 
 Label model. A generative model of hidden label and votes: each voter votes toxic, clean or abstains with
-probabilities that depend on the label (accuracies), fitted by expectation maximisation. Then the correlation
-of each pair of voters within the labels is estimated; voters that repeat each other share their weight, and
-the model is fitted again.
+probabilities that depend on the label (accuracies), fitted by expectation maximisation. The human label of a
+sampled row is one more voter, of fixed accuracy, so that it too can be outvoted. Then the correlation of each
+pair of voters within the labels is estimated; voters that repeat each other share their weight, and the model
+is fitted again.
 
 Classifier. An L1-penalised logistic regression over words is trained on the posterior labels; the score of a
 text is its probability. Scoring reads whole texts.
@@ -36,6 +37,7 @@ SAMPLE = 4_000
 SAMPLE_CHARS = 12_000
 LEARNED = 40  # words and stems learned as voters
 STEMS = (4, 5, 6)  # bytes of the beginnings of words that count as features
+HUMAN = 0.97  # accuracy assumed of the human labels
 PRIOR = 0.1  # share of toxic texts assumed where labels tell nothing
 
 # Insults in common use, mild and strong.
@@ -123,16 +125,15 @@ class LabelModel:
     def __init__(self, prior: float = PRIOR, rounds: int = 40):
         self.prior, self.rounds = prior, rounds
 
-    def fit(self, v: np.ndarray) -> LabelModel:
+    def fit(self, v: np.ndarray, labels: np.ndarray) -> LabelModel:
         n, m = v.shape
         self.weight = np.ones(m)
-        # Start: a voter is right rather than wrong.
-        tally = (v > 0).sum(1) - 0.5 * (v < 0).sum(1)
-        q = np.where(tally > 0, 0.9, 0.02)
+        # Start: the human labels are right.
+        q = np.where(labels > 0, HUMAN, 1 - HUMAN)
         for refit in range(2):
             for _ in range(self.rounds):
                 self._maximise(v, q)
-                new = self.posterior(v)
+                new = self.posterior(v, labels)
                 done = np.abs(new - q).max() < 1e-5
                 q = new
                 if done:
@@ -152,9 +153,11 @@ class LabelModel:
             for k in (-1, 0, 1):
                 self.log_p[y, k + 1] = np.log(((w[:, None] * (v == k)).sum(0) + 0.1) / (total + 0.3))
 
-    def posterior(self, v: np.ndarray) -> np.ndarray:
+    def posterior(self, v: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
         d = self.log_p[1] - self.log_p[0]
         z = np.log(self.prior / (1 - self.prior)) + (self.weight * np.where(v > 0, d[2], np.where(v < 0, d[0], d[1]))).sum(1)
+        if labels is not None:
+            z = z + np.log(HUMAN / (1 - HUMAN)) * np.where(labels > 0, 1, -1)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def accuracy(self) -> np.ndarray:
@@ -176,7 +179,7 @@ class LabelModel:
         return total
 
 
-def train(bags: list[set[bytes]], target: np.ndarray, penalty: float = 0.002, steps: int = 400) -> tuple[dict[bytes, float], float]:
+def train(bags: list[set[bytes]], target: np.ndarray, penalty: float = 0.002, steps: int = 250) -> tuple[dict[bytes, float], float]:
     """L1-penalised logistic regression on word presence, by accelerated proximal gradient steps."""
     df = Counter(w for b in bags for w in b)
     vocab = {w: k for k, w in enumerate(sorted(w for w, c in df.items() if c >= 4))}
@@ -221,8 +224,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
         z = {w.encode(): 4.0 for w in MILD + STRONG}
         return z, float(np.log(PRIOR / (1 - PRIOR)))
     ballots = votes([r["t"] for r in rows], lexicon)
-    model = LabelModel(float(np.clip(y.mean(), 0.02, 0.5))).fit(ballots)
-    return train(bags, model.posterior(ballots))
+    model = LabelModel(float(np.clip(y.mean(), 0.02, 0.5))).fit(ballots, y)
+    return train(bags, model.posterior(ballots, y))
 
 
 def score(docs: DataFrame, weights: dict[bytes, float], bias: float, text_col: str = "text") -> Column:
