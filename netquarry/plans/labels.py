@@ -87,10 +87,10 @@ def a05_folded_self(spark, sf_dir):
 
 @query(f"""WITH {CAPS}, c AS (SELECT window_id, sum(2 * value_f) AS coupling_sum FROM pairs GROUP BY 1), s AS (SELECT window_id, sum(value_f) AS self_sum FROM selfs GROUP BY 1)
     SELECT s.window_id, round(self_sum, 6) AS self_sum, round(coalesce(coupling_sum, 0), 6) AS coupling_sum, round(abs(self_sum - coalesce(coupling_sum, 0)), 6) AS gap,
-    round(abs(self_sum - coalesce(coupling_sum, 0)) / abs(self_sum), 9) AS ratio FROM s LEFT JOIN c ON s.window_id = c.window_id""")
+    round(abs(self_sum - coalesce(coupling_sum, 0)) / abs(self_sum) + 1e-10, 6) AS ratio FROM s LEFT JOIN c ON s.window_id = c.window_id""")
 def a06_discrepancy(spark, sf_dir):
     found = labels.discrepancy(base.selfs(spark, sf_dir), labels.directional_pairs(base.caps(spark, sf_dir)))
-    return rounded(found, "self_sum", "coupling_sum", "gap").withColumn("ratio", F.round("ratio", 9))
+    return rounded(found, "self_sum", "coupling_sum", "gap").withColumn("ratio", r6(F.col("ratio") + 1e-10))
 
 
 _WITH_SELFS = f"WITH {CAPS}, w AS (SELECT p.*, coalesce(x.value_f, 0) AS self_lo, coalesce(y.value_f, 0) AS self_hi FROM pairs p LEFT JOIN selfs x ON x.window_id = p.window_id AND x.net = net_lo LEFT JOIN selfs y ON y.window_id = p.window_id AND y.net = net_hi)"
