@@ -8,19 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("tech").orderBy("pos")
-METAL = F.lower("type") == "metal"
+
+def in_order():
+    return Window.partitionBy("tech").orderBy("pos")
 
 
 def with_heights(stack: DataFrame) -> DataFrame:
     """``z0`` and ``z1``: running sums of the thickness below and including each entry."""
-    z1 = F.sum("thickness").over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    z1 = F.sum("thickness").over(in_order().rowsBetween(Window.unboundedPreceding, 0))
     return stack.withColumn("z1", z1).withColumn("z0", F.col("z1") - F.col("thickness"))
 
 
 def metals(stack: DataFrame) -> DataFrame:
     """Metal layers in order, with a position from 1."""
-    return with_heights(stack).where(F.lower("type") == "metal").withColumn("level", F.row_number().over(ORDER))
+    return with_heights(stack).where(F.lower("type") == "metal").withColumn("level", F.row_number().over(in_order()))
 
 
 def conductor_layers(stack: DataFrame, vias: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def conductor_layers(stack: DataFrame, vias: DataFrame) -> DataFrame:
 
     A metal's z is its top; a via's is the mean of the tops that it joins.
     """
-    m = metals(stack).select("tech", "name", "z1", "level", F.lead("name").over(ORDER).alias("next"), F.lead("z1").over(ORDER).alias("next_z"))
+    m = metals(stack).select("tech", "name", "z1", "level", F.lead("name").over(in_order()).alias("next"), F.lead("z1").over(in_order()).alias("next_z"))
     v = vias.select("tech", F.col("via"), F.col("from_metal").alias("name"), F.col("to_metal").alias("next"))
     between = m.join(v, ["tech", "name", "next"]).select("tech", F.col("via").alias("layer"), ((F.col("z1") + F.col("next_z")) / 2).alias("z"), (2 * F.col("level")).alias("slot"), F.lit("via").alias("kind"))
     own = m.select("tech", F.col("name").alias("layer"), F.col("z1").alias("z"), (2 * F.col("level") - 1).alias("slot"), F.lit("metal").alias("kind"))

@@ -15,12 +15,15 @@ MASTER = rf"^Master\s+(.+?)\s*:\s*{NUMBER}\s*F\s*$"
 CAP_ON = rf"^Capacitance on\s+(.+?)\s*=\s*{NUMBER}\s*F\s*$"
 BLOCK_CAP = rf"^C\s+(\d+)\s+(\d+)\s+{NUMBER}\s+([0-9.]+)%?$"
 
-FILE = Window.partitionBy("window_id", "path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+
+def so_far():
+    """The lines of a file up to this one."""
+    return Window.partitionBy("window_id", "path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def carried(value: Column) -> Column:
     """The last value seen up to this line of the file."""
-    return F.last(value, ignorenulls=True).over(FILE)
+    return F.last(value, ignorenulls=True).over(so_far())
 
 
 def group(pattern: str, k: int) -> Column:
@@ -40,8 +43,8 @@ def rwcap_nets(files: DataFrame, threshold_f: float = 0.0, drop_nets: tuple[str,
     task makes its net current.
     """
     rows = lines(files).withColumns({"task": group(TASK, 1), "master": group(MASTER, 1), "m_val": group(MASTER, 2).cast("double"), "on": group(CAP_ON, 1), "c_val": group(CAP_ON, 2).cast("double")})
-    tasks = F.last("task", ignorenulls=True).over(FILE)
-    first_master = F.first("master", ignorenulls=True).over(FILE)
+    tasks = F.last("task", ignorenulls=True).over(so_far())
+    first_master = F.first("master", ignorenulls=True).over(so_far())
     rows = rows.withColumn("net", F.coalesce(tasks, first_master))
     own = F.col("on") == F.col("net")
     selfs = rows.where(F.col("master").isNotNull() | own).select("window_id", F.coalesce("master", "net").alias("net"), F.coalesce("m_val", "c_val").alias("value_f"), F.col("master").isNotNull().alias("is_master"), "seq")

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, window_id, text): the window is the file's name up to its first extension."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return named(reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    return named(reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
 def named(files: DataFrame) -> DataFrame:

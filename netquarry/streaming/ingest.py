@@ -11,7 +11,7 @@ from ..sources.text import named
 
 def landing(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """Streaming rows (path, window_id, text) of new files in a folder."""
-    stream = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(path)
+    stream = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
     return named(stream.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
