@@ -68,6 +68,9 @@ class MergeList:
         if any(bytes([b]) not in tokens for b in range(256)):
             raise ValueError("a byte has no token")
         self.made = [tokens[a + b] for a, b in rules]
+        # Each token's own bytes must merge into it; then a string of tokens is merged where neighbours are compatible.
+        if not all(self.compatible(i, j, r) for (i, j), r in self.pair_rank.items()):
+            raise ValueError("a token's bytes merge into others")
         self.byte_id = [tokens[bytes([b])] for b in range(256)]
         #: For each token the longest proper prefix that is a token, or -1.
         self.shorter = [-1] * top
@@ -88,14 +91,14 @@ class MergeList:
                 return i
             n -= 1
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether merging leaves the two tokens side by side.
+    def compatible(self, a: int, b: int, until: int | None = None) -> bool:
+        """Whether merging leaves the two tokens side by side (up to the rule ``until``, which uses both).
 
         Merges are undone latest first along a's right edge and b's left edge. A rule that joins the two parts
         seen then would have run if its turn came before either part was used up; of equal turns the left goes first.
         """
         rank, pair_rank = self.rank, self.pair_rank
-        a_until = b_until = len(pair_rank) + 1
+        a_until = b_until = len(pair_rank) + 1 if until is None else until
         while True:
             r = pair_rank.get((a, b))
             if r is not None and r < a_until and r <= b_until:

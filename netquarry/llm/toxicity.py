@@ -6,9 +6,8 @@ side, at shouting, at insult density, and say "clean" where none of this is foun
 
 Label model. A generative model of hidden label and votes: each voter votes toxic, clean or abstains with
 probabilities that depend on the label (accuracies), fitted by expectation maximisation. The human label of a
-sampled row is one more voter, of fixed accuracy, so that it too can be outvoted. Then the correlation of each
-pair of voters within the labels is estimated; voters that repeat each other share their weight, and the model
-is fitted again.
+sampled row is one more voter, of fixed accuracy, so that it too can be outvoted. The correlation of each pair of
+voters within the labels is estimated first; voters that repeat each other share their weight in the fit.
 
 Classifier. An L1-penalised logistic regression over words is trained on the posterior labels; the score of a
 text is its probability. Scoring reads whole texts.
@@ -130,19 +129,18 @@ class LabelModel:
         self.weight = np.ones(m)
         # Start: the human labels are right.
         q = np.where(labels > 0, HUMAN, 1 - HUMAN)
-        for refit in range(2):
-            for _ in range(self.rounds):
-                self._maximise(v, q)
-                new = self.posterior(v, labels)
-                done = np.abs(new - q).max() < 1e-5
-                q = new
-                if done:
-                    break
-            if refit == 0:
-                self.correlation = self._correlation(v, q)
-                excess = np.where(np.abs(self.correlation) > 0.2, np.abs(self.correlation), 0)
-                np.fill_diagonal(excess, 0)
-                self.weight = 1 / (1 + excess.sum(1))
+        # Correlation of voters within the labels, before the fit can take what they repeat for evidence.
+        self.correlation = self._correlation(v, q)
+        excess = np.where(np.abs(self.correlation) > 0.2, np.abs(self.correlation), 0)
+        np.fill_diagonal(excess, 0)
+        self.weight = 1 / (1 + excess.sum(1))
+        for _ in range(self.rounds):
+            self._maximise(v, q)
+            new = self.posterior(v, labels)
+            done = np.abs(new - q).max() < 1e-5
+            q = new
+            if done:
+                break
         return self
 
     def _maximise(self, v: np.ndarray, q: np.ndarray) -> None:
