@@ -22,8 +22,8 @@ class, leave the fixed voters alone; repeated rows are scored each; an empty tab
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -74,20 +74,42 @@ def stems_of(weights: dict[bytes, float]) -> set[bytes]:
     return {f.lstrip(b"^")[: STEMS[0]] for f in weights}
 
 
-def learned_lexicon(bags: list[set[bytes]], labels: np.ndarray, top: int = LEARNED) -> list[bytes]:
-    """Words that the labelled texts tie to the toxic label: by the lower bound of the log odds, best first."""
-    pos = Counter(w for b, y in zip(bags, labels, strict=True) if y for w in b)
-    neg = Counter(w for b, y in zip(bags, labels, strict=True) if not y for w in b)
+class Bags:
+    """The features of texts as arrays of numbers: those that ``least`` texts or more hold.
+
+    A first pass counts texts by feature hash in an array of fixed size, so that the many features of one or two
+    texts never become entries of a dictionary; the second numbers the rest.
+    """
+
+    SLOTS = 1 << 22
+
+    def __init__(self, texts: list[str], least: int = 4):
+        seen = np.zeros(self.SLOTS, dtype=np.int32)
+        for t in texts:
+            seen[list({crc32(f) % self.SLOTS for f in features(t)})] += 1
+        may = seen >= least
+        number: dict[bytes, int] = {}
+        rows = [np.array([number.setdefault(f, len(number)) for f in sorted(features(t)) if may[crc32(f) % self.SLOTS]], dtype=np.int32) for t in texts]
+        df = np.bincount(np.concatenate([*rows, np.zeros(0, dtype=np.int32)]), minlength=len(number))
+        keep = np.full(len(number), -1, dtype=np.int32)
+        names = sorted(f for f, k in number.items() if df[k] >= least)
+        for k, f in enumerate(names):
+            keep[number[f]] = k
+        self.names = names
+        self.rows = [r[r >= 0] for r in (keep[r] for r in rows)]
+
+    def counts(self, chosen: np.ndarray) -> np.ndarray:
+        """Texts per feature among the chosen ones."""
+        return np.bincount(np.concatenate([*(r for r, c in zip(self.rows, chosen, strict=True) if c), np.zeros(0, dtype=np.int32)]), minlength=len(self.names))
+
+
+def learned_lexicon(bags: Bags, labels: np.ndarray, top: int = LEARNED) -> list[bytes]:
+    """Words and stems that the labelled texts tie to the toxic label: by the lower bound of the log odds, best first."""
+    a, b = bags.counts(labels > 0), bags.counts(labels <= 0)
     n1, n0 = max(int(labels.sum()), 1), max(int((1 - labels).sum()), 1)
-    found = []
-    for w, a in pos.items():
-        b = neg.get(w, 0)
-        if a < 5 or len(w) < 4:
-            continue
-        bound = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)) - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        # Toxic words spread over toxic texts; words of one copied text don't.
-        if bound > 0.5 and a >= 0.01 * n1:
-            found.append((-a * bound, w))
+    bound = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)) - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    # Toxic words spread over toxic texts; words of one copied text don't.
+    found = [(-a[k] * bound[k], w) for k, w in enumerate(bags.names) if a[k] >= max(5, 0.01 * n1) and len(w) >= 4 and bound[k] > 0.5]
     return [w for _, w in sorted(found)[:top]]
 
 
@@ -177,15 +199,14 @@ class LabelModel:
         return total
 
 
-def train(bags: list[set[bytes]], target: np.ndarray, penalty: float = 0.002, steps: int = 250) -> tuple[dict[bytes, float], float]:
-    """L1-penalised logistic regression on word presence, by accelerated proximal gradient steps."""
-    df = Counter(w for b in bags for w in b)
-    vocab = {w: k for k, w in enumerate(sorted(w for w, c in df.items() if c >= 4))}
-    if not vocab or not bags:
+def train(bags: Bags, target: np.ndarray, penalty: float = 0.002, steps: int = 250) -> tuple[dict[bytes, float], float]:
+    """L1-penalised logistic regression on feature presence, by accelerated proximal gradient steps."""
+    vocab = bags.names
+    if not vocab or not len(target):
         return {}, float(np.log(PRIOR / (1 - PRIOR)))
-    pairs = [(i, vocab[w]) for i, b in enumerate(bags) for w in b if w in vocab]
-    rows, cols = (np.array(x) for x in zip(*pairs, strict=True))
-    n = len(bags)
+    rows = np.repeat(np.arange(len(bags.rows)), [len(r) for r in bags.rows])
+    cols = np.concatenate(bags.rows)
+    n = len(bags.rows)
     share = float(np.clip(target.mean(), 0.01, 0.99))
     balance = np.where(target >= 0.5, 0.5 / share, 0.5 / (1 - share))
     balance /= balance.mean()
@@ -204,7 +225,7 @@ def train(bags: list[set[bytes]], target: np.ndarray, penalty: float = 0.002, st
         t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, zb = new + (t - 1) / t1 * (new - w), new_bias + (t - 1) / t1 * (new_bias - bias)
         w, bias, t = new, new_bias, t1
-    return {k: float(w[i] * scale[i]) for k, i in vocab.items() if abs(w[i]) > 1e-9}, float(bias)
+    return {k: float(w[i] * scale[i]) for i, k in enumerate(vocab) if abs(w[i]) > 1e-9}, float(bias)
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[bytes, float], float]:
@@ -216,12 +237,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     texts = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where(F.length("t") <= SAMPLE_CHARS)
     rows = sorted(texts.join(F.broadcast(ids), F.col("d") == F.col("i")).select("d", "y", "t").limit(2 * SAMPLE).collect())
     y = np.array([r["y"] for r in rows], dtype=float)
-    bags = [features(r["t"]) for r in rows]
+    texts = [r["t"] for r in rows]
+    bags = Bags(texts)
     lexicon = learned_lexicon(bags, y) if 0 < y.sum() < len(y) else []
     if not rows:
         z = {w.encode(): 4.0 for w in MILD + STRONG}
         return z, float(np.log(PRIOR / (1 - PRIOR)))
-    ballots = votes([r["t"] for r in rows], lexicon)
+    ballots = votes(texts, lexicon)
     model = LabelModel(float(np.clip(y.mean(), 0.02, 0.5))).fit(ballots, y)
     return train(bags, model.posterior(ballots, y))
 
