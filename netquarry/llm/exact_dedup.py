@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import if_small, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_CHARS = 64
@@ -69,6 +69,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     rows = materialize(seen, "dedup-rows")
     groups = rows.where("h is not null").groupBy("h").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    # Written first, so that either side of the join is a plain exchange that adaptive execution can split.
+    groups = if_small(materialize(groups, "dedup-groups"), 96)
     # Rows without a hash get a key of their own, so that they spread instead of meeting at null.
     keyed = rows.withColumn("k", F.coalesce("h", F.concat(F.lit("own:"), F.xxhash64("id", "n", "p"))))
     out = keyed.join(groups.withColumnRenamed("h", "k"), "k", "left")
@@ -88,8 +90,6 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The rejected (id, hash) keys are slim; the anti-join is broadcast only if they measure under the bound.
     """
-    from .runtime import if_small
-
     verdict = exact_dedup(docs, id_col, text_col)
     gone = materialize(verdict.where("not kept").select(F.col(id_col).alias("_gone_id"), F.col("full_hash").alias("_gone_hash")).distinct(), "dedup-gone")
     gone = if_small(gone, 96)
