@@ -65,7 +65,7 @@ def whole(target: dict[Hashable, float]) -> dict[Hashable, int]:
 
 
 def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int], costs: tuple[int, ...] = COSTS) -> list[list[int]]:
-    """Words from pattern i to source j, by successive cheapest paths with potentials.
+    """Words from pattern i to source j, by the primal-dual method: a phase for each path cost, all its paths at once.
 
     capacity: of each pattern, per copy; members: the sources of each pattern; quota: of each source. Fills the
     quotas as far as the copies allow, at least total cost.
@@ -89,31 +89,8 @@ def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int
     for j, q in enumerate(quota):
         arc(n + j, dst, q, 0)
     height = [0] * (n + m + 2)
-    while True:
-        dist, via, heap = {src: 0}, {}, [(0, src)]
-        done = set()
-        while heap:
-            d, x = heapq.heappop(heap)
-            if x in done:
-                continue
-            done.add(x)
-            for e in out[x]:
-                y = to[e]
-                if room[e] and y not in done and (k := d + cost[e] + height[x] - height[y]) < dist.get(y, 1 << 62):
-                    dist[y], via[y] = k, e
-                    heapq.heappush(heap, (k, y))
-        if dst not in dist:
-            break
-        far = max(dist.values())
-        height = [h + dist.get(x, far) for x, h in enumerate(height)]
-        path, x = [], dst
-        while x != src:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
+    while _raise_heights(src, dst, to, room, cost, out, height):
+        _push_cheapest(src, dst, to, room, cost, out, height)
     flow = [[0] * m for _ in range(n)]
     for i in range(n):
         for e in out[i]:
@@ -122,6 +99,64 @@ def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int
     return flow
 
 
+def _raise_heights(src: int, dst: int, to: list, room: list, cost: list, out: list, height: list) -> bool:
+    """Adds least path costs to the potentials, so that cheapest paths cost nothing; whether there is a path."""
+    dist, done, heap = {src: 0}, set(), [(0, src)]
+    while heap:
+        d, x = heapq.heappop(heap)
+        if x in done:
+            continue
+        done.add(x)
+        for e in out[x]:
+            y = to[e]
+            if room[e] and y not in done and (k := d + cost[e] + height[x] - height[y]) < dist.get(y, 1 << 62):
+                dist[y] = k
+                heapq.heappush(heap, (k, y))
+    if dst not in dist:
+        return False
+    far = max(dist.values())
+    height[:] = [h + dist.get(x, far) for x, h in enumerate(height)]
+    return True
+
+
+def _push_cheapest(src: int, dst: int, to: list, room: list, cost: list, out: list, height: list) -> None:
+    """Fills paths of no reduced cost, shortest first, until none is left."""
+    free = lambda e, x: room[e] and cost[e] + height[x] - height[to[e]] == 0
+    while True:
+        level, front = {src: 0}, [src]
+        while front and dst not in level:
+            nxt = []
+            for x in front:
+                for e in out[x]:
+                    if to[e] not in level and free(e, x):
+                        level[to[e]] = level[x] + 1
+                        nxt.append(to[e])
+            front = nxt
+        if dst not in level:
+            return
+        at, path, x = [0] * len(out), [], src
+        while True:
+            if x == dst:
+                push = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= push
+                    room[e ^ 1] += push
+                k = next(i for i, e in enumerate(path) if not room[e])
+                x, path = to[path[k] ^ 1], path[:k]
+            elif at[x] < len(out[x]):
+                e = out[x][at[x]]
+                if free(e, x) and level.get(to[e], -1) == level[x] + 1:
+                    path.append(e)
+                    x = to[e]
+                else:
+                    at[x] += 1
+            elif path:
+                x = to[path.pop() ^ 1]
+                at[x] += 1
+            else:
+                break
+
+
 def cut(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Per pattern the seeded order's place before which documents are selected: sizes there sum to ``rest``, nearly.
 
@@ -160,7 +195,10 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     found = sorted(found, key=lambda r: [(s is None, s or "") for s in r["p"]])
     names = sorted({s for r in found for s in r["p"]}, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(r["size"] for r in found if s in r["p"]) for s in names} if len(found) < 2000 else _sizes(found)
+    sizes = dict.fromkeys(names, 0)
+    for r in found:
+        for s in r["p"]:
+            sizes[s] += r["size"]
     # Sources that share documents count them once in the total that is shared out.
     total = sum(r["size"] for r in found)
     scale = total / max(sum(sizes.values()), 1)
@@ -182,14 +220,6 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("full") + again)).alias("taken"))
 
 
-def _sizes(found: list) -> dict:
-    out: dict = {}
-    for r in found:
-        for s in r["p"]:
-            out[s] = out.get(s, 0) + r["size"]
-    return out
-
-
 def select_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row as often as the mix takes it (not at all, or up to ``COPIES`` times); same columns."""
     mixed = mix(docs, F.array(F.col(source_col)), id_col, text_col)
