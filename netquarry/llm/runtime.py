@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its measured size is at most this many bytes.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 32 << 20
+#: What a row of a broadcast hash table takes besides its values.
+ROW_OVERHEAD = 96
 
 #: Rows in an Arrow batch that goes to Python: bounds a worker's memory also when texts are long.
 ARROW_ROWS = 256
@@ -47,8 +49,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` (cheap to count, as after :func:`materialize`), marked for broadcast if its rows measure under ``limit``."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    """``df`` (cheap to count, as after :func:`materialize`), marked for broadcast if its rows measure under ``limit``.
+
+    Beyond it the join is left to the planner: exchanges of both sides, of which skewed parts are split.
+    """
+    return F.broadcast(df) if df.count() * (row_bytes + ROW_OVERHEAD) <= limit else df
 
 
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

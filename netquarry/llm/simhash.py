@@ -18,7 +18,6 @@ there are null; repeated rows get a row each; an empty table gives an empty resu
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,6 @@ WIDTH = 3
 THRESHOLD = 3
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BLOCK = 65_536  # shingles whose hashes are held at a time
 
 #: Parity masks of the [31, 26] Hamming code: bit i - 1 counts for check k where i has bit k.

@@ -269,6 +269,21 @@ def test_mixing(spark):
     assert mixing.mix(edge(spark), F.array("source")).count() == 8 and mixing.mix(edge(spark).limit(0), F.array("source")).count() == 0
 
 
+def test_beyond_the_broadcast_limit(spark, monkeypatch):
+    from netquarry.llm import runtime
+
+    d = edge(spark)
+    near = sorted(map(repr, map(tuple, exact_dedup.exact_dedup(d).collect())))
+    mixed = sorted(map(repr, map(tuple, mixing.select_mix(d).collect())))
+    far = lambda df, row_bytes, limit=0: df
+    for m in (runtime, exact_dedup, mixing, simhash, warc):
+        if hasattr(m, "if_small"):
+            monkeypatch.setattr(m, "if_small", far)
+    assert sorted(map(repr, map(tuple, exact_dedup.exact_dedup(d).collect()))) == near
+    assert sorted(map(repr, map(tuple, mixing.select_mix(d).collect()))) == mixed
+    assert exact_dedup.drop_exact_duplicates(d).count() == 4 and simhash.drop_near_duplicates(d).count() == 3
+
+
 def test_mixing_overlapping_sources(spark):
     d = spark.createDataFrame([(i, "w " * 10, ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b"]) for i in range(300)], "doc_id long, text string, s array<string>")
     assert sum(r.taken for r in mixing.mix(d, F.col("s"), weights=(1, 1)).collect()) == pytest.approx(3000, abs=30)
