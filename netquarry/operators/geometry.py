@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RAW, EPS = "double", 1e-9
+EPS = 1e-9
 
 
 def corners(base: Column, v1: Column, v2: Column, h: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels, samples
 from . import base
-from .base import CAPS, query, r6, rounded, table
+from .base import CAPS, query, rounded, table
 
 # Conductors of a window: its nets with ids by name; net N4 has no conductor.
 _CONDUCTORS = "conductors AS (SELECT window_id, net, row_number() OVER (PARTITION BY window_id ORDER BY net) AS cid FROM nets WHERE net <> 'N4')"
