@@ -185,10 +185,10 @@ def r27_viewport_density(spark, sf_dir):
 
 @query("""WITH RECURSIVE r AS (SELECT s_suppkey AS id, (s_suppkey * 7) % 60 + 0.0 AS x0, (s_suppkey * 13) % 60 + 0.0 AS y0, s_nationkey % 3 AS layer FROM supplier),
     e AS (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.layer = b.layer AND a.id <> b.id AND a.x0 + 4 >= b.x0 AND b.x0 + 4 >= a.x0 AND a.y0 + 4 >= b.y0 AND b.y0 + 4 >= a.y0),
-    t AS (SELECT a AS node, a AS reach FROM e UNION SELECT t.node, e.b FROM t JOIN e ON e.a = t.reach)
+    t AS (SELECT id AS node, id AS reach FROM r UNION SELECT t.node, e.b FROM t JOIN e ON e.a = t.reach)
     SELECT node, min(reach) AS root FROM t GROUP BY node""")
 def r11_connected_components(spark, sf_dir):
     s = F.col("s_suppkey")
     x, y = (s * 7 % 60).cast("double"), (s * 13 % 60).cast("double")
     shapes = table(spark, sf_dir, "supplier").select(s.alias("id"), (F.col("s_nationkey") % 3).alias("layer"), x.alias("x0"), y.alias("y0"), (x + 4).alias("x1"), (y + 4).alias("y1"))
-    return components.components(components.touching_edges(shapes, 8.0))
+    return components.components(components.touching_edges(shapes, 8.0), shapes.select(F.col("id").alias("node")))
