@@ -15,20 +15,35 @@ def active(rects: DataFrame) -> DataFrame:
     return rects.where((F.col("layer") >= 0) & (F.col("cid") > 0) & (F.col("px0") < F.col("px1")) & (F.col("py0") < F.col("py1")))
 
 
+def _covered(rows: DataFrame) -> DataFrame:
+    """A row a pixel; sequence() counts down where its end lies before its start, so empty ranges must be gone."""
+    return rows.withColumn("y", F.explode(F.sequence("py0", F.col("py1") - 1))).withColumn("x", F.explode(F.sequence("px0", F.col("px1") - 1)))
+
+
+def _ranked(rects: DataFrame, keys: tuple[str, ...], seq: str) -> DataFrame:
+    """Rectangles with ``_top``: their paint order within the keys in the high half, their id in the low half.
+
+    The order is ranked before the pixels exist, so that the many pixel rows carry one long and meet in a hash
+    aggregate by its maximum. Ids and rectangles of a window stay below 2^31.
+    """
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy(seq)).cast("long")
+    return rects.withColumn("_top", F.shiftleft(order, 32).bitwiseOR(F.greatest(F.col("cid"), F.lit(0)).cast("long")))
+
+
 def paint(rects: DataFrame, keys: tuple[str, ...] = ("window_id",), seq: str = "seq") -> DataFrame:
     """Conductor per pixel; of rectangles that overlap the last by ``seq`` wins."""
-    rows = active(rects)
-    # sequence() counts down where its end lies before its start, which active() rules out.
-    rows = rows.withColumn("y", F.explode(F.sequence("py0", F.col("py1") - 1))).withColumn("x", F.explode(F.sequence("px0", F.col("px1") - 1)))
-    return rows.groupBy(*keys, "layer", "y", "x").agg(F.max_by("cid", seq).alias("cid"))
+    kind = dict(rects.dtypes)["cid"]
+    rows = _covered(_ranked(active(rects), keys, seq).select(*keys, "layer", "px0", "px1", "py0", "py1", "_top"))
+    return rows.groupBy(*keys, "layer", "y", "x").agg(F.max("_top").bitwiseAND(F.lit((1 << 32) - 1)).cast(kind).alias("cid"))
 
 
-def legacy_density(rects: DataFrame, keys: tuple[str, ...] = ("window_id",)) -> DataFrame:
+def legacy_density(rects: DataFrame, keys: tuple[str, ...] = ("window_id",), seq: str = "seq") -> DataFrame:
     """Density 1 for every pixel a block covers, with the last named conductor's id or 0 (ground, unnamed)."""
-    rows = rects.where((F.col("layer") >= 0) & (F.col("px0") < F.col("px1")) & (F.col("py0") < F.col("py1")))
-    rows = rows.withColumn("y", F.explode(F.sequence("py0", F.col("py1") - 1))).withColumn("x", F.explode(F.sequence("px0", F.col("px1") - 1)))
-    painted = F.max_by(F.when(F.col("cid") > 0, F.col("cid")), F.when(F.col("cid") > 0, F.col("seq")))
-    return rows.groupBy(*keys, "layer", "y", "x").agg(F.coalesce(painted, F.lit(0)).alias("cid"), F.lit(1.0).alias("density"))
+    kind = dict(rects.dtypes)["cid"]
+    solid = rects.where((F.col("layer") >= 0) & (F.col("px0") < F.col("px1")) & (F.col("py0") < F.col("py1")))
+    rows = _covered(_ranked(solid, keys, seq).select(*keys, "layer", "cid", "px0", "px1", "py0", "py1", "_top"))
+    painted = F.max(F.when(F.col("cid") > 0, F.col("_top"))).bitwiseAND(F.lit((1 << 32) - 1)).cast(kind)
+    return rows.groupBy(*keys, "layer", "y", "x").agg(F.coalesce(painted, F.lit(0).cast(kind)).alias("cid"), F.lit(1.0).alias("density"))
 
 
 def dense_ids(rows: DataFrame, name: str, keys: list[str]) -> DataFrame:

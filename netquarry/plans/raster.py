@@ -68,8 +68,10 @@ def a24_layer_density(spark, sf_dir):
 
 
 @query(f"""WITH {RECTS}, b AS (SELECT window_id, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM pixels GROUP BY 1),
-    t AS (SELECT CAST(i AS INTEGER) AS i FROM range(32) r(i))
-    SELECT p.window_id, layer, ty.i AS y, tx.i AS x, cid FROM pixels p JOIN b USING (window_id) JOIN t ty ON p.y - b.y0 = ty.i * (b.y1 - b.y0 + 1) // 32 JOIN t tx ON p.x - b.x0 = tx.i * (b.x1 - b.x0 + 1) // 32""")
+    s AS (SELECT p.window_id, layer, cid, CAST(ceil((y - y0) * 32.0 / (y1 - y0 + 1)) AS INTEGER) AS ya, CAST(ceil((y - y0 + 1) * 32.0 / (y1 - y0 + 1)) AS INTEGER) AS yb,
+      CAST(ceil((x - x0) * 32.0 / (x1 - x0 + 1)) AS INTEGER) AS xa, CAST(ceil((x - x0 + 1) * 32.0 / (x1 - x0 + 1)) AS INTEGER) AS xb FROM pixels p JOIN b ON b.window_id = p.window_id),
+    u AS (SELECT window_id, layer, cid, xa, xb, unnest(range(ya, yb)) AS y FROM s WHERE ya < yb)
+    SELECT window_id, layer, CAST(y AS INTEGER) AS y, CAST(unnest(range(xa, xb)) AS INTEGER) AS x, cid FROM u WHERE xa < xb""")
 def r09_trim_and_resize(spark, sf_dir):
     return raster.trimmed(base.painted(spark, sf_dir), ["window_id"], 32)
 
