@@ -10,8 +10,8 @@ from .base import query, table
 _WORDS = "w AS (SELECT doc_id, unnest(string_split(substr(text, 1, 400), ' ')) AS word FROM documents)"
 
 
-def _words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.substring("text", 1, 400), " ")).alias("word"))
+def _words(docs):
+    return docs.select("doc_id", F.explode(F.split("text", " ")).alias("word"))
 
 
 @query("SELECT p_partkey, lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS key FROM part")
@@ -42,7 +42,18 @@ def f27_bracket_index(spark, sf_dir):
 
 @query(f"WITH {_WORDS} SELECT doc_id, count(*) AS n, count(DISTINCT CASE WHEN s = '' THEN 'NET' ELSE s END) AS clean FROM (SELECT doc_id, regexp_replace(trim(word), '[^A-Za-z0-9_]', '_', 'g') AS s FROM w) GROUP BY 1")
 def f19_sanitized(spark, sf_dir):
-    return _words(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct(names.sanitized(F.col("word"))).alias("clean"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    # Words are counted within the row; only those of ids with several rows have to meet.
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("_id"))
+    n_again = again.count()
+    words = F.split("text", " ")
+    count = lambda d: d.select("doc_id", F.size(words).cast("long").alias("n"), F.size(F.array_distinct(F.transform(words, names.sanitized))).cast("long").alias("clean"))
+    if n_again == 0:
+        return count(docs)
+    again = F.broadcast(again) if n_again < 200_000 else again
+    same = docs["doc_id"].eqNullSafe(again["_id"])
+    met = _words(docs.join(again, same, "left_semi")).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct(names.sanitized(F.col("word"))).alias("clean"))
+    return count(docs.join(again, same, "left_anti")).unionAll(met)
 
 
 @query()
