@@ -67,7 +67,11 @@ def cluster_conflicts(rows: DataFrame) -> DataFrame:
 def merge_net_metadata(rows: DataFrame) -> DataFrame:
     """Per net its use (supply uses win, then the first by ``seq``) and the union of its connections."""
     rank = F.when(F.col("use").isin("POWER", "GROUND"), 0).otherwise(1)
-    return rows.groupBy("net").agg(F.min_by("use", F.struct(rank, F.col("seq"))).alias("use"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("connections")))).alias("connections"))
+    # Nets meet their connections once each before lists are made; a net without any has a row without position.
+    ends = rows.select("net", "use", F.struct(rank, F.col("seq")).alias("first"), F.posexplode_outer("connections").alias("_at", "end"))
+    ends = ends.groupBy("net", "end", F.col("_at").isNotNull().alias("has")).agg(F.min_by("use", "first").alias("use"), F.min("first").alias("first"))
+    found = F.transform(F.sort_array(F.collect_list(F.when(F.col("has"), F.struct("end")))), lambda x: x["end"])
+    return ends.groupBy("net").agg(F.min_by("use", "first").alias("use"), found.alias("connections"))
 
 
 def layer_stack_summary(blocks: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import re
 
+from netquarry.operators import stats
 from netquarry.registry import QUERIES
 
 
@@ -25,3 +26,16 @@ def test_sanitized_merges_rows_of_an_id(spark, tmp_path):
     spark.createDataFrame([(1, "a b-c"), (1, "b_c d"), (2, "x"), (None, "p q"), (None, "q"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n, r.clean) for r in QUERIES["f19_sanitized"](spark, str(tmp_path)).collect()}
     assert got == {1: (4, 3), 2: (1, 1), None: (3, 2)}
+
+
+def test_net_metadata_merges_all_orders(spark, tmp_path):
+    data = [(k, n, p, s, f) for k, n, p, s, f in [(1, 1, 5, 7, "A"), (50, 2, 5, 7, "N"), (51, 3, 5, 7, "R"), (2, 4, 6, 8, "N"), (3, 4, 6, 8, "A"), (100, 1, 1, 9, "A"), (101, 10, 1, 9, "A")]]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string"
+    got = run(spark, tmp_path, "a30_net_metadata", lineitem=(data, schema))
+    assert got == [(7, "POWER", "1,2,3"), (8, "CLOCK", "4"), (9, "SIGNAL", "1,10")]
+
+
+def test_net_metadata_keeps_nets_without_connections(spark):
+    rows = spark.createDataFrame([("a", "CLOCK", 2, ["y", "x", None]), ("a", "SIGNAL", 1, ["x"]), ("b", "GROUND", 1, []), (None, None, 1, None)], "net string, use string, seq int, connections array<string>")
+    got = {r.net: (r.use, r.connections) for r in stats.merge_net_metadata(rows).collect()}
+    assert got == {"a": ("SIGNAL", [None, "x", "y"]), "b": ("GROUND", []), None: (None, [])}
