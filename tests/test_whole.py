@@ -39,3 +39,17 @@ def test_net_metadata_keeps_nets_without_connections(spark):
     rows = spark.createDataFrame([("a", "CLOCK", 2, ["y", "x", None]), ("a", "SIGNAL", 1, ["x"]), ("b", "GROUND", 1, []), (None, None, 1, None)], "net string, use string, seq int, connections array<string>")
     got = {r.net: (r.use, r.connections) for r in stats.merge_net_metadata(rows).collect()}
     assert got == {"a": ("SIGNAL", [None, "x", "y"]), "b": ("GROUND", []), None: (None, [])}
+
+
+def test_pins_of_all_parts_are_bound(spark, tmp_path):
+    parts = [(k, f"Brand#{k % 5 + 1}{k % 3 + 1}", k % 7) for k in range(55, 200)]
+    custs = [(c, c % 25) for c in range(1, 40)]
+    want = []
+    for c, n in custs:
+        for k, brand, s in parts:
+            if brand == f"Brand#{c % 5 + 1}{n % 5 + 1}":
+                pin = f"P{s % 3}"
+                own = pin == f"P{c % 3}"
+                want.append((c, pin, f"net{c // 10}" if own else f"__lef__/{c}/{pin}", not own, float(c + k % 4)))
+    got = run(spark, tmp_path, "j12_bound_pins", part=(parts, "p_partkey long, p_brand string, p_size int"), customer=(custs, "c_custkey long, c_nationkey long"))
+    assert got == sorted(want) and len(got) > 0
