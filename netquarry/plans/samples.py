@@ -68,7 +68,9 @@ def w04_offsets(spark, sf_dir):
 
 @query(f'WITH {_OFFSETS} SELECT i AS "index", window_id, i - (e - n) AS place FROM o JOIN range(0, 1000000, 7) r(i) ON i >= e - n AND i < e')
 def l06_global_index(spark, sf_dir):
-    return samples.locate(spark.range(0, 1_000_000, 7).select(F.col("id").alias("index")), samples.offsets(_turns(spark, sf_dir)))
+    ranges = samples.offsets(_turns(spark, sf_dir))
+    total = ranges.agg(F.max("end")).first()[0] or 0
+    return samples.locate(spark.range(total).select(F.col("id").alias("index")), ranges)
 
 
 @query("SELECT conv_id AS window_id, turn AS sample, CAST(k // 4 AS BIGINT) AS batch, CAST(k % 4 AS INTEGER) AS in_batch FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)")

@@ -53,3 +53,16 @@ def test_pins_of_all_parts_are_bound(spark, tmp_path):
                 want.append((c, pin, f"net{c // 10}" if own else f"__lef__/{c}/{pin}", not own, float(c + k % 4)))
     got = run(spark, tmp_path, "j12_bound_pins", part=(parts, "p_partkey long, p_brand string, p_size int"), customer=(custs, "c_custkey long, c_nationkey long"))
     assert got == sorted(want) and len(got) > 0
+
+
+def test_every_global_index_is_located(spark, tmp_path):
+    turns = [(w, t) for w, n in ((4, 3), (1, 2500), (9, 1)) for t in range(n)]
+    want = [(i, w, p) for i, (w, p) in enumerate(sorted(turns))]
+    assert run(spark, tmp_path, "l06_global_index", conversations=(turns, "conv_id long, turn int")) == want
+
+
+def test_indices_end_with_the_table(spark, tmp_path):
+    assert run(spark, tmp_path, "l06_global_index", conversations=([], "conv_id long, turn int")) == []
+    spark.range(1_000_003).selectExpr("id div 500000 as conv_id", "cast(id % 500000 as int) as turn").write.parquet(f"{tmp_path}/long/conversations.parquet")
+    got = QUERIES["l06_global_index"](spark, f"{tmp_path}/long")
+    assert got.count() == 1_000_003 and got.where("index = 1000002").first()["place"] == 2
