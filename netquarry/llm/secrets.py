@@ -6,10 +6,11 @@ of the matches add up to code point offsets.
 
 Linking. A multipart credential is an access identifier, a secret and an endpoint that belong together. Weak
 candidates of each part (short or unlabelled strings that alone would be noise) are found too. Every part
-reaches ``REACH`` characters to both sides inside its scope (text between blank lines). Weak candidates are
-joined with the parts of the other two roles on scope and overlapping intervals; the join runs inside the row,
-as a test of existence that stops at the first partner, so that nothing is shuffled and no pairs are made. A
-weak candidate is reported only if parts of both other roles reach it. Base spans are always reported.
+reaches through its scope (text between blank lines). Weak candidates are joined with the parts of other roles
+on scope; the join runs inside the row, as a test of existence that stops at the first partner, so that nothing
+is shuffled and no pairs are made. A weak candidate is reported if its scope has a part with which it forms a
+credential: a secret beside an identifier or an endpoint, and either of these beside a secret. Base spans are
+always reported.
 
 Defined results: null texts are empty; texts without matches give counts of 0, empty span lists and the hash
 of the empty string; repeated rows get a row each; an empty table gives an empty result; only id and text are read.
@@ -17,6 +18,9 @@ of the empty string; repeated rows get a row each; an empty table gives an empty
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +32,9 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 #: Weak candidates of the three roles.
 WEAK_ACCESS = r"(?i:access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{4,64}"
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[^A-Z]{0,63}[A-Z])[A-Za-z0-9+/_-]{32,64}(?![A-Za-z0-9+/_-])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[^A-Z]{0,63}[A-Z]|[a-z0-9+/_-]{64,}+[A-Z])[A-Za-z0-9+/_-]{32,}+(?![A-Za-z0-9+/_-])"
 WEAK_ENDPOINT = r"(?:https?|ftp|s3|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"'<>]{3,}|(?i:host|endpoint|region|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,}"
 SCOPE = r"\n[\x20\x09\r]*\n"  # a blank line parts scopes
-REACH = 300
 KINDS = ("assign", "access", "hex", "weak_access", "weak_secret", "weak_endpoint")
 SPANS = "array<struct<s:int,k:int,e:int>>"
 
@@ -65,7 +68,7 @@ def text_of(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``assign``, ``access``, ``hex`` and ``linked`` as arrays of (s, k, e): code points, end exclusive."""
     t = F.col("t")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -75,24 +78,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
         only_if(F.contains(t, F.lit("AKIA")), spans(t, ACCESS, 1, lambda h: F.length(h) >= ACCESS_LEAST)).alias("access"),
         only_if(t.rlike(HEX), spans(t, HEX, 2)).alias("hex"),
     )
-    # Weak candidates count only beside both other roles, of which weak ones need ':' or '='.
-    maybe = t.rlike(r"[:=]")
-    rows = rows.select(
-        "*",
-        F.concat("assign", "access", "hex").alias("base"),
-        only_if(maybe, spans(t, WEAK_ENDPOINT, 5)).alias("we"),
-    )
-    maybe = F.size("we") > 0  # no credential of three parts without an endpoint
+    rows = rows.select("*", F.concat("assign", "access", "hex").alias("base"), spans(t, WEAK_SECRET, 4).alias("ws"))
+    maybe = F.size("assign") + F.size("hex") + F.size("ws") > 0  # no credential without a secret
     rows = rows.select(
-        "id", "assign", "access", "hex", "base", "we",
-        only_if(maybe, spans(t, WEAK_ACCESS, 3)).alias("wa"),
-        only_if(maybe, spans(t, WEAK_SECRET, 4)).alias("ws"),
+        "id", "assign", "access", "hex", "base", "ws",
+        only_if(maybe & t.rlike(r"[:=]"), spans(t, WEAK_ENDPOINT, 5)).alias("we"),
+        only_if(maybe & t.rlike(r"[:=]"), spans(t, WEAK_ACCESS, 3)).alias("wa"),
         only_if(maybe, spans(t, SCOPE, 0)).alias("scopes"),
     )
     # A weak candidate that lies in a base span says nothing new.
     apart = lambda w: F.filter(w, lambda x: ~F.exists(F.col("base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    # Each part with its scope and the interval that it reaches.
-    reached = lambda v: F.transform(v, lambda x: F.struct(x["s"], x["k"], x["e"], F.size(F.filter(F.col("scopes"), lambda b: b["s"] < x["s"])).alias("c"), (x["s"] - reach).alias("lo"), (x["e"] + reach).alias("hi")))
+    # Each part with its scope.
+    reached = lambda v: F.transform(v, lambda x: F.struct(x["s"], x["k"], x["e"], F.size(F.filter(F.col("scopes"), lambda b: b["s"] < x["s"])).alias("c")))
     rows = rows.select(
         "id", "assign", "access", "hex",
         reached(F.concat(F.col("access"), apart(F.col("wa")))).alias("ra"),
@@ -101,11 +98,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     )
 
     def joined(weak: int, own: str, *others: str) -> Column:
-        """Own parts of the weak kind whose interval meets one of each other role in its scope."""
-        meets = lambda x, o: F.exists(F.col(o), lambda y: (y["c"] == x["c"]) & (y["s"] < x["hi"]) & (x["lo"] < y["e"]))
-        return F.filter(F.col(own), lambda x: (x["k"] == weak) & meets(x, others[0]) & meets(x, others[1]))
+        """Own parts of the weak kind with a part of one of the other roles in their scope."""
+        meets = lambda x: reduce(or_, [F.exists(F.col(o), lambda y: y["c"] == x["c"]) for o in others])
+        return F.filter(F.col(own), lambda x: (x["k"] == weak) & meets(x))
 
-    linked = F.concat(joined(3, "ra", "rs", "re"), joined(4, "rs", "ra", "re"), joined(5, "re", "ra", "rs"))
+    linked = F.concat(joined(3, "ra", "rs"), joined(4, "rs", "ra", "re"), joined(5, "re", "rs"))
     bare = F.transform(linked, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     return rows.select(F.col("id").alias(id_col), "assign", "access", "hex", bare.alias("linked"))
 
