@@ -133,8 +133,21 @@ CLOUD = [(F.lower, F.lower), (lambda c: F.lower(sanitized(c)), lambda c: F.lower
 
 
 def abbreviated(n: Column) -> Column:
-    """Counts as text with K, M or B."""
-    f = lambda d, s: F.format_string("%.1f" + s, n / d)
+    """Counts as text with K, M or B, rounded to a tenth as Python's ``.1f``: by the double's exact value, ties to even."""
+
+    def f(d: float, s: str) -> Column:
+        q = n / d
+        # 20 q is a + b, which are exact; twice + rest is their sum without error.
+        a, b = q * 16, q * 4
+        twice = a + b
+        rest = (a - (twice - (twice - a))) + (b - (twice - a))
+        tenths = F.floor(twice / 2)
+        over = twice - (2 * tenths + 1)
+        up = (over > 0) | ((over == 0) & ((rest > 0) | ((rest == 0) & (tenths % 2 == 1))))
+        tenths = tenths + up.cast("long")
+        exact = F.concat(F.floor(tenths / 10), F.lit("."), tenths % 10, F.lit(s))
+        return F.when(q < 1e14, exact).otherwise(F.format_string("%.1f" + s, q))
+
     return F.when(n >= 1e9, f(1e9, "B")).when(n >= 1e6, f(1e6, "M")).when(n >= 1e3, f(1e3, "K")).otherwise(F.format_string("%d", n.cast("long")))
 
 

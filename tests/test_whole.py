@@ -77,3 +77,29 @@ def test_secret_parts_link_through_their_scope(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in secrets.secret_scan(d).collect()}
     assert got == {0: "access:0:20,weak_secret:21:61", 1: "weak_endpoint:0:19,weak_secret:20:108", 2: "weak_access:0:12,weak_secret:813:853", 3: "", 4: "", 5: ""}
+
+
+def test_nets_of_all_placements(spark, tmp_path):
+    orders, custs = [(k, k * 13 % 97) for k in range(1, 60)], [(c, c % 7) for c in range(1, 30)]
+    present = {(n % 5, f"c{c % 50}") for c, n in custs}
+    want = {(w, k) for k, c in orders for w in {w for w, _ in present} if (w, f"c{c % 50}") in present or k % 7 == 0}
+    got = run(spark, tmp_path, "j08_nets_of_components", orders=(orders, "o_orderkey long, o_custkey long"), customer=(custs, "c_custkey long, c_nationkey long"))
+    assert got == sorted(want)
+
+
+def test_regrouped_nets_of_all_orders(spark, tmp_path):
+    orders = [(5, 5), (10, 45), (7, 2), (1, 80), (3, 40)]
+    got = run(spark, tmp_path, "r23_regrouped_nets", orders=(orders, "o_orderkey long, o_custkey long"))
+    assert got == [("n0", 0, "n0.1"), ("n0", 1, "n0.2"), ("n2", 1, "n2"), ("n5", 1, "n5.1"), ("n5", 2, "n5.2")]
+
+
+def test_abbreviated_rounds_like_python(spark, tmp_path):
+    def text(p):
+        for d, s in ((1e9, "B"), (1e6, "M"), (1e3, "K")):
+            if p >= d:
+                return f"{p / d:.1f}{s}"
+        return str(int(p))
+
+    prices = [1250.0, 1350.0, 1150.0, 1750.0, 2050.0, 999.99, 999_950.0, 1.25e6, 2.25e9, *[k * 50.0 for k in range(4000)], *[k * 50 + 0.01 for k in range(2000)]]
+    want = sorted((i, text(p)) for i, p in enumerate(prices))
+    assert run(spark, tmp_path, "s29_abbreviated", orders=(list(enumerate(prices)), "o_orderkey long, o_totalprice double")) == want
