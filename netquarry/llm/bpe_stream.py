@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_rows
+from .runtime import bound_batches
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -332,7 +332,7 @@ def load(path: str) -> tuple[Encoder, Decoder]:
 
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, ``n_tokens``, ``ids_sha256`` of the ids as little-endian 32-bit integers, ``decoded_sha256``."""
-    arrow_rows(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -353,7 +353,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of every text as an array column."""
-    arrow_rows(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

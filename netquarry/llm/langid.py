@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import arrow_rows
+from .runtime import bound_batches
 
 SAMPLE_DOCS = 96
 SAMPLE_CHARS = 6_000
@@ -104,7 +104,7 @@ class Classifier:
 
 def identify(docs: DataFrame, content: dict[str, bytes], text_col: str = "text") -> Column:
     """A struct column (lang_pred, score, rejected) over ``docs``."""
-    arrow_rows(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

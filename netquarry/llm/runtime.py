@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,8 @@ BROADCAST_BYTES = 32 << 20
 #: What a row of a broadcast hash table takes besides its values.
 ROW_OVERHEAD = 96
 
-#: Rows in an Arrow batch that goes to Python: bounds a worker's memory also when texts are long.
-ARROW_ROWS = 256
+#: Rows and bytes of an Arrow batch that goes to Python: bound a worker's memory also when texts are long.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 _LOCAL: dict[str, str] = {}
 
@@ -56,9 +58,29 @@ def if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> Dat
     return F.broadcast(df) if df.count() * (row_bytes + ROW_OVERHEAD) <= limit else df
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds Arrow batches by rows and bytes for the session's next Python stages."""
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of lazy results by rows and bytes; all operators set the same values."""
+    for k, v in ARROW.items():
+        spark.conf.set(k, v)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Other bounds for what is materialized inside; puts the options back."""
+    before = {k: spark.conf.get(k, None) for k in ARROW}
+    bound_batches(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Removes everything that operators wrote to the shared folder; their lazy results can't be read after that."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

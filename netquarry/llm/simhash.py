@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_rows, materialize
+from .runtime import bound_batches, materialize
 
 WIDTH = 3
 THRESHOLD = 3
@@ -66,7 +66,7 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", width: int = WIDTH) -> Column:
-    arrow_rows(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

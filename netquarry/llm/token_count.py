@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_rows
+from .runtime import bound_batches
 
 MARK = "▁"  # the model's sign for a space
 MEMO = 300_000  # pre-tokens remembered by a worker, and as many words
@@ -106,7 +106,7 @@ def counter(model_path: str) -> PieceCounter:
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """Per row: the id, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (more tokens than ``limit``)."""
-    arrow_rows(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_rows
+from .runtime import bound_batches
 
 SAMPLE = 4_000
 SAMPLE_CHARS = 12_000
@@ -249,7 +249,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
 
 
 def score(docs: DataFrame, weights: dict[bytes, float], bias: float, text_col: str = "text") -> Column:
-    arrow_rows(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -3,20 +3,24 @@
 Writing. Each task writes the pages that it reads to an archive of its own in the shared folder, a gzip member
 per record, and returns a capture line per record: key (URL with reversed host), archive, offset, length. An
 archive's name holds a fresh id, so a task that runs again after an executor is lost writes another archive,
-and only the archive whose lines arrive is ever read. Payloads never enter a shuffle; whether a record is a
-response or a revisit follows from slim (digest, id) rows.
+and only the archive whose lines arrive is ever read. Whether a record is a response or a revisit follows from
+the digests that occur more than once; they are broadcast where they measure under the bound.
 
-Index. Capture lines are range-sorted by key (ties by id, so that a host with a third of all pages spreads)
-and packed into compressed blocks of ``BLOCK_LINES`` lines; a sparse directory keeps each block's first key,
-file, offset and length. A lookup searches the directory by bisection, reads the one or few blocks in range,
-searches the lines by bisection, and range-reads the records.
+Index. Capture lines are range-sorted by key (ties by id, so that a host with a third of all pages spreads) and
+packed into compressed blocks of ``BLOCK_LINES`` lines. An index file holds ``FILE_LINES`` lines at most and ends
+with its sparse directory: first and last key, offset and length of each block. What a reader holds in memory is a
+line per file (its key range and where its directory lies): a millionth of the captures.
 
-Reading back runs the same way for all captures at once: directory rows are dealt to tasks, each reads its
-blocks by range, then the records by range, in archive order.
+Looking up. Keys are searched by bisection among the files, then in a file's directory, which is range-read once;
+each of the one or few blocks in range is range-read, searched by bisection for the key's lines, and the lines'
+records are range-read. :class:`CaptureIndex` does so for one URL; :func:`look_up` for a table of keys, in three
+Spark stages: sorted keys find their blocks, blocks give their lines, and archives are read in order of offset. A key
+with a third of all captures spreads over tasks by its blocks.
 
 Defined results: null payloads are empty; null URLs have the empty key; empty or equal payloads make revisits
-as others do, from ``least`` bytes on; repeated page ids get a record each, and one with the smallest id is the
-response; an empty table gives an empty result; other columns are ignored.
+as others do, from ``least`` bytes on; of equal payloads, all records of the smallest id are responses, and where all
+ids are null, all records; repeated page ids get a record each, whatever their payloads; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,14 +39,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import arrow_rows, if_small, materialize, new_path
+from .runtime import batches_of, if_small, materialize, new_path
 
 BLOCK_LINES = 256
+FILE_LINES = 1 << 20
 ROLL_BYTES = 256 << 20  # an archive's size, about; then the task goes on with another
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 5
 CAPTURES = "key string, page_id long, url string, archive string, offset long, length long"
-BLOCKS = "first string, last string, file string, offset long, length long, lines long"
+FILES = "first string, last string, file string, offset long, length long"
 
 
 def surt(url: str | None) -> str:
@@ -73,17 +78,23 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    """The id of a response follows from page and payload, so that revisits can name it; ``place`` sets others apart."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{place}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, place: str = "") -> bytes:
     """One WARC/1.1 record as a gzip member: an HTTP response, or a revisit without payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if refers_to is not None else http + payload
+    revisit, digest = refers_to is not None, digest_of(payload)
+    block = http if revisit else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {json.dumps(url or '')[1:-1]}", f"WARC-Page-ID: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha1:{digest_of(payload)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: {record_id(page_id, digest, place if revisit or page_id is None else '')}", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {json.dumps(url or '')[1:-1]}", f"WARC-Page-ID: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha1:{digest}",
     ]
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"WARC-Refers-To-Page-ID: {refers_to}"]
+    if revisit:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", LEVEL, mtime=0)
 
@@ -101,14 +112,12 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Writes archives into ``folder`` (shared); capture rows as in ``CAPTURES``, materialized."""
-    arrow_rows(pages.sparkSession, 64)
     html = F.coalesce(F.col("html"), F.lit(""))
-    slim = pages.select(F.col("page_id").alias("id"), F.sha1(html.cast("binary")).alias("h"), F.octet_length(html).alias("n")).where(F.col("n") >= least)
-    groups = slim.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null").select("h", "first")
+    rows = pages.select(F.col("page_id").alias("page_id"), F.col("url").alias("url"), html.alias("html"), F.when(F.octet_length(html) >= least, F.sha1(html.cast("binary"))).alias("h"))
+    groups = rows.where("h is not null").groupBy("h").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null").select(F.col("h").alias("again"), "first")
     groups = if_small(materialize(groups, "warc-groups"), 64)
-    again = materialize(slim.join(groups, "h").where("id is null or id <> first").select(F.col("id").alias("_id"), "first").distinct(), "warc-revisits")
-    rows = pages.select(F.col("page_id").alias("page_id"), F.col("url").alias("url"), html.alias("html"))
-    rows = rows.join(if_small(again, 24), rows["page_id"].eqNullSafe(F.col("_id")), "left").select("page_id", "url", "html", "first")
+    rows = rows.join(groups, F.col("h") == F.col("again"), "left")
+    rows = rows.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = store(folder)
@@ -120,12 +129,12 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                 for page_id, url, html, first in batch.astype(object).itertuples(index=False):
                     page_id = None if pd.isna(page_id) else int(page_id)
                     url = url if isinstance(url, str) else None
-                    member = record(page_id, url, html.encode(), None if pd.isna(first) else int(first))
                     if out is None or at >= ROLL_BYTES:
                         if out is not None:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = fs.open_output_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20)
+                    member = record(page_id, url, html.encode(), None if pd.isna(first) else int(first), f"{name}:{at}")
                     out.write(member)
                     lines.append((surt(url), page_id, url, name, at, len(member)))
                     at += len(member)
@@ -135,11 +144,12 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
             if out is not None:
                 out.close()
 
-    return materialize(rows.mapInPandas(put, CAPTURES), "warc-captures")
+    with batches_of(pages.sparkSession, 64):
+        return materialize(rows.mapInPandas(put, CAPTURES), "warc-captures")
 
 
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Sorts capture lines into compressed blocks in ``folder``; the directory as in ``BLOCKS``, materialized."""
+    """Sorts capture lines into index files in ``folder``; a row per file as in ``FILES``, materialized."""
     spark = captures.sparkSession
     # Partitions of even size by key, then id; offsets break further ties.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -148,114 +158,184 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = store(folder)
         fs.create_dir(base, recursive=True)
-        name, out, at, held = f"{uuid.uuid4().hex}.cdx.z", None, 0, []
+        out, name, at, held, directory = None, "", 0, [], []
 
-        def flush() -> tuple:
-            nonlocal out, at
+        def put(rows: list) -> int:
+            """Writes compressed lines; how many bytes they take."""
+            nonlocal out, name, at
             if out is None:
+                name, at = f"{uuid.uuid4().hex}.cdx.z", 0
                 out = fs.open_output_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20)
-            data = zlib.compress("\n".join(json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in held).encode(), 6)
-            row = (held[0][0], held[-1][0], name, at, len(data), len(held))
+            data = zlib.compress("\n".join(json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in rows).encode(), 6)
             out.write(data)
             at += len(data)
+            return len(data)
+
+        def block() -> None:
+            n = put(held)
+            directory.append((held[0][0], held[-1][0], at - n, n))
             held.clear()
-            return row
 
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["first", "last", "file", "offset", "length", "lines"])
+        def finish() -> pd.DataFrame:
+            nonlocal out
+            if held:
+                block()
+            n = put(directory)
+            row = (directory[0][0], directory[-1][1], name, at - n, n)
+            directory.clear()
+            out.close()
+            out = None
+            return pd.DataFrame([row], columns=["first", "last", "file", "offset", "length"])
 
         try:
             for batch in batches:
-                rows = []
                 for key, page_id, url, archive, offset, length in batch.astype(object).itertuples(index=False):
                     held.append((key, None if pd.isna(page_id) else int(page_id), url if isinstance(url, str) else None, archive, int(offset), int(length)))
                     if len(held) == BLOCK_LINES:
-                        rows.append(flush())
-                if rows:
-                    yield frame(rows)
-            if held:
-                yield frame([flush()])
+                        block()
+                        if len(directory) * BLOCK_LINES >= FILE_LINES:
+                            yield finish()
+            if held or directory:
+                yield finish()
         finally:
             if out is not None:
                 out.close()
 
-    return materialize(ordered.mapInPandas(pack, BLOCKS), "warc-directory")
+    return materialize(ordered.mapInPandas(pack, FILES), "warc-files")
 
 
-def read_block(fs, base: str, file: str, offset: int, length: int) -> list[list]:
+def read_lines(fs, base: str, file: str, offset: int, length: int) -> list[list]:
+    """Lines of a block or of a file's directory, by a range read."""
     with fs.open_input_file(f"{base}/{file}") as f:
         data = f.read_at(length, offset)
     return [json.loads(x) for x in zlib.decompress(data).decode().split("\n")]
 
 
+def in_range(spans: list, key: str) -> Iterator:
+    """Of spans (first, last, ...) in order of keys, those that can hold the key; found by bisection."""
+    k = bisect.bisect_left(spans, key, key=lambda r: r[1])
+    while k < len(spans) and spans[k][0] <= key:
+        yield spans[k]
+        k += 1
+
+
+def of_key(lines: list, key: str) -> list:
+    """A key's lines in a block, by bisection."""
+    return lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) : bisect.bisect_right(lines, key, key=lambda x: x[0])]
+
+
+class Directory:
+    """The files' key ranges, and the sparse directory of the file last asked for."""
+
+    def __init__(self, files: list[tuple], folder: str):
+        self.files = files
+        (self.fs, self.base), self.name, self.blocks, self.reads = store(folder), None, [], 0
+
+    def find(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """Where the blocks lie that can hold the key: file, offset, length."""
+        for _, _, file, offset, length in in_range(self.files, key):
+            if file != self.name:
+                self.name, self.blocks = file, read_lines(self.fs, self.base, file, offset, length)
+                self.reads += 1
+            for _, _, at, n in in_range(self.blocks, key):
+                yield file, at, n
+
+
+def file_list(files: DataFrame) -> list[tuple]:
+    """The index files in order of keys: a row per million captures, or per task that wrote the index."""
+    return sorted(tuple(r) for r in files.select("first", "last", "file", "offset", "length").collect())
+
+
 class CaptureIndex:
-    """Lookups over a written index: sparse directory in memory, everything else by range reads."""
+    """Lookups of single URLs over a written index: a row per file in memory, everything else by range reads."""
 
-    def __init__(self, directory: DataFrame, index_folder: str, archive_folder: str):
-        self.rows = sorted(tuple(r) for r in directory.select("first", "last", "file", "offset", "length").collect())
-        self.firsts = [r[0] for r in self.rows]
-        (self.fs, self.base), (self.afs, self.abase) = store(index_folder), store(archive_folder)
+    def __init__(self, files: DataFrame, index_folder: str, archive_folder: str):
+        self.directory = Directory(file_list(files), index_folder)
+        self.fs, self.base = store(archive_folder)
 
     def captures(self, url: str) -> list[list]:
         """Lines of a URL's captures."""
-        key, found = surt(url), []
-        k = max(0, bisect.bisect_left(self.firsts, key) - 1)
-        while k < len(self.rows) and self.firsts[k] <= key:
-            if self.rows[k][1] >= key:
-                lines = read_block(self.fs, self.base, *self.rows[k][2:])
-                keys = [x[0] for x in lines]
-                found += lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
-            k += 1
-        return found
+        key, d = surt(url), self.directory
+        return [line for place in d.find(key) for line in of_key(read_lines(d.fs, d.base, *place), key)]
 
     def records(self, url: str) -> list[tuple[dict[str, str], bytes]]:
         out = []
         for line in self.captures(url):
-            with self.afs.open_input_file(f"{self.abase}/{line[3]}") as f:
+            with self.fs.open_input_file(f"{self.base}/{line[3]}") as f:
                 out.append(parse(f.read_at(line[5], line[4])))
         return out
 
 
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
+STRIPE = 64 << 20  # bytes of an archive that one task reads in order
 
 
-def read_back(directory: DataFrame, index_folder: str, archive_folder: str) -> DataFrame:
-    """A row per record as in ``READ``, each read through the index; a revisit's bytes are left to its response."""
-    parts = max(1, int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = directory.repartition(parts, "file", "offset").select("file", "offset", "length")
+def look_up(keys: DataFrame, files: DataFrame, index_folder: str) -> DataFrame:
+    """Captures of a table of keys (column ``key``, without repeats): url, archive, offset, length."""
+    spark = keys.sparkSession
+    parts, listed = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), file_list(files)
 
-    def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (fs, base), (afs, abase) = store(index_folder), store(archive_folder)
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d = Directory(listed, index_folder)
         for batch in batches:
-            for file, offset, length in batch.itertuples(index=False):
-                rows, opened, name = [], None, None
-                for _, page_id, url, archive, at, n in sorted(read_block(fs, base, file, offset, length), key=lambda x: (x[3], x[4])):
+            yield pd.DataFrame([(key, *place) for key in batch["key"] for place in d.find(key)], columns=["key", "file", "offset", "length"])
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (fs, base), held, block = store(index_folder), None, []
+        for batch in batches:
+            rows = []
+            for key, *place in batch.itertuples(index=False):
+                if place != held:
+                    held, block = place, read_lines(fs, base, *place)
+                rows += [x[2:] for x in of_key(block, key)]
+            yield pd.DataFrame(rows, columns=["url", "archive", "offset", "length"])
+
+    placed = keys.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInPandas(blocks, "key string, file string, offset long, length long")
+    dealt = placed.repartition(parts, "file", "offset").sortWithinPartitions("file", "offset", "key")
+    return dealt.mapInPandas(lines, "url string, archive string, offset long, length long")
+
+
+def read_records(captures: DataFrame, archive_folder: str) -> DataFrame:
+    """A row per captured record as in ``READ``; archives are read in order of offset, a revisit's bytes are left out."""
+    parts = max(1, int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = captures.repartition(parts, F.col("archive"), F.floor(F.col("offset") / STRIPE)).sortWithinPartitions("archive", "offset")
+
+    def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (fs, base), opened, name = store(archive_folder), None, None
+        try:
+            for batch in batches:
+                rows = []
+                for url, archive, at, n in batch.astype(object).itertuples(index=False):
                     if archive != name:
                         if opened is not None:
                             opened.close()
-                        opened, name = afs.open_input_file(f"{abase}/{archive}"), archive
+                        opened, name = fs.open_input_file(f"{base}/{archive}"), archive
                     fields, payload = parse(opened.read_at(n, at))
                     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind == "response" and digest_of(payload) != digest:
                         raise ValueError(f"payload of {url} differs from its digest")
-                    to = fields.get("WARC-Refers-To-Page-ID")
-                    own = fields["WARC-Page-ID"]
-                    rows.append((int(own) if own else None, url, kind, len(payload) if kind == "response" else None, digest, int(to) if to else None))
-                if opened is not None:
-                    opened.close()
+                    own, to = fields["WARC-Page-ID"], fields.get("WARC-Refers-To-Page-ID")
+                    rows.append((int(own) if own else None, url if isinstance(url, str) else None, kind, len(payload) if kind == "response" else None, digest, int(to) if to else None))
                 frame = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"])
                 yield frame.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+        finally:
+            if opened is not None:
+                opened.close()
 
     return dealt.mapInPandas(get, READ)
 
 
 def archive_and_read(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Writes archives and index, reads all records back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes archives and index, looks up every page's URL: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark: SparkSession = pages.sparkSession
     archives, index = new_path(spark, "warc-archives"), new_path(spark, "warc-index")
-    directory = build_index(write(pages, archives, least), index)
-    rows = materialize(read_back(directory, index, archives), "warc-read")
+    captures = write(pages, archives, least)
+    files = build_index(captures, index)
+    found = look_up(captures.select("key").distinct(), files, index)
+    with batches_of(spark, 256):
+        rows = materialize(read_records(found, archives), "warc-read")
     # A revisit's payload is its response's.
-    sizes = materialize(rows.where("record_type = 'response'").join(rows.where("refers_to is not null").select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi").select(F.col("page_id").alias("to_id"), F.col("payload_bytes").alias("to_bytes")).distinct(), "warc-sizes")
-    out = rows.join(if_small(sizes, 16), rows["refers_to"] == F.col("to_id"), "left")
+    again = rows.where("refers_to is not null").select("payload_digest").distinct()
+    sizes = rows.where("record_type = 'response'").join(again, "payload_digest", "left_semi").select(F.col("payload_digest").alias("to_digest"), F.col("payload_bytes").alias("to_bytes")).distinct()
+    out = rows.join(if_small(materialize(sizes, "warc-sizes"), 48), rows["payload_digest"] == F.col("to_digest"), "left")
     return out.select("page_id", F.coalesce("payload_bytes", "to_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

@@ -377,28 +377,72 @@ def test_weak_parts_need_both_others(spark):
 # WARC
 
 
-def test_warc(spark):
-    pages = [(5, "http://a.b/x", None), (3, None, ""), (4, "http://a.b/x", "é\r\n\r\nx"), (9, "http://a.b/y?q=1", "é\r\n\r\nx"), (2, "http://z", "é\r\n\r\nx"), (7, "bad\r\nurl", "<p>"), (None, "http://a.b/x", "q" * 5000)]
-    d = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, key int")
+def plain_warc(pages):
     groups = {}
     for i, _, h in pages:
         groups.setdefault(h or "", []).append(i)
     want = []
     for i, _, h in pages:
         first = min((x for x in groups[h or ""] if x is not None), default=None)
-        again = len(groups[h or ""]) > 1 and i != first
+        again = first is not None and i != first
         want.append(repr((i, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "revisit" if again else "response", first if again else None)))
-    assert sorted(repr(tuple(r)) for r in warc.archive_and_read(d).collect()) == sorted(want)
+    return sorted(want)
+
+
+PAGES = [
+    [(5, "http://a.b/x", None), (3, None, ""), (4, "http://a.b/x", "é\r\n\r\nx"), (9, "http://a.b/y?q=1", "é\r\n\r\nx"), (2, "http://z", "é\r\n\r\nx"), (7, "bad\r\nurl", "<p>"), (None, "http://a.b/x", "q" * 5000)],
+    # Ids that repeat with other payloads, and null ids.
+    [(1, "u", "AAAA"), (5, "u", "AAAA"), (5, "v", "B"), (None, "w", "B"), (None, None, "C"), (None, None, "C")],
+    [(1, "u", "AAAA"), (2, "u", "BB"), (5, "u", "AAAA"), (5, "u", "BB"), (5, "u", "BB")],
+    [(1, "u", "AAAA"), (1, "u", "BB"), (5, "x", "AAAA"), (1, "u", "AAAA")],
+]
+
+
+@pytest.mark.parametrize("pages", PAGES)
+def test_warc(spark, pages):
+    d = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, key int").repartition(3)
+    assert sorted(repr(tuple(r)) for r in warc.archive_and_read(d).collect()) == plain_warc(pages)
     assert warc.archive_and_read(d.limit(0)).count() == 0
 
 
+def test_warc_keeps_payloads_of_repeated_ids(spark):
+    from netquarry.llm.runtime import new_path
+
+    pages = PAGES[1] + PAGES[3]
+    archives, index = new_path(spark, "a"), new_path(spark, "i")
+    found = warc.CaptureIndex(warc.build_index(warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), archives), index), index, archives)
+    records = [r for u in {u for _, u, _ in pages} for r in found.records(u or "")]
+    assert len(records) == len(pages)
+    assert {p.decode() for f, p in records if f["WARC-Type"] == "response"} == {h for _, _, h in pages}
+    ids = {f["WARC-Record-ID"] for f, _ in records if f["WARC-Type"] == "response"}
+    assert all(f["WARC-Refers-To"] in ids for f, _ in records if f["WARC-Type"] == "revisit")
+
+
+def test_lookups_are_bisected(spark, monkeypatch):
+    from netquarry.llm.runtime import new_path
+
+    monkeypatch.setattr(warc, "BLOCK_LINES", 8)
+    monkeypatch.setattr(warc, "FILE_LINES", 64)
+    rows = [(f"k{i // 3:04d}" if i < 600 else "k0100", i, None, "a", i, 1) for i in range(900)]
+    folder = new_path(spark, "i")
+    files = warc.build_index(spark.createDataFrame(rows, warc.CAPTURES), folder)
+    listed = warc.file_list(files)
+    assert len(listed) >= 900 // 64 and all(a[1] <= b[0] for a, b in zip(listed, listed[1:], strict=False))
+    d = warc.Directory(listed, folder)
+    blocks = list(d.find("k0050"))
+    assert len(blocks) <= 2 and d.reads == 1 and list(d.find("none")) == []
+    # A key with a third of all lines is found in all its blocks.
+    keys = spark.createDataFrame([("k0050",), ("k0100",), ("none",)], "key string")
+    assert sorted(r.offset for r in warc.look_up(keys, files, folder).collect()) == sorted(o for k, *_, o, _ in rows if k in ("k0050", "k0100"))
+
+
 def test_capture_lookup(spark):
     from netquarry.llm.runtime import new_path
 
     d = spark.createDataFrame([(i, f"http://h{i % 3}.example.com/{i % 40}", f"<p>{i}") for i in range(600)], "page_id long, url string, html string")
     archives, index = new_path(spark, "a"), new_path(spark, "i")
     found = warc.CaptureIndex(warc.build_index(warc.write(d, archives), index), index, archives)
-    assert len(found.rows) > 1
+    assert len(found.directory.files) > 1
     for url in ("http://h0.example.com/0", "http://H2.example.com/5", "http://none.example.com/"):
         want = sorted(i for i in range(600) if f"http://h{i % 3}.example.com/{i % 40}" == url.lower())
         got = found.records(url)
@@ -412,18 +456,21 @@ def test_surt():
 # Top-k
 
 
+def plain_top_k(ids, m, asks, k=5):
+    out = []
+    for q, v in {i: v for i, v in sorted(zip(ids, m, strict=True), reverse=True) if asks(i)}.items():
+        s = sorted((-max(-(2**63), min(2**63 - 1, sum(int(x) * int(y) for x, y in zip(v, w, strict=True)))), i) for i, w in zip(ids, m, strict=True) if i != q)
+        out += [(q, r + 1, i, -a) for r, (a, i) in enumerate(s[:k])]
+    return sorted(out)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(9)
-    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(700)] + [(1000 + i, [0.5] * 8) for i in range(200)]
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(400)] + [(1000 + i, [0.5] * 4) for i in range(100)] + [(7, [9.0] * 4), (7, [9.0] * 4)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
-    m = np.floor(256 * np.array([v for _, v in rows])).astype(np.int64)
-    ids = np.array([i for i, _ in rows])
-    want = []
-    for q, v in zip(ids, m, strict=True):
-        if q % 50 == 0:
-            s = [(-int(a), int(i)) for a, i in zip(m @ v, ids, strict=True) if i != q]
-            want += [(int(q), k + 1, i, -a) for k, (a, i) in enumerate(sorted(s)[:5])]
-    assert sorted(map(tuple, topk.top_k(d, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
+    m = [tuple(np.floor(256 * np.array(v)).astype(int).tolist()) for _, v in rows]
+    want = plain_top_k([i for i, _ in rows], m, lambda i: i % 50 == 0)
+    assert sorted(map(tuple, topk.top_k(d, F.col("vec_id") % 50 == 0).collect())) == want
 
 
 def test_top_k_edges(spark):
@@ -434,6 +481,28 @@ def test_top_k_edges(spark):
     assert topk.top_k(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_at_the_least_score(spark):
+    rows = [(0, [1e16]), (1, [-1e16]), (2, [-1e16]), (3, [1.0]), (-1, [-3.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = plain_top_k([i for i, _ in rows], [(int(np.floor(256 * v[0])),) for _, v in rows], lambda i: i == 0)
+    assert sorted(map(tuple, topk.top_k(d, F.col("vec_id") == 0).collect())) == want and want[-1][3] == -(2**63)
+
+
+def test_annuli_out_of_reach_are_never_joined(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "CHUNK", 4)
+    visited = []
+    search = topk.search
+    monkeypatch.setattr(topk, "search", lambda pairs, space, k: (visited.append(pairs.count()), search(pairs, space, k))[1])
+    rng = np.random.default_rng(10)
+    rows = [(i, [float(x) for x in 50 * np.eye(3)[i % 3] + rng.normal(size=3)]) for i in range(1500)]
+    ids, m = [i for i, _ in rows], [tuple(np.floor(256 * np.array(v)).astype(int).tolist()) for _, v in rows]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0)
+    assert sorted(map(tuple, got.collect())) == plain_top_k(ids, m, lambda i: i % 100 == 0)
+    pairs = (1500 // 16) * (15 // 4 + 1)
+    assert sum(visited) < pairs / 2, (visited, pairs)
+
+
 # SQL and pipeline
 
 
