@@ -5,15 +5,22 @@ there; then the inner product is largest where the distance is smallest. Pivots
 by farthest-first. Every vector is keyed by its nearest pivot and the distance to it, and range-sorted by that
 key (ties by id, so that one vector that a third of all rows repeat still spreads) into blocks: annuli around a
 pivot. By the triangle inequality no vector of annulus [lo, hi] around p is nearer to q than lo - d(q, p) or
-d(q, p) - hi. Queries go in chunks; each chunk visits its annuli in order of that bound and leaves out those that
-can't beat the k-th distance found so far, which starts from the sample.
+d(q, p) - hi.
 
-All rows but queries' own are candidates and every surviving block is scored exactly (integer arithmetic in
-doubles below 2^53, in Python integers above), so results are exact; ties go to the smaller id.
+Queries go in chunks. Which chunk meets which annulus is decided on slim rows without vectors: the annulus's pivot, lo
+and hi, the chunk's distances to the pivots and its reach, the distance of the k-th neighbour known so far. First, every
+chunk visits its ``FIRST`` annuli of least bound, starting from the k-th best of the sample, and its reach shrinks to
+what they hold. Then the other annuli within reach get their vectors; each task visits its own in order of the bound
+and stops a chunk at the first that lies beyond reach.
+
+All rows but queries' own are candidates and every visited block is scored exactly (integer arithmetic in doubles
+below 2^53, in Python integers above), so results are exact; ties go to the smaller id. Where the vectors have many
+independent dimensions, bounds rule out little and the search is a product of queries and rows in blocks.
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part; shorter vectors
 count as padded with zeros; rows that share a query's id are its own; a null id takes no part; scores beyond 64
-bits are cut to 64 bits; queries with fewer candidates than k return all; an empty table gives an empty result.
+bits are cut to 64 bits; queries with fewer candidates than k return all; rows that repeat an id are candidates each;
+queries that repeat an id are one query, of the smallest vector; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import arrow_rows, materialize
+from .runtime import batches_of, if_small, materialize
 
 SAMPLE = 2_048  # vectors that choose pivots and give first bounds
 PIVOTS = 24
 BLOCK = 2_048  # vectors of an annulus at most
-CHUNK = 256  # queries that travel together
+CHUNK = 1_024  # queries that travel together
+FIRST = 8  # annuli that a chunk visits before its reach is fixed
+UNIT = 64  # annuli, about, that a task visits for one chunk
 SCALE = 256
 
 
@@ -146,97 +155,137 @@ def packed(rows: DataFrame, most: int, by_pivot: bool) -> DataFrame:
     return ordered.mapInPandas(pack, BLOCKS)
 
 
-def meetings(chunks: DataFrame, space: Space) -> DataFrame:
-    """Chunks by pivot, with the least and largest distance of their queries to it."""
+def directions(chunks: DataFrame, space: Space, k: int) -> DataFrame:
+    """Per chunk and pivot: least and largest distance of its queries, and the chunk's reach after the sample."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                m = np.frombuffer(r.mat, space.dtype).reshape(-1, space.dim).astype(float)
-                d = space.distances(space.lift(m, query=True))
-                n = len(space.pivots)
-                yield pd.DataFrame({"chunk": [r.block] * n, "pivot": np.arange(n, dtype=np.int32), "near": d.min(0), "far": d.max(0), "q_ids": [r.ids] * n, "q_mat": [r.mat] * n})
-
-    return chunks.mapInPandas(deal, "chunk long, pivot int, near double, far double, q_ids binary, q_mat binary")
+                found, n = Found(r.ids, r.mat, space, k), len(space.pivots)
+                yield pd.DataFrame({"chunk": [r.block] * n, "pivot": np.arange(n, dtype=np.int32), "near": found.dist.min(0), "far": found.dist.max(0), "reach": [found.reach().max()] * n})
 
+    return chunks.mapInPandas(deal, "chunk long, pivot int, near double, far double, reach double")
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row-wise k largest scores, ties to the smaller id; -1 marks a missing id."""
-    order = np.argsort(ids, kind="stable", axis=1)
-    s, i = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-    top = np.argsort(-s, kind="stable", axis=1)[:, :k]
-    return np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
 
-
-NONE = -(2**62)  # score of a missing neighbour
+def meetings(ways: DataFrame, annuli: DataFrame, count: int) -> DataFrame:
+    """Slim pairs of chunks and annuli within reach: chunk, block, bound. Pivots are salted, ``count`` annuli in all."""
+    salts = max(1, count // (PIVOTS * 1_024))
+    left = ways.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = annuli.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+    bound = F.greatest(F.col("lo") - F.col("far"), F.col("near") - F.col("hi"), F.lit(0.0))
+    return left.join(right, ["pivot", "salt"]).withColumn("bound", bound).where("bound <= reach").select("chunk", "block", "bound")
+
+
+class Found:
+    """A chunk's queries and the k best found for each, as flat arrays: query's place, id, score."""
+
+    def __init__(self, ids: bytes, mat: bytes, space: Space, k: int, floor: bytes | None = None):
+        self.space, self.k = space, k
+        self.ids = np.frombuffer(ids, "<i8")
+        self.m = np.frombuffer(mat, space.dtype).reshape(-1, space.dim).astype(float)
+        self.dist, self.norm = space.distances(space.lift(self.m, query=True)), (self.m**2).sum(1)
+        self.q = self.i = self.s = np.zeros(0, dtype=np.int64)
+        n = len(self.ids)
+        # A query is full once k candidates are known, found or of the sample; others can't be among its best below the floor.
+        if floor is None:
+            self.full, self.floor = np.zeros(n, dtype=bool), np.full(n, -(2**63), dtype=np.int64)
+            first = space.scores(self.m, space.sample)
+            for j, own in enumerate(self.ids[:, None] == space.sample_ids):
+                if (~own).sum() >= k:
+                    self.full[j], self.floor[j] = True, np.sort(first[j][~own])[-k]
+        else:
+            both = np.frombuffer(floor, "<i8").reshape(2, n)
+            self.full, self.floor = both[0].astype(bool), both[1].copy()
+
+    def reach(self) -> np.ndarray:
+        """Distance beyond which no vector can be among a query's best."""
+        d = np.sqrt(np.clip(self.norm + self.space.square - 2 * self.floor.astype(float), 0, None)) * (1 + 1e-9) + 1e-3
+        return np.where(self.full, d, np.inf)
+
+    def visit(self, pivot: int, lo: float, hi: float, ids: bytes, mat: bytes) -> None:
+        d = self.dist[:, pivot]
+        live = np.nonzero(np.maximum(lo - d, d - hi) <= self.reach())[0]
+        if not len(live):
+            return
+        rows = np.frombuffer(ids, "<i8")
+        s = self.space.scores(self.m[live], np.frombuffer(mat, self.space.dtype).reshape(-1, self.space.dim).astype(float))
+        good = (self.ids[live][:, None] != rows) & (~self.full[live][:, None] | (s >= self.floor[live][:, None]))
+        a, b = np.nonzero(good)
+        q, i, s = np.concatenate([self.q, live[a]]), np.concatenate([self.i, rows[b]]), np.concatenate([self.s, s[a, b]])
+        order = np.lexsort((i, ~s, q))  # not -s, which overflows at the least score
+        q, i, s = q[order], i[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        self.q, self.i, self.s = q[keep], i[keep], s[keep]
+        last = place[keep] == self.k - 1
+        self.full[self.q[last]] = True
+        self.floor[self.q[last]] = np.maximum(self.floor[self.q[last]], self.s[last])
 
 
 def search(pairs: DataFrame, space: Space, k: int) -> DataFrame:
-    """Visits (chunk, block) rows in order of their bound; per task and query the k best found."""
+    """Visits rows (chunk with queries, block with vectors) in order of chunk and bound, until a chunk's reach ends.
+
+    A row per run of a chunk: its reach then, each query's floor, the blocks visited, and (query_id, vec_id, score).
+    """
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk = None
-        state: dict = {}
+        chunk, found, seen = None, None, []
 
         def out() -> pd.DataFrame:
-            q, r = np.nonzero(state["score"] > NONE)
-            return pd.DataFrame({"query_id": state["ids"][q], "vec_id": state["near"][q, r], "score": state["score"][q, r]})
-
-        def start(ids: bytes, mat: bytes) -> None:
-            state["ids"] = np.frombuffer(ids, "<i8")
-            state["m"] = np.frombuffer(mat, space.dtype).reshape(-1, space.dim).astype(float)
-            n = len(state["ids"])
-            state["dist"] = space.distances(space.lift(state["m"], query=True))
-            state["score"], state["near"] = np.full((n, k), NONE, dtype=np.int64), np.full((n, k), -1, dtype=np.int64)
-            # First bound: the k-th best of the sample's candidates.
-            first = space.scores(state["m"], space.sample)
-            first[state["ids"][:, None] == space.sample_ids] = NONE
-            state["floor"] = np.sort(first, axis=1)[:, -k] if first.shape[1] >= k else np.full(n, NONE, dtype=np.int64)
-            state["norm"] = (state["m"] ** 2).sum(1)
+            floor = np.stack([found.full.astype("<i8"), found.floor]).astype("<i8").tobytes()
+            row = (chunk, float(found.reach().max()), floor, seen, found.ids[found.q].tolist(), found.i.tolist(), found.s.tolist())
+            return pd.DataFrame([row], columns=["chunk", "reach", "floor", "seen", "query_ids", "vec_ids", "scores"])
 
         for b in batches:
-            for row in b.itertuples(index=False):
-                if row.chunk != chunk:
-                    if chunk is not None:
+            for r in b.itertuples(index=False):
+                if r.chunk != chunk:
+                    if found is not None:
                         yield out()
-                    chunk = row.chunk
-                    start(row.q_ids, row.q_mat)
-                # Squared distance of the k-th neighbour so far: those farther can't replace it.
-                kth = np.maximum(state["score"][:, -1], state["floor"]).astype(float)
-                reach = np.sqrt(np.clip(state["norm"] + space.square - 2 * kth, 0, None)) * (1 + 1e-9) + 1e-3
-                d = state["dist"][:, row.pivot]
-                live = np.nonzero(np.maximum(row.lo - d, d - row.hi) <= reach)[0]
-                if not len(live):
-                    continue
-                ids = np.frombuffer(row.ids, "<i8")
-                m = np.frombuffer(row.mat, space.dtype).reshape(-1, space.dim).astype(float)
-                order = np.argsort(ids, kind="stable")
-                ids, m = ids[order], m[order]
-                s = space.scores(state["m"][live], m)
-                s[state["ids"][live][:, None] == ids] = NONE
-                top = np.argsort(-s, kind="stable", axis=1)[:, :k]
-                s, i = np.take_along_axis(s, top, 1), ids[top]
-                state["score"][live], state["near"][live] = best(np.hstack([state["score"][live], s]), np.hstack([state["near"][live], i]), k)
-        if chunk is not None:
+                    chunk, found, seen, open_ = r.chunk, Found(r.q_ids, r.q_mat, space, k, r.floor), [], True
+                # Bounds rise within a chunk: beyond its reach nothing is left for it.
+                open_ = open_ and r.bound <= found.reach().max()
+                if open_:
+                    found.visit(r.pivot, r.lo, r.hi, r.ids, r.mat)
+                    seen.append(r.block)
+        if found is not None:
             yield out()
 
-    return pairs.mapInPandas(visit, "query_id long, vec_id long, score long")
+    return pairs.mapInPandas(visit, "chunk long, reach double, floor binary, seen array<long>, query_ids array<long>, vec_ids array<long>, scores array<long>")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """Per query and rank: ``query_id``, ``rank``, ``vec_id``, ``score``; ``is_query`` is an expression over ``vectors``."""
     spark = vectors.sparkSession
-    arrow_rows(spark, 2_048)
     flat = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("raw"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = flat.where(F.col("id").isNotNull() & usable(F.col("raw"))).select("id", "asks", quantized(F.col("raw"), scale).alias("v"))
     space = fit(rows)
-    blocks = materialize(packed(keyed(rows, space, query=False), BLOCK, by_pivot=True), "topk-blocks")
-    chunks = materialize(packed(keyed(rows.where("asks"), space, query=True), CHUNK, by_pivot=False), "topk-chunks")
-    arrow_rows(spark, 8)
-    # A query set against all rows, in blocks: every chunk meets the blocks of every pivot.
-    pairs = blocks.join(meetings(chunks, space), "pivot")
-    bound = F.greatest(F.col("lo") - F.col("far"), F.col("near") - F.col("hi"), F.lit(0.0))
-    pairs = pairs.select("chunk", "q_ids", "q_mat", "pivot", "lo", "hi", "ids", "mat", bound.alias("bound"), "block")
-    found = materialize(search(pairs.sortWithinPartitions("chunk", "bound", "block"), space, k), "topk-found")
+    with batches_of(spark, BLOCK):
+        blocks = materialize(packed(keyed(rows, space, query=False), BLOCK, by_pivot=True), "topk-blocks")
+        asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+        chunks = materialize(packed(keyed(asked, space, query=True), CHUNK, by_pivot=False), "topk-chunks")
+    with batches_of(spark, 8):
+        annuli = blocks.select("block", "pivot", "lo", "hi")
+        ways = materialize(directions(chunks, space, k), "topk-ways")
+        count = annuli.count()
+        size = BLOCK * (8 + space.dim * np.dtype(space.dtype).itemsize)
+
+        def visited(pairs: DataFrame, floors: DataFrame | None, fan: int, label: str) -> DataFrame:
+            asking = chunks.select(F.col("block").alias("chunk"), F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"))
+            asking = asking.withColumn("floor", F.lit(None).cast("binary")) if floors is None else asking.join(floors.select("chunk", "floor"), "chunk")
+            met = pairs.join(if_small(asking, size), "chunk").join(blocks, "block")
+            # A chunk's annuli spread over ``fan`` tasks.
+            met = met.repartition("chunk", F.pmod(F.xxhash64("block"), F.lit(fan))).sortWithinPartitions("chunk", "bound", "block")
+            return materialize(search(met, space, k), label)
+
+        rank = F.row_number().over(W.partitionBy("chunk").orderBy("bound", "block"))
+        nearest = meetings(ways, annuli, count).withColumn("r", rank).where(F.col("r") <= FIRST).drop("r")
+        first = visited(nearest, None, 1, "topk-first")
+        # What the nearest annuli hold narrows the reach before any other annulus gets its vectors.
+        known = first.select("chunk", F.col("reach").alias("now"), "seen")
+        left = meetings(ways.join(known, "chunk").withColumn("reach", F.least("reach", "now")).drop("now", "seen"), annuli, count)
+        left = left.join(known, "chunk").where(~F.array_contains("seen", F.col("block"))).select("chunk", "block", "bound")
+        rest = visited(left, first, max(1, count // UNIT), "topk-rest")
+    found = first.unionByName(rest).select(F.explode(F.arrays_zip("query_ids", "vec_ids", "scores")).alias("f"))
+    found = found.select(F.col("f.query_ids").alias("query_id"), F.col("f.vec_ids").alias("vec_id"), F.col("f.scores").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
