@@ -1,10 +1,11 @@
 """Exact dedup by progressive refinement, in DataFrame operations only.
 
-Level 1 groups by byte length, level 2 by (length, hash of a prefix), level 3 by (length, prefix, hash of
-the full text). Each level aggregates slim keys (map-side partial sums, so that a group holding a third of
-all rows costs one row a task) and only its groups of two and more go on. Full texts are hashed for rows of
-surviving groups alone. Texts never enter a shuffle: the survivors' (length, prefix) keys reach the second
-scan as a bitmap of fixed size, broadcast in 4 KB pieces; a false positive of the bitmap only costs a hash.
+Level 1 counts texts by byte length. Level 2 hashes a prefix of those whose length occurs again and counts by
+(length, prefix hash). Level 3 hashes the full text of those whose (length, prefix hash) occurs again. Each level
+aggregates slim keys (map-side partial sums, so that a group holding a third of all rows costs one row a task), and
+its groups of two and more reach the next scan as a bitmap, broadcast in 4 KB pieces; a false positive of a bitmap
+only costs a hash. Bitmaps have 16 bits and more for each key that goes on, up to ``MOST_BITS``. Texts never enter a
+shuffle.
 
 Defined results: null texts equal the empty text; a null id is smaller than any id; rows that repeat both
 id and text are one document and get the same verdict; an empty table gives an empty result; columns other
@@ -20,8 +21,8 @@ from .runtime import if_small, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_CHARS = 64
-#: Bits of the survivors' bitmap: 2^22 bits are 128 pieces of 4 KB, 512 KB broadcast at most at any corpus size.
-BITMAP_BITS = 22
+#: Bits of a bitmap, as powers of two: 512 KB at least, and 32 MB at most at any corpus size.
+BITMAP_BITS, MOST_BITS = 22, 28
 
 
 def normalized(text: Column) -> Column:
@@ -33,41 +34,59 @@ def full_hash(text: Column) -> Column:
     return F.sha2(normalized(text), 256)
 
 
-def _bit(size: Column, prefix: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(size, prefix), F.lit(1 << bits))
+def _place(keys: list[Column], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
+
+
+def bitmap(counts: DataFrame, keys: list[str], bits: int) -> tuple[DataFrame, int]:
+    """Bitmap of the keys that occur again, by bucket, and its bits: at least ``bits``, more for many keys."""
+    again = counts.where("c > 1")
+    bits = min(MOST_BITS, max(bits, (16 * again.count()).bit_length()))
+    at = _place([F.col(k) for k in keys], bits)
+    return again.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")), bits
+
+
+def marked(rows: DataFrame, keys: list[Column], found: tuple[DataFrame, int], name: str) -> DataFrame:
+    """``rows`` with a column that says whether their key is in the bitmap."""
+    at = _place(keys, found[1])
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.col("bitmap").isNotNull() & (F.getbit(F.coalesce(byte, F.lit(0)), (bit % 8).cast("int")) == 1)
+    joined = rows.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(found[0]), "bucket", "left")
+    return joined.withColumn(name, hit).drop("bucket", "bitmap")
+
+
+class Refinement:
+    """What the first two levels left over, and the columns of the third."""
+
+    def __init__(self, docs: DataFrame, text_col: str, bits: int = BITMAP_BITS):
+        self.docs, self.text = docs, F.col(text_col)
+        self.size = F.octet_length(F.coalesce(self.text, F.lit("")))
+        lengths = materialize(docs.groupBy(self.size.alias("n")).agg(F.count("*").alias("c")), "dedup-lengths")
+        self.lengths = bitmap(lengths, ["n"], bits)
+        prefixes = self._prefixed().where("again").groupBy("n", "p").agg(F.count("*").alias("c"))
+        self.prefixes = bitmap(materialize(prefixes, "dedup-prefixes"), ["n", "p"], bits)
+
+    def _prefixed(self, *more: Column) -> DataFrame:
+        rows = marked(self.docs.select(self.size.alias("n"), self.text.alias("t"), *more), [F.col("n")], self.lengths, "again")
+        start = F.substring(F.coalesce("t", F.lit("")), 1, PREFIX_CHARS)
+        return rows.withColumn("p", F.when(F.col("again"), F.xxhash64(normalized(start))))
+
+    def rows(self, *columns: Column) -> DataFrame:
+        """``columns`` with length ``n``, prefix hash ``p`` and full hash ``h``: null where a level proved the text unique."""
+        rows = marked(self._prefixed(F.struct(*columns).alias("row")), [F.col("n"), F.col("p")], self.prefixes, "hit")
+        return rows.select("row.*", "n", "p", F.when(F.col("again") & F.col("hit"), full_hash(F.col("t"))).alias("h"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None, bits: int = BITMAP_BITS) -> DataFrame:
     """One row per input row: the id, ``keep_id``, ``group_size``, ``kept``, ``full_hash`` and carried expressions.
 
     ``keep_id`` is the largest id of the texts that are identical after lower-casing A-Z. ``full_hash`` is null
-    where length and prefix already proved the text unique. ``carry`` maps output names to expressions over
+    where length or prefix already proved the text unique. ``carry`` maps output names to expressions over
     ``docs``; they are computed in the last scan.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    prefix = F.xxhash64(normalized(F.substring(text, 1, PREFIX_CHARS)))
-    keys = docs.select(F.octet_length(text).alias("n"), prefix.alias("p"))
-    # Counts by (length, prefix); the counts by length are sums of these, so one scan serves both levels.
-    pairs = materialize(keys.groupBy("n", "p").agg(F.count("*").alias("c")), "dedup-keys")
-    lengths = pairs.groupBy("n").agg(F.sum("c").alias("c")).where("c > 1").select("n")
-    survivors = pairs.join(lengths, "n", "left_semi").where("c > 1")
-    bit = _bit(F.col("n"), F.col("p"), bits)
-    bitmap = survivors.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap"))
-
-    slim = docs.select(
-        F.col(id_col).alias("id"), F.octet_length(text).alias("n"), prefix.alias("p"), F.col(text_col).alias("t"),
-        F.struct(*[v.alias(k) for k, v in (carry or {}).items()] or [F.lit(0).alias("_")]).alias("carried"),
-    )
-    bit = _bit(F.col("n"), F.col("p"), bits)
-    at = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.col("bitmap").isNotNull() & (F.getbit(F.coalesce(byte, F.lit(0)), (at % 8).cast("int")) == 1)
-    seen = (
-        slim.withColumn("bucket", F.bitmap_bucket_number(bit))
-        .join(F.broadcast(bitmap), "bucket", "left")
-        .select("id", "n", "p", F.when(hit, full_hash(F.col("t"))).alias("h"), "carried")
-    )
-    rows = materialize(seen, "dedup-rows")
+    carried = F.struct(*[v.alias(k) for k, v in (carry or {}).items()] or [F.lit(0).alias("_")]).alias("carried")
+    rows = materialize(Refinement(docs, text_col, bits).rows(F.col(id_col).alias("id"), carried), "dedup-rows")
     groups = rows.where("h is not null").groupBy("h").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     # Written first, so that either side of the join is a plain exchange that adaptive execution can split.
     groups = if_small(materialize(groups, "dedup-groups"), 96)
@@ -85,12 +104,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITMAP_BITS) -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` rejects; all columns as they came.
 
-    The rejected (id, hash) keys are slim; the anti-join is broadcast only if they measure under the bound.
+    Rows travel as structs with their hash, null for all but those that both levels left over: only these read their
+    full text. Rejected (id, hash) keys are slim; the join is broadcast if they measure under the bound.
     """
-    verdict = exact_dedup(docs, id_col, text_col)
-    gone = materialize(verdict.where("not kept").select(F.col(id_col).alias("_gone_id"), F.col("full_hash").alias("_gone_hash")).distinct(), "dedup-gone")
-    gone = if_small(gone, 96)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (full_hash(docs[text_col]) == gone["_gone_hash"]), "left_anti")
+    levels = Refinement(docs, text_col, bits)
+    hashed = materialize(levels.rows(F.col(id_col).alias("id")).where("h is not null").select("id", "h"), "dedup-rows")
+    keep = hashed.groupBy("h").agg(F.max("id").alias("keep_id"), F.count("*").alias("c")).where("c > 1").select("h", "keep_id")
+    keep = if_small(materialize(keep, "dedup-groups"), 96).withColumnRenamed("h", "group")
+    rows = levels.rows(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"))
+    out = rows.withColumn("k", F.coalesce("h", F.concat(F.lit("own:"), F.xxhash64("id", "n")))).join(keep, F.col("k") == F.col("group"), "left")
+    return out.where(F.col("group").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))).select("doc.*")
