@@ -9,9 +9,9 @@ third of all rows is never sorted in one task.
 
 Only aggregates reach the driver: a row a pattern, ``MAX_PATTERNS`` at most.
 
-Defined results: null texts have size 0 and are taken as 0; a null source is a source, the last; rows that
-repeat an id are taken alike; no documents, or none with a word, give targets of 0; an empty table gives an
-empty result; columns other than id, text and source are ignored.
+Defined results: null texts have size 0 and are taken as 0; a null source is a source, the last; the seeded order
+follows the id, and for null ids the text, so that rows that repeat both are taken alike; no documents, or none with a
+word, give targets of 0; an empty table gives an empty result; columns other than id, text and source are ignored.
 """
 
 from __future__ import annotations
@@ -182,14 +182,16 @@ def cut(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return state.join(ins, "p", "left").select("p", F.coalesce(F.col("o") + 1, F.col("from")).alias("place"))
 
 
-def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """Per row: id, ``size``, ``source_size``, ``target`` (of its first source) and ``taken`` words.
+def place(id_col: str, text_col: str, seed: int) -> Column:
+    """A row's place in the seeded order: 63 bits of a hash."""
+    key = F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
+    return F.shiftrightunsigned(key, 1)
 
-    ``sources``: an array of the sources that hold a row's document, sorted and without repeats.
-    """
-    spark = docs.sparkSession
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 1)
-    rows = materialize(docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("size"), sources.alias("p"), place.alias("o")), "mixing-rows")
+
+def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """Per membership pattern ``p`` of rows (p, o, size): ``full`` repeats of all its documents and the place ``upto``
+    before which they are taken once more; size and target of its first source."""
+    spark = rows.sparkSession
     found = rows.groupBy("p").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -206,26 +208,39 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     target = {s: t * scale for s, t in target.items()} if scale < 1 else target
     quota, at = whole(target), {s: i for i, s in enumerate(names)}
     flow = min_cost_flow([r["size"] for r in found], [[at[s] for s in r["p"]] for r in found], [quota[s] for s in names])
-    plan = []
+    planned = []
     for r, f in zip(found, flow, strict=True):
         full, rest = divmod(sum(f), r["size"]) if r["size"] else (0, 0)
         first = r["p"][0] if r["p"] else None
-        plan.append((list(r["p"]), full, rest, sizes.get(first, 0), float(target.get(first, 0.0))))
-    planned = spark.createDataFrame(plan, "p array<string>, full long, rest long, source_size long, target double")
-    planned = materialize(planned, "mixing-plan")
-    places = materialize(cut(rows.select("p", "o", "size"), planned.where("rest > 0").select("p", "rest")), "mixing-places")
-    planned = planned.join(places, "p", "left")
-    out = rows.join(if_small(materialize(planned, "mixing-plan"), 256), "p")
-    again = F.when(F.col("place").isNotNull() & (F.col("o") < F.col("place")), 1).otherwise(0)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("full") + again)).alias("taken"))
-
-
-def select_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with each row as often as the mix takes it (not at all, or up to ``COPIES`` times); same columns."""
-    mixed = mix(docs, F.array(F.col(source_col)), id_col, text_col)
-    times = mixed.where("size > 0").select(F.col(id_col).alias("_mix_id"), (F.col("taken") / F.col("size")).cast("int").alias("_mix_times")).distinct()
-    times = if_small(materialize(times, "mixing-times"), 24)
-    joined = docs.join(times, docs[id_col].eqNullSafe(times["_mix_id"]), "left")
+        planned.append((list(r["p"]), full, rest, sizes.get(first, 0), float(target.get(first, 0.0))))
+    out = materialize(spark.createDataFrame(planned, "p array<string>, full long, rest long, source_size long, target double"), "mixing-plan")
+    places = materialize(cut(rows.select("p", "o", "size"), out.where("rest > 0").select("p", "rest")), "mixing-places")
+    return materialize(out.join(places, "p", "left").select("p", "full", F.col("place").alias("upto"), "source_size", "target"), "mixing-plan")
+
+
+def times(o: Column) -> Column:
+    """How often a row at place ``o`` is taken, beside the columns of its pattern's plan."""
+    return (F.col("full") + F.when(o < F.col("upto"), 1).otherwise(0)).cast("int")
+
+
+def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """Per row: id, ``size``, ``source_size``, ``target`` (of its first source) and ``taken`` words.
+
+    ``sources``: an array of the sources that hold a row's document, sorted and without repeats.
+    """
+    rows = materialize(docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("size"), sources.alias("p"), place(id_col, text_col, seed).alias("o")), "mixing-rows")
+    out = rows.join(if_small(plan(rows, weights), 256), "p")
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times(F.col("o"))).alias("taken"))
+
+
+def select_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it (not at all, or up to ``COPIES`` times); same columns.
+
+    The number of copies follows in the row from its pattern's plan, so that texts stay where they are.
+    """
+    keys = [F.array(F.col(source_col)).alias("p"), place(id_col, text_col, seed).alias("o"), words(F.col(text_col)).alias("size")]
+    planned = plan(materialize(docs.select(*keys), "mixing-rows"), weights)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), *keys).join(if_small(planned, 256), "p")
     # Documents without words cost nothing and stay once.
-    repeated = joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.coalesce("_mix_times", F.lit(1)))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    copies = F.explode(F.array_repeat("doc", F.when(F.col("size") == 0, 1).otherwise(times(F.col("o")))))
+    return rows.select(copies.alias("doc")).select("doc.*")

@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
 from array import array
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -55,6 +57,23 @@ def test_exact_dedup_reads_only_survivors(spark):
     d = spark.createDataFrame([(i, f"text {'x' * i}") for i in range(20)] + [(50, "text xx")], "doc_id long, text string")
     got = exact_dedup.exact_dedup(d).collect()
     assert sorted(r.doc_id for r in got if r.full_hash) == [2, 50]
+    # Lengths that don't occur again get no prefix hash, prefixes that don't occur again no full hash.
+    d = d.union(spark.createDataFrame([(60, "abcd xx")], d.schema))
+    rows = exact_dedup.Refinement(d, "text").rows(F.col("doc_id")).collect()
+    assert sorted(r.doc_id for r in rows if r.p is not None) == [2, 50, 60] and sorted(r.doc_id for r in rows if r.h) == [2, 50]
+
+
+def test_exact_dedup_of_long_texts(spark):
+    texts = ["a" * 3_000_000, "A" * 3_000_000, "a" * 2_999_999 + "b", *[("0" * 24 + "\n") * 20_000] * 3]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(d).collect()} == {0: (1, 2), 1: (1, 2), 2: (2, 1), 3: (5, 3), 4: (5, 3), 5: (5, 3)}
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(d).collect()) == [1, 2, 5]
+
+
+def test_exact_dedup_drops_of_repeated_ids(spark):
+    rows = [(3, "x"), (7, "X"), (7, "y"), (None, "y"), (None, "z"), (None, "Z"), (7, "w")]
+    kept = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(7, "X"), (7, "y"), (None, "z"), (None, "Z"), (7, "w")]))
 
 
 def test_exact_dedup_drops(spark):
@@ -235,17 +254,80 @@ def test_near_dedup(spark):
 # Mixing
 
 
-def test_quotas_and_flow():
-    assert mixing.quotas({"a": 100, "b": 100}, {"a": 1, "b": 3}) == {"a": 50.0, "b": 150.0}
-    q = mixing.quotas({"a": 10, "b": 500, "c": 490}, {"a": 3, "b": 1, "c": 1})
-    assert q["a"] == 30 and sum(q.values()) == pytest.approx(1000)
-    assert mixing.quotas({}, {}) == {} and mixing.quotas({"a": 0}, {"a": 1}) == {"a": 0.0}
-    # Two sources share a pattern: quotas are met, first copies before repeats.
-    flow = mixing.min_cost_flow([100, 50, 50], [[0], [0, 1], [1]], [120, 140])
-    assert [sum(f[j] for f in flow) for j in (0, 1)] == [120, 140]
-    assert all(sum(f) <= 3 * c for f, c in zip(flow, [100, 50, 50], strict=True))
-    cost = sum(max(0, sum(f) - c) + 2 * max(0, sum(f) - 2 * c) for f, c in zip(flow, [100, 50, 50], strict=True))
-    assert cost == 60
+def fair(sizes, weights):
+    """Targets by exact fractions: sources over three times their size are fixed there, the excess is shared again."""
+    fixed = {}
+    while True:
+        open_ = [s for s in sizes if s not in fixed]
+        left, weight = sum(sizes.values()) - sum(fixed.values()), sum(weights[s] for s in open_)
+        over = {s: Fraction(3 * sizes[s]) for s in open_ if Fraction(left * weights[s], weight) > 3 * sizes[s]}
+        if not over:
+            return fixed | {s: Fraction(left * weights[s], weight) for s in open_}
+        fixed |= over
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 1000), max_size=8))
+def test_quotas(sizes):
+    sizes = dict(enumerate(sizes))
+    weights = {s: 1 + s % 3 for s in sizes}
+    got, want = mixing.quotas(sizes, weights), fair(sizes, weights)
+    assert all(got[s] == pytest.approx(float(want[s]), abs=1e-6) for s in sizes)
+    assert sum(mixing.whole(got).values()) == round(sum(got.values()))
+
+
+def cheapest(capacity, members, quota):
+    """Most words that can flow, and their least cost, by trying all flows."""
+    ways = [[(i, j) for j in m] for i, m in enumerate(members)]
+    arcs = [a for w in ways for a in w]
+    best = (0, 0)
+    for f in itertools.product(*[range(min(3 * capacity[i], quota[j]) + 1) for i, j in arcs]):
+        taken = [sum(x for x, (i, _) in zip(f, arcs, strict=True) if i == k) for k in range(len(capacity))]
+        filled = [sum(x for x, (_, j) in zip(f, arcs, strict=True) if j == k) for k in range(len(quota))]
+        if all(t <= 3 * c for t, c in zip(taken, capacity, strict=True)) and all(a <= q for a, q in zip(filled, quota, strict=True)):
+            cost = sum(max(0, t - c) + 2 * max(0, t - 2 * c) for t, c in zip(taken, capacity, strict=True))
+            best = max(best, (sum(f), -cost))
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.sampled_from([[0], [1], [0, 1]])), min_size=1, max_size=3), st.lists(st.integers(0, 5), min_size=2, max_size=2))
+def test_flow_is_cheapest(patterns, quota):
+    capacity, members = [c for c, _ in patterns], [m for _, m in patterns]
+    flow = mixing.min_cost_flow(capacity, members, quota)
+    taken = [sum(f) for f in flow]
+    assert all(t <= 3 * c for t, c in zip(taken, capacity, strict=True)) and all(sum(f[j] for f in flow) <= quota[j] for j in (0, 1))
+    assert all(x == 0 or j in m for f, m in zip(flow, members, strict=True) for j, x in enumerate(f))
+    cost = sum(max(0, t - c) + 2 * max(0, t - 2 * c) for t, c in zip(taken, capacity, strict=True))
+    assert (sum(taken), -cost) == cheapest(capacity, members, quota)
+
+
+def test_seeded_cut(spark):
+    rng = random.Random(12)
+    rows = [(["a"] if rng.random() < 0.3 else ["b"], rng.getrandbits(63), rng.randint(0, 9)) for _ in range(800)]
+    rest = {"a": 333, "b": 1200}
+    got = mixing.cut(spark.createDataFrame(rows, "p array<string>, o long, size int"), spark.createDataFrame([([p], r) for p, r in rest.items()], "p array<string>, rest long"))
+    for p, upto in got.collect():
+        mine = sorted((o, n) for q, o, n in rows if q == p)
+        run, want = 0, mine[0][0]
+        for o, n in mine:  # a document is in if at least half of it lies before the cut
+            if run + n / 2 <= rest[p[0]]:
+                want = o + 1
+            run += n
+        assert sum(n for o, n in mine if o < upto) == sum(n for o, n in mine if o < want)
+
+
+def test_select_mix_of_repeated_ids(spark):
+    rng = random.Random(13)
+    rows = [(rng.choice([None, 1, 2, i]), "w " * rng.randint(0, 9) + str(i), rng.choice(["a", "b", None]), i) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_copy long").repartition(3)
+    taken = {}
+    for r in mixing.select_mix(d).collect():
+        taken[r._mix_copy] = taken.get(r._mix_copy, 0) + 1
+    assert mixing.select_mix(d).columns == d.columns and max(taken.values()) <= 3
+    assert sorted(n * len(rows[i][1].split()) for i, n in taken.items() if n) == sorted(r.taken for r in mixing.mix(d, F.array("source")).collect() if r.taken)
+    # Null ids are cut within, like others.
+    assert 0 < sum(taken.get(i, 0) % 2 for i, r in enumerate(rows) if r[0] is None)
 
 
 def test_mixing(spark):
