@@ -7,32 +7,57 @@ every half has one anchor within 1, its home. A fingerprint is replicated to eve
 radius plus threshold, 1 + 1 = 2: at most 16 a half. Whichever side of a linked pair is at home, the other is
 among the replicas there; each anchor compares those at home with its replicas over all 64 bits.
 
+A dense family doesn't emit its pairs: at each anchor, fingerprints that link to the least one at home are linked to it
+alone, and only the others meet all.
+
 Equal fingerprints are one node from the start, so copies never meet as pairs. Links of different
 fingerprints pass to connected components by alternating star contraction over distinct edges, each round
 written to the shared folder.
 
+Similar shingles (:func:`drop_near_duplicates`). Documents whose sets of five-word shingles have a similarity of 0.8
+or more differ in some 39 of 256 bits, which no covering code finds in one piece. So the anchors are those of many
+samples of the bits: a sample's code is that of all its words (covering radius 0), a fingerprint goes to one anchor a
+sample, and the number of samples follows from the wanted recall at the least similarity. Anchors compare with their
+least member, as above; what lies within :data:`REACH` bits is then checked by the texts' exact similarity, so that links are
+always right, and found with a probability of ``RECALL`` at 0.8 and more above it.
+
 Defined results: null texts are empty; texts without words have fingerprint zero and link like others; texts
-of fewer than three words use the whole sequence; a null id is never a component's smallest id unless all ids
-there are null; repeated rows get a row each; an empty table gives an empty result.
+of fewer words than a shingle use the whole sequence; a null id is never a component's smallest id unless all ids
+there are null; repeated rows get a row each; an empty table gives an empty result. Dropping goes by row, not by id: rows
+that repeat an id with other texts have verdicts of their own, and of rows that repeat the id that stays with texts of one
+fingerprint all stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches, materialize
+from .runtime import batches_of, bound_batches, if_small, materialize
 
 WIDTH = 3
 THRESHOLD = 3
+SEED = 20240607
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 BLOCK = 65_536  # shingles whose hashes are held at a time
 
+SIMILAR = 0.8
+WIDE = 5  # words of a shingle where similarity is asked for
+BITS = 256  # of a wide fingerprint
+RECALL = 0.93  # of pairs whose similarity is just ``SIMILAR``
+#: Share of bits in which fingerprints of sets of similarity 0.8 differ: the angle of their indicator vectors.
+DIFFER = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
+#: Differing bits up to which texts are compared: 2.3 deviations above the mean at similarity 0.8.
+REACH = round(BITS * DIFFER + 2.3 * math.sqrt(BITS * DIFFER * (1 - DIFFER)))
+
 #: Parity masks of the [31, 26] Hamming code: bit i - 1 counts for check k where i has bit k.
 PARITY = tuple(sum(1 << (i - 1) for i in range(1, 32) if i >> k & 1) for k in range(5))
 
@@ -93,16 +118,27 @@ def anchors_of(half: Column, reach: int) -> Column:
 
 
 def linked(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs ``a < b`` of the distinct fingerprints ``fp`` that differ in ``threshold`` (3 or fewer) bits at most."""
+    """Links ``a < b`` of the distinct fingerprints ``fp`` that differ in ``threshold`` (3 or fewer) bits at most.
+
+    Not all pairs: of those that link to an anchor's least fingerprint, only these links. Components are the same.
+    """
     if threshold > 3:
         raise ValueError("two halves of radius 1 find up to three differing bits")
-    low = F.lit((1 << 31) - 1)
+    low, at = F.lit((1 << 31) - 1), ["side", "anchor"]
     halves = F.array(F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 32).bitwiseAND(low))
     split = nodes.select("fp", F.posexplode(halves).alias("side", "half"))
     home = split.select("side", F.explode(anchors_of(F.col("half"), 1)).alias("anchor"), F.col("fp").alias("a"))
     near = split.select("side", F.explode(anchors_of(F.col("half"), 2)).alias("anchor"), F.col("fp").alias("b"))
-    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return home.join(near, ["side", "anchor"]).where(close).select("a", "b").distinct()
+    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= threshold
+    heads = home.groupBy(*at).agg(F.min("a").alias("head"))
+    starred = near.join(heads, at).select(*at, "b", "head", close("head", "b").alias("held"))
+    stars = starred.where("held and head <> b").select(F.least("head", "b").alias("a"), F.greatest("head", "b").alias("b"))
+    # Those that the head doesn't hold, at home or near, meet everybody on the other side.
+    loose = starred.where("not held").select(*at, "b")
+    held = home.join(heads, at).select(*at, "a", close("a", "head").alias("held"))
+    met = held.join(loose, at).where(close("a", "b"))
+    met = met.select("a", "b").unionByName(held.where("not held").join(near, at).where(close("a", "b")).select("a", "b")).where("a <> b")
+    return stars.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def contract(edges: DataFrame, label: str = "simhash") -> DataFrame:
@@ -139,10 +175,145 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of smallest id of each component; all columns as they came."""
-    from .runtime import if_small
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Rows of four 64-bit words, independent of each other, from one hash each (the finaliser of SplitMix64)."""
+    z = h[:, None] + np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def shingle_set(text: str, width: int = WIDE) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted."""
+    parts = list(shingle_hashes(text, width))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def wide_fingerprint(text: str, width: int = WIDE) -> np.ndarray:
+    """``BITS`` bits over the set of shingles, as signed 64-bit words."""
+    hashes, total = shingle_set(text, width), np.zeros(BITS, dtype=np.int64)
+    for k in range(0, len(hashes), 4096):
+        total += np.unpackbits(mixed(hashes[k : k + 4096]).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view(np.int64)
+
+
+def samples_of(count: int) -> np.ndarray:
+    """Bits of each sample: so many that few of ``count`` random fingerprints share an anchor, and samples for ``RECALL``."""
+    size = max(12, count.bit_length() + 4)
+    number = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - DIFFER) ** size))
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.choice(BITS, size, replace=False) for _ in range(number)])
+
+
+def anchored(nodes: DataFrame, count: int) -> DataFrame:
+    """Rows (anchor, node): a row a sample; the anchor is a hash of the sample's number and its bits."""
+    samples = samples_of(count)
+
+    @F.pandas_udf("array<long>")
+    def anchors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weight = np.uint64(1) << np.arange(samples.shape[1], dtype=np.uint64)
+        salt = mixed(np.arange(len(samples), dtype=np.uint64))[:, 0]
+        for fps in batches:
+            if not len(fps):
+                continue
+            bits = np.unpackbits(np.stack(fps.to_list()).view(np.uint8), axis=1, bitorder="little").astype(np.uint64)
+            words = np.stack([bits[:, s] @ weight for s in samples], axis=1) ^ salt
+            yield pd.Series(list(mixed(words.ravel())[:, 0].reshape(words.shape).view(np.int64)))
+
+    return nodes.select(F.explode(anchors("fp")).alias("anchor"), "node")
+
+
+def apart(x: str, y: str) -> Column:
+    """Differing bits of two wide fingerprints (four longs each)."""
+    return reduce(add, [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(BITS // 64)])
+
+
+def similar(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float = SIMILAR, width: int = WIDE) -> DataFrame:
+    """Pairs (a, b) of nodes whose texts have sets of shingles of similarity ``least`` or more.
+
+    ``texts_of`` gives (node, text) for a table of nodes; only those of pairs are asked for.
+    """
+
+    @F.pandas_udf("double")
+    def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            x, y = shingle_set(x, width), shingle_set(y, width)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / max(len(x) + len(y) - both, 1))
+        return pd.Series(out)
+
+    texts = materialize(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "near-texts")
+    a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    with batches_of(pairs.sparkSession, 64):
+        return materialize(pairs.join(a, "a").join(b, "b").where(jaccard("text_a", "text_b") >= least).select("a", "b"), "near-links")
+
+
+def rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (node, root) of all nodes."""
+    roots = contract(edges, "near").withColumnRenamed("node", "n")
+    return materialize(nodes.select("node").join(roots, F.col("node") == F.col("n"), "left").select("node", F.coalesce("root", "node").alias("root")), "near-roots")
+
+
+def parted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose nodes aren't connected yet."""
+    for x in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x)
+    return pairs.where("root_a <> root_b").select("a", "b")
+
+
+def similar_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (node, root) of nodes (node, fp): connected by similar texts."""
+    at = materialize(anchored(nodes, nodes.count()), "near-anchors")
+    heads = at.groupBy("anchor").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1")
+    heads = materialize(heads, "near-heads")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")), x)
+        return materialize(pairs.where(apart("fp_a", "fp_b") <= REACH).select("a", "b"), "near-pairs")
+
+    met = at.join(heads.select("anchor", "head"), "anchor").where("node <> head")
+    stars = close(met.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    # Each node's least head first: most others then connect already and need no look at their texts.
+    first = materialize(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-first")
+    links = similar(first, texts_of)
+    left = materialize(parted(stars, rooted(nodes, links)).join(first, ["a", "b"], "left_anti"), "near-pairs")
+    links = links.unionByName(similar(left, texts_of))
+    roots = rooted(nodes, links)
+    # Members of an anchor of three and more that its head doesn't hold meet its other members.
+    crowd = at.join(heads.where("c > 2").select("anchor", "head"), "anchor")
+    sides = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in ("head", "node")]
+    loose = materialize(crowd.join(sides[0], "head").join(sides[1], "node").where("root_head <> root_node").select("anchor", F.col("node").alias("x")), "near-loose")
+    met = loose.join(crowd.select("anchor", F.col("node").alias("y")), "anchor").where("x <> y")
+    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    last = close(parted(met, roots).join(stars, ["a", "b"], "left_anti"))
+    return rooted(nodes, links.unionByName(similar(last, texts_of)))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDE) -> DataFrame:
+    """``docs`` with the document of smallest id of each group of similar texts; all columns as they came."""
+    bound_batches(docs.sparkSession)
+
+    @F.pandas_udf("array<long>")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([wide_fingerprint(t, width) for t in texts])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), prints(text).alias("fp"))
+    rows = materialize(rows.withColumn("node", F.xxhash64("fp")), "near-rows")
+    nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.count("*").alias("c")), "near-nodes")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """A node's text is that of a row of its smallest id: equal fingerprints have equal sets of shingles."""
+        wanted = if_small(materialize(nodes.join(wanted, "node", "left_semi").select("node", F.col("id").alias("of")), "near-wanted"), 24)
+        found = rows.join(wanted, "node").where(F.col("id").eqNullSafe(F.col("of")))
+        return found.select("node", F.coalesce(F.col("doc")[text_col], F.lit("")).alias("text")).dropDuplicates(["node"])
 
-    found = near_dedup(docs, id_col, text_col)
-    gone = materialize(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone_id")).distinct(), "simhash-gone")
-    return docs.join(if_small(gone, 16), docs[id_col].eqNullSafe(gone["_gone_id"]), "left_anti")
+    named = nodes.join(similar_groups(nodes.select("node", "fp"), texts_of), "node")
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"), F.sum("c").alias("rows"))
+    judged = named.join(best.where("rows > 1"), "root").select(F.col("node").alias("judged"), F.when(F.col("node") == F.col("best.node"), F.struct("best.id")).alias("stays"))
+    judged = materialize(judged, "near-judged")
+    out = rows.join(if_small(judged, 32), F.col("node") == F.col("judged"), "left")
+    return out.where(F.col("judged").isNull() | (F.col("stays").isNotNull() & F.col("id").eqNullSafe(F.col("stays.id")))).select("doc.*")
