@@ -1,14 +1,16 @@
 """BPE encoding and decoding as streaming transducers with bounded lookahead.
 
-Encoding. Pre-tokens of the byte-level pattern are merged on their own. Within one, the tokens to the left of
-a place can depend on bytes to the right only through a chain of competing merges of rising rank, each taking
-one more token to the left. :func:`lookahead` computes from the merge list the longest such chain in bytes;
-tokens that end further than that from the bytes read so far are stable and are emitted, so that memory does
-not grow with the pre-token or the text. Merging itself walks left to right: the merged form of a byte string
-is the only sequence of tokens in which every two neighbours are compatible, that is, no rule would have
-joined them (or their parts, at the time they lay side by side) before they came about.
-
-Decoding maps ids to bytes and feeds a UTF-8 state machine that keeps at most three bytes between tokens.
+Encoding. Texts are read piece by piece; pieces end where a pre-token is sure to begin. Pre-tokens of the byte-level
+pattern are merged on their own. Within one, the tokens to the left of a place can depend on bytes to the right only
+through a chain of competing merges of rising rank, each taking one more token to the left. :func:`lookahead` computes
+from the merge list the longest such chain in bytes; tokens that end further than that from the bytes read so far are
+stable and are emitted, so that memory does not grow with the pre-token or the text. Every pre-token goes this way,
+:meth:`Encoder.stream`, but for those that a bounded memo in front of it remembers. Merging itself walks left to right:
+the merged form of a byte string is the only sequence of tokens in which every two neighbours are compatible, that is,
+no rule would have joined them (or their parts, at the time they lay side by side) before they came about.
+
+Decoding maps ids to bytes and feeds a UTF-8 state machine that keeps at most three bytes between tokens. Ids and
+decoded text are handed on part by part; beside the text itself a worker holds a piece, the memo and the lookahead.
 
 Defined results: a null text is empty (no ids, empty text); an empty table gives an empty result; repeated
 rows are encoded each; other columns are ignored.
@@ -21,6 +23,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,7 +35,7 @@ from .runtime import bound_batches
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO = 300_000  # pre-tokens whose ids a worker remembers, and as many space-separated words
 MEMO_BYTES = 48  # longer ones are merged each time
-SHORT = 32  # bytes up to which the plain merge loop is quicker
+PIECE = 1 << 14  # characters of a text, about, that are cut into pre-tokens at a time
 PAIRS = 1_000_000  # pairs whose compatibility a worker remembers
 WINDOW = 4096  # bytes of a long pre-token merged at a time, besides the lookahead
 
@@ -134,6 +137,21 @@ def lookahead(m: MergeList) -> int:
 
 #: Whether a text has a space that no visible character follows.
 LOOSE_SPACE = re.compile(r" (?!\S)").search
+#: A space between visible characters: a pre-token begins there, and none crosses it.
+SURE = re.compile(r"(?<=\S) (?=\S)").search
+
+
+def pieces(text: str, start: int = 0, end: int | None = None, size: int = PIECE) -> Iterator[str]:
+    """The text from ``start`` to ``end`` in pieces of ``size`` characters or a little more, cut where that changes no pre-token."""
+    end = len(text) if end is None else end
+    while end - start > size:
+        found = SURE(text, start + size, end)
+        # The pattern's looks see across the borders, but not beyond ``end``.
+        cut = found.start() if found else end
+        yield text[start:cut]
+        start = cut
+    if end > start:
+        yield text[start:end]
 
 
 class _Words(dict):
@@ -161,44 +179,22 @@ class Encoder(dict):
 
         super().__init__()
         self.m, self.special = merges, special or {}
-        self.find = regex.compile(pattern).findall
-        self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
+        self.find, self.each = regex.compile(pattern).findall, regex.compile(pattern).finditer
+        self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))).finditer if self.special else None
         self.pairs: dict[int, bool] = {}
         self.words = _Words(self)
 
     def __missing__(self, pretoken: str) -> bytes:
         data = pretoken.encode()
-        ids = array("I", self.short(data) if len(data) <= SHORT else self.merge(data) if len(data) <= WINDOW else self.stream([data]))
-        out = ids.tobytes()
+        out = array("I", self.stream([data])).tobytes()
         if len(data) <= MEMO_BYTES:
             if len(self) >= MEMO:
                 self.clear()
             self[pretoken] = out
         return out
 
-    def short(self, data: bytes) -> list[int]:
-        """The tokens of a short pre-token: the rule of least rank first, of equal ones the left."""
-        one = self.m.id_of.get(data)
-        if one is not None:
-            return [one]
-        get, made, none = self.m.pair_rank.get, self.m.made, len(self.m.made)
-        ids = list(map(self.m.byte_id.__getitem__, data))
-        ranks = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            r = min(ranks)
-            if r == none:
-                break
-            k = ranks.index(r)
-            ids[k] = made[r]
-            del ids[k + 1], ranks[k]
-            if k:
-                ranks[k - 1] = get((ids[k - 1], ids[k]), none)
-            if k < len(ranks):
-                ranks[k] = get((ids[k], ids[k + 1]), none)
-        return ids
-
     def merge(self, data: bytes) -> list[int]:
-        """The tokens of one pre-token: longest first, shorter where neighbours clash, back where all clash."""
+        """The tokens of bytes at hand: longest first, shorter where neighbours clash, back where all clash."""
         m, pairs = self.m, self.pairs
         one = m.id_of.get(data)
         if one is not None:
@@ -248,8 +244,8 @@ class Encoder(dict):
         if held:
             yield from self.merge(held)
 
-    def plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens.
+    def piece(self, text: str) -> bytes:
+        """Ids of a piece without special tokens.
 
         Where every space is followed by a visible character, a pre-token begins at each space and none crosses
         it, so that the words between spaces are encoded (and remembered) on their own.
@@ -259,14 +255,33 @@ class Encoder(dict):
         head, *words = text.split(" ")
         return b"".join(map(self.__getitem__, self.find(head))) + b"".join(map(self.words.__getitem__, words))
 
-    def encode_bytes(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit integers."""
-        if self.split is None or not any(s in text for s in self.special):
-            return self.plain(text)
-        return b"".join(array("I", [self.special[s]]).tobytes() if i % 2 else self.plain(s) for i, s in enumerate(self.split(text)))
+    def plain(self, text: str, start: int = 0, end: int | None = None) -> Iterator[bytes]:
+        """Ids of a stretch without special tokens. Pieces that nothing cuts for long hand on their tokens as they come."""
+        for piece in pieces(text, start, end):
+            if len(piece) <= 4 * PIECE:
+                yield self.piece(piece)
+                continue
+            for m in self.each(piece):
+                a, b = m.span()
+                if b - a <= PIECE:
+                    yield self[m[0]]
+                    continue
+                ids = self.stream(piece[k : min(b, k + WINDOW)].encode() for k in range(a, b, WINDOW))
+                while part := array("I", islice(ids, PIECE)):
+                    yield part.tobytes()
+
+    def parts(self, text: str) -> Iterator[bytes]:
+        """Ids of a text as little-endian 32-bit integers, part by part."""
+        at = 0
+        if self.specials is not None:
+            for m in self.specials(text):
+                yield from self.plain(text, at, m.start())
+                yield array("I", [self.special[m[0]]]).tobytes()
+                at = m.end()
+        yield from self.plain(text, at)
 
     def encode(self, text: str) -> list[int]:
-        return array("I", self.encode_bytes(text)).tolist()
+        return array("I", b"".join(self.parts(text))).tolist()
 
 
 class Utf8Machine:
@@ -288,8 +303,6 @@ class Utf8Machine:
 
 
 class Decoder:
-    CHUNK = 65_536  # ids decoded at a time
-
     def __init__(self, merges: MergeList, special: dict[str, int] | None = None):
         self.table = list(merges.bytes_of)
         for s, i in (special or {}).items():
@@ -302,10 +315,11 @@ class Decoder:
             yield machine.feed(table[i])
         yield machine.end()
 
-    def text_parts(self, ids: array) -> Iterator[str]:
+    def decode_parts(self, parts: Iterable[array]) -> Iterator[str]:
+        """The text of ids that come in arrays."""
         machine, get = Utf8Machine(), self.table.__getitem__
-        for k in range(0, len(ids), self.CHUNK):
-            yield machine.feed(b"".join(map(get, ids[k : k + self.CHUNK])))
+        for ids in parts:
+            yield machine.feed(b"".join(map(get, ids)))
         yield machine.end()
 
 
@@ -340,11 +354,18 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for texts in batches:
             rows = []
             for t in texts:
-                ids = encoder.encode_bytes(t)
-                h = hashlib.sha256()
-                for part in decoder.text_parts(array("I", ids)):
-                    h.update(part.encode())
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), h.hexdigest()))
+                n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+
+                def heard(text: str) -> Iterator[array]:
+                    nonlocal n
+                    for part in encoder.parts(text):
+                        ids.update(part)
+                        n += len(part) // 4
+                        yield array("I", part)
+
+                for part in decoder.decode_parts(heard(t)):
+                    decoded.update(part.encode())
+                rows.append((n, ids.hexdigest(), decoded.hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = docs.select(F.col(id_col).alias("id"), digest(F.coalesce(F.col(text_col), F.lit(""))).alias("d"))

@@ -196,6 +196,7 @@ def test_memory_is_bounded():
     encoder, _ = bpe_stream.load(BPE)
     for n in (1, 8):
         assert max(map(len, encoder.parts("some words and more " * 20_000 * n))) < 4 * bpe_stream.PIECE
+        assert max(map(len, encoder.parts("x" * 100_000 * n + " " + "-=" * 50_000 * n))) < 8 * bpe_stream.PIECE
     held = []
     merge = encoder.merge
     encoder.merge = lambda data: (held.append(len(data)), merge(data))[1]
@@ -219,7 +220,9 @@ def test_streamed_long_pretokens(tokenizer):
     encoder, _ = bpe_stream.load(BPE)
     rng = random.Random(2)
     for text in ("-=" * 9000, "".join(rng.choice("abcdefgh") for _ in range(30_000))):
-        assert list(encoder.stream([text.encode()], 256)) == tokenizer.encode(text).ids
+        assert list(encoder.stream([text.encode()], 256)) == tokenizer.encode(text).ids == encoder.encode(text)
+    long = "x y " + "".join(rng.choice("aé漢") for _ in range(90_000)) + "--" * 50_000
+    assert encoder.encode(long) == tokenizer.encode(long).ids
 
 
 def test_utf8_machine():
