@@ -37,9 +37,15 @@ def footprint(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Colu
     return [F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1")]
 
 
+# Orientations that keep width and height, and those that swap them, with their other names.
+UPRIGHT = ("N", "S", "FN", "FS", "R0", "R180", "MY", "MX")
+TURNED = ("E", "W", "FE", "FW", "R90", "R270", "MYR90", "MXR90")
+
+
 def oriented_size(orient: Column, w: Column, h: Column) -> tuple[Column, Column]:
-    """Width and height after one of eight orientations; quarter turns swap them. R/M names are aliases."""
-    turned = F.upper(orient).isin("E", "W", "FE", "FW", "R90", "R270", "MX90", "MY90", "MXR90", "MYR90")
+    """Width and height after one of eight orientations; quarter turns swap them. Another orientation is an error."""
+    up = F.upper(orient)
+    turned = F.when(up.isin(*TURNED), True).when(up.isin(*UPRIGHT), False).otherwise(F.raise_error(F.concat(F.lit("unknown orientation: "), F.coalesce(orient, F.lit("null")))).cast("boolean"))
     return F.when(turned, h).otherwise(w), F.when(turned, w).otherwise(h)
 
 
@@ -132,24 +138,31 @@ def snapped(y0: Column, y1: Column, offset: Column, pitch: Column, min_cells: in
     return F.when(fits, a).otherwise(y0), F.when(fits, b).otherwise(y1)
 
 
-def cell_grid(rows: DataFrame, first: int = 20, pitch_y: float = 2.8, pitch_x: float = 0.38) -> DataFrame:
-    """Per design the placement grid: y pitch and offset, x offset, x pitch as GCD of the first distances in nm.
+def cell_grid(components: DataFrame, rows: DataFrame | None = None, first: int = 20, pitch_y: float = 2.8, pitch_x: float = 0.38) -> DataFrame:
+    """Per design the placement grid: x pitch and offset from components (design, x), y from rows (design, seq, y, step_y).
 
-    Distances are those of neighbouring distinct component x; defaults where there are too few.
+    The x pitch is the GCD, in nm, of the first distances over 0.01 between neighbouring distinct component x, from
+    the left; the y pitch the first row's step, or the least distance of rows that follow each other. Defaults
+    where there are none.
     """
-    xs = rows.select("design", "x").distinct()
+    xs = components.select("design", "x").distinct()
     step = F.col("x") - F.lag("x").over(Window.partitionBy("design").orderBy("x"))
-    steps = xs.withColumn("d", F.round(step * 1000).cast("long")).where("d > 0").groupBy("design", "d").agg(F.lit(1).alias("_"))
-    least = steps.withColumn("k", F.row_number().over(Window.partitionBy("design").orderBy("d"))).where(F.col("k") <= first)
+    steps = xs.withColumn("d", step).where("d > 0.01")
+    # rint rounds halves to even.
+    least = steps.select("design", F.rint(F.col("d") * 1000).cast("long").alias("d"), F.row_number().over(Window.partitionBy("design").orderBy("x")).alias("k")).where(F.col("k") <= first)
     pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     # Sixty-four halving steps of Euclid's algorithm reach the GCD of any two 64-bit numbers that occur here.
     euclid = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(64)), pair(a, b), lambda s, _: F.when(s["b"] == 0, s).otherwise(pair(s["b"], s["a"] % F.greatest(s["b"], F.lit(1)))))["a"]
     gcd = F.aggregate(F.sort_array(F.collect_list("d")), F.lit(0).cast("long"), euclid)
-    grid = least.groupBy("design").agg(gcd.alias("g"))
-    y_step = F.col("y") - F.lag("y").over(Window.partitionBy("design").orderBy("y"))
-    pitch = rows.select("design", "y").distinct().withColumn("d", y_step).where("d > 1e-9").groupBy("design").agg(F.min("d").alias("py"))
-    out = rows.groupBy("design").agg(F.min("x").alias("offset_x"), F.min("y").alias("offset_y")).join(grid, "design", "left").join(pitch, "design", "left")
-    return out.select("design", "offset_x", "offset_y", F.coalesce("py", F.lit(pitch_y)).alias("pitch_y"), F.coalesce(F.col("g") / 1000, F.lit(pitch_x)).alias("pitch_x"))
+    out = components.groupBy("design").agg(F.min("x").alias("offset_x")).join(least.groupBy("design").agg(gcd.alias("g")), "design", "left")
+    if rows is None:
+        out = out.withColumns({"offset_y": F.lit(0.0), "py": F.lit(pitch_y)})
+    else:
+        gap = F.abs(F.col("y") - F.lag("y").over(Window.partitionBy("design").orderBy("seq")))
+        found = rows.withColumn("d", gap).groupBy("design").agg(F.min("y").alias("oy"), F.min_by("step_y", "seq").alias("s"), F.min("d").alias("d"))
+        found = found.select("design", F.col("oy").alias("offset_y"), F.when(F.col("s") > 0, F.col("s")).otherwise(F.coalesce("d", F.lit(pitch_y))).alias("py"))
+        out = out.join(found, "design", "left").fillna({"offset_y": 0.0, "py": pitch_y})
+    return out.select("design", "offset_x", "offset_y", F.col("py").alias("pitch_y"), F.coalesce(F.col("g") / 1000, F.lit(pitch_x)).alias("pitch_x"))
 
 
 def grown(box: list[Column], delta: Column, bounds: list[Column]) -> list[Column]:

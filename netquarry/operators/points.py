@@ -21,10 +21,14 @@ def normalized(points: DataFrame, keys: list[str]) -> DataFrame:
     return moved.join(radius, keys).withColumns({c: F.when(F.col("r") > 0, F.col(c) / F.col("r")).otherwise(0.0) for c in XYZ}).drop("r")
 
 
+TINY = 1e-15  # keeps the quotients of angles finite
+
+
 def polar(points: DataFrame) -> DataFrame:
-    """Radius, inclination and azimuth of centred points."""
-    r = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    return points.withColumns({"r": r, "theta": F.when(r > 0, F.acos(F.col("z") / r)).otherwise(0.0), "phi": F.atan2("y", "x")})
+    """Radius, and the arcs of rho over z and of y over x of centred points: angles of quotients, in (-pi/2, pi/2]."""
+    rho2 = F.col("x") ** 2 + F.col("y") ** 2
+    arc = lambda a, b: F.atan(a / (b + TINY))
+    return points.withColumns({"r": F.sqrt(rho2 + F.col("z") ** 2), "theta": arc(F.sqrt(rho2), F.col("z")), "phi": arc(F.col("y"), F.col("x"))})
 
 
 def mirrored(points: DataFrame, axis: str | None) -> DataFrame:

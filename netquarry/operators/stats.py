@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +35,9 @@ def layer_histogram(blocks: DataFrame) -> DataFrame:
 
 
 def design_metrics(components: DataFrame, classes: DataFrame, nets: DataFrame) -> DataFrame:
-    """Per design the macros, standard cells and nets; a cell of unknown class counts as standard."""
+    """Per design the macros, standard cells and nets; cells of a class other than CORE are macros, of unknown class standard."""
     cells = components.join(classes, "cell", "left")
-    macro = F.coalesce(F.upper("cell_class").startswith("BLOCK"), F.lit(False))
+    macro = F.coalesce(~F.upper("cell_class").startswith("CORE"), F.lit(False))
     counted = cells.groupBy("design").agg(F.count_if(macro).alias("macros"), F.count_if(~macro).alias("std_cells"))
     return counted.join(nets.groupBy("design").agg(F.count("*").alias("nets")), "design", "left").fillna(0, ["nets"])
 
@@ -46,11 +48,12 @@ def core_size(rows: DataFrame) -> DataFrame:
 
 
 def coverage_percent(windows: DataFrame, dies: DataFrame) -> DataFrame:
-    """Window area over die area in per cent; 0 for an empty die."""
-    area = windows.groupBy("design").agg(F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"))
+    """Window area over die area in per cent; null for an empty or unknown die."""
+    side = lambda a, b: F.greatest(F.col(b) - F.col(a), F.lit(0.0))
+    area = windows.groupBy("design").agg(F.sum(side("x1", "x2") * side("y1", "y2")).alias("area"))
     die = dies.select("design", ((F.col("dx1") - F.col("dx0")) * (F.col("dy1") - F.col("dy0"))).alias("die_area"))
     both = die.join(area, "design", "left").fillna(0.0, ["area"])
-    return both.select("design", F.when(F.col("die_area") > 0, 100 * F.col("area") / F.col("die_area")).otherwise(0.0).alias("percent"))
+    return both.select("design", F.when(F.col("die_area") > 0, 100 * F.col("area") / F.col("die_area")).alias("percent"))
 
 
 def stage_counters(planned: DataFrame, done: DataFrame) -> DataFrame:
@@ -74,19 +77,36 @@ def merge_net_metadata(rows: DataFrame) -> DataFrame:
     return ends.groupBy("net").agg(F.min_by("use", "first").alias("use"), found.alias("connections"))
 
 
-def layer_stack_summary(blocks: DataFrame) -> DataFrame:
-    """Per layer its kind by name, mean base height, thickness and blocks, from the bottom up."""
-    name = F.lower("layer")
-    kind = F.when(name.rlike("^(via|cont)"), "via").when(name.rlike("^(m|metal)[0-9]+"), "metal").when(name.rlike("poly"), "poly").otherwise("other")
-    found = blocks.groupBy("layer").agg(F.avg("z0").alias("z"), F.avg("height").alias("thickness"), F.count("*").alias("blocks"))
-    return found.withColumn("kind", kind).withColumn("position", F.row_number().over(Window.orderBy("z", "layer")))
+# Thickness of a layer by what its name holds, in micrometres.
+THICKNESS = {"metal": 0.14, "via": 0.08, "mcon": 0.05}
+
+
+def layer_stack_summary(blocks: DataFrame, layers: DataFrame, media: DataFrame) -> DataFrame:
+    """Per file its layers from the bottom up: name, type, z_bottom, z_top, thickness, position.
+
+    blocks: conductor blocks (window_id, layer index, z0); layers: declared ones (window_id, layer, name, type); media:
+    plate media (window_id, name, z_top). A medium reaches from the one below. A declared layer lies at the mean base
+    height of its blocks, with a thickness by its name; ``via`` in the name or among the types of one name makes it a
+    via. In a file with media, layers that no block places are left out.
+    """
+    below = F.coalesce(F.lag("z_top").over(Window.partitionBy("window_id").orderBy("z_top", "name")), F.lit(0.0))
+    plates = media.select("window_id", "name", F.lit("dielectric").alias("type"), below.alias("z_bottom"), "z_top", F.lit(0).alias("_s"), F.lit(0).alias("_k"))
+    via = F.lower("name").contains("via") | (F.col("type") == "via")
+    first = F.min_by(F.coalesce(F.nullif("type", F.lit("")), F.lit("interconnect")), "layer")
+    named = layers.groupBy("window_id", "name").agg(F.when(F.bool_or(via), "via").otherwise(first).alias("type"), F.min("layer").alias("_k"))
+    means = blocks.groupBy("window_id", "layer").agg(F.avg("z0").alias("z_top"))
+    # Of the indices that share a name the last placed one counts.
+    placed = layers.join(means, ["window_id", "layer"]).groupBy("window_id", "name").agg(F.max_by("z_top", "layer").alias("z_top"))
+    n = F.lower("name")
+    thick = reduce(lambda c, kv: c.when(n.contains(kv[0]), kv[1]), THICKNESS.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
+    found = named.join(placed, ["window_id", "name"], "left").withColumn("z_bottom", F.coalesce(F.col("z_top") - thick, F.lit(0.0)))
+    found = found.select("window_id", "name", "type", "z_bottom", F.coalesce("z_top", F.lit(0.0)).alias("z_top"), F.lit(1).alias("_s"), "_k")
+    known = media.select("window_id").distinct().withColumn("_media", F.lit(True))
+    both = plates.unionByName(found).join(known, "window_id", "left").where("_media is null or z_top > 0")
+    place = F.row_number().over(Window.partitionBy("window_id").orderBy("z_top", "_s", "_k", "name"))
+    return both.select("window_id", "name", "type", "z_bottom", "z_top", (F.col("z_top") - F.col("z_bottom")).alias("thickness"), place.alias("position"))
 
 
 def value_histogram(rows: DataFrame, value: str, lo: float, hi: float, bins: int) -> DataFrame:
     """Counts by equal bins from ``lo`` to ``hi``; 0 holds what is below, ``bins + 1`` what is at or above the end."""
     return rows.groupBy(F.width_bucket(F.col(value), F.lit(lo), F.lit(hi), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
-
-
-def fake_ram_area(bits: Column, words: Column, cell_um2: float, overhead: float) -> Column:
-    """Area of a generated memory: cells plus a share for the periphery."""
-    return bits * words * cell_um2 * (1 + overhead)

@@ -6,29 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def near_height(blocks: DataFrame, z: float, tolerance: float = 1e-6) -> DataFrame:
-    """Per window whether a conductor block's extent (z0, z1) reaches a height within a tolerance."""
-    return blocks.groupBy("window_id").agg(F.bool_or((F.col("z0") - tolerance <= z) & (F.col("z1") + tolerance >= z)).alias("near"))
+NEAR = 0.2  # distance at which a conductor is near a height
+COLOURS = 12  # of the palette
+
+
+def near_height(blocks: DataFrame, z: float, tolerance: float = 1e-6, proximity: float = NEAR) -> DataFrame:
+    """Per window whether a conductor block's extent (z0, z1) reaches a height, or comes within ``proximity`` of it."""
+    reach = max(tolerance, proximity)
+    return blocks.groupBy("window_id").agg(F.bool_or((F.col("z0") - reach <= z) & (F.col("z1") + reach >= z)).alias("near"))
 
 
 def uppermost(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("window_id").agg(F.max("z1").alias("z"))
+    """Per window the top of its highest conductor, 0 if none is above."""
+    return blocks.groupBy("window_id").agg(F.greatest(F.max("z1"), F.lit(0.0)).alias("z"))
 
 
-def colour(layer: Column, colours: int) -> Column:
-    """A layer's place in a palette; layers beyond it begin again, unknown ones take the first."""
-    return F.coalesce(F.pmod(layer, F.lit(colours)), F.lit(0))
+def colour(layer: Column, colours: int = COLOURS) -> Column:
+    """A layer's place in a palette; layers beyond it begin again. A block without a numbered layer is an error."""
+    number = layer.cast("string").try_cast("int")
+    return F.when(number.isNull(), F.raise_error(F.lit("a block has no numbered layer")).cast("int")).otherwise(F.pmod(number, F.lit(colours)))
 
 
 def medium_style(er: Column) -> Column:
-    """Opacity of a medium: denser ones are less transparent, in steps of a tenth."""
-    return F.round(F.least(F.greatest((er - 1) / 10, F.lit(0.1)), F.lit(0.9)), 1)
+    """Red, green, blue and opacity of a medium, in three steps of its constant."""
+    style = lambda *v: F.array(*map(F.lit, v))
+    return F.when(er <= 2.0, style(0.2, 0.4, 0.8, 0.15)).when(er <= 4.0, style(0.2, 0.7, 0.3, 0.25)).otherwise(style(0.9, 0.4, 0.2, 0.35))
 
 
-def layer_group(name: Column) -> Column:
-    """Group of a layer: its kind, or its name where the kind is unknown."""
-    n = F.lower(F.coalesce(name, F.lit("")))
-    return F.when(n.rlike("^(via|cont)"), "vias").when(n.rlike("^m(etal|et)?[0-9]+"), "metals").when(n.rlike("poly"), "poly").otherwise(n)
+def layer_group(layer: Column, z_top: Column) -> Column:
+    """Group of a block: ``L:`` and its layer, else ``Z:`` and its top to a tenth."""
+    by_height = F.concat(F.lit("Z:"), F.coalesce((F.rint(z_top * 10) / 10).cast("string"), F.lit("unknown")))
+    return F.coalesce(F.concat(F.lit("L:"), layer.cast("string")), by_height)
 
 
 def node_of_path(path: Column, nodes: tuple[str, ...]) -> Column:

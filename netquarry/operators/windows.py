@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,24 +12,43 @@ from pyspark.sql import functions as F
 PER_TILE = {"small": 4, "medium": 4, "large": 1}
 
 
-def place(spark: SparkSession, design: str, die: tuple[float, float, float, float], grid: int, sides: dict[str, float], seed: int = 42, margin: float = 0.1) -> DataFrame:
-    """Nine windows a tile (one large, four medium, four small) on a square grid inside the die's margin.
+MARGIN = 0.5  # least distance of a structure from its tile's left and bottom edge
+
+
+def grid_size(die: tuple[float, float, float, float], sides: dict[str, tuple[float, float]], most: int = 32) -> int:
+    """Tiles a side: as many as hold the windows with a quarter and a tenth to spare, squared down; three at least."""
+    x0, y0, x1, y1 = die
+    fit = lambda length, k: int(length / ((sides["large"][k] + sides["medium"][k]) * 1.25 * 1.1))
+    return min(max(math.isqrt(fit(x1 - x0, 0) * fit(y1 - y0, 1)), 3), most)
+
+
+def place(spark: SparkSession, design: str, die: tuple[float, float, float, float], sides: dict[str, tuple[float, float]], seed: int = 42, grid: int | None = None) -> DataFrame:
+    """Nine touching windows in each tile of a design's square grid, in a seeded order: one large, four medium, four small.
 
-    The large window sits in the tile's middle; medium ones touch its corners, small ones its edges' middles.
-    Tiles come in a seeded order; coordinates have three decimals.
+    The grid has :func:`grid_size` tiles a side, a thousand tiles at most. The large window lies at a seeded offset in the tile, a medium one at its
+    right, three below; the small ones form a square on top of the first medium one. Tiles that the structure
+    does not fit are left out; numbers go on over a design's windows, coordinates have three decimals.
     """
+    (lw, lh), (mw, mh), (sw, sh) = (sides[k] for k in ("large", "medium", "small"))
+    n = grid or grid_size(die, sides)
     x0, y0, x1, y1 = die
-    mx, my = margin * (x1 - x0), margin * (y1 - y0)
-    step = min(x1 - x0 - 2 * mx, y1 - y0 - 2 * my) / grid
-    tiles = spark.range(grid * grid).select(F.col("id").alias("tile"), (x0 + mx + (F.col("id") % grid + 0.5) * step).alias("cx"), (y0 + my + (F.floor(F.col("id") / grid) + 0.5) * step).alias("cy"))
-    tiles = tiles.withColumn("tile_order", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "tile"), "tile")))
-    l, m, s = sides["large"], sides["medium"], sides["small"]  # noqa: E741
-    far, near = (l + m) / 2, (l + s) / 2
-    spots = [("large", 0.0, 0.0, l)] + [("medium", a * far, b * far, m) for a in (-1, 1) for b in (-1, 1)] + [("small", a * near, b * near, s) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]
-    spot = F.explode(F.array(*[F.struct(F.lit(k).alias("spot"), F.lit(n).alias("size"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).alias("w")) for k, (n, dx, dy, w) in enumerate(spots)]))
-    r = tiles.withColumn("s", spot)
-    at = lambda c, d, sign: F.round(F.col(c) + F.col(f"s.{d}") + sign * F.col("s.w") / 2, 3)
-    return r.select(F.lit(design).alias("design"), "tile_order", "s.spot", "s.size", at("cx", "dx", -1).alias("x1"), at("cy", "dy", -1).alias("y1"), at("cx", "dx", 1).alias("x2"), at("cy", "dy", 1).alias("y2"))
+    dx, dy = (x1 - x0) / n, (y1 - y0) / n
+    draw, order = random.Random(seed), [(x0 + c * dx, y0 + r * dy, x0 + c * dx + dx, y0 + r * dy + dy) for r in range(n) for c in range(n)]
+    draw.shuffle(order)
+    at = []
+    for x0, y0, x1, y1 in order:
+        room = (x1 - x0 - lw - mw, y1 - y0 - lh - mh)
+        if min(room) >= 1.0:
+            at.append((len(at), *(a + draw.uniform(MARGIN, max(MARGIN, r - MARGIN)) for a, r in zip((x0, y0), room, strict=True))))
+    # Place of each window's least corner from the large one's, and its sides.
+    spots = [("large", 0.0, 0.0, lw, lh), ("medium", lw, 0.0, mw, mh), ("medium", lw, -mh, mw, mh), ("medium", mw, -mh, mw, mh), ("medium", 0.0, -mh, mw, mh)]
+    spots += [("small", lw + i * sw, mh + j * sh, sw, sh) for j in (0, 1) for i in (0, 1)]
+    names = ("spot", "size", "dx", "dy", "w", "h")
+    spot = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (k, *s), strict=True)]) for k, s in enumerate(spots)]))
+    rows = spark.createDataFrame(at, "tile_order int, x double, y double").select("*", spot.alias("s")).select("*", "s.*")
+    x, y = F.col("x") + F.col("dx"), F.col("y") + F.col("dy")
+    name = F.concat(F.lit("W"), (F.col("tile_order") * len(spots) + F.col("spot")).cast("string"))
+    return rows.select(F.lit(design).alias("design"), name.alias("name"), "tile_order", "spot", "size", F.round(x, 3).alias("x1"), F.round(y, 3).alias("y1"), F.round(x + F.col("w"), 3).alias("x2"), F.round(y + F.col("h"), 3).alias("y2"))
 
 
 def capped(rows: DataFrame, grid: int) -> DataFrame:

@@ -66,7 +66,7 @@ def w04_offsets(spark, sf_dir):
     return samples.offsets(_turns(spark, sf_dir))
 
 
-@query(f'WITH {_OFFSETS} SELECT i AS "index", window_id, i - (e - n) AS place FROM o JOIN range(0, 1000000, 7) r(i) ON i >= e - n AND i < e')
+@query(f'WITH {_OFFSETS} SELECT i AS "index", window_id, i - (e - n) AS place FROM o JOIN (SELECT unnest(range(CAST(sum(n) AS BIGINT))) AS i FROM o) ON i >= e - n AND i < e')
 def l06_global_index(spark, sf_dir):
     ranges = samples.offsets(_turns(spark, sf_dir))
     total = ranges.agg(F.max("end")).first()[0] or 0

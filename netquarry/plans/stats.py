@@ -45,16 +45,16 @@ def a12_layer_histogram(spark, sf_dir):
 
 
 @query("""SELECT n_name AS design, count(*) FILTER (m) AS macros, count(*) FILTER (NOT m) AS std_cells, any_value(nets) AS nets FROM
-    (SELECT n_nationkey, n_name, c_mktsegment IN ('BUILDING') AS m FROM customer JOIN nation ON c_nationkey = n_nationkey) JOIN
+    (SELECT n_nationkey, n_name, c_mktsegment IN ('BUILDING', 'FURNITURE') AS m FROM customer JOIN nation ON c_nationkey = n_nationkey) JOIN
     (SELECT c_nationkey AS k, count(*) AS nets FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1) ON k = n_nationkey GROUP BY 1""")
 def a28_design_metrics(spark, sf_dir):
     comp = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     nets = comp.join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("n_name").alias("design"))
-    classes = spark.createDataFrame([("BUILDING", "BLOCK BLACKBOX"), ("MACHINERY", "CORE")], "cell string, cell_class string")
+    classes = spark.createDataFrame([("BUILDING", "BLOCK BLACKBOX"), ("FURNITURE", "pad"), ("MACHINERY", "core spacer"), ("AUTOMOBILE", "CORE")], "cell string, cell_class string")
     return stats.design_metrics(comp.select(F.col("n_name").alias("design"), F.col("c_mktsegment").alias("cell")), classes, nets)
 
 
-@query("""SELECT n_name AS design, CASE WHEN (max(c_custkey) - min(c_custkey)) > 0 THEN round(100.0 * sum(4) / ((max(c_custkey) - min(c_custkey)) * 10), 6) ELSE 0 END AS percent
+@query("""SELECT n_name AS design, CASE WHEN (max(c_custkey) - min(c_custkey)) > 0 THEN round(100.0 * sum(4) / ((max(c_custkey) - min(c_custkey)) * 10), 6) END AS percent
     FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def a37_coverage(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -77,7 +77,7 @@ def a29_cluster_conflicts(spark, sf_dir):
     return stats.cluster_conflicts(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cluster"), F.col("l_linenumber").alias("name")))
 
 
-@query("""WITH r AS (SELECT l_suppkey AS net, CASE l_returnflag WHEN 'R' THEN 'POWER' WHEN 'A' THEN 'SIGNAL' ELSE 'CLOCK' END AS u, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey) AS seq, l_linenumber AS c FROM lineitem WHERE l_orderkey % 50 = 0)
+@query("""WITH r AS (SELECT l_suppkey AS net, CASE l_returnflag WHEN 'R' THEN 'POWER' WHEN 'A' THEN 'SIGNAL' ELSE 'CLOCK' END AS u, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey) AS seq, l_linenumber AS c FROM lineitem)
     SELECT net, arg_min(u, struct_pack(k := CASE WHEN u = 'POWER' THEN 0 ELSE 1 END, s := seq)) AS use, array_to_string(list_sort(list(DISTINCT c)), ',') AS connections FROM r GROUP BY net""")
 def a30_net_metadata(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
@@ -87,14 +87,26 @@ def a30_net_metadata(spark, sf_dir):
     return out.withColumn("connections", F.array_join(F.transform("connections", lambda c: c.cast("string")), ","))
 
 
-@query("""SELECT layer, kind, round(avg(z0), 6) AS z, round(avg(h), 6) AS thickness, count(*) AS blocks, CAST(row_number() OVER (ORDER BY avg(z0), layer) AS INTEGER) AS position FROM
-    (SELECT CASE p_size % 4 WHEN 0 THEN concat('metal', p_size % 5) WHEN 1 THEN concat('via', p_size % 5) WHEN 2 THEN 'poly' ELSE 'well' END AS layer, CASE p_size % 4 WHEN 0 THEN 'metal' WHEN 1 THEN 'via' WHEN 2 THEN 'poly' ELSE 'other' END AS kind,
-      p_retailprice / 8 AS z0, p_size / 4.0 AS h FROM part) GROUP BY layer, kind""")
+# A file per brand; its declared layers by size, blocks by part, media by retail price.
+_FILES = """parts AS (SELECT p_brand AS w, p_partkey AS k, p_size % 6 AS l, p_retailprice / 100 AS z FROM part),
+declared AS (SELECT DISTINCT w, l, ['metal1', 'via1', 'mcon', 'metal2', 'poly', 'VIA_x'][l + 1] AS name, CASE WHEN l = 2 THEN 'via' WHEN l = 4 THEN '' ELSE 'interconnect' END AS type FROM parts),
+media AS (SELECT w, concat('m', k) AS name, z AS z_top FROM parts WHERE k % 10 = 0)"""
+
+
+@query(f"""WITH {_FILES}, a AS (
+      SELECT w, name, 'dielectric' AS type, coalesce(lag(z_top) OVER (PARTITION BY w ORDER BY z_top, name), 0) AS z0, z_top AS z1, 0 AS s, 0 AS l FROM media
+      UNION ALL SELECT w, name, CASE WHEN l IN (1, 2, 5) THEN 'via' ELSE 'interconnect' END, z - CASE WHEN l IN (0, 3) THEN 0.14 WHEN l IN (1, 5) THEN 0.08 WHEN l = 2 THEN 0.05 ELSE 0 END, z, 1, l
+        FROM declared JOIN (SELECT w, l, avg(z) AS z FROM parts WHERE k % 3 = 0 GROUP BY ALL) USING (w, l)
+      UNION ALL SELECT w, name, CASE WHEN l IN (1, 2, 5) THEN 'via' ELSE 'interconnect' END, 0, 0, 1, l FROM declared d
+        WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.w = d.w AND p.l = d.l AND p.k % 3 = 0) AND w NOT IN (SELECT w FROM media))
+    SELECT w AS window_id, name, type, round(z0, 6) AS z_bottom, round(z1, 6) AS z_top, round(z1 - z0, 6) AS thickness, CAST(row_number() OVER (PARTITION BY w ORDER BY z1, s, l, name) AS INTEGER) AS position FROM a""")
 def a34_layer_stack(spark, sf_dir):
-    n = F.col("p_size")
-    name = F.when(n % 4 == 0, F.concat(F.lit("metal"), n % 5)).when(n % 4 == 1, F.concat(F.lit("via"), n % 5)).when(n % 4 == 2, "poly").otherwise("well")
-    rows = table(spark, sf_dir, "part").select(name.alias("layer"), (F.col("p_retailprice") / 8).alias("z0"), (n / 4).alias("height"))
-    return rounded(stats.layer_stack_summary(rows), "z", "thickness")
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("window_id"), F.col("p_partkey").alias("k"), (F.col("p_size") % 6).alias("layer"), (F.col("p_retailprice") / 100).alias("z0"))
+    name = F.element_at(F.array(*map(F.lit, ("metal1", "via1", "mcon", "metal2", "poly", "VIA_x"))), F.col("layer") + 1)
+    kind = F.when(F.col("layer") == 2, "via").when(F.col("layer") == 4, "").otherwise("interconnect")
+    declared = parts.select("window_id", "layer", name.alias("name"), kind.alias("type")).distinct()
+    media = parts.where("k % 10 = 0").select("window_id", F.concat(F.lit("m"), "k").alias("name"), F.col("z0").alias("z_top"))
+    return rounded(stats.layer_stack_summary(parts.where("k % 3 = 0"), declared, media), "z_bottom", "z_top", "thickness")
 
 
 @query("SELECT CASE WHEN value < 10 THEN 0 WHEN value >= 90 THEN 9 ELSE CAST(floor((value - 10) / 10) AS BIGINT) + 1 END AS bin, count(*) AS n FROM events GROUP BY 1")
@@ -181,17 +193,19 @@ def s40_reversed_heights(spark, sf_dir):
     return rounded(stack.reversed_heights(_stack(spark, sf_dir)[0]).select("tech", "name", "z1"), "z1")
 
 
-@query("""WITH c AS (SELECT c_nationkey AS design, CAST(c_custkey AS DOUBLE) * 0.19 AS x, (c_custkey % 10) * 1.4 + c_nationkey AS y FROM customer),
-    d AS (SELECT design, x - lag(x) OVER (PARTITION BY design ORDER BY x) AS d FROM (SELECT DISTINCT design, x FROM c)),
-    k AS (SELECT design, d, row_number() OVER (PARTITION BY design ORDER BY d) AS k FROM (SELECT DISTINCT design, CAST(round(d * 1000) AS BIGINT) AS d FROM d WHERE round(d * 1000) > 0)),
+@query("""WITH c AS (SELECT c_nationkey AS design, CAST(c_custkey * 3 % 1000 AS DOUBLE) * 0.19 AS x FROM customer),
+    d AS (SELECT design, x, x - lag(x) OVER (PARTITION BY design ORDER BY x) AS d FROM (SELECT DISTINCT design, x FROM c)),
+    k AS (SELECT design, CAST(round_even(d * 1000, 0) AS BIGINT) AS d, row_number() OVER (PARTITION BY design ORDER BY x) AS k FROM d WHERE d > 0.01),
     g AS (SELECT design, list_reduce(list_prepend(CAST(0 AS BIGINT), list(d)), lambda a, b: gcd(a, b)) AS g FROM k WHERE k <= 20 GROUP BY 1),
-    p AS (SELECT design, min(d) AS py FROM (SELECT design, y - lag(y) OVER (PARTITION BY design ORDER BY y) AS d FROM (SELECT DISTINCT design, y FROM c)) WHERE d > 1e-9 GROUP BY 1)
-    SELECT o.design, round(ox, 6) AS offset_x, round(oy, 6) AS offset_y, round(coalesce(py, 2.8), 6) AS pitch_y, round(coalesce(g / 1000.0, 0.38), 6) AS pitch_x
-    FROM (SELECT design, min(x) AS ox, min(y) AS oy FROM c GROUP BY 1) o LEFT JOIN g ON g.design = o.design LEFT JOIN p ON p.design = o.design""")
+    r AS (SELECT s_nationkey AS design, s_suppkey AS seq, s_suppkey * 7 % 50 * 1.4 AS y, CASE WHEN s_nationkey % 2 = 0 THEN 2.1 ELSE 0 END AS step FROM supplier),
+    p AS (SELECT design, min(y) AS oy, arg_min(step, seq) AS s, min(abs(gap)) AS d FROM (SELECT *, y - lag(y) OVER (PARTITION BY design ORDER BY seq) AS gap FROM r) GROUP BY 1)
+    SELECT o.design, round(ox, 6) AS offset_x, round(coalesce(oy, 0), 6) AS offset_y, round(CASE WHEN s > 0 THEN s ELSE coalesce(d, 2.8) END, 6) AS pitch_y, round(coalesce(g / 1000.0, 0.38), 6) AS pitch_x
+    FROM (SELECT design, min(x) AS ox FROM c GROUP BY 1) o LEFT JOIN g ON g.design = o.design LEFT JOIN p ON p.design = o.design""")
 def a31_cell_grid(spark, sf_dir):
-    k = F.col("c_custkey")
-    comps = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("design"), (k.cast("double") * 0.19).alias("x"), ((k % 10) * F.lit(1.4) + F.col("c_nationkey")).alias("y"))
-    return rounded(geometry.cell_grid(comps), "offset_x", "offset_y", "pitch_y", "pitch_x")
+    comps = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("design"), ((F.col("c_custkey") * 3 % 1000).cast("double") * 0.19).alias("x"))
+    step = F.when(F.col("s_nationkey") % 2 == 0, 2.1).otherwise(0.0)
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("design"), F.col("s_suppkey").alias("seq"), (F.col("s_suppkey") * 7 % 50 * 1.4).alias("y"), step.alias("step_y"))
+    return rounded(geometry.cell_grid(comps, rows), "offset_x", "offset_y", "pitch_y", "pitch_x")
 
 
 @query("""WITH w AS (SELECT c_custkey, (c_custkey % 100) / 8.0 AS y0, (c_custkey % 100) / 8.0 + (c_custkey % 7) / 2.0 AS y1 FROM customer),
@@ -238,14 +252,14 @@ def a15_cloud_centroids(spark, sf_dir):
     return rounded(points.centroids(_cloud(spark, sf_dir), ["label"]), "c_x", "c_y", "c_z")
 
 
-@query(f"WITH {_CLOUD} SELECT idx, round(sqrt(x * x + y * y + z * z), 6) AS r, round(acos(z / sqrt(x * x + y * y + z * z)), 6) AS theta, round(atan2(y, x), 6) AS phi FROM cloud")
+@query(f"WITH {_CLOUD} SELECT idx, round(sqrt(x * x + y * y + z * z), 6) AS r, round(atan(sqrt(x * x + y * y) / (z + 1e-15)), 6) AS theta, round(atan(y / (x + 1e-15)), 6) AS phi FROM cloud")
 def r16_polar(spark, sf_dir):
     return rounded(points.polar(_cloud(spark, sf_dir)).select("idx", "r", "theta", "phi"), "r", "theta", "phi")
 
 
-@query(f"WITH {_CLOUD} SELECT label, count(*) AS n, round(sum(-x), 6) AS sx FROM cloud GROUP BY 1")
+@query(f"WITH {_CLOUD} SELECT label, idx, -x AS x, y, z FROM cloud")
 def r17_mirrored(spark, sf_dir):
-    return points.mirrored(_cloud(spark, sf_dir), "x").groupBy("label").agg(F.count("*").alias("n"), r6(F.sum("x")).alias("sx"))
+    return points.mirrored(_cloud(spark, sf_dir), "x").select("label", "idx", "x", "y", "z")
 
 
 @query(f"""WITH {_CLOUD} SELECT idx, CASE WHEN x < -0.2 OR x >= 0.2 THEN -1 ELSE CAST(floor((x + 0.2) / 0.4 * 8) AS INTEGER) END AS gx, CASE WHEN y < -0.2 OR y >= 0.2 THEN -1 ELSE CAST(floor((y + 0.2) / 0.4 * 8) AS INTEGER) END AS gy,

@@ -15,6 +15,13 @@ MASTER = rf"^Master\s+(.+?)\s*:\s*{NUMBER}\s*F\s*$"
 CAP_ON = rf"^Capacitance on\s+(.+?)\s*=\s*{NUMBER}\s*F\s*$"
 BLOCK_CAP = rf"^C\s+(\d+)\s+(\d+)\s+{NUMBER}\s+([0-9.]+)%?$"
 
+PREPARATION = r"Preparation cost:\s*([\d.]+)sec"
+INITIALIZATION = r"Task .*? initialization cost\s*([\d.]+)sec"
+WALK = r"Task .*? random walk cost\s*([\d.]+)sec"
+WALKS = r"RWCap has run (\d+) walks"
+WALKS_LOOSE = r"RWCap has run\s+(\d+)\s+walks"
+ELAPSED = r"Elapsed time:\s*([\d.]+)sec"
+
 
 def so_far():
     """The lines of a file up to this one."""
@@ -91,15 +98,17 @@ def total(values: Column) -> Column:
 
 
 def rwcap_times(files: DataFrame) -> DataFrame:
-    """Per file the first preparation, sums of initialisation and walk times, first walk count and nets."""
-    rows = files.select("window_id", numbers(r"(?i)prep[a-z]*\s+time\s*[:=]\s*([0-9.]+)").alias("prep"), numbers(r"(?i)init[a-z]*\s+time\s*[:=]\s*([0-9.]+)").alias("init"), numbers(r"(?i)walk[a-z]*\s+time\s*[:=]\s*([0-9.]+)").alias("walk"), numbers(r"(?i)(?:number of )?walks\s*[:=]\s*([0-9]+)").alias("walks"))
-    return rows.select("window_id", F.get("prep", F.lit(0)).alias("prep_s"), total(F.col("init")).alias("init_s"), total(F.col("walk")).alias("walk_s"), F.get("walks", F.lit(0)).cast("long").alias("walks"), F.size("init").alias("nets"))
+    """Per file the first preparation, sums of initialisation and walk times, first walk count and nets; 0 where missing."""
+    rows = files.select("window_id", numbers(PREPARATION).alias("prep"), numbers(INITIALIZATION).alias("init"), numbers(WALK).alias("walk"), numbers(WALKS).alias("walks"))
+    first = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(0.0))
+    rows = rows.select("window_id", first("prep").alias("prep_s"), total(F.col("init")).alias("init_s"), total(F.col("walk")).alias("walk_s"), first("walks").cast("long").alias("walks"), F.size("init").alias("nets"))
+    return rows.withColumn("total_s", F.col("prep_s") + F.col("init_s") + F.col("walk_s"))
 
 
 def rwcap_outputs(files: DataFrame) -> DataFrame:
-    """Per file the last walk count and the last elapsed time."""
+    """Per file the last walk count and the last elapsed time; null where missing."""
     last = lambda p: F.try_element_at(numbers(p), F.lit(-1))
-    return files.select("window_id", last(r"(?i)walks\s*[:=]\s*([0-9]+)").cast("long").alias("walks"), last(r"(?i)elapsed[a-z ]*\s*[:=]\s*([0-9.]+)").alias("elapsed_s"))
+    return files.select("window_id", last(WALKS_LOOSE).cast("long").alias("walks"), last(ELAPSED).alias("elapsed_s"))
 
 
 def raphael_times(files: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Properties and edge cases of operators that the tables don't reach."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netquarry.operators import components, geometry, labels, names, points, raster, samples, spatial, stack, windows
+from netquarry.operators import components, geometry, labels, names, points, raster, samples, spatial, stack, stats, windows
 
 
 def rows(df, *cols):
@@ -61,16 +63,92 @@ def test_touching_is_no_overlap(spark):
 
 
 def test_unique_names_meet_taken_suffixes(spark):
-    d = spark.createDataFrame([("w", "a.b", 1), ("w", "a/b", 2), ("w", "a_b_1", 3), ("w", "a-b", 4), ("w", "", 5)], "k string, n string, s int")
-    assert rows(names.unique_names(d, "k", "n", "s"), "s", "unique_name") == [(1, "a_b"), (2, "a_b_1"), (3, "a_b_1_1"), (4, "a_b_2"), (5, "NET")]
+    d = spark.createDataFrame([("w", "a/b", 1), ("w", "ab", 2), ("w", "ab_1", 3), ("w", "a-b", 4), ("w", "$", 5), ("w", "a.b", 6), ("w", "ab", 7)], "k string, n string, s int")
+    assert rows(names.unique_names(d, "k", "n", "s"), "s", "unique_name") == [(1, "ab"), (2, "ab_1"), (3, "ab_1_1"), (4, "ab_2"), (5, "NET"), (6, "a.b"), (7, "ab_1")]
+
+
+def test_internal_names(spark):
+    d = spark.createDataFrame([("w", "n/1", False, 1), ("w", "x", True, 2), ("w", "n1", False, 3), ("w", "x", True, 4), ("w", "__internal__x", False, 5)], "k string, n string, y boolean, s int")
+    assert rows(names.internal_names(d, "k", "n", "y", "s"), "s", "canonical") == [(1, "n1"), (2, "__internal__.1"), (3, "n1_1"), (4, "__internal__.2"), (5, "__internal__x")]
 
 
 def test_reserved_name_raises(spark):
-    d = spark.createDataFrame([("w", "__internal__.1", False, 1)], "k string, n string, y boolean, s int")
+    d = spark.createDataFrame([("w", "__internal__/.1", False, 1)], "k string, n string, y boolean, s int")
     with pytest.raises(Exception, match="reserved"):
         names.internal_names(d, "k", "n", "y", "s").collect()
 
 
+def of(spark, f, values):
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r[1] for r in sorted(d.select("i", f(F.col("v"))).collect())]
+
+
+def test_name_forms(spark):
+    assert of(spark, names.def_layer, ["Poly2", "li_licon", "contact", "metal1_fill", "MET 007", "via12", "xv3", "nwell", None]) == ["poly", "contact", "contact", "metal1", "metal7", "via12", "via3", None, None]
+    assert of(spark, names.sanitized, ["a/b", "net.1", "x[3]", " $", None]) == ["ab", "net.1", "x3", "NET", "NET"]
+    assert of(spark, names.bracket_index, [" a\\[3\\] ", "a[3][12]", "a_3_", "a[x]", ""]) == ["a3", "a312", "a_3_", "a[x]", ""]
+    assert of(spark, names.is_generic, ["", "  ", "Net.4", "SpecialNet.1", "__lef__/u1/A", "net.4", "__internal__.1", None]) == [True, True, True, True, True, False, False, True]
+    assert of(spark, names.cloud_key, ["Top/U1\\A[3]{x}$ b", "plain_x"]) == ["topu1a3xb", "plain_x"]
+    assert of(spark, names.supply, ["vddpe", "VPWR", "Power", "vsspe", "GND", "VCC", "clk"]) == ["POWER", "POWER", "POWER", "GROUND", "GROUND", "SIGNAL", "SIGNAL"]
+    assert of(spark, names.solver_of, ["by SOLVER : rwcap v2", "solver=Raphael", "rwcap", None]) == ["rwcap", "Raphael", None, None]
+    assert of(spark, lambda c: names.abbreviated(c.cast("double")), ["999", "0.5", "1.5", "1250", "-1250000", "1e9", "2.5e9"]) == ["999", "0", "2", "1.2K", "-1.2M", "1.0B", "2.5B"]
+
+
+def test_aligned_labels(spark):
+    known = spark.createDataFrame([("N3",), ("ab",)], "net string")
+    got = names.aligned(spark.createDataFrame([(v,) for v in ("N3", "n3", "N3.x", "A.B", "a.b", "zz.1")], "net string"), known, "net")
+    assert {r.net: r.resolved for r in got.collect()} == {"N3": "N3", "n3": "n3", "N3.x": "N3", "A.B": "ab", "a.b": "ab", "zz.1": "zz.1"}
+    selfs = spark.createDataFrame([("w", "N3", 1.0), ("w", "N3.x", 2.0), ("w", "q", 4.0)], "window_id string, net string, value_f double")
+    pairs = spark.createDataFrame([("w", "N3", "N3.x", 1.0, 1), ("w", "N3", "q", 2.0, 2), ("w", "N3.x", "q", 4.0, 3), ("w", "N3.y", "q", 5.0, 4)], "window_id string, net_lo string, net_hi string, value_f double, seq int")
+    totals, met = names.aligned_labels(selfs, pairs, known)
+    assert rows(totals, "net", "value_f") == [("N3", 3.0), ("q", 4.0)] and rows(met, "net_lo", "net_hi", "value_f") == [("N3", "q", 4.0)]
+
+
+def test_unknown_orientation_raises(spark):
+    d = spark.createDataFrame([("MXR90",), ("s",), ("FE",)], "o string")
+    got = d.select(*geometry.oriented_size(F.col("o"), F.lit(2), F.lit(1))).collect()
+    assert [tuple(r) for r in got] == [(1, 2), (2, 1), (1, 2)]
+    with pytest.raises(Exception, match="unknown orientation"):
+        spark.createDataFrame([("MX90",)], "o string").select(*geometry.oriented_size(F.col("o"), F.lit(2), F.lit(1))).collect()
+
+
+def test_cell_grid(spark):
+    xs = [0.0, 0.005, 0.76, 1.9, 1.9, 4.18]
+    comps = spark.createDataFrame([("d", x) for x in xs] + [("e", 1.0)], "design string, x double")
+    lines = spark.createDataFrame([("d", 1, 2.0, 0.0), ("d", 2, 8.0, 5.0), ("d", 3, 5.2, 5.0)], "design string, seq int, y double, step_y double")
+    got = {r.design: r for r in geometry.cell_grid(comps, lines).collect()}
+    # Distances 0.755, 1.14, 2.28 (0.005 is none): the GCD of 755, 1140, 2280 nm is 5.
+    assert got["d"].pitch_x == 0.005 and got["d"].offset_x == 0.0 and got["d"].offset_y == 2.0 and got["d"].pitch_y == pytest.approx(2.8)
+    assert tuple(got["e"])[1:] == (1.0, 0.0, 2.8, 0.38)
+
+
+def test_polar_angles_are_of_quotients(spark):
+    d = spark.createDataFrame([(1.0, 1.0, -1.0), (-1.0, 1.0, 0.0)], "x double, y double, z double")
+    a, b = points.polar(d).collect()
+    assert a.theta == pytest.approx(-0.9553166) and a.phi == pytest.approx(0.7853982)
+    assert b.theta == pytest.approx(1.5707963) and b.phi == pytest.approx(-0.7853982)
+
+
+def test_design_metrics_and_coverage(spark):
+    cells = spark.createDataFrame([("d", c) for c in ("ram", "pad", "inv", "tap", "none")], "design string, cell string")
+    classes = spark.createDataFrame([("ram", "BLOCK"), ("pad", "PAD INPUT"), ("inv", "core"), ("tap", "CORE WELLTAP")], "cell string, cell_class string")
+    assert rows(stats.design_metrics(cells, classes, cells.limit(2)), "macros", "std_cells", "nets") == [(2, 3, 2)]
+    wins = spark.createDataFrame([("d", 0.0, 0.0, 2.0, 1.0), ("d", 3.0, 0.0, 1.0, 9.0), ("e", 0.0, 0.0, 1.0, 1.0)], "design string, x1 double, y1 double, x2 double, y2 double")
+    dies = spark.createDataFrame([("d", 0.0, 0.0, 4.0, 1.0), ("e", 0.0, 0.0, 0.0, 5.0)], "design string, dx0 double, dy0 double, dx1 double, dy1 double")
+    assert rows(stats.coverage_percent(wins, dies), "design", "percent") == [("d", 50.0), ("e", None)]
+
+
+def test_layer_stack(spark):
+    blocks = spark.createDataFrame([("f", 0, 1.0), ("f", 0, 2.0), ("f", 1, 3.0), ("g", 0, 0.5)], "window_id string, layer int, z0 double")
+    layers = spark.createDataFrame([("f", 0, "metal1", "interconnect"), ("f", 1, "v_Via1", ""), ("f", 2, "poly", ""), ("g", 0, "mcon", "via"), ("g", 1, "far", "")], "window_id string, layer int, name string, type string")
+    media = spark.createDataFrame([("f", "low", 0.9), ("f", "high", 2.5)], "window_id string, name string, z_top double")
+    got = rows(stats.layer_stack_summary(blocks, layers, media), "window_id", "position", "name", "type", "z_bottom", "z_top")
+    assert [(w, k, n, t, round(a, 6), b) for w, k, n, t, a, b in got] == [
+        ("f", 1, "low", "dielectric", 0.0, 0.9), ("f", 2, "metal1", "interconnect", 1.36, 1.5), ("f", 3, "high", "dielectric", 0.9, 2.5), ("f", 4, "v_Via1", "via", 2.92, 3.0),
+        ("g", 1, "far", "interconnect", 0.0, 0.0), ("g", 2, "mcon", "via", 0.45, 0.5),
+    ]
+
+
 def test_dielectric(spark):
     media = spark.createDataFrame([("t", 2.0, 1.0), ("t", 4.0, 2.0)], "tech string, er double, z_top double")
     p = spark.createDataFrame([("t", z) for z in (0.5, 1.0, 1.5, 2.0, 9.0)] + [("u", 1.0)], "tech string, z double")
@@ -119,8 +197,20 @@ def test_surface_points_lie_on_faces(spark):
 
 
 def test_windows(spark):
-    w = windows.place(spark, "d", (0.0, 0.0, 100.0, 100.0), 2, {"small": 2.0, "medium": 4.0, "large": 8.0})
+    sides = {"small": (2.0, 1.0), "medium": (4.0, 3.0), "large": (8.0, 6.0)}
+    assert windows.grid_size((0.0, 0.0, 100.0, 100.0), sides) == 6 and windows.grid_size((0.0, 0.0, 1.0, 1.0), sides) == 3 and windows.grid_size((0.0, 0.0, 1e6, 1e6), sides) == 32
+    w = windows.place(spark, "d", (0.0, 0.0, 100.0, 100.0), sides, grid=2)
     assert w.count() == 36 and windows.capped(w, 1).count() == 9
+    # The structure of the first tile: sides that touch, at a seeded place.
+    tiles = [(x, y) for y in (0.0, 50.0) for x in (0.0, 50.0)]
+    draw = random.Random(42)
+    draw.shuffle(tiles)
+    x, y = tiles[0][0] + draw.uniform(0.5, 50 - 12 - 0.5), tiles[0][1] + draw.uniform(0.5, 50 - 9 - 0.5)
+    want = [("large", x, y, x + 8, y + 6), ("medium", x + 8, y, x + 12, y + 3), ("medium", x + 8, y - 3, x + 12, y), ("medium", x + 4, y - 3, x + 8, y), ("medium", x, y - 3, x + 4, y)]
+    want += [("small", x + 8 + dx, y + 3 + dy, x + 10 + dx, y + 4 + dy) for dx, dy in ((0, 0), (2, 0), (0, 1), (2, 1))]
+    got = [tuple(r) for r in w.where("tile_order = 0").orderBy("spot").select("size", "x1", "y1", "x2", "y2").collect()]
+    assert [g[0] for g in got] == [s for s, *_ in want] and all(a == pytest.approx(b, abs=1e-3) for g, v in zip(got, want, strict=True) for a, b in zip(g[1:], v[1:], strict=True))
+    assert [r.name for r in w.orderBy("tile_order", "spot").collect()] == [f"W{i}" for i in range(36)]
     old = spark.createDataFrame([("a", 0), ("b", 1)], "name string, position int")
     new = spark.createDataFrame([("b", 0), ("c", 1)], "name string, position int")
     assert rows(windows.merged(old, new), "position", "name") == [(0, "a"), (1, "b"), (2, "c")]
