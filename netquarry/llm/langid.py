@@ -1,18 +1,17 @@
 """Language ID by compression.
 
 A bounded sample of labelled texts gives each language a raw-content zstandard dictionary. A text is
-compressed against every dictionary, in blocks that together cover the whole text. A block goes to the
-language whose dictionary leaves the fewest bytes, the text to the language with most bytes of blocks (of
-equal ones to that with the fewest compressed bytes). Where the two best differ by little, the decision is
-marked as rejected; the best language is still named.
+compressed against every dictionary, in blocks that together cover the whole text, and goes to the language whose
+dictionary leaves the fewest bytes in all. Where the two best differ by little, the decision is marked as rejected; the
+best language is still named. The share of bytes whose blocks the language wins is given too.
 
 The sample: per language the ``SAMPLE_DOCS`` rows of least hash among labelled texts of ``SAMPLE_CHARS``
-characters at most, of which whole texts fill ``DICT_BYTES``. This bounds what reaches the driver; prediction
-reads every text whole.
+characters at most, of which whole texts fill ``DICT_BYTES``. This bounds what reaches the driver, by the number of
+languages; prediction reads every text whole. Rows are chosen by hashes alone, and only chosen texts are fetched.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is everything if no
-labelled text exists; ties go to the language first in code point order; repeated rows are predicted each; an
-empty table gives an empty result; only id, text and label are read.
+labelled text exists; ties go to the language first in code point order; repeated rows are predicted each, and
+sampled once; an empty table gives an empty result; only id, text and label are read.
 """
 
 from __future__ import annotations
@@ -51,13 +50,13 @@ def has_letter(text: str) -> bool:
 
 def learn(docs: DataFrame, lang: Column, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> dict[str, bytes]:
     """Dictionary content by language, from rows for which ``usable`` holds."""
-    order = Window.partitionBy("lang").orderBy("h", "t")
-    rows = (
-        docs.where(usable).select(lang.alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"))
-        .where(F.col("lang").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= SAMPLE_CHARS) & F.col("t").rlike(r"\p{L}"))
-        .withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)
-        .select("lang", "k", "t").collect()
-    )
+    text = F.col(text_col)
+    fit = usable & lang.isNotNull() & text.isNotNull() & (F.length(text) <= SAMPLE_CHARS) & text.rlike(r"\p{L}")
+    hashed = docs.where(fit).select(lang.alias("lang"), F.xxhash64(F.col(id_col), text).alias("h"), text.alias("t"))
+    # Hashes are made distinct before they meet, so that a row that repeats often doesn't fill a language's task.
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = hashed.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)
+    rows = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "k").agg(F.min("t").alias("t")).collect()
     parts: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["k"])):
         parts.setdefault(r["lang"], []).append(canonical(r["t"]))
@@ -78,7 +77,7 @@ class Classifier:
             self.compress.append(z.ZstdCompressor(dict_data=d, compression_params=params).compress)
 
     def sizes(self, text: str) -> tuple[list[int], list[int]]:
-        """By language: bytes of the blocks that it won, and compressed bytes of the text."""
+        """By language: bytes of the blocks that it wins, and compressed bytes of the text."""
         data = canonical(text)
         won, total = [0] * len(self.langs), [0] * len(self.langs)
         for k in range(0, len(data), BLOCK):
@@ -88,35 +87,35 @@ class Classifier:
             total = [a + b for a, b in zip(total, sizes, strict=True)]
         return won, total
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score, and whether the margin is too narrow to trust."""
+    def predict(self, text: str | None) -> tuple[str, float, bool, float]:
+        """Language, score, whether the margin is too narrow to trust, and the share of bytes of blocks that it wins."""
         if text is None or not self.langs or not has_letter(text):
-            return UNKNOWN, 0.0, True
+            return UNKNOWN, 0.0, True, 0.0
         won, total = self.sizes(text)
-        best = max(range(len(won)), key=lambda i: (won[i], -total[i], -i))
-        if len(won) == 1:
-            return self.langs[best], 1.0, False
-        second = min(t for i, t in enumerate(total) if i != best)
-        margin = max(0.0, (second - total[best]) / max(second, 1))
+        best = min(range(len(total)), key=total.__getitem__)
         share = won[best] / max(sum(won), 1)
-        return self.langs[best], share * margin / (margin + 2 * NARROW), margin < NARROW or share <= 0.5
+        if len(total) == 1:
+            return self.langs[best], 1.0, False, share
+        second = min(t for i, t in enumerate(total) if i != best)
+        margin = (second - total[best]) / max(second, 1)
+        return self.langs[best], margin / (margin + 2 * NARROW), margin < NARROW, share
 
 
 def identify(docs: DataFrame, content: dict[str, bytes], text_col: str = "text") -> Column:
-    """A struct column (lang_pred, score, rejected) over ``docs``."""
+    """A struct column (lang_pred, score, rejected, block_share) over ``docs``."""
     bound_batches(docs.sparkSession)
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    @F.pandas_udf("lang_pred string, score double, rejected boolean, block_share double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = Classifier(content)
         for texts in batches:
-            yield pd.DataFrame([c.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
+            yield pd.DataFrame([c.predict(t) for t in texts], columns=["lang_pred", "score", "rejected", "block_share"])
 
     return predict(F.col(text_col))
 
 
 def language_id(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: id, ``held_out``, ``lang_pred``, ``score``, ``rejected``; labels of held-out rows are not read."""
+    """Per row: id, ``held_out``, ``lang_pred``, ``score``, ``rejected``, ``block_share``; labels of held-out rows are not read."""
     content = learn(docs, F.col(lang_col), ~held_out, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), identify(docs, content, text_col).alias("p"))
     return rows.select(F.col("id").alias(id_col), "held_out", "p.*")
