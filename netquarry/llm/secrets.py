@@ -1,16 +1,18 @@
 """Secret scans with multipart credential linking, in DataFrame operations only.
 
 Base scan. Three kinds of spans by pattern (assignments, access identifiers, hex runs), leftmost and without
-overlap within a kind. Positions come from splitting a text at the matches: lengths of what lies between and
-of the matches add up to code point offsets.
+overlap within a kind. No pattern crosses a line end, so texts are scanned line by line, and only lines that can hold a
+part are looked at. Positions come from splitting a line at the matches: running sums of the lengths of matches and of
+what lies between are code point offsets.
 
 Linking. A multipart credential is an access identifier, a secret and an endpoint that belong together. Weak
 candidates of each part (short or unlabelled strings that alone would be noise) are found too. Every part
-reaches through its scope (text between blank lines). Weak candidates are joined with the parts of other roles
-on scope; the join runs inside the row, as a test of existence that stops at the first partner, so that nothing
-is shuffled and no pairs are made. A weak candidate is reported if its scope has a part with which it forms a
-credential: a secret beside an identifier or an endpoint, and either of these beside a secret. Base spans are
-always reported.
+reaches through its scope, the interval between blank lines. Weak candidates are joined with the parts of other roles
+on that interval; the join runs inside the row, over the scopes that hold each role, so that nothing is shuffled and
+no pairs are made. A weak candidate is reported if its scope has a part with which it forms a credential: a secret
+beside an identifier or an endpoint, and either of these beside a secret. Base spans are always reported.
+
+Running sums go in blocks of the root of their length, so that a text of n matches takes n steps times that root.
 
 Defined results: null texts are empty; texts without matches give counts of 0, empty span lists and the hash
 of the empty string; repeated rows get a row each; an empty table gives an empty result; only id and text are read.
@@ -18,8 +20,7 @@ of the empty string; repeated rows get a row each; an empty table gives an empty
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,28 +35,45 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 WEAK_ACCESS = r"(?i:access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{4,64}"
 WEAK_SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[^A-Z]{0,63}[A-Z]|[a-z0-9+/_-]{64,}+[A-Z])[A-Za-z0-9+/_-]{32,}+(?![A-Za-z0-9+/_-])"
 WEAK_ENDPOINT = r"(?:https?|ftp|s3|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"'<>]{3,}|(?i:host|endpoint|region|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,}"
-SCOPE = r"\n[\x20\x09\r]*\n"  # a blank line parts scopes
+BLANK = r"[\x20\x09\r]*"  # a line of these alone parts scopes
+#: What a line with a part has to hold.
+SOME = r"[:=]|AKIA|[0-9a-f]{24}|[A-Za-z0-9+/_-]{32}"
 KINDS = ("assign", "access", "hex", "weak_access", "weak_secret", "weak_endpoint")
 SPANS = "array<struct<s:int,k:int,e:int>>"
 
 
-def spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often it occurs there."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column) -> Column:
+    """Sums of the values before each place of an array."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+    def blocked(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.size(v) - 1, width), lambda k: F.slice(v, k + 1, width))
+        return let(blocks, lambda b: let(F.transform(b, total), lambda sums: F.flatten(F.transform(b, lambda x, i: let(total(F.slice(sums, 1, i)), lambda head: F.transform(x, lambda _, k: head + total(F.slice(x, 1, k))))))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, blocked(v)).otherwise(F.array().cast("array<int>")))
+
+
+def spans(text: Column, pattern: str, kind: int, keep: Callable[[Column], Column] | None = None) -> Column:
     """Array of (s, k, e): start, kind and end (exclusive) of the pattern's matches, by position.
 
     ``keep`` tests a match's text; matches that fail it are left out, but what they took stays taken.
     """
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    pieces = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["hit"])
-        more = F.concat(acc["out"], F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"))))
+    def placed(p: Column) -> Column:
         # The last piece is followed by no match.
-        good = x["hit"].isNotNull() if keep is None else x["hit"].isNotNull() & keep(x["hit"])
-        return F.struct(F.coalesce(e, acc["at"]).alias("at"), F.when(good, more).otherwise(acc["out"]).alias("out"))
+        starts = running(F.transform(p, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))))
+        found = F.zip_with(p, starts, lambda x, at: F.struct((at + F.length(x["gap"])).alias("s"), x["hit"].alias("hit")))
+        good = F.filter(found, lambda x: x["hit"].isNotNull() if keep is None else x["hit"].isNotNull() & keep(x["hit"]))
+        return F.transform(good, lambda x: F.struct(x["s"], F.lit(kind).alias("k"), (x["s"] + F.length(x["hit"])).alias("e")))
 
-    pieces = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.aggregate(pieces, zero, step)["out"]
+    return let(pieces, placed)
 
 
 def only_if(test: Column, value: Column) -> Column:
@@ -68,43 +86,53 @@ def text_of(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``assign``, ``access``, ``hex`` and ``linked`` as arrays of (s, k, e): code points, end exclusive."""
-    t = F.col("t")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.select(
-        "id", "t",
-        only_if(t.rlike(r"[:=]"), spans(t, ASSIGN, 0, lambda h: F.length(F.regexp_extract(h, ASSIGN, 1)) >= ASSIGN_LEAST)).alias("assign"),
-        only_if(F.contains(t, F.lit("AKIA")), spans(t, ACCESS, 1, lambda h: F.length(h) >= ACCESS_LEAST)).alias("access"),
-        only_if(t.rlike(HEX), spans(t, HEX, 2)).alias("hex"),
-    )
-    rows = rows.select("*", F.concat("assign", "access", "hex").alias("base"), spans(t, WEAK_SECRET, 4).alias("ws"))
-    maybe = F.size("assign") + F.size("hex") + F.size("ws") > 0  # no credential without a secret
-    rows = rows.select(
-        "id", "assign", "access", "hex", "base", "ws",
-        only_if(maybe & t.rlike(r"[:=]"), spans(t, WEAK_ENDPOINT, 5)).alias("we"),
-        only_if(maybe & t.rlike(r"[:=]"), spans(t, WEAK_ACCESS, 3)).alias("wa"),
-        only_if(maybe, spans(t, SCOPE, 0)).alias("scopes"),
-    )
-    # A weak candidate that lies in a base span says nothing new.
-    apart = lambda w: F.filter(w, lambda x: ~F.exists(F.col("base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    # Each part with its scope.
-    reached = lambda v: F.transform(v, lambda x: F.struct(x["s"], x["k"], x["e"], F.size(F.filter(F.col("scopes"), lambda b: b["s"] < x["s"])).alias("c")))
-    rows = rows.select(
-        "id", "assign", "access", "hex",
-        reached(F.concat(F.col("access"), apart(F.col("wa")))).alias("ra"),
-        reached(F.concat(F.col("assign"), F.col("hex"), apart(F.col("ws")))).alias("rs"),
-        reached(apart(F.col("we"))).alias("re"),
-    )
+def parts_of(line: Column) -> Column:
+    """A line's base spans, and the weak candidates that no base span overlaps, by role."""
+    base = F.struct(
+        only_if(line.rlike("[:=]"), spans(line, ASSIGN, 0, lambda h: F.length(F.regexp_extract(h, ASSIGN, 1)) >= ASSIGN_LEAST)).alias("assign"),
+        only_if(F.contains(line, F.lit("AKIA")), spans(line, ACCESS, 1, lambda h: F.length(h) >= ACCESS_LEAST)).alias("access"),
+        only_if(line.rlike(HEX), spans(line, HEX, 2)).alias("hex"),
+    )
 
-    def joined(weak: int, own: str, *others: str) -> Column:
-        """Own parts of the weak kind with a part of one of the other roles in their scope."""
-        meets = lambda x: reduce(or_, [F.exists(F.col(o), lambda y: y["c"] == x["c"]) for o in others])
-        return F.filter(F.col(own), lambda x: (x["k"] == weak) & meets(x))
+    def weak(b: Column) -> Column:
+        taken = F.concat(b["assign"], b["access"], b["hex"])
+        # A weak candidate that lies in a base span says nothing new.
+        apart = lambda w: F.filter(w, lambda x: ~F.exists(taken, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
+        marked = line.rlike("[:=]")
+        return F.struct(
+            b["assign"], b["access"], b["hex"], apart(only_if(marked, spans(line, WEAK_ACCESS, 3))).alias("wa"),
+            apart(only_if(line.rlike("[A-Za-z0-9+/_-]{32}"), spans(line, WEAK_SECRET, 4))).alias("ws"), apart(only_if(marked, spans(line, WEAK_ENDPOINT, 5))).alias("we"),
+        )
 
-    linked = F.concat(joined(3, "ra", "rs"), joined(4, "rs", "ra", "re"), joined(5, "re", "rs"))
-    bare = F.transform(linked, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    return rows.select(F.col("id").alias(id_col), "assign", "access", "hex", bare.alias("linked"))
+    return let(base, weak)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, ``assign``, ``access``, ``hex`` and ``linked`` as arrays of (s, k, e): code points, end exclusive."""
+    rows = docs.select(F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("lines"))
+    # Where no line can hold a part, places aren't asked for.
+    some = F.exists("lines", lambda x: x.rlike(SOME))
+    numbered = lambda starts, scopes: F.arrays_zip(F.col("lines").alias("line"), starts.alias("at"), scopes.alias("scope"))
+    blank = F.transform("lines", lambda x, i: ((i > 0) & (i < F.size("lines") - 1) & x.rlike(f"^{BLANK}$")).cast("int"))
+    zipped = numbered(running(F.transform("lines", lambda x: F.length(x) + 1)), running(blank))
+    rows = rows.select("id", F.when(some, F.filter(zipped, lambda x: x["line"].rlike(SOME))).alias("held"))
+    rows = rows.select("id", F.transform("held", lambda x: F.struct(x["at"].alias("at"), x["scope"].alias("scope"), parts_of(x["line"]).alias("p"))).alias("held"))
+
+    def roled(*kinds: str) -> Column:
+        """Scopes with a part of one of the kinds."""
+        return F.array_distinct(F.transform(F.filter("held", lambda x: sum((F.size(x["p"][k]) for k in kinds[1:]), F.size(x["p"][kinds[0]])) > 0), lambda x: x["scope"]))
+
+    def moved(kind: str, test: Callable[[Column], Column] | None = None) -> Column:
+        """Spans of a kind with places in the text, of the scopes that pass the test."""
+        held = F.col("held") if test is None else F.filter("held", lambda x: test(x["scope"]))
+        each = F.transform(held, lambda x: F.transform(x["p"][kind], lambda y: F.struct((y["s"] + x["at"]).alias("s"), y["k"].alias("k"), (y["e"] + x["at"]).alias("e"))))
+        return F.coalesce(F.flatten(each), F.array().cast(SPANS))
+
+    rows = rows.select("id", "held", roled("assign", "hex", "ws").alias("secrets"), roled("access", "wa").alias("idents"), roled("we").alias("ends"))
+    within = lambda c: lambda scope: F.array_contains(c, scope)
+    either = lambda scope: F.array_contains("idents", scope) | F.array_contains("ends", scope)
+    linked = F.concat(moved("wa", within("secrets")), moved("ws", either), moved("we", within("secrets")))
+    return rows.select(F.col("id").alias(id_col), *[moved(k).alias(k) for k in KINDS[:3]], linked.alias("linked"))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
