@@ -17,9 +17,11 @@ written to the shared folder.
 Similar shingles (:func:`drop_near_duplicates`). Documents whose sets of five-word shingles have a similarity of 0.8
 or more differ in some 39 of 256 bits, which no covering code finds in one piece. So the anchors are those of many
 samples of the bits: a sample's code is that of all its words (covering radius 0), a fingerprint goes to one anchor a
-sample, and the number of samples follows from the wanted recall at the least similarity. Anchors compare with their
-least member, as above; what lies within :data:`REACH` bits is then checked by the texts' exact similarity, so that links are
-always right, and found with a probability of ``RECALL`` at 0.8 and more above it.
+sample, and the number of samples follows from the wanted recall at the least similarity. Members of an anchor
+compare with its head alone, so that no pairs are made; those that the head doesn't hold go on to finer anchors, of as
+many more bits as their number asks for. What lies within :data:`REACH` bits is then checked by
+the texts' exact similarity. So links are always right, and found with a probability of ``RECALL`` at 0.8 and more
+above it.
 
 Defined results: null texts are empty; texts without words have fingerprint zero and link like others; texts
 of fewer words than a shingle use the whole sequence; a null id is never a component's smallest id unless all ids
@@ -52,7 +54,7 @@ BLOCK = 65_536  # shingles whose hashes are held at a time
 SIMILAR = 0.8
 WIDE = 5  # words of a shingle where similarity is asked for
 BITS = 256  # of a wide fingerprint
-RECALL = 0.93  # of pairs whose similarity is just ``SIMILAR``
+RECALL = 0.9  # of pairs whose similarity is just ``SIMILAR``
 #: Share of bits in which fingerprints of sets of similarity 0.8 differ: the angle of their indicator vectors.
 DIFFER = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
 #: Differing bits up to which texts are compared: 2.3 deviations above the mean at similarity 0.8.
@@ -197,32 +199,55 @@ def wide_fingerprint(text: str, width: int = WIDE) -> np.ndarray:
     return np.packbits(2 * total > len(hashes), bitorder="little").view(np.int64)
 
 
-def samples_of(count: int) -> np.ndarray:
-    """Bits of each sample: so many that few of ``count`` random fingerprints share an anchor, and samples for ``RECALL``."""
-    size = max(12, count.bit_length() + 4)
-    number = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - DIFFER) ** size))
-    rng = np.random.default_rng(SEED)
-    return np.stack([rng.choice(BITS, size, replace=False) for _ in range(number)])
+def number_of(size: int) -> int:
+    """Samples of ``size`` bits that give ``RECALL`` at the least similarity."""
+    return max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - DIFFER) ** size)))
+
+
+def samples_of(size: int, seed: int = SEED) -> np.ndarray:
+    """Bits of each sample."""
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.choice(BITS, size, replace=False) for _ in range(number_of(size))])
+
+
+def anchors_at(fps: np.ndarray, samples: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+    """Fingerprints' anchors, a column a sample: hashes of the salt, the sample's number and the sampled bits."""
+    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").astype(np.uint64)
+    weight = np.uint64(1) << np.arange(samples.shape[1], dtype=np.uint64)
+    number = mixed(np.arange(len(samples), dtype=np.uint64))[:, 0]
+    words = np.stack([bits[:, s] @ weight for s in samples], axis=1) ^ number ^ np.asarray(salt, dtype=np.uint64).reshape(-1, 1)
+    return mixed(words.ravel())[:, 0].reshape(words.shape).view(np.int64)
 
 
 def anchored(nodes: DataFrame, count: int) -> DataFrame:
-    """Rows (anchor, node): a row a sample; the anchor is a hash of the sample's number and its bits."""
-    samples = samples_of(count)
+    """Rows (anchor, node) of nodes (node, fp): samples so long that few of ``count`` random fingerprints share an anchor."""
+    samples = samples_of(max(12, count.bit_length() + 4))
 
     @F.pandas_udf("array<long>")
     def anchors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weight = np.uint64(1) << np.arange(samples.shape[1], dtype=np.uint64)
-        salt = mixed(np.arange(len(samples), dtype=np.uint64))[:, 0]
         for fps in batches:
-            if not len(fps):
-                continue
-            bits = np.unpackbits(np.stack(fps.to_list()).view(np.uint8), axis=1, bitorder="little").astype(np.uint64)
-            words = np.stack([bits[:, s] @ weight for s in samples], axis=1) ^ salt
-            yield pd.Series(list(mixed(words.ravel())[:, 0].reshape(words.shape).view(np.int64)))
+            yield pd.Series(list(anchors_at(np.stack(fps.to_list()), samples))) if len(fps) else pd.Series([], dtype=object)
 
     return nodes.select(F.explode(anchors("fp")).alias("anchor"), "node")
 
 
+def finer(crowd: DataFrame) -> DataFrame:
+    """Rows (anchor, node) of members (anchor, node, fp, c) of anchors with ``c`` members: anchors of log2(c) bits more."""
+
+    @F.pandas_udf("array<long>")
+    def anchors(fps: pd.Series, at: pd.Series, c: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(fps), dtype=object)
+        sizes = np.ceil(np.log2(c.to_numpy(dtype=float))).astype(int)
+        for size in np.unique(sizes):
+            rows = np.nonzero(sizes == size)[0]
+            found = anchors_at(np.stack(fps.iloc[rows].to_list()), samples_of(int(size), SEED + int(size)), at.iloc[rows].to_numpy(dtype=np.int64).view(np.uint64))
+            for k, v in zip(rows, found, strict=True):
+                out.iloc[k] = v
+        return out
+
+    return crowd.select(F.explode(anchors("fp", "anchor", "c")).alias("anchor"), "node")
+
+
 def apart(x: str, y: str) -> Column:
     """Differing bits of two wide fingerprints (four longs each)."""
     return reduce(add, [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(BITS // 64)])
@@ -264,31 +289,33 @@ def parted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def similar_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows (node, root) of nodes (node, fp): connected by similar texts."""
-    at = materialize(anchored(nodes, nodes.count()), "near-anchors")
-    heads = at.groupBy("anchor").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1")
-    heads = materialize(heads, "near-heads")
+
+    def met(at: DataFrame, label: str) -> DataFrame:
+        """Rows (anchor, node, head, c) of anchors with several members."""
+        heads = at.groupBy("anchor").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1")
+        return materialize(at.join(materialize(heads, f"{label}-heads"), "anchor"), label)
 
     def close(pairs: DataFrame) -> DataFrame:
         for x in "ab":
             pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("fp").alias(f"fp_{x}")), x)
         return materialize(pairs.where(apart("fp_a", "fp_b") <= REACH).select("a", "b"), "near-pairs")
 
-    met = at.join(heads.select("anchor", "head"), "anchor").where("node <> head")
-    stars = close(met.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    def starred(found: DataFrame) -> DataFrame:
+        return close(found.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+
+    coarse = met(anchored(nodes, nodes.count()), "near-coarse")
+    stars = starred(coarse)
+    # Members that their anchor's head doesn't hold, where there are several, meet at finer anchors.
+    loose = coarse.where("c > 2 and head <> node").join(stars, (F.col("head") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti").select("anchor", "node")
+    loose = materialize(loose, "near-loose")
+    crowds = loose.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
+    fine = finer(loose.join(crowds, "anchor").join(nodes, "node").select("anchor", "node", "fp", "c"))
+    stars = materialize(stars.unionByName(starred(met(fine, "near-fine"))).distinct(), "near-stars")
     # Each node's least head first: most others then connect already and need no look at their texts.
     first = materialize(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-first")
     links = similar(first, texts_of)
     left = materialize(parted(stars, rooted(nodes, links)).join(first, ["a", "b"], "left_anti"), "near-pairs")
-    links = links.unionByName(similar(left, texts_of))
-    roots = rooted(nodes, links)
-    # Members of an anchor of three and more that its head doesn't hold meet its other members.
-    crowd = at.join(heads.where("c > 2").select("anchor", "head"), "anchor")
-    sides = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in ("head", "node")]
-    loose = materialize(crowd.join(sides[0], "head").join(sides[1], "node").where("root_head <> root_node").select("anchor", F.col("node").alias("x")), "near-loose")
-    met = loose.join(crowd.select("anchor", F.col("node").alias("y")), "anchor").where("x <> y")
-    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    last = close(parted(met, roots).join(stars, ["a", "b"], "left_anti"))
-    return rooted(nodes, links.unionByName(similar(last, texts_of)))
+    return rooted(nodes, links.unionByName(similar(left, texts_of)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDE) -> DataFrame:
@@ -301,19 +328,23 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pd.Series([wide_fingerprint(t, width) for t in texts])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), prints(text).alias("fp"))
+    # A row is known by its id and its text's hash from here on; texts stay where they are.
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), prints(text).alias("fp"))
     rows = materialize(rows.withColumn("node", F.xxhash64("fp")), "near-rows")
-    nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.count("*").alias("c")), "near-nodes")
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    nodes = materialize(rows.groupBy("node").agg(F.min(key).alias("key"), F.min("fp").alias("fp"), F.count("*").alias("c")), "near-nodes")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        """A node's text is that of a row of its smallest id: equal fingerprints have equal sets of shingles."""
-        wanted = if_small(materialize(nodes.join(wanted, "node", "left_semi").select("node", F.col("id").alias("of")), "near-wanted"), 24)
-        found = rows.join(wanted, "node").where(F.col("id").eqNullSafe(F.col("of")))
-        return found.select("node", F.coalesce(F.col("doc")[text_col], F.lit("")).alias("text")).dropDuplicates(["node"])
+        """A node's text is that of its least row: equal fingerprints have equal sets of shingles."""
+        wanted = nodes.join(wanted, "node", "left_semi").select("node", F.col("key.id").alias("of"), F.col("key.text_hash").alias("its"))
+        wanted = if_small(materialize(wanted, "near-wanted"), 32)
+        found = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(wanted, (F.xxhash64("text") == F.col("its")) & F.col("id").eqNullSafe(F.col("of")))
+        return found.select("node", "text").dropDuplicates(["node"])
 
     named = nodes.join(similar_groups(nodes.select("node", "fp"), texts_of), "node")
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"), F.sum("c").alias("rows"))
-    judged = named.join(best.where("rows > 1"), "root").select(F.col("node").alias("judged"), F.when(F.col("node") == F.col("best.node"), F.struct("best.id")).alias("stays"))
-    judged = materialize(judged, "near-judged")
-    out = rows.join(if_small(judged, 32), F.col("node") == F.col("judged"), "left")
-    return out.where(F.col("judged").isNull() | (F.col("stays").isNotNull() & F.col("id").eqNullSafe(F.col("stays.id")))).select("doc.*")
+    best = named.groupBy("root").agg(F.min(F.struct("key", "node")).alias("best"), F.sum("c").alias("rows")).where("rows > 1")
+    judged = named.join(best, "root").select("node", F.when(F.col("node") == F.col("best.node"), F.struct("best.key.id")).alias("stays"))
+    gone = rows.join(judged, "node").where(F.col("stays").isNull() | ~F.col("id").eqNullSafe(F.col("stays.id")))
+    gone = materialize(gone.select(F.col("id").alias("gone"), F.col("text_hash").alias("its")).distinct(), "near-gone")
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"))
+    return keyed.join(if_small(gone, 32), (F.col("text_hash") == F.col("its")) & F.col("id").eqNullSafe(F.col("gone")), "left_anti").select("doc.*")
