@@ -22,7 +22,7 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import pandas as pd
@@ -33,8 +33,8 @@ from .runtime import bound_batches
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO = 300_000  # pre-tokens whose ids a worker remembers, and as many space-separated words
-MEMO_BYTES = 48  # longer ones are merged each time
+MEMO = 250_000  # pre-tokens whose ids a worker remembers, and as many space-separated words; twice, by turns
+MEMO_BYTES = 48  # characters; longer ones are merged each time
 PIECE = 1 << 14  # characters of a text, about, that are cut into pre-tokens at a time
 PAIRS = 1_000_000  # pairs whose compatibility a worker remembers
 WINDOW = 4096  # bytes of a long pre-token merged at a time, besides the lookahead
@@ -75,24 +75,27 @@ class MergeList:
         if not all(self.compatible(i, j, r) for (i, j), r in self.pair_rank.items()):
             raise ValueError("a token's bytes merge into others")
         self.byte_id = [tokens[bytes([b])] for b in range(256)]
+        self.sizes = list(map(len, self.bytes_of))
         #: For each token the longest proper prefix that is a token, or -1.
         self.shorter = [-1] * top
-        #: Longest token by its first three bytes.
-        self.longest: dict[bytes, int] = {}
+        lengths: dict[bytes, set[int]] = {}
         for t, i in tokens.items():
             self.shorter[i] = next((tokens[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in tokens), -1)
-            self.longest[t[:3]] = max(self.longest.get(t[:3], 0), len(t))
+            for n in (2, 3):
+                lengths.setdefault(t[:n], set()).add(len(t))
+        #: Lengths of the tokens that begin with two or three bytes, the longest first.
+        self.lengths = {k: tuple(sorted(v | ({1, 2} if len(k) > 1 else set()), reverse=True)) for k, v in lengths.items()}
         self.lookahead = lookahead(self)
 
     def first(self, data: bytes, at: int, end: int) -> int:
         """The longest token at a place."""
-        n = min(self.longest.get(data[at : at + 3], 2), end - at)
         get = self.id_of.get
-        while True:
-            i = get(data[at : at + n])
-            if i is not None:
-                return i
-            n -= 1
+        for n in self.lengths.get(data[at : at + 3]) or self.lengths.get(data[at : at + 2]) or (1,):
+            if at + n <= end:
+                i = get(data[at : at + n])
+                if i is not None:
+                    return i
+        return self.byte_id[data[at]]
 
     def compatible(self, a: int, b: int, until: int | None = None) -> bool:
         """Whether merging leaves the two tokens side by side (up to the rule ``until``, which uses both).
@@ -154,44 +157,40 @@ def pieces(text: str, start: int = 0, end: int | None = None, size: int = PIECE)
         yield text[start:end]
 
 
-class _Words(dict):
-    """Maps a word to the ids of a space and the word; a bounded memo above the encoder's."""
+class Memo(dict):
+    """Remembers what ``make`` gives for strings of ``MEMO_BYTES`` characters at most: the last ``MEMO``, and those before
+    them for as long; what is asked for again stays."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> bytes:
-        e = self.encoder
-        out = b"".join(map(e.__getitem__, e.find(" " + word)))
-        if len(word) <= MEMO_BYTES:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = out
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+            if len(key) > MEMO_BYTES:
+                return out
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
         return out
 
 
-class Encoder(dict):
-    """Maps a pre-token to its ids as little-endian 32-bit integers; a bounded memo."""
+class Encoder:
+    """Texts to ids; pre-tokens, and words with the space before them, are remembered in bounded memos."""
 
     def __init__(self, merges: MergeList, special: dict[str, int] | None = None, pattern: str = PATTERN):
         import regex
 
-        super().__init__()
         self.m, self.special = merges, special or {}
         self.find, self.each = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))).finditer if self.special else None
         self.pairs: dict[int, bool] = {}
-        self.words = _Words(self)
-
-    def __missing__(self, pretoken: str) -> bytes:
-        data = pretoken.encode()
-        out = array("I", self.stream([data])).tobytes()
-        if len(data) <= MEMO_BYTES:
-            if len(self) >= MEMO:
-                self.clear()
-            self[pretoken] = out
-        return out
+        # Ids as little-endian 32-bit integers.
+        self.pretokens = Memo(lambda p: array("I", self.stream((p.encode(),))).tobytes())
+        self.words = Memo(lambda w: b"".join(map(self.pretokens.__getitem__, self.find(" " + w))))
 
     def merge(self, data: bytes) -> list[int]:
         """The tokens of bytes at hand: longest first, shorter where neighbours clash, back where all clash."""
@@ -199,31 +198,33 @@ class Encoder(dict):
         one = m.id_of.get(data)
         if one is not None:
             return [one]
-        end, at, out, dead = len(data), 0, [], set()
-        token = m.first(data, 0, end)
+        end, at, out, dead, sizes, first = len(data), 0, [], (), m.sizes, m.first
+        token, before = first(data, 0, end), -1
         while True:
-            stop = at + len(m.bytes_of[token])
-            ok = stop not in dead
-            if ok and out:
-                key = out[-1] << 32 | token
+            stop = at + sizes[token]
+            if stop in dead:
+                ok = False
+            elif before < 0:
+                ok = True
+            else:
+                key = before << 32 | token
                 ok = pairs.get(key)
                 if ok is None:
                     if len(pairs) >= PAIRS:
                         pairs.clear()
-                    ok = pairs[key] = m.compatible(out[-1], token)
+                    ok = pairs[key] = m.compatible(before, token)
             if ok:
                 out.append(token)
-                at = stop
-                if at == end:
+                if stop == end:
                     return out
-                token = m.first(data, at, end)
+                at, before, token = stop, token, first(data, stop, end)
                 continue
             token = m.shorter[token]
             while token < 0:  # nothing fits here: what led here ends elsewhere
-                dead.add(at)
+                dead = {*dead, at}
                 last = out.pop()
-                at -= len(m.bytes_of[last])
-                token = m.shorter[last]
+                at -= sizes[last]
+                before, token = out[-1] if out else -1, m.shorter[last]
 
     def stream(self, chunks: Iterable[bytes], window: int = WINDOW) -> Iterator[int]:
         """The tokens of one pre-token that comes in chunks; keeps ``window`` bytes and the lookahead at most."""
@@ -251,9 +252,9 @@ class Encoder(dict):
         it, so that the words between spaces are encoded (and remembered) on their own.
         """
         if LOOSE_SPACE(text):
-            return b"".join(map(self.__getitem__, self.find(text)))
+            return b"".join(map(self.pretokens.__getitem__, self.find(text)))
         head, *words = text.split(" ")
-        return b"".join(map(self.__getitem__, self.find(head))) + b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(self.pretokens.__getitem__, self.find(head))) + b"".join(map(self.words.__getitem__, words))
 
     def plain(self, text: str, start: int = 0, end: int | None = None) -> Iterator[bytes]:
         """Ids of a stretch without special tokens. Pieces that nothing cuts for long hand on their tokens as they come."""
@@ -264,7 +265,7 @@ class Encoder(dict):
             for m in self.each(piece):
                 a, b = m.span()
                 if b - a <= PIECE:
-                    yield self[m[0]]
+                    yield self.pretokens[m[0]]
                     continue
                 ids = self.stream(piece[k : min(b, k + WINDOW)].encode() for k in range(a, b, WINDOW))
                 while part := array("I", islice(ids, PIECE)):
