@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import labels, layout, names, raster, samples, stats  # noqa: F401
+from .plans import formats, labels, layout, names, raster, samples, stats  # noqa: F401
 from .plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

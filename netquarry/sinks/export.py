@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def to_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A folder of CSV files, a file a partition."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def to_json(df: DataFrame, path: str) -> None:
@@ -19,9 +20,14 @@ def split_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").option("header", True).csv(path)
 
 
-def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A table of the first ``most`` rows; for summaries, which are short."""
-    rows = df.limit(most).collect()
+def point_clouds(points: DataFrame, path: str) -> None:
+    """A folder a window, its points in order of index: (window_id, p_idx, …)."""
+    points.repartition("window_id").sortWithinPartitions("window_id", "p_idx").write.mode("overwrite").partitionBy("window_id").parquet(path)
+
+
+def markdown(df: DataFrame) -> str:
+    """A table of all rows, on the driver: for summaries, which are short. Others are exported as files."""
+    rows = df.collect()
     show = lambda v: "n/a" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join(map(show, r)) + " |" for r in rows)]) + "\n"

@@ -20,6 +20,8 @@ INITIALIZATION = r"Task .*? initialization cost\s*([\d.]+)sec"
 WALK = r"Task .*? random walk cost\s*([\d.]+)sec"
 WALKS = r"RWCap has run (\d+) walks"
 WALKS_LOOSE = r"RWCap has run\s+(\d+)\s+walks"
+RAPHAEL_RUN = r"\*\|Raphael runtime:\s*([\d.]+)\s*s"
+DSPF_FILE = r"\*\|DSPF FILE:.*?/W(\d+)_Net"
 ELAPSED = r"Elapsed time:\s*([\d.]+)sec"
 
 
@@ -112,8 +114,9 @@ def rwcap_outputs(files: DataFrame) -> DataFrame:
 
 
 def raphael_times(files: DataFrame) -> DataFrame:
-    """Per window the sum of run times; the window from ``/W<n>_Net`` in the text, else the parent folder."""
-    w = F.regexp_extract("text", r"/(W[0-9]+)_Net", 1)
+    """Per window the run times summed over its file; the window is the last that a ``DSPF FILE`` line names, else the
+    parent folder. Of several files of a window the last by path counts."""
+    w = F.try_element_at(F.regexp_extract_all("text", F.lit(DSPF_FILE), F.lit(1)), F.lit(-1))
     parent = F.element_at(F.split("path", "/"), -2)
-    rows = files.select(F.when(w != "", w).otherwise(parent).alias("window_id"), total(numbers(r"(?i)run\s*time\s*[:=]\s*([0-9.]+)")).alias("runtime_s"))
-    return rows.groupBy("window_id").agg(F.sum("runtime_s").alias("runtime_s"))
+    rows = files.select(F.coalesce(F.concat(F.lit("W"), w), parent).alias("window_id"), "path", total(numbers(RAPHAEL_RUN)).alias("runtime_s"))
+    return rows.groupBy("window_id").agg(F.max_by("runtime_s", "path").alias("runtime_s"))

@@ -91,3 +91,86 @@ def test_exports(spark, tmp_path):
     windows = spark.createDataFrame([("a", "W0", 0, "small", 0.0, 0.0, 1.0, 1.0)], "design string, name string, position int, size_category string, x1 double, y1 double, x2 double, y2 double")
     text = export.window_yaml(windows, designs).first()["text"]
     assert rows(catalog.windows(spark, text), "window_id", "original_name", "x2") == [("W0", "W0", 1.0)]
+
+
+RASTER_LEF = """MACRO INV
+  CLASS CORE ;
+  SIZE 4 BY 2 ;
+  PIN A
+    USE SIGNAL ;
+    LAYER metal1 ;
+    RECT 0 0 1 1 ;
+  END A
+  PIN Y
+    LAYER metal1 ;
+    RECT 3 0 4 1 ;
+  END Y
+  PIN VDD
+    USE POWER ;
+    LAYER metal1 ;
+    RECT 0 1.5 4 2 ;
+  END VDD
+  OBS
+    LAYER metal2 ;
+    RECT 1 1 2 2 ;
+    RECT 3 1 4 2 ;
+    RECT 2 1 3 2 ;
+    RECT 0 0 0.5 0.5 ;
+  END
+END INV
+"""
+RASTER_DEF = """DESIGN top ;
+UNITS DISTANCE MICRONS 1000 ;
+COMPONENTS 1 ;
+- u1 INV + PLACED ( 2000 2000 ) FN ;
+END COMPONENTS
+NETS 1 ;
+- b ( u1 A ) ( PIN x )
+  + ROUTED metal2 1000 ( 1000 6500 ) ( 6000 6500 )
+  ;
+END NETS
+SPECIALNETS 2 ;
+- VDD ( * VDD )
+  + ROUTED metal1 1000 ( 500 500 ) ( 7500 500 ) ;
+- GROUND ( * VSS )
+  + ROUTED metal1 1000 ( 500 7500 ) ( 7500 7500 ) ;
+END SPECIALNETS
+"""
+
+
+def test_def_raster(spark):
+    from netquarry.sources import lefdef
+
+    one = lambda text: spark.createDataFrame([("/in/W0.txt", "W0", text)], "path string, window_id string, text string")
+    design, macros = lefdef.read_def(one(RASTER_DEF)).cache(), lefdef.read_lef(one(RASTER_LEF)).cache()
+    windows = spark.createDataFrame([("W0", 0.0, 0.0, 8.0, 8.0)], "window_id string, w_x0 double, w_y0 double, w_x1 double, w_y1 double")
+    for fed in (False, True):
+        pixels, conductors = layout.def_raster(design, macros, windows, ["metal1", "metal2"], 8, fed)
+        names = {r.cid: (r.conductor, r.synthetic) for r in conductors.collect()}
+        real = ["GROUND", "VDD", "b"] if fed else ["VDD", "b"]
+        made = ["PIN_Y", *([] if fed else ["SUPPLY_POWER"]), "OBS0", "OBS1"]
+        assert list(map(names.get, range(1, len(names) + 1))) == [(n, False) for n in real] + [(f"__lef__/u1/{m}", True) for m in made]
+        got = {(r.layer, r.y, r.x): names[r.cid][0].split("/")[-1] for r in pixels.collect()}
+        want = {}
+        paint = lambda layer, xs, ys, name: want.update({(layer, y, x): name for x in xs for y in ys})
+        paint(1, range(0, 7), [6], "b")  # ends are extended by half the width
+        paint(0, range(8), [0], "VDD")
+        if fed:
+            paint(0, range(8), [7], "GROUND")
+        # Mirrored in x: A at the right, Y at the left.
+        paint(0, [5], [2], "b")
+        paint(0, [2], [2], "PIN_Y")
+        paint(0, range(2, 6), [3], "VDD" if fed else "SUPPLY_POWER")
+        paint(1, range(2, 5), [3], "OBS0")
+        paint(1, [5], [2], "OBS1")
+        assert got == want
+
+
+def test_def_raster_refuses_quarter_turns(spark):
+    from netquarry.sources import lefdef
+
+    one = lambda text: spark.createDataFrame([("/in/W0.txt", "W0", text)], "path string, window_id string, text string")
+    for bad, why in ((RASTER_DEF.replace(") FN", ") E"), "orientation"), (RASTER_DEF.replace("u1 INV", "u1 XOR"), "unknown macro")):
+        rects = layout.def_rects(lefdef.read_def(one(bad)), lefdef.read_lef(one(RASTER_LEF)))
+        with pytest.raises(Exception, match=why):
+            rects.collect()
