@@ -58,3 +58,8 @@ def loss_metrics(prediction: str = "prediction", target: str = "target", eps: fl
 def batch_weighted(batches: DataFrame, names: tuple[str, ...] = ("mse", "msre", "mare", "rmse"), weight: str = "n") -> DataFrame:
     """Means of per-batch metrics weighted by batch size; RMSE too is averaged, not pooled."""
     return batches.agg(*[(F.sum(F.col(c) * F.col(weight)) / F.sum(weight)).alias(c) for c in names])
+
+
+def scatter_points(rows: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first ``most`` points of a plot, in a stated order."""
+    return rows.orderBy(*order).limit(most)

@@ -76,6 +76,13 @@ def square_bounds(rects: DataFrame, keys: list[str]) -> DataFrame:
     return b.select(*keys, (cx - half).alias("x0"), (cy - half).alias("y0"), (cx + half).alias("x1"), (cy + half).alias("y1"))
 
 
+def window_bounds(windows: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Bounds of each window: its own, else those of all its blocks. windows: (keys, x0 …), null where unknown; blocks: (keys, x0 …)."""
+    found = blocks.groupBy(*keys).agg(*[f(c).alias(f"b_{c}") for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
+    known = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
+    return windows.join(found, keys, "full_outer").select(*keys, *[F.when(known, F.col(c)).otherwise(F.col(f"b_{c}")).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 def trimmed(pixels: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Content box cut out and resized to ``size`` by nearest neighbour: target i takes source floor(i * n / size)."""
     box = content_box(pixels, keys)
@@ -146,6 +153,25 @@ def mismatches(a: DataFrame, b: DataFrame, keys: list[str], share: float = 0.05,
     return out.withColumn("tolerable", F.col("mismatched") <= limit)
 
 
+def _top(counted: DataFrame, keys: list[str], ties: list[str], most: int) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(F.desc("n"), *ties)
+    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def top_ids(a: DataFrame, b: DataFrame, keys: list[str], most: int = 6) -> DataFrame:
+    """Per layer the conductors of ``a`` with most pixels that ``b`` leaves empty."""
+    on = [*keys, "layer", "y", "x"]
+    lone = a.where("cid > 0").join(b.where("cid > 0").select(*on), on, "left_anti")
+    return _top(lone.groupBy(*keys, "layer", "cid").agg(F.count("*").alias("n")), [*keys, "layer"], ["cid"], most)
+
+
+def top_name_pairs(a: DataFrame, b: DataFrame, keys: list[str], most: int = 6) -> DataFrame:
+    """Per layer the pairs of names (``name``) that most often meet at a pixel and differ."""
+    on = [*keys, "layer", "y", "x"]
+    met = a.select(*on, F.col("name").alias("name_a")).join(b.select(*on, F.col("name").alias("name_b")), on).where("name_a <> name_b")
+    return _top(met.groupBy(*keys, "layer", "name_a", "name_b").agg(F.count("*").alias("n")), [*keys, "layer"], ["name_a", "name_b"], most)
+
+
 def owned_tiles(pixels: DataFrame, keys: list[str], tile: int, width: int) -> DataFrame:
     """Per conductor and tile the number of pixels and their flat places within the tile, ascending."""
     place = (F.col("y") % tile) * tile + F.col("x") % tile

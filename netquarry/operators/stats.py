@@ -30,6 +30,12 @@ def window_statistics(blocks: DataFrame, group: str) -> DataFrame:
     return each.groupBy(group).agg(F.count("*").alias("windows"), F.sum("blocks").alias("total_blocks"), F.sum("conductors").alias("total_conductors"), *distribution("blocks"))
 
 
+def outcome_counts(files: DataFrame, group: str) -> DataFrame:
+    """Per group the files read and those that failed; files: (group, window_id, error)."""
+    each = files.groupBy(group, "window_id").agg(F.count("error").alias("e"))
+    return each.groupBy(group).agg(F.count_if(F.col("e") == 0).alias("succeeded"), F.count_if(F.col("e") > 0).alias("failed"))
+
+
 def layer_histogram(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("layer").agg(F.count("*").alias("blocks"))
 

@@ -35,7 +35,7 @@ class WindowSamples:
         order = spark.createDataFrame([(w, i) for i, w in enumerate(dict.fromkeys(window_ids))], "window_id string, position int")
         keep = F.broadcast(order.select("window_id"))  # the caller's list
         semi = lambda d: d.join(keep, "window_id", "left_semi")
-        return replace(self, pixels=semi(self.pixels), index=self.index.drop("position").join(F.broadcast(order), "window_id"), conductors=semi(self.conductors), samples=semi(self.samples))
+        return replace(self, pixels=semi(self.pixels), index=self.index.drop("position").join(order, "window_id"), conductors=semi(self.conductors), samples=semi(self.samples))
 
     def split(self, train: float = 0.7, val: float = 0.15, seed: int = 42) -> dict[str, WindowSamples]:
         """Whole windows to train, val and test."""

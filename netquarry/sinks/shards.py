@@ -1,11 +1,15 @@
 """Density shards: windows packed into shards in arrival or seeded order, with an index.
 
-The store is Parquet: ``pixels`` partitioned by shard, sorted by window, and ``index`` with a row a window.
+The store is Parquet: ``pixels`` partitioned by shard, sorted by window, and ``index`` with a row a window. Windows are
+added in batches. A batch's pixels are written first, its index rows last, by Spark's committers; readers see the pixels
+of indexed batches only, so that a batch that failed half-way leaves nothing behind that counts, and can be tried again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.samples import permutation, shards
@@ -26,36 +30,70 @@ def problems(windows: DataFrame) -> DataFrame:
     return repeated.unionAll(unlike).unionAll(flags)
 
 
+def _put(pixels: DataFrame, windows: DataFrame, path: str, order: DataFrame, per_shard: int, start: int, mode: str) -> DataFrame:
+    """Writes a batch whose windows come at ``start`` and after in the store's order; returns the whole index."""
+    spark: SparkSession = pixels.sparkSession
+    batch = F.lit(uuid.uuid4().hex)
+    placed = shards(order.withColumn("position", F.col("position") + start), per_shard)
+    index = windows.join(placed.drop("position"), "window_id").withColumns({"format_version": F.lit(VERSION), "batch": batch})
+    good = F.when(F.col("cid") < 0, F.raise_error(F.lit("negative conductor id")).cast("long")).otherwise(F.col("cid"))
+    rows = pixels.withColumns({"cid": good, "batch": batch}).join(placed.select("window_id", "shard_id"), "window_id")
+    rows.repartitionByRange("shard_id", "window_id").sortWithinPartitions("shard_id", "window_id", "layer", "y", "x").write.mode(mode).partitionBy("shard_id").parquet(f"{path}/pixels")
+    index.repartition(1).write.mode(mode).parquet(f"{path}/index")  # a row a window
+    return spark.read.parquet(f"{path}/index")
+
+
 def write(pixels: DataFrame, windows: DataFrame, path: str, per_shard: int = 64, seed: int | None = None, arrival: str | None = None) -> DataFrame:
-    """Writes pixels and index; returns the index (windows with shard_id and shard_offset).
+    """Writes a new store; returns the index (windows with shard_id and shard_offset).
 
     The order is arrival (a column of ``windows``), or sorted ids, permuted if a seed is given. Negative ids raise.
     """
-    spark: SparkSession = pixels.sparkSession
     if problems(windows).limit(1).count():
         raise ValueError("windows don't fit one store")
-    if arrival:
-        from pyspark.sql import Window
-
-        order = windows.select("window_id", (F.row_number().over(Window.orderBy(arrival)) - 1).alias("position"))
+    if seed is None or arrival:
+        order = windows.select("window_id", (F.row_number().over(Window.orderBy(arrival or "window_id")) - 1).alias("position"))
     else:
-        # Window ids, not pixels, are ordered on the driver: one string a window.
-        order = permutation(spark, [r["window_id"] for r in windows.select("window_id").collect()], seed, "numpy")
-    placed = shards(order, per_shard)
-    index = windows.join(placed.drop("position"), "window_id").withColumn("format_version", F.lit(VERSION))
-    good = F.when(F.col("cid") < 0, F.raise_error(F.lit("negative conductor id")).cast("long")).otherwise(F.col("cid"))
-    rows = pixels.withColumn("cid", good).join(F.broadcast(placed.select("window_id", "shard_id")), "window_id")
-    rows.repartitionByRange("shard_id", "window_id").sortWithinPartitions("shard_id", "window_id", "layer", "y", "x").write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/pixels")
-    index.coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
+        # A permutation is drawn for the list of windows, on the driver: one string a window, no pixels.
+        order = permutation(pixels.sparkSession, [r["window_id"] for r in windows.select("window_id").collect()], seed, "numpy")
+    return _put(pixels, windows, path, order, per_shard, 0, "overwrite")
+
+
+def append(pixels: DataFrame, windows: DataFrame, path: str, per_shard: int = 64, arrival: str = "window_id") -> DataFrame:
+    """Adds windows behind those of a store (or begins one), filling its last shard first; returns the index.
+
+    Windows that the store has already, or that don't fit its layers and shape, raise before anything is written.
+    """
+    spark: SparkSession = pixels.sparkSession
+    there = _index(spark, path)
+    columns = ["window_id", "layer_names", "layer_has_density", "height", "width"]
+    both = windows.select(*columns) if there is None else windows.select(*columns).unionByName(there.select(*columns))
+    if problems(both).limit(1).count():
+        raise ValueError("windows don't fit the store")
+    start = 0 if there is None else there.count()
+    order = windows.select("window_id", (F.row_number().over(Window.orderBy(arrival)) - 1).alias("position"))
+    return _put(pixels, windows, path, order, per_shard, start, "append")
+
+
+def _index(spark: SparkSession, path: str) -> DataFrame | None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/index")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
     return spark.read.parquet(f"{path}/index")
 
 
+def is_store(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a store of this format."""
+    index = _index(spark, path)
+    return index is not None and {"window_id", "shard_id", "format_version"} <= set(index.columns)
+
+
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(pixels, index); another format version raises."""
     index = spark.read.parquet(f"{path}/index")
     if index.where(F.col("format_version") != VERSION).limit(1).count():
         raise ValueError("format version")
-    return spark.read.parquet(f"{path}/pixels"), index
+    pixels = spark.read.parquet(f"{path}/pixels").join(index.select("window_id", "batch"), ["window_id", "batch"], "left_semi")
+    return pixels.drop("batch"), index
 
 
 def window_pixels(spark: SparkSession, path: str, window_id: str) -> DataFrame:

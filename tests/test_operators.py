@@ -226,3 +226,22 @@ def test_ring_and_grow(spark):
     bounds = [F.lit(v) for v in (0.0, 1.5, 10.0, 10.0)]
     got = spark.range(1).select(geometry.ring(box, F.lit(1.0), bounds).alias("r")).first()["r"]
     assert sum((p.x1 - p.x0) * (p.y1 - p.y0) for p in got) == pytest.approx((5 - 1) * (5 - 1.5) - 4)
+
+
+def test_mismatch_reports(spark):
+    px = lambda *v: spark.createDataFrame([("w", 0, y, x, c, n) for y, x, c, n in v], "k string, layer int, y int, x int, cid int, name string")
+    a, b = px((0, 0, 1, "p"), (0, 1, 1, "p"), (0, 2, 2, "q"), (1, 0, 3, "r")), px((0, 0, 4, "s"), (0, 2, 2, "q"), (1, 0, 3, "t"))
+    assert rows(raster.top_ids(a, b, ["k"]), "cid", "n", "rank") == [(1, 1, 1)]
+    assert rows(raster.top_name_pairs(a, b, ["k"], 1), "name_a", "name_b", "n") == [("p", "s", 1)]
+
+
+def test_bounds_fall_back_to_blocks(spark):
+    cols = "k string, x0 double, y0 double, x1 double, y1 double"
+    w = spark.createDataFrame([("a", 0.0, 0.0, 9.0, 9.0), ("b", None, 0.0, 1.0, 1.0)], cols)
+    blocks = spark.createDataFrame([("a", 1.0, 1.0, 2.0, 2.0), ("b", 1.0, 2.0, 3.0, 4.0), ("b", 0.5, 3.0, 2.0, 5.0), ("c", 1.0, 1.0, 2.0, 2.0)], cols)
+    assert rows(raster.window_bounds(w, blocks, ["k"]), "k", "x0", "y0", "x1", "y1") == [("a", 0.0, 0.0, 9.0, 9.0), ("b", 0.5, 2.0, 3.0, 5.0), ("c", 1.0, 1.0, 2.0, 2.0)]
+
+
+def test_outcomes(spark):
+    f = spark.createDataFrame([("g", "W0", None), ("g", "W0", None), ("g", "W1", "bad"), ("h", "W2", None)], "g string, window_id string, error string")
+    assert rows(stats.outcome_counts(f, "g"), "g", "succeeded", "failed") == [("g", 1, 1), ("h", 1, 0)]

@@ -230,6 +230,45 @@ def test_shards(spark, tmp_path):
         shards.write(pixels, windows.union(windows.limit(1)), str(tmp_path / "c"), 2)
 
 
+def test_shards_are_added_in_batches(spark, tmp_path):
+    path = str(tmp_path / "s")
+    windows = lambda *ids: spark.createDataFrame([(w, ["M1"], [True], 2, 2) for w in ids], "window_id string, layer_names array<string>, layer_has_density array<boolean>, height int, width int")
+    pixels = lambda *ids: spark.createDataFrame([(w, 0, 0, 0, 0.5, k + 1) for k, w in enumerate(ids)], "window_id string, layer int, y int, x int, density double, cid long")
+    assert not shards.is_store(spark, path)
+    shards.append(pixels("a", "b", "c"), windows("a", "b", "c"), path, 2)
+    index = shards.append(pixels("e", "d"), windows("e", "d"), path, 2)
+    assert rows(index, "window_id", "shard_id", "shard_offset") == [("a", 0, 0), ("b", 0, 1), ("c", 1, 0), ("d", 1, 1), ("e", 2, 0)]
+    with pytest.raises(ValueError):
+        shards.append(pixels("f", "a"), windows("f", "a"), path, 2)
+    # A batch whose pixels were written but whose index wasn't doesn't count, and may come again.
+    spark.read.parquet(f"{path}/pixels").where("window_id = 'a'").withColumns({"window_id": F.lit("g"), "batch": F.lit("lost"), "cid": F.lit(99).cast("long")}).write.mode("append").partitionBy("shard_id").parquet(f"{path}/pixels")
+    assert shards.read(spark, path)[0].where("window_id = 'g'").count() == 0
+    shards.append(pixels("g"), windows("g"), path, 2)
+    assert shards.is_store(spark, path) and [r.cid for r in shards.window_pixels(spark, path, "g").collect()] == [1]
+
+
+def test_compact_def(spark):
+    text = DEF.replace("- u2 INV ;", "- u2 INV ;\n- u3 INV + PLACED ( oops 1400 ) N ;").replace("( 3000 * )", "( x 1000 ) ( 3000 * )")
+    r = lefdef.read_def(files(spark, d=text), compact=True)
+    assert rows(r.where("kind = 'component'"), "name", "x", "y") == [("u1", 1.0, 1.4), ("u2", 0.0, 0.0), ("u3", 0.0, 1.4)]
+    assert rows(r.where("name = 'n1' and layer = 'metal1'"), "points") == [([1.0, 1.0, 0.0, 1.0, 3.0, 1.0],)]
+    assert r.where("kind in ('row', 'via')").count() == 0 and lefdef.read_def(files(spark, d=DEF)).where("kind = 'row'").count() == 1
+
+
+def test_run_times(spark):
+    out = "Preparation cost: 1.5sec\nTask n1 initialization cost 0.25sec\nTask n1 random walk cost 2sec\nTask n2 initialization cost 0.5sec\nRWCap has run 1200 walks\nRWCap has run 9 walks\nElapsed time: 4.5sec\n"
+    assert rows(solver.rwcap_times(files(spark, W0=out, W1="")), "window_id", "prep_s", "init_s", "walk_s", "walks", "nets", "total_s") == [("W0", 1.5, 0.75, 2.0, 1200, 2, 4.25), ("W1", 0.0, 0.0, 0.0, 0, 0, 0.0)]
+    assert rows(solver.rwcap_outputs(files(spark, W0=out)), "walks", "elapsed_s") == [(9, 4.5)] and solver.rwcap_outputs(files(spark, W1="")).first()["walks"] is None
+    dspf = "*|DSPF FILE: x/W12_Net3\n*|Raphael runtime: 2.5 s\n*|Raphael runtime: 1 s\n"
+    assert rows(solver.raphael_times(files(spark, a=dspf)), "window_id", "runtime_s") == [("W12", 3.5)]
+
+
+def test_tag_counter(spark):
+    text = "<conductor>\n  name Net.1\n  <block>\n  name 7\n  </block>\n<block a>\n</conductor>\n<conductor>\nname Net.1\n</conductor>\nname outside\n<BLOCK>"
+    r = cap3d.count_tags(files(spark, W0=text)).first()
+    assert (r.blocks, r.nets, r.names) == (3, 1, ["Net.1"])
+
+
 def test_gzip_and_lines(spark, tmp_path):
     import gzip
 
