@@ -4,16 +4,18 @@ Voters. Lexicon voters say "toxic" where a word of theirs occurs: fixed lists of
 words that the labelled sample associates with toxic texts. Pattern voters look at address and insult side by
 side, at shouting, at insult density, and say "clean" where none of this is found. All abstain elsewhere.
 
-Label model. A generative model of hidden label and votes: each voter votes toxic, clean or abstains with
-probabilities that depend on the label (accuracies), fitted by expectation maximisation. The human label of a
-sampled row is one more voter, of fixed accuracy, so that it too can be outvoted. The correlation of each pair of
-voters within the labels is estimated first; voters that repeat each other share their weight in the fit.
+Label model. A generative model of hidden label and votes: each voter casts a vote of either kind with probabilities
+that depend on the label, which give its accuracy; an abstention says nothing. The model is fitted by expectation
+maximisation on the votes alone, from the start that any "toxic" vote is right; voters count as better than chance. The correlation of each pair of voters
+within the labels is estimated with it; voters that repeat each other share their weight. Human labels give the share of
+toxic texts, and at the end two numbers that calibrate the posterior; no text's posterior sees its own label otherwise.
 
 Classifier. An L1-penalised logistic regression over words is trained on the posterior labels; the score of a
 text is its probability. Scoring reads whole texts.
 
-The sample: the ``SAMPLE`` labelled rows of least hash whose texts have ``SAMPLE_CHARS`` characters at most;
-it bounds what reaches the driver, and only its rows' labels are used.
+The sample: the ``SAMPLE`` labelled rows of least hash among those whose texts have ``SAMPLE_CHARS`` characters at
+most; it bounds what reaches the driver, and only its rows' labels are used. Rows are chosen by hashes of id and text
+before texts move, and rows that repeat id, text and label count once.
 
 Defined results: null texts are empty; empty texts score as a text without words; no labels, or labels of one
 class, leave the fixed voters alone; repeated rows are scored each; an empty table gives an empty result.
@@ -36,7 +38,9 @@ SAMPLE = 4_000
 SAMPLE_CHARS = 12_000
 LEARNED = 40  # words and stems learned as voters
 STEMS = (4, 5, 6)  # bytes of the beginnings of words that count as features
-HUMAN = 0.97  # accuracy assumed of the human labels
+ALIKE = 0.6  # correlation within the labels from which voters share their weight
+ODDS = 1.4  # least lower bound of the log odds of a learned word
+RIGHT = 0.7  # least accuracy of a voter
 PRIOR = 0.1  # share of toxic texts assumed where labels tell nothing
 
 # Insults in common use, mild and strong.
@@ -104,12 +108,12 @@ class Bags:
 
 
 def learned_lexicon(bags: Bags, labels: np.ndarray, top: int = LEARNED) -> list[bytes]:
-    """Words and stems that the labelled texts tie to the toxic label: by the lower bound of the log odds, best first."""
+    """Words and stems of which a labelled text is toxic rather than clean: by the lower bound of the log odds, best first."""
     a, b = bags.counts(labels > 0), bags.counts(labels <= 0)
     n1, n0 = max(int(labels.sum()), 1), max(int((1 - labels).sum()), 1)
     bound = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)) - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     # Toxic words spread over toxic texts; words of one copied text don't.
-    found = [(-a[k] * bound[k], w) for k, w in enumerate(bags.names) if a[k] >= max(5, 0.01 * n1) and len(w) >= 4 and bound[k] > 0.5]
+    found = [(-a[k] * bound[k], w) for k, w in enumerate(bags.names) if a[k] >= max(5, 0.01 * n1) and len(w) >= 4 and bound[k] > ODDS]
     return [w for _, w in sorted(found)[:top]]
 
 
@@ -141,50 +145,49 @@ def votes(texts: list[str], learned: list[bytes]) -> np.ndarray:
 
 
 class LabelModel:
-    """Class prior and per-voter vote probabilities by label; ``weight`` shares what correlated voters repeat."""
+    """Per-voter vote probabilities by hidden label; ``weight`` shares what correlated voters repeat."""
 
-    def __init__(self, prior: float = PRIOR, rounds: int = 40):
+    def __init__(self, prior: float = PRIOR, rounds: int = 200):
         self.prior, self.rounds = prior, rounds
 
-    def fit(self, v: np.ndarray, labels: np.ndarray) -> LabelModel:
-        n, m = v.shape
-        self.weight = np.ones(m)
-        # Start: the human labels are right.
-        q = np.where(labels > 0, HUMAN, 1 - HUMAN)
-        # Correlation of voters within the labels, before the fit can take what they repeat for evidence.
+    def fit(self, v: np.ndarray) -> LabelModel:
+        """Fits votes (rows by voters: 1 toxic, -1 clean, 0 none)."""
+        q = np.where((v > 0).any(1), 0.95, 0.01)
+        # Before the fit can take what voters repeat for evidence.
         self.correlation = self._correlation(v, q)
-        excess = np.where(np.abs(self.correlation) > 0.2, np.abs(self.correlation), 0)
+        excess = np.where(np.abs(self.correlation) > ALIKE, np.abs(self.correlation), 0)
         np.fill_diagonal(excess, 0)
         self.weight = 1 / (1 + excess.sum(1))
         for _ in range(self.rounds):
             self._maximise(v, q)
-            new = self.posterior(v, labels)
-            done = np.abs(new - q).max() < 1e-5
+            new = self.posterior(v)
+            done = np.abs(new - q).max(initial=0) < 1e-5
             q = new
             if done:
                 break
         return self
 
     def _maximise(self, v: np.ndarray, q: np.ndarray) -> None:
-        self.prior = float(np.clip(q.mean(), 0.01, 0.9))
-        self.log_p = np.empty((2, 3, v.shape[1]))  # label, vote + 1, voter
+        """Probabilities of a vote of each kind (row 0 clean, row 1 toxic) by label."""
+        self.p = np.empty((2, 2, v.shape[1]))  # label, vote, voter
         for y, w in ((0, 1 - q), (1, q)):
-            total = w.sum()
-            for k in (-1, 0, 1):
-                self.log_p[y, k + 1] = np.log(((w[:, None] * (v == k)).sum(0) + 0.1) / (total + 0.3))
+            for k, kind in enumerate((-1, 1)):
+                self.p[y, k] = ((w[:, None] * (v == kind)).sum(0) + 0.02) / (w.sum() + 0.1)
 
-    def posterior(self, v: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
-        d = self.log_p[1] - self.log_p[0]
-        z = np.log(self.prior / (1 - self.prior)) + (self.weight * np.where(v > 0, d[2], np.where(v < 0, d[0], d[1]))).sum(1)
-        if labels is not None:
-            z = z + np.log(HUMAN / (1 - HUMAN)) * np.where(labels > 0, 1, -1)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def log_odds(self, v: np.ndarray) -> np.ndarray:
+        even = np.log(self.prior / (1 - self.prior))
+        clean, toxic = np.log(self.p[1] / self.p[0])
+        # A voter is better than chance: a vote that it casts is right with the probability RIGHT at least.
+        toxic, clean = np.maximum(toxic, np.log(RIGHT / (1 - RIGHT)) - even), np.minimum(clean, -np.log(RIGHT / (1 - RIGHT)) - even)
+        return even + (self.weight * np.where(v > 0, toxic, np.where(v < 0, clean, 0))).sum(1)
+
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        return logistic(self.log_odds(v))
 
     def accuracy(self) -> np.ndarray:
         """Of each voter, the probability that a vote it casts is right."""
-        p = np.exp(self.log_p)
-        right = self.prior * p[1, 2] + (1 - self.prior) * p[0, 0]
-        wrong = self.prior * p[1, 0] + (1 - self.prior) * p[0, 2]
+        right = self.prior * self.p[1, 1] + (1 - self.prior) * self.p[0, 0]
+        wrong = self.prior * self.p[1, 0] + (1 - self.prior) * self.p[0, 1]
         return right / (right + wrong)
 
     @staticmethod
@@ -199,6 +202,24 @@ class LabelModel:
         return total
 
 
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def calibrated(z: np.ndarray, labels: np.ndarray, steps: int = 100) -> np.ndarray:
+    """Probabilities from log odds by a line fitted to the labels (Platt's scaling, by bounded Newton steps)."""
+    line, x = np.array([1.0, 0.0]), np.column_stack([z, np.ones(len(z))])
+    for _ in range(steps):
+        p = logistic(x @ line)
+        slope = x.T @ (p - labels) + 1e-3 * (line - [1, 0])
+        bend = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.clip(np.linalg.solve(bend, slope), -1, 1)
+        line = line - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return logistic(x @ line)
+
+
 def train(bags: Bags, target: np.ndarray, penalty: float = 0.002, steps: int = 250) -> tuple[dict[bytes, float], float]:
     """L1-penalised logistic regression on feature presence, by accelerated proximal gradient steps."""
     vocab = bags.names
@@ -217,7 +238,7 @@ def train(bags: Bags, target: np.ndarray, penalty: float = 0.002, steps: int = 2
     step, t = 0.02, 1.0
     for _ in range(steps):
         margin = np.bincount(rows, weights=(z * scale)[cols], minlength=n) + zb
-        g = balance * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target) / n
+        g = balance * (logistic(margin) - target) / n
         grad = np.bincount(cols, weights=g[rows], minlength=len(vocab)) * scale
         new = z - step * grad * 4
         new = np.sign(new) * np.clip(np.abs(new) - step * penalty * 4, 0, None)
@@ -230,12 +251,14 @@ def train(bags: Bags, target: np.ndarray, penalty: float = 0.002, steps: int = 2
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[bytes, float], float]:
     """Word weights and bias, from the bounded sample of labelled rows."""
-    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col), F.lit(""))
     seen = labels.where(usable & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
-    sample = [tuple(r) for r in seen.orderBy(F.xxhash64("i"), "i", "y").limit(SAMPLE).collect()]
-    ids = spark.createDataFrame(sample, "i bigint, y int")
-    texts = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where(F.length("t") <= SAMPLE_CHARS)
-    rows = sorted(texts.join(F.broadcast(ids), F.col("d") == F.col("i")).select("d", "y", "t").limit(2 * SAMPLE).collect())
+    short = docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(id_col).alias("i"), F.xxhash64(text).alias("h"))
+    order = [F.xxhash64("i", "h"), "i", "h", "y"]
+    chosen = docs.sparkSession.createDataFrame(short.join(seen, "i").distinct().orderBy(*order).limit(SAMPLE).collect(), "i long, h long, y int")
+    texts = docs.select(F.col(id_col).alias("d"), F.xxhash64(text).alias("t_h"), text.alias("t"))
+    found = texts.join(F.broadcast(chosen), (F.col("d") == F.col("i")) & (F.col("t_h") == F.col("h")))
+    rows = sorted(found.select("d", "y", "t").dropDuplicates(["d", "y", "t"]).collect())
     y = np.array([r["y"] for r in rows], dtype=float)
     texts = [r["t"] for r in rows]
     bags = Bags(texts)
@@ -244,8 +267,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
         z = {w.encode(): 4.0 for w in MILD + STRONG}
         return z, float(np.log(PRIOR / (1 - PRIOR)))
     ballots = votes(texts, lexicon)
-    model = LabelModel(float(np.clip(y.mean(), 0.02, 0.5))).fit(ballots, y)
-    return train(bags, model.posterior(ballots, y))
+    odds = LabelModel(float(np.clip(y.mean(), 0.02, 0.5))).fit(ballots).log_odds(ballots)
+    return train(bags, calibrated(odds, y) if 0 < y.sum() < len(y) else logistic(odds))
 
 
 def score(docs: DataFrame, weights: dict[bytes, float], bias: float, text_col: str = "text") -> Column:
@@ -256,7 +279,7 @@ def score(docs: DataFrame, weights: dict[bytes, float], bias: float, text_col: s
         stems = stems_of(weights)
         for texts in batches:
             z = np.array([bias + weight_of(t, weights, stems) for t in texts], dtype=float)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            yield pd.Series(logistic(z))
 
     return probability(F.coalesce(F.col(text_col), F.lit("")))
 

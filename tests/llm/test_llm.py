@@ -532,17 +532,78 @@ def test_language_id(spark):
     assert langid.language_id(edge(spark).limit(0), F.lit(False)).count() == 0
 
 
+def plain_em(v, prior, rounds=200):
+    """The generative model in loops: posterior of each text from the votes alone."""
+    n, m = len(v), len(v[0])
+    q = [0.95 if any(x > 0 for x in r) else 0.01 for r in v]
+
+    def mean(w, f):
+        return sum(a * f(r) for a, r in zip(w, v)) / sum(w)
+
+    def correlation(i, j):
+        total = 0
+        for w in ([1 - a for a in q], q):
+            mi, mj = mean(w, lambda r: r[i]), mean(w, lambda r: r[j])
+            cov = lambda a, b, ma, mb: mean(w, lambda r: (r[a] - ma) * (r[b] - mb))
+            total += cov(i, j, mi, mj) / (max(cov(i, i, mi, mi), 1e-6) * max(cov(j, j, mj, mj), 1e-6)) ** 0.5 / 2
+        return abs(total)
+
+    weight = [1 / (1 + sum(c for j in range(m) if j != i and (c := correlation(i, j)) > toxicity.ALIKE)) for i in range(m)]
+    for _ in range(rounds):
+        p = {(y, k, j): (sum(w for w, r in zip(ws, v) if r[j] == k) + 0.02) / (sum(ws) + 0.1) for y, ws in ((0, [1 - a for a in q]), (1, q)) for k in (-1, 1) for j in range(m)}
+        even, edge = np.log(prior / (1 - prior)), np.log(toxicity.RIGHT / (1 - toxicity.RIGHT))
+        say = lambda j, k: max(np.log(p[1, 1, j] / p[0, 1, j]), edge - even) if k > 0 else min(np.log(p[1, -1, j] / p[0, -1, j]), -edge - even)
+        odds = [even + sum(weight[j] * say(j, r[j]) for j in range(m) if r[j]) for r in v]
+        new = [1 / (1 + np.exp(-min(max(z, -30), 30))) for z in odds]
+        if max(abs(a - b) for a, b in zip(new, q)) < 1e-5:
+            return new
+        q = new
+    return q
+
+
 def test_label_model_finds_good_voters():
     rng = np.random.default_rng(6)
     y = rng.random(4000) < 0.2
-    v = np.zeros((4000, 4), dtype=np.int8)
-    for j, (hit, false) in enumerate(((0.9, 0.02), (0.6, 0.05), (0.3, 0.3))):
-        v[:, j] = np.where(rng.random(4000) < np.where(y, hit, false), 1, -1)
+    v = np.zeros((4000, 5), dtype=np.int8)
+    for j, (hit, false) in enumerate(((0.9, 0.003), (0.6, 0.01), (0.3, 0.015))):
+        v[:, j] = rng.random(4000) < np.where(y, hit, false)
     v[:, 3] = v[:, 0]  # repeats the first
-    m = toxicity.LabelModel().fit(v, np.where(rng.random(4000) < 0.95, y, ~y))
-    a = m.accuracy()
-    assert a[0] > a[1] > a[2] and m.weight[0] < m.weight[1] and m.correlation[0, 3] > 0.9
-    assert ((m.posterior(v) >= 0.5) == y).mean() > 0.95
+    v[:, 4] = np.where(v.any(1), 0, -1)
+    m = toxicity.LabelModel(0.2).fit(v)
+    assert m.weight[0] < m.weight[1] and m.correlation[0, 3] > 0.9 and (m.accuracy() > 0.5).all()
+    # Votes decide alone; labels only move the odds along a line.
+    p = toxicity.calibrated(m.log_odds(v), y.astype(float))
+    assert ((p >= 0.5) == y).mean() > 0.9 and abs(p.mean() - y.mean()) < 0.01
+    assert (np.argsort(m.log_odds(v), kind="stable") == np.argsort(p, kind="stable")).mean() > 0.9
+
+
+def test_label_model_like_loops():
+    rng = np.random.default_rng(18)
+    y = rng.random(120) < 0.3
+    v = np.stack([np.where(y, rng.random(120) < hit, rng.random(120) < 0.05).astype(np.int8) for hit in (0.9, 0.5, 0.5)], axis=1)
+    v = np.column_stack([v, v[:, 0], np.where(v.any(1), 0, -1)]).astype(np.int8)
+    assert np.allclose(toxicity.LabelModel(0.3).fit(v).posterior(v), plain_em(v.tolist(), 0.3), atol=1e-6)
+
+
+def test_scores_like_loops():
+    """A text's probability by hand: bias and weights of the words and stems that it has."""
+    weights = {b"idiot": 2.0, b"^path": 1.0, b"^pathe": 0.5, b"ok": -1.0}
+    stems = toxicity.stems_of(weights)
+    for text, want in (("You IDIOT, idiot!", 2.0), ("pathetic", 1.5), ("path", 0.0), ("ok", -1.0), ("", 0.0), ("paths idiots", 1.0)):
+        assert toxicity.weight_of(text, weights, stems) == want
+
+
+def test_toxicity_sample_is_of_least_hash(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 60)
+    seen = []
+    bags = toxicity.Bags
+    monkeypatch.setattr(toxicity, "Bags", lambda texts: (seen.append(list(texts)), bags(texts))[1])
+    rows = [(i % 90, f"text {i % 70} " + "x" * (i % 80)) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)] * 2, "doc_id long, toxic int")
+    for parts in (2, 7):
+        toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), labels, F.lit(True))
+    assert seen[0] == seen[1] and len(seen[0]) == 40 and all(len(t) <= 60 for t in seen[0])
 
 
 def test_toxicity(spark):
