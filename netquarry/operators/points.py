@@ -126,6 +126,21 @@ def surface_points(blocks: DataFrame, keys: list[str], n: int, seed: int) -> Dat
     return rows.withColumns(at | normal).select(*keys, "block", "net", "k", *XYZ, "nx", "ny", "nz")
 
 
+def surface_cloud(blocks: DataFrame, media: DataFrame, masters: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
+    """Exactly n points per window on its conductors' surfaces, with normals, permittivity and flux.
+
+    blocks: as in :func:`surface_points`, with ``tech``; media: (tech, er, z_top); masters: (keys, pos, neg). Flux is 1 on
+    the positive conductor's points, -1 on the negative's, else 0.
+    """
+    from .samples import flux
+    from .stack import dielectric_at
+
+    techs = blocks.select(*keys, "tech").distinct()
+    rows = dielectric_at(surface_points(blocks, keys, n, seed).join(techs, keys), media)
+    rows = rows.join(masters, keys).withColumn("flux", flux(F.col("net"), F.col("pos"), F.col("neg"))).drop("pos", "neg", "tech")
+    return resampled(rows.withColumn("p_idx", F.xxhash64("block", "k")), keys, n, seed).drop("p_idx", "copy")
+
+
 def grid_cells(points: DataFrame, bounds: dict[str, tuple[float, float]], n: int) -> DataFrame:
     """Cell number per axis, -1 outside the bounds."""
     def cell(c: str) -> Column:

@@ -142,12 +142,19 @@ def r09_resize_index(spark, sf_dir):
     return spark.range(64).select(F.col("id").alias("i"), scalars.resize_index(F.col("id"), F.lit(37), F.lit(64)).alias("source"))
 
 
-@query("""SELECT p_partkey, round(CAST(p_size AS DOUBLE) * 2 * 3, 6) AS volume, round(p_size / 2.0 + 1, 6) AS cx FROM part""")
+@query("""WITH b AS (SELECT p_partkey, p_size AS s, p_partkey % 7 AS t, p_retailprice / 500 AS r FROM part)
+    SELECT p_partkey, round(abs(s * 2.0 - t * t) * (3 + r), 4) AS volume, round(1 + (s + t) / 2.0, 4) AS cx, round(r + 1 + t / 2.0, 4) AS cy, round(-1 + (3 + r) / 2.0, 4) AS cz,
+      CAST(1 AS DOUBLE) AS x0, CAST(1 + s + t AS DOUBLE) AS x1, round(r, 4) AS y0, round(r + 2 + t, 4) AS y1, CAST(-1 AS DOUBLE) AS z0, round(2 + r, 4) AS z1 FROM b""")
 def f01_block_geometry(spark, sf_dir):
-    v = lambda *xs: F.array(*[x if not isinstance(x, (int, float)) else F.lit(float(x)) for x in xs])
-    s = F.col("p_size").cast("double")
-    base_, v1, v2, h = v(1, 0, 0), v(s, 0, 0), v(0, 2, 0), v(0, 0, 3)
-    return table(spark, sf_dir, "part").select("p_partkey", r6(geometry.volume3(v1, v2, h)).alias("volume"), r6(geometry.center3(base_, v1, v2, h)[0]).alias("cx"))
+    """Volume, centre and bounds of cuboids whose edges are not all along the axes."""
+    v = lambda *xs: F.array(*[x.cast("double") if not isinstance(x, (int, float)) else F.lit(float(x)) for x in xs])
+    s, t, r = F.col("p_size"), F.col("p_partkey") % 7, F.col("p_retailprice") / 500
+    base_, v1, v2, h = v(1, r, -1), v(s, t, 0), v(t, 2, 0), v(0, 0, 3 + r)
+    # The edges span s * 2 - t * t; blocks that are mirrored by it have the same volume.
+    lo, hi = geometry.box3(base_, v1, v2, h)
+    c = geometry.center3(base_, v1, v2, h)
+    rows = table(spark, sf_dir, "part").select("p_partkey", geometry.volume3(v1, v2, h).alias("volume"), *[c[i].alias(f"c{a}") for i, a in enumerate("xyz")], *[e[i].alias(f"{a}{k}") for k, e in enumerate((lo, hi)) for i, a in enumerate("xyz")])
+    return rows.select("p_partkey", *[F.round(x, 4).alias(x) for x in rows.columns[1:]])
 
 
 @query("""WITH d AS (SELECT o_custkey AS case_id, o_totalprice AS gap, o_orderkey AS k FROM orders) SELECT k, gap FROM d ORDER BY gap DESC, k LIMIT 5""")

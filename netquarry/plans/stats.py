@@ -268,7 +268,12 @@ def r15_grid_cells(spark, sf_dir):
     return points.grid_cells(_cloud(spark, sf_dir), {c: (-0.2, 0.2) for c in "xyz"}, 8).select("idx", "gx", "gy", "gz")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CLOUD}, g AS (SELECT label, idx, CASE WHEN x < -0.2 OR x >= 0.2 THEN -1 ELSE CAST(floor((x + 0.2) / 0.4 * 8) AS INTEGER) END AS gx, CASE WHEN y < -0.2 OR y >= 0.2 THEN -1 ELSE CAST(floor((y + 0.2) / 0.4 * 8) AS INTEGER) END AS gy,
+      CASE WHEN z < -0.2 OR z >= 0.2 THEN -1 ELSE CAST(floor((z + 0.2) / 0.4 * 8) AS INTEGER) END AS gz FROM cloud),
+    cells AS (SELECT label, gx, gy, gz, bool_or(idx % 50 = 0) AS seed FROM g WHERE least(gx, gy, gz) >= 0 GROUP BY ALL),
+    walk AS (SELECT label, gx, gy, gz, 0 AS steps FROM cells WHERE seed UNION
+      SELECT c.label, c.gx, c.gy, c.gz, steps + 1 FROM walk w JOIN cells c ON c.label = w.label AND abs(c.gx - w.gx) + abs(c.gy - w.gy) + abs(c.gz - w.gz) = 1 WHERE steps < 40)
+    SELECT label, gx, gy, gz, coalesce(pow(0.5, min(steps)), 0) AS density FROM cells LEFT JOIN walk USING (label, gx, gy, gz) GROUP BY ALL""")
 def r15_spread_density(spark, sf_dir):
     cells = points.grid_cells(_cloud(spark, sf_dir), {c: (-0.2, 0.2) for c in "xyz"}, 8)
     return points.spread_density(cells.withColumn("is_seed", F.col("idx") % 50 == 0), "label", 8)
@@ -279,16 +284,36 @@ def r19_farthest_points(spark, sf_dir):
     return points.farthest(_cloud(spark, sf_dir).withColumnRenamed("idx", "p_idx"), "label", 16)
 
 
-@query(f"WITH {_CLOUD} SELECT label, CAST(200 AS BIGINT) AS n FROM cloud GROUP BY 1")
+@query(f"WITH {_CLOUD}, c AS (SELECT label, count(*) AS m FROM cloud GROUP BY 1) SELECT label, CAST(200 AS BIGINT) AS n, least(m, 200) AS points, CASE WHEN m >= 200 THEN 1 ELSE 200 // m END AS least, CASE WHEN m >= 200 THEN 1 ELSE CAST(ceil(200 / m) AS BIGINT) END AS most FROM c")
 def r14_resampled(spark, sf_dir):
-    return points.resampled(_cloud(spark, sf_dir).withColumnRenamed("idx", "p_idx"), ["label"], 200, 7).groupBy("label").agg(F.count("*").alias("n"))
+    """Points in all, different ones, and how often the least and most frequent come."""
+    found = points.resampled(_cloud(spark, sf_dir).withColumnRenamed("idx", "p_idx"), ["label"], 200, 7)
+    each = found.groupBy("label", "p_idx").agg(F.count("*").alias("k"))
+    return each.groupBy("label").agg(F.sum("k").alias("n"), F.count("*").alias("points"), F.min("k").alias("least"), F.max("k").alias("most"))
 
 
-@query()
-def r12_surface_points(spark, sf_dir):
+def _surface_blocks(spark, sf_dir):
     s = F.col("s_suppkey")
-    blocks = table(spark, sf_dir, "supplier").select(
+    return table(spark, sf_dir, "supplier").select(
         (s % 5).alias("window_id"), s.alias("block"), F.col("s_name").alias("net"), (s % 11).cast("double").alias("x0"), (s % 13).cast("double").alias("y0"), (s % 3).cast("double").alias("z0"),
         (1 + s % 4).cast("double").alias("dx"), (1 + s % 2).cast("double").alias("dy"), F.lit(0.5).alias("dz"),
     )
-    return points.surface_points(blocks, ["window_id"], 1024, 11)
+
+
+@query()
+def r12_surface_points(spark, sf_dir):
+    return points.surface_points(_surface_blocks(spark, sf_dir), ["window_id"], 1024, 11)
+
+
+@query("""WITH b AS (SELECT s_suppkey % 5 AS window_id, s_suppkey AS block, 2 * ((1 + s_suppkey % 4) * (1 + s_suppkey % 2) + (1 + s_suppkey % 2) * 0.5 + (1 + s_suppkey % 4) * 0.5) AS area FROM supplier)
+    SELECT window_id, block, greatest(1, CAST(floor(1024 * area / sum(area) OVER (PARTITION BY window_id)) AS BIGINT)) AS points, greatest(1, CAST(floor(1024 * area / sum(area) OVER (PARTITION BY window_id)) AS BIGINT)) AS on_faces FROM b""")
+def r12_surface_counts(spark, sf_dir):
+    """Points per block, and how many lie within it on exactly the face that their normal names."""
+    blocks = _surface_blocks(spark, sf_dir)
+    rows = points.surface_points(blocks, ["window_id"], 1024, 11).join(blocks.drop("net"), ["window_id", "block"])
+    ok = F.lit(True)
+    for c in "xyz":
+        lo, hi, n = F.col(f"{c}0"), F.col(f"{c}0") + F.col(f"d{c}"), F.col(f"n{c}")
+        ok = ok & F.when(n == 0, F.col(c).between(lo, hi)).otherwise(F.abs(F.col(c) - F.when(n > 0, hi).otherwise(lo)) < 1e-9)
+    one = F.abs("nx") + F.abs("ny") + F.abs("nz") == 1
+    return rows.groupBy("window_id", "block").agg(F.count("*").alias("points"), F.count_if(ok & one).alias("on_faces"))

@@ -33,7 +33,7 @@ class WindowSamples:
         """The listed windows, in the order given (column ``position`` of the index)."""
         spark = self.index.sparkSession
         order = spark.createDataFrame([(w, i) for i, w in enumerate(dict.fromkeys(window_ids))], "window_id string, position int")
-        keep = F.broadcast(order.select("window_id"))  # the caller's list
+        keep = order.select("window_id")
         semi = lambda d: d.join(keep, "window_id", "left_semi")
         return replace(self, pixels=semi(self.pixels), index=self.index.drop("position").join(order, "window_id"), conductors=semi(self.conductors), samples=semi(self.samples))
 

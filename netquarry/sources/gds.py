@@ -90,10 +90,11 @@ def rectangles(rows: DataFrame) -> DataFrame:
     )
 
 
-def flattened(rows: DataFrame, top: str, levels: int = 16) -> DataFrame:
+def flattened(rows: DataFrame, top: str) -> DataFrame:
     """Rectangles of a top cell with those of placed cells, moved, mirrored and turned by quarter turns.
 
-    Each round places the cells that the last round found; other angles and magnifications raise.
+    Each round places the cells that the last round found; other angles and magnifications raise. Cells nest as deep as
+    there are cells at most; deeper, a cell holds itself, which raises.
     """
     from ..lineage import ensure_checkpoints
 
@@ -112,7 +113,7 @@ def flattened(rows: DataFrame, top: str, levels: int = 16) -> DataFrame:
     refs = refs.select("cell", "name", cos.alias("ra"), (-sin * F.col("m")).alias("rb"), sin.alias("rc"), (cos * F.col("m")).alias("rd"), "dx", "dy")
     placed = spark.createDataFrame([(top, 1, 0, 0, 1, 0.0, 0.0)], "name string, a int, b int, c int, d int, px double, py double")
     out = None
-    for _ in range(levels):
+    for _ in range(rows.select("cell").distinct().count() + 1):
         here = placed.join(shapes, placed["name"] == shapes["cell"])
         x = lambda u, v: F.col("a") * F.col(u) + F.col("b") * F.col(v) + F.col("px")
         y = lambda u, v: F.col("c") * F.col(u) + F.col("d") * F.col(v) + F.col("py")
@@ -126,4 +127,4 @@ def flattened(rows: DataFrame, top: str, levels: int = 16) -> DataFrame:
         ).checkpoint()
         if not placed.limit(1).count():
             return out
-    raise RuntimeError(f"cells nest deeper than {levels} levels")
+    raise RuntimeError("a cell is placed within itself")

@@ -245,3 +245,13 @@ def test_bounds_fall_back_to_blocks(spark):
 def test_outcomes(spark):
     f = spark.createDataFrame([("g", "W0", None), ("g", "W0", None), ("g", "W1", "bad"), ("h", "W2", None)], "g string, window_id string, error string")
     assert rows(stats.outcome_counts(f, "g"), "g", "succeeded", "failed") == [("g", 1, 1), ("h", 1, 0)]
+
+
+def test_surface_cloud(spark):
+    b = spark.createDataFrame([("w", "t", k, f"n{k}", 0.0, 0.0, float(2 * k), 2.0, 1.0, 1.0) for k in range(3)], "k0 string, tech string, block int, net string, x0 double, y0 double, z0 double, dx double, dy double, dz double")
+    media = spark.createDataFrame([("t", 2.0, 1.5), ("t", 4.0, 9.0)], "tech string, er double, z_top double")
+    masters = spark.createDataFrame([("w", "n0", "n2")], "k0 string, pos string, neg string")
+    for n in (50, 400):
+        got = points.surface_cloud(b, media, masters, ["k0"], n, 3).collect()
+        assert len(got) == n and {r.flux for r in got} == {1.0, -1.0, 0.0}
+        assert all(r.flux == {"n0": 1.0, "n1": 0.0, "n2": -1.0}[r.net] and r.er == (2.0 if r.z < 1.5 else 4.0) for r in got)

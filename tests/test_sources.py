@@ -158,6 +158,31 @@ def test_cap3d(spark):
     assert rows(again.where("kind = 'target'"), "name") == [("NET_A",)]
 
 
+def test_cap3d_with_media_and_ground(spark):
+    vec = lambda *v: [float(x) for x in v]
+    cols = "window_id string, parent string, name string, layer int, seq long, base array<double>, v1 array<double>, v2 array<double>, hvec array<double>"
+    blocks = spark.createDataFrame([("W0", "n", "1", 1, 1, vec(1, 1, 0.5), vec(2, 0, 0), vec(0, 1, 0), vec(0, 0, 0.25))], cols)
+    media = spark.createDataFrame([("W0", "conf", "0", 2, 0, vec(0, 0, 0.5), vec(4, 0, 0), vec(0, 4, 0), vec(0, 0, 0.1), 3.5)], cols + ", diel double")
+    plates = spark.createDataFrame([("W0", "high", 4.0, 2.0), ("W0", "low", 2.5, 0.4)], "window_id string, name string, diel double, z_top double")
+    layers = spark.createDataFrame([("W0", 1, "M1", "metal"), ("W0", 2, "ox", "interconnect")], "window_id string, id int, name string, type string")
+    extents = spark.createDataFrame([("W0", 0.0, 0.0, 10.0, 20.0)], "window_id string, x0 double, y0 double, x1 double, y1 double")
+    windows, ground = text_sink.with_margins(extents, plates.groupBy("window_id").agg(F.max("z_top").alias("z_top")))
+    text = text_sink.cap3d(blocks.unionByName(ground), layers, windows, plates, media).first()["text"]
+    r = cap3d.read_cap3d(files(spark, W0=text)).cache()
+    near = lambda v: [round(x, 3) for x in v]
+    assert near(cap3d.window(r).first()["v1"]) == [-1.0, -2.0, -0.01] and near(cap3d.window(r).first()["v2"]) == [11.0, 22.0, 2.0]
+    g = cap3d.blocks(r).where("parent = 'GROUND'").first()
+    assert near(g["base"]) == [-1.0, -2.0, -0.01] and near(g["v1"]) == [12.0, 0, 0] and near(g["v2"]) == [0, 24.0, 0] and near(g["hvec"]) == [0, 0, 0.1]
+    assert cap3d.ground_net(r).first()["ground"] == "GROUND" and rows(r.where("kind = 'target'"), "name") == [("n",)]
+    assert rows(r.where("kind = 'plate_medium'"), "name", "diel", "z_top") == [("high", 4.0, 2.0), ("low", 2.5, 0.4)]
+    m = cap3d.blocks(r, "medium").first()
+    assert (m["parent"], m["diel"], near(m["hvec"])) == ("conf", 3.5, [0, 0, 0.1])
+    # What was read can be written again.
+    kept = r.where("kind = 'block'").withColumnRenamed("diel", "er").withColumn("diel", F.col("er"))
+    again = text_sink.cap3d(kept.where("section = 'conductor'"), r.where("kind = 'layer'").select("window_id", "id", "name", "type"), cap3d.window(r), r.where("kind = 'plate_medium'"), kept.where("section = 'medium'"))
+    assert again.first()["text"] == text
+
+
 def test_bad_file_is_a_row(spark):
     r = cap3d.read_cap3d(files(spark, W0=CAP3D.replace("v1(1, 0, 0)", "v1(1, x, 0)"), W1=CAP3D))
     assert [x.window_id for x in r.where("error is not null").collect()] == ["W0"]
