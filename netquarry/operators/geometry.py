@@ -93,41 +93,45 @@ def pixels(lo: Column, hi: Column, origin: Column, resolution: Column, size: Col
     return cut(first), cut(last)
 
 
-def segment_clip(w: str = "w_") -> tuple[Column, Column, Column]:
-    """Closed-form parametric clip of segment (px, py)-(qx, qy): enter, leave, and whether any part is inside."""
-    px, py, qx, qy = (F.col(n) for n in ("px", "py", "qx", "qy"))
+def segment_clip(p: tuple[Column, Column], q: tuple[Column, Column], w: str = "w_") -> tuple[Column, Column, Column]:
+    """Closed-form parametric clip of the segment from p to q: enter, leave, and whether any part is inside."""
     enter, leave, ok = F.lit(0.0), F.lit(1.0), F.lit(True)
-    for p, q, lo, hi in ((px, qx, F.col(f"{w}x0"), F.col(f"{w}x1")), (py, qy, F.col(f"{w}y0"), F.col(f"{w}y1"))):
-        d = q - p
-        t0, t1 = F.try_divide(lo - p, d), F.try_divide(hi - p, d)
+    for a, b, lo, hi in ((p[0], q[0], F.col(f"{w}x0"), F.col(f"{w}x1")), (p[1], q[1], F.col(f"{w}y0"), F.col(f"{w}y1"))):
+        d = b - a
+        t0, t1 = F.try_divide(lo - a, d), F.try_divide(hi - a, d)
         flat = F.abs(d) < 1e-300
         enter = F.when(flat, enter).otherwise(F.greatest(enter, F.least(t0, t1)))
         leave = F.when(flat, leave).otherwise(F.least(leave, F.greatest(t0, t1)))
-        ok = ok & (~flat | p.between(lo, hi))
+        ok = ok & (~flat | a.between(lo, hi))
     return enter, leave, ok & (enter <= leave)
 
 
 def polyline_pieces(lines: DataFrame, keys: list[str], w: str = "w_") -> DataFrame:
     """Polylines (``points`` array of x, y) clipped to a window: one row per connected piece with its points.
 
-    Segments inside follow each other in one piece while the earlier one leaves where the next begins.
+    Segments inside follow each other in one piece while the earlier one leaves where the next begins. All of it
+    happens within the row, so that nothing but the join that brought line and window together is shuffled.
     """
     n = F.size("points")
-    carried = [*keys, *[f"{w}{c}" for c in ("x0", "y0", "x1", "y1")]]
-    seg = lines.where(n >= 2).select(*carried, F.posexplode(F.arrays_zip(F.slice("points", 1, n - 1).alias("p"), F.slice("points", 2, n - 1).alias("q"))).alias("i", "s"))
-    seg = seg.select(*carried, "i", F.col("s.p.x").alias("px"), F.col("s.p.y").alias("py"), F.col("s.q.x").alias("qx"), F.col("s.q.y").alias("qy"))
-    enter, leave, ok = segment_clip(w)
-    seg = seg.withColumns({"t0": enter, "t1": leave, "ok": ok}).where("ok")
-    along = lambda t, a, b: F.col(a) + F.col(t) * (F.col(b) - F.col(a))
-    seg = seg.select(*keys, "i", along("t0", "px", "qx").alias("ax"), along("t0", "py", "qy").alias("ay"), along("t1", "px", "qx").alias("bx"), along("t1", "py", "qy").alias("by"))
-    seg = seg.where((F.abs(F.col("bx") - F.col("ax")) > EPS) | (F.abs(F.col("by") - F.col("ay")) > EPS))
-    order = Window.partitionBy(*keys).orderBy("i")
-    joins = (F.lag("i").over(order) == F.col("i") - 1) & (F.abs(F.lag("bx").over(order) - F.col("ax")) <= EPS) & (F.abs(F.lag("by").over(order) - F.col("ay")) <= EPS)
-    seg = seg.withColumn("piece", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(order))
-    parts = seg.groupBy(*keys, "piece").agg(F.array_sort(F.collect_list(F.struct("i", "ax", "ay", "bx", "by"))).alias("s"))
-    ends = F.transform("s", lambda s: F.struct(s["bx"].alias("x"), s["by"].alias("y")))
-    start = F.array(F.struct(F.col("s")[0]["ax"].alias("x"), F.col("s")[0]["ay"].alias("y")))
-    return parts.select(*keys, "piece", F.concat(start, ends).alias("points"))
+    along = lambda t, a, b: a + t * (b - a)
+
+    def leg(p: Column, q: Column) -> Column:
+        enter, leave, ok = segment_clip((p["x"], p["y"]), (q["x"], q["y"]), w)
+        at = {f"{e}{c}": along(t, p[c], q[c]) for e, t in (("a", enter), ("b", leave)) for c in ("x", "y")}
+        return F.when(ok, F.struct(*[v.alias(k) for k, v in at.items()]))
+
+    long = lambda s: s.isNotNull() & ((F.abs(s["bx"] - s["ax"]) > EPS) | (F.abs(s["by"] - s["ay"]) > EPS))
+    rows = lines.where(n >= 2).select(*keys, F.zip_with(F.slice("points", 1, n - 1), F.slice("points", 2, n - 1), leg).alias("_legs"))
+    rows = rows.select(*keys, F.transform("_legs", lambda s: F.when(long(s), s)).alias("_legs")).where(F.exists("_legs", lambda s: s.isNotNull()))
+    # A piece begins at a leg that the one before it doesn't lead into, and goes on until the next begins or a gap comes.
+    before = lambda i: F.get("_legs", i - 1)
+    leads = lambda s, i: F.coalesce((F.abs(before(i)["bx"] - s["ax"]) <= EPS) & (F.abs(before(i)["by"] - s["ay"]) <= EPS), F.lit(False))
+    marks = F.transform("_legs", lambda s, i: F.when(s.isNull() | ~leads(s, i), i))
+    rows = rows.select(*keys, "_legs", F.concat(F.filter(marks, lambda i: i.isNotNull()), F.array(F.size("_legs"))).alias("_marks"))
+    parts = F.zip_with(F.slice("_marks", 1, F.size("_marks") - 1), F.slice("_marks", 2, F.size("_marks") - 1), lambda a, b: F.slice("_legs", a + 1, b - a))
+    rows = rows.select(*keys, F.posexplode(F.filter(parts, lambda s: s[0].isNotNull())).alias("piece", "_s"))
+    point = lambda s, e: F.struct(s[f"{e}x"].alias("x"), s[f"{e}y"].alias("y"))
+    return rows.select(*keys, (F.col("piece") + 1).cast("long").alias("piece"), F.concat(F.array(point(F.col("_s")[0], "a")), F.transform("_s", lambda s: point(s, "b"))).alias("points"))
 
 
 def snapped(y0: Column, y1: Column, offset: Column, pitch: Column, min_cells: int = 1) -> tuple[Column, Column]:

@@ -73,16 +73,25 @@ def dielectric_at(points: DataFrame, media: DataFrame, tolerance: float = 1e-9)
     """``er`` at each point's z. At an interface the mean of both media, else the lowest medium that reaches z, else
     the topmost; 1.0 without media. media: (tech, er, z_top).
 
-    The media of a tech are few and become one sorted array, so points meet them without a range join.
+    The media of a tech become one sorted array, so points meet them without a range join and find theirs by bisection.
     """
     stack = media.groupBy("tech").agg(F.array_sort(F.collect_list(F.struct("z_top", "er"))).alias("m"))
-    rows = points.join(stack, "tech", "left")
-    n = F.size("m")
-    at = F.array_position(F.transform("m", lambda x: F.abs(x["z_top"] - F.col("z")) <= tolerance), True).cast("int")
-    first = F.array_position(F.transform("m", lambda x: F.col("z") <= x["z_top"]), True).cast("int")
-    er = lambda i: F.get("m", i)["er"]
-    value = F.when(F.col("m").isNull(), 1.0).when((at > 0) & (at < n), (er(at - 1) + er(at)) / 2).when(at > 0, er(at - 1)).when(first > 0, er(first - 1)).otherwise(er(n - 1))
-    return rows.withColumn("er", value).drop("m")
+    n, z = F.size("m"), F.col("z")
+
+    def halved(s: Column, _: Column) -> Column:
+        """One step of the search for the first medium whose top isn't below z."""
+        middle = F.shiftright(s["lo"] + s["hi"], 1)
+        low = (s["lo"] < s["hi"]) & (F.get("m", middle)["z_top"] < z - tolerance)
+        high = (s["lo"] < s["hi"]) & ~(F.get("m", middle)["z_top"] < z - tolerance)
+        return F.struct(F.when(low, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(high, middle).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halved)["lo"]
+    rows = points.join(stack, "tech", "left").withColumn("_k", F.when(F.col("m").isNotNull(), found))
+    k, er = F.col("_k"), lambda i: F.get("m", i)["er"]
+    at = F.abs(F.get("m", k)["z_top"] - z) <= tolerance
+    value = F.when(F.col("m").isNull(), 1.0).when(at & (k < n - 1), (er(k) + er(k + 1)) / 2).when(k < n, er(k)).otherwise(er(n - 1))
+    return rows.withColumn("er", value).drop("m", "_k")
 
 
 def matched_by_height(a: DataFrame, b: DataFrame, tolerance: float = 1e-4) -> DataFrame:
