@@ -94,7 +94,10 @@ def pixels(lo: Column, hi: Column, origin: Column, resolution: Column, size: Col
 
 
 def segment_clip(p: tuple[Column, Column], q: tuple[Column, Column], w: str = "w_") -> tuple[Column, Column, Column]:
-    """Closed-form parametric clip of the segment from p to q: enter, leave, and whether any part is inside."""
+    """Closed-form parametric clip of the segment from p to q: enter, leave, and whether an axis doesn't rule it out.
+
+    A part is inside if none rules it out and enter doesn't come after leave.
+    """
     enter, leave, ok = F.lit(0.0), F.lit(1.0), F.lit(True)
     for a, b, lo, hi in ((p[0], q[0], F.col(f"{w}x0"), F.col(f"{w}x1")), (p[1], q[1], F.col(f"{w}y0"), F.col(f"{w}y1"))):
         d = b - a
@@ -103,7 +106,7 @@ def segment_clip(p: tuple[Column, Column], q: tuple[Column, Column], w: str = "w
         enter = F.when(flat, enter).otherwise(F.greatest(enter, F.least(t0, t1)))
         leave = F.when(flat, leave).otherwise(F.least(leave, F.greatest(t0, t1)))
         ok = ok & (~flat | a.between(lo, hi))
-    return enter, leave, ok & (enter <= leave)
+    return enter, leave, ok
 
 
 def polyline_pieces(lines: DataFrame, keys: list[str], w: str = "w_") -> DataFrame:
@@ -113,16 +116,19 @@ def polyline_pieces(lines: DataFrame, keys: list[str], w: str = "w_") -> DataFra
     happens within the row, so that nothing but the join that brought line and window together is shuffled.
     """
     n = F.size("points")
-    along = lambda t, a, b: a + t * (b - a)
 
-    def leg(p: Column, q: Column) -> Column:
-        enter, leave, ok = segment_clip((p["x"], p["y"]), (q["x"], q["y"]), w)
-        at = {f"{e}{c}": along(t, p[c], q[c]) for e, t in (("a", enter), ("b", leave)) for c in ("x", "y")}
-        return F.when(ok, F.struct(*[v.alias(k) for k, v in at.items()]))
+    def timed(p: Column, q: Column) -> Column:
+        enter, leave, flat_ok = segment_clip((p["x"], p["y"]), (q["x"], q["y"]), w)
+        return F.struct(p.alias("p"), q.alias("q"), enter.alias("t0"), leave.alias("t1"), flat_ok.alias("ok"))
+
+    def leg(s: Column) -> Column:
+        at = lambda t, c: s["p"][c] + s[t] * (s["q"][c] - s["p"][c])
+        length = (s["t1"] - s["t0"]) * F.greatest(F.abs(s["q"]["x"] - s["p"]["x"]), F.abs(s["q"]["y"] - s["p"]["y"]))
+        ends = F.struct(at("t0", "x").alias("ax"), at("t0", "y").alias("ay"), at("t1", "x").alias("bx"), at("t1", "y").alias("by"))
+        return F.when(s["ok"] & (s["t0"] <= s["t1"]) & (length > EPS), ends)
 
-    long = lambda s: s.isNotNull() & ((F.abs(s["bx"] - s["ax"]) > EPS) | (F.abs(s["by"] - s["ay"]) > EPS))
-    rows = lines.where(n >= 2).select(*keys, F.zip_with(F.slice("points", 1, n - 1), F.slice("points", 2, n - 1), leg).alias("_legs"))
-    rows = rows.select(*keys, F.transform("_legs", lambda s: F.when(long(s), s)).alias("_legs")).where(F.exists("_legs", lambda s: s.isNotNull()))
+    rows = lines.where(n >= 2).select(*keys, F.zip_with(F.slice("points", 1, n - 1), F.slice("points", 2, n - 1), timed).alias("_legs"))
+    rows = rows.select(*keys, F.transform("_legs", leg).alias("_legs")).where(F.exists("_legs", lambda s: s.isNotNull()))
     # A piece begins at a leg that the one before it doesn't lead into, and goes on until the next begins or a gap comes.
     before = lambda i: F.get("_legs", i - 1)
     leads = lambda s, i: F.coalesce((F.abs(before(i)["bx"] - s["ax"]) <= EPS) & (F.abs(before(i)["by"] - s["ay"]) <= EPS), F.lit(False))
