@@ -24,10 +24,13 @@ def _ranked(rects: DataFrame, keys: tuple[str, ...], seq: str) -> DataFrame:
     """Rectangles with ``_top``: their paint order within the keys in the high half, their id in the low half.
 
     The order is ranked before the pixels exist, so that the many pixel rows carry one long and meet in a hash
-    aggregate by its maximum. Ids and rectangles of a window stay below 2^31.
+    aggregate by its maximum. Only rectangles of one layer can meet, so ranks are those within a window's layer. Ids of
+    2^31 and more raise.
     """
-    order = F.row_number().over(Window.partitionBy(*keys).orderBy(seq)).cast("long")
-    return rects.withColumn("_top", F.shiftleft(order, 32).bitwiseOR(F.greatest(F.col("cid"), F.lit(0)).cast("long")))
+    order = F.row_number().over(Window.partitionBy(*keys, "layer").orderBy(seq)).cast("long")
+    cid = F.greatest(F.col("cid"), F.lit(0)).cast("long")
+    cid = F.when(cid >= 1 << 31, F.raise_error(F.lit("conductor id of 2^31 or more")).cast("long")).otherwise(cid)
+    return rects.withColumn("_top", F.shiftleft(order, 32).bitwiseOR(cid))
 
 
 def paint(rects: DataFrame, keys: tuple[str, ...] = ("window_id",), seq: str = "seq") -> DataFrame:

@@ -255,3 +255,9 @@ def test_surface_cloud(spark):
         got = points.surface_cloud(b, media, masters, ["k0"], n, 3).collect()
         assert len(got) == n and {r.flux for r in got} == {1.0, -1.0, 0.0}
         assert all(r.flux == {"n0": 1.0, "n1": 0.0, "n2": -1.0}[r.net] and r.er == (2.0 if r.z < 1.5 else 4.0) for r in got)
+
+
+def test_large_ids_raise(spark):
+    d = spark.createDataFrame([("w", 0, 1 << 31, 0, 1, 0, 1, 0)], "window_id string, layer int, cid long, px0 int, px1 int, py0 int, py1 int, seq int")
+    with pytest.raises(Exception, match="2.31"):
+        raster.paint(d).collect()
