@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import scratch
-from ..operators import labels
+from ..operators import labels, layout
 from ..sinks import export, shards, text as text_sink
 from ..sources import cap3d, catalog, lefdef, solver, spef
 from . import base
@@ -244,6 +244,48 @@ def s15_lef_rects(spark, sf_dir):
     return lefdef.read_lef(_lef_text(spark, sf_dir)).where("kind in ('pin_rect', 'obs_rect')").select("macro", "pin", "use", "layer", "x1")
 
 
+_CELL = """MACRO {cell}
+  SIZE 4 BY 4 ;
+  PIN A
+    LAYER metal1 ;
+    RECT 0 0 1 2 ;
+  END A
+  PIN VDD
+    USE POWER ;
+    LAYER metal1 ;
+    RECT 0 3.5 4 4 ;
+  END VDD
+  OBS
+    LAYER metal2 ;
+    RECT 0 3 0.5 4 ;
+    RECT 1 1 2 2 ;
+    RECT 2 1 3 1.5 ;
+  END
+END {cell}
+"""
+
+
+@query("""WITH c AS (SELECT c_nationkey AS w, c_custkey AS k, c_custkey % 4 AS o, c_custkey % 800 / 8.0 AS x, c_custkey % 50 * 1.5 AS y FROM customer),
+    r(label, layer, x0, y0, x1, y1) AS (VALUES ('PIN_A', 'metal1', 0.0, 0.0, 1.0, 2.0), ('SUPPLY_POWER', 'metal1', 0.0, 3.5, 4.0, 4.0), ('OBS0', 'metal2', 0.0, 3.0, 0.5, 4.0), ('OBS1', 'metal2', 1.0, 1.0, 2.0, 2.0), ('OBS1', 'metal2', 2.0, 1.0, 3.0, 1.5))
+    SELECT CAST(w AS VARCHAR) AS window_id, concat('__lef__/u', k, '/', label) AS conductor, true AS synthetic, layer, round(x + CASE WHEN o IN (1, 2) THEN 4 - x1 ELSE x0 END, 4) AS x0, round(x + CASE WHEN o IN (1, 2) THEN 4 - x0 ELSE x1 END, 4) AS x1,
+      round(y + CASE WHEN o IN (1, 3) THEN 4 - y1 ELSE y0 END, 4) AS y0, round(y + CASE WHEN o IN (1, 3) THEN 4 - y0 ELSE y1 END, 4) AS y1 FROM c, r
+    UNION ALL SELECT CAST(w AS VARCHAR), concat('net_u', k), false, 'metal1', round(x - 0.07, 4), round(x + 3.07, 4), round(y - 0.07, 4), round(y + 0.07, 4) FROM c""")
+def r07_def_rects(spark, sf_dir):
+    """Routes, pins, supplies and obstructions of all placements, in all upright orientations."""
+    k = F.col("c_custkey")
+    comps = _placements(spark, sf_dir).drop("orient", "y").join(
+        table(spark, sf_dir, "customer").select(say("u", k).alias("name"), F.element_at(F.array(*map(F.lit, ("N", "S", "FN", "FS"))), (k % 4 + 1).cast("int")).alias("orient"), (k % 50 * F.lit(1.5)).alias("y")), "name"
+    )
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    routes = comps.select("window_id", F.concat(F.lit("net_"), "name").alias("net"), F.lit(0).alias("seq"), F.lit("metal1").alias("layer"), F.lit(0.14).alias("width"), F.array(point(F.col("x"), F.col("y")), point(F.col("x") + 3, F.col("y"))).alias("points"))
+    windows = comps.select("window_id").distinct().select("window_id", *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 200.0), ("y1", 200.0))])
+    design = lefdef.read_def(texts(text_sink.windowed_def("top", 2000, comps, routes, windows)))
+    cells = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("cell")).distinct()
+    macros = lefdef.read_lef(texts(cells.select(F.col("cell").alias("window_id"), F.replace(F.lit(_CELL), F.lit("{cell}"), F.col("cell")).alias("text"))))
+    found = layout.def_rects(design, macros)
+    return found.select("window_id", "conductor", "synthetic", "layer", *[F.round(c, 4).alias(c) for c in ("x0", "x1", "y0", "y1")])
+
+
 @query("SELECT concat('Layer', p_partkey) AS layer_name, CAST(p_size AS INTEGER) AS gds, CAST(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 5 END AS INTEGER) AS dtype FROM part")
 def s29_layermap(spark, sf_dir):
     k = F.col("p_partkey")

@@ -163,13 +163,29 @@ def t02_top_discrepancies(spark, sf_dir):
     return compare.worst(rows, 5, "k", column="gap")
 
 
-@query("""SELECT n_nationkey AS window_id, CAST(row_number() OVER (ORDER BY n_name DESC) - 1 AS INTEGER) AS position FROM nation WHERE n_nationkey % 2 = 1""")
+@query("""SELECT CAST(conv_id AS VARCHAR) AS window_id, position, samples FROM (SELECT conv_id, CAST(row_number() OVER (ORDER BY CAST(conv_id AS VARCHAR) DESC) - 1 AS INTEGER) AS position FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 = 1))
+    JOIN (SELECT conv_id, count(*) AS samples FROM conversations GROUP BY 1) USING (conv_id)""")
 def l08_window_subset(spark, sf_dir):
-    order = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 1").withColumn("position", F.row_number().over(Window.orderBy(F.desc("n_name"))) - 1)
-    return order.join(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey").select(F.col("n_nationkey").alias("window_id"), "position")
+    """A subset of windows in an order of the caller's, with what comes along."""
+    from ..serve import WindowSamples
 
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("window_id"), F.col("turn").alias("sample"))
+    index = turns.select("window_id", F.lit(0).alias("position")).distinct()
+    wanted = sorted((r["window_id"] for r in index.collect() if int(r["window_id"]) % 7 == 1), reverse=True)  # a caller's list
+    kept = WindowSamples(turns, index, turns, turns).subset(wanted)
+    return kept.index.join(kept.samples.groupBy("window_id").agg(F.count("*").alias("samples")), "window_id").select("window_id", "position", "samples")
 
-@query("SELECT n_nationkey, CAST(k // 4 AS INTEGER) AS shard_id FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation)")
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS window_id, CAST(k // 4 AS INTEGER) AS shard_id, CAST(k % 4 AS INTEGER) AS shard_offset FROM (SELECT conv_id, row_number() OVER (ORDER BY conv_id % 2, conv_id) - 1 AS k FROM (SELECT DISTINCT conv_id FROM conversations))""")
 def k08_arrival_shards(spark, sf_dir):
-    order = table(spark, sf_dir, "nation").withColumn("position", F.row_number().over(Window.orderBy("n_nationkey")) - 1)
-    return samples.shards(order, 4).select("n_nationkey", "shard_id")
+    """Two batches of windows, each in order of arrival; the second goes on in the first one's last shard."""
+    from ..sinks import shards
+    from .formats import out_folder
+
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("window_id"), "conv_id", F.lit(0).alias("layer"), F.lit(0).alias("y"), F.col("turn").alias("x"), F.lit(1.0).alias("density"), (F.col("turn") + 1).cast("long").alias("cid"))
+    windows = turns.select("window_id", "conv_id", F.array(F.lit("M1")).alias("layer_names"), F.array(F.lit(True)).alias("layer_has_density"), F.lit(64).alias("height"), F.lit(64).alias("width")).distinct()
+    folder = out_folder(spark, "shards")
+    for batch in (0, 1):
+        here = F.col("conv_id") % 2 == batch
+        index = shards.append(turns.where(here).drop("conv_id"), windows.where(here), folder, 4, arrival="conv_id")
+    return index.select("window_id", "shard_id", "shard_offset")
