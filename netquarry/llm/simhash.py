@@ -119,6 +119,11 @@ def anchors_of(half: Column, reach: int) -> Column:
     return F.when(syndrome == 0, F.array(home)).otherwise(F.concat(F.array(home), two))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows in as many parts as shuffles have: those that come from a few small files are about to be replicated."""
+    return rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def linked(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links ``a < b`` of the distinct fingerprints ``fp`` that differ in ``threshold`` (3 or fewer) bits at most.
 
@@ -169,7 +174,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: the id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id reachable by links."""
     rows = materialize(docs.select(F.col(id_col).alias("id"), fingerprints(docs, text_col, width).alias("fp")), "simhash-rows")
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-nodes")
-    roots = contract(linked(nodes.select("fp"), threshold))
+    roots = contract(linked(spread(nodes.select("fp"), "fp"), threshold))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialize(rooted.join(least, "root").select("fp", "component_id"), "simhash-components")
@@ -303,7 +308,7 @@ def similar_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame])
     def starred(found: DataFrame) -> DataFrame:
         return close(found.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
 
-    coarse = met(anchored(nodes, nodes.count()), "near-coarse")
+    coarse = met(anchored(spread(nodes, "node"), nodes.count()), "near-coarse")
     stars = starred(coarse)
     # Members that their anchor's head doesn't hold, where there are several, meet at finer anchors.
     loose = coarse.where("c > 2 and head <> node").join(stars, (F.col("head") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti").select("anchor", "node")
