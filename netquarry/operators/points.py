@@ -68,8 +68,8 @@ def ball(queries: DataFrame, points: DataFrame, keys: list[str], radius: float,
     return found.withColumn("ids", F.concat("ids", F.array_repeat(F.col("ids")[0], F.lit(n) - F.size("ids"))))
 
 
-def farthest(points: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """Farthest point sampling per cloud: ``order`` and ``p_idx`` of n points, the first drawn by seed.
+def farthest(points: DataFrame, key: str, n: int, seed: int = 0, start: int | None = None) -> DataFrame:
+    """Farthest point sampling per cloud: ``order`` and ``p_idx`` of n points, the first drawn by seed or at place ``start``.
 
     Inherently sequential in a cloud, so each cloud is one group; clouds are windows of bounded size.
     """
@@ -78,7 +78,7 @@ def farthest(points: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     def pick(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("p_idx")
         xyz = g[list(XYZ)].to_numpy(dtype=float)
-        at = int(np.random.default_rng(seed).integers(len(xyz)))
+        at = int(np.random.default_rng(seed).integers(len(xyz))) if start is None else start % len(xyz)
         far, out = np.full(len(xyz), np.inf), []
         for _ in range(min(n, len(xyz))):
             out.append(at)
