@@ -43,14 +43,77 @@ def square_distance(a: str, b: str) -> Column:
     return sum(((F.col(f"{a}{c}") - F.col(f"{b}{c}")) ** 2 for c in XYZ[1:]), (F.col(f"{a}x") - F.col(f"{b}x")) ** 2)
 
 
-def nearest(queries: DataFrame, points: DataFrame, keys: list[str], k: int) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, keys: list[str], k: int, per_cell: int = 8) -> DataFrame:
     """The k nearest points of a cloud per query point, ties to the smaller index. Clouds meet by key.
 
-    queries: (keys, q_idx, q_x …); points: (keys, p_idx, p_x …). Each task keeps k per query by a partial aggregate.
+    queries: (keys, q_idx, q_x …); points: (keys, p_idx, p_x …). Points lie in the cells of a grid, some ``per_cell`` to a
+    cell. A query looks into the cells around it ring by ring, first one, then twice as many; once it has k points it
+    visits those other cells that lie nearer than the k-th, and no more. Queries that three rounds of rings don't satisfy
+    look through the list of cells that hold points.
     """
-    pairs = queries.join(points, keys).withColumn("d2", square_distance("q_", "p_"))
-    order = Window.partitionBy(*keys, "q_idx").orderBy("d2", "p_idx")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "q_idx", "rank", "p_idx", "d2")
+    from ..lineage import ensure_checkpoints
+
+    ensure_checkpoints(points.sparkSession)
+    cell = [f"_{c}" for c in XYZ]
+    lo, hi = (lambda c: F.col(f"_lo_{c}")), (lambda c: F.col(f"_hi_{c}"))
+    span = points.groupBy(*keys).agg(F.count("*").alias("_n"), *[f(f"p_{c}").alias(f"_{e}_{c}") for c in XYZ for e, f in (("lo", F.min), ("hi", F.max))])
+    # The cell's side: as long as a cube that holds ``per_cell`` points where they fill their box evenly.
+    widest = F.greatest(*[hi(c) - lo(c) for c in XYZ])
+    volume = F.lit(1.0)
+    for c in XYZ:
+        volume = volume * F.greatest(hi(c) - lo(c), widest / 64)
+    side = F.when(widest > 0, F.cbrt(volume * per_cell / F.col("_n"))).otherwise(1.0)
+    span = span.select(*keys, side.alias("_s"))
+    held = points.join(span, keys)
+    held = held.withColumns({f"_{c}": F.floor(F.col(f"p_{c}") / F.col("_s")) for c in XYZ}).select(*keys, "p_idx", *[f"p_{c}" for c in XYZ], *cell, "_s").checkpoint()
+    cells = held.select(*keys, *cell).distinct()
+    home = {f"_h{c}": F.floor(F.col(f"q_{c}") / F.col("_s")) for c in XYZ}
+    asked = queries.join(span, keys).withColumns(home).select(*keys, "q_idx", *[f"q_{c}" for c in XYZ], *home, "_s").checkpoint()
+    best = Window.partitionBy(*keys, "q_idx").orderBy("d2", "p_idx")
+
+    def seen(visits: DataFrame) -> DataFrame:
+        """The k best of the visited cells' points."""
+        pairs = visits.join(held.drop("_s"), [*keys, *cell]).withColumn("d2", square_distance("q_", "p_"))
+        return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(*keys, "q_idx", "rank", "p_idx", "d2")
+
+    def ring(rows: DataFrame, inner: int, outer: int) -> DataFrame:
+        """Visits of the cells more than ``inner`` and up to ``outer`` away (``inner`` -1: the home cell too)."""
+        out = rows
+        for c in XYZ:
+            out = out.withColumn(f"_o{c}", F.explode(F.sequence(F.lit(-outer), F.lit(outer))))
+        far = F.greatest(*[F.abs(f"_o{c}") for c in XYZ])
+        return out.where(far > inner).withColumns({f"_{c}": F.col(f"_h{c}") + F.col(f"_o{c}") for c in XYZ})
+
+    def gap() -> Column:
+        """Squared distance of a query from a cell's box, a little less for rounding."""
+        out = F.lit(0.0)
+        for c in XYZ:
+            low = F.col(f"_{c}") * F.col("_s")
+            away = F.greatest(low - F.col(f"q_{c}"), F.col(f"q_{c}") - low - F.col("_s"), F.lit(0.0))
+            out = out + away * away
+        return out * (1 - 1e-9)
+
+    found, left, inner = None, asked, -1
+    for outer in (1, 2, 4):
+        here = seen(ring(left, inner, outer))
+        here = here if found is None else found.join(left.select(*keys, "q_idx"), [*keys, "q_idx"], "left_semi").unionByName(here).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        here = here.checkpoint()
+        reach = here.groupBy(*keys, "q_idx").agg(F.max("rank").alias("_m"), F.max("d2").alias("_d2"))
+        state = left.join(reach, [*keys, "q_idx"], "left")
+        # Beyond the rings everything is ``outer`` sides away at least.
+        full, settled = F.coalesce(F.col("_m") == k, F.lit(False)), F.col("_d2") < (outer * F.col("_s")) ** 2 * (1 - 1e-9)
+        more = state.where(full & ~settled).withColumn("_outer", F.lit(outer))
+        bounded = more if inner < 0 else bounded.unionByName(more)
+        found = here if found is None else found.join(left.select(*keys, "q_idx"), [*keys, "q_idx"], "left_anti").unionByName(here)
+        left, inner = state.where(~full).drop("_m", "_d2").checkpoint(), outer
+        if not left.limit(1).count():
+            break
+    # What is full looks into the occupied cells within its k-th distance, what isn't into all that hold points.
+    rest = bounded.unionByName(left.withColumns({"_m": F.lit(0), "_d2": F.lit(None).cast("double"), "_outer": F.lit(inner)}))
+    within = F.col("_d2").isNull() | (gap() <= F.col("_d2"))
+    new = F.greatest(*[F.abs(F.col(f"_{c}") - F.col(f"_h{c}")) for c in XYZ]) > F.col("_outer")
+    last = seen(rest.join(cells, keys).where(within & new))
+    return found.drop("rank").unionByName(last.drop("rank")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(*keys, "q_idx", "rank", "p_idx", "d2")
 
 
 def ball(queries: DataFrame, points: DataFrame, keys: list[str], radius: float, n: int) -> DataFrame:
@@ -97,85 +160,150 @@ def resampled(points: DataFrame, keys: list[str], n: int, seed: int) -> DataFram
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).drop("_k", "_n")
 
 
+def block_frame(base: Column, v1: Column, v2: Column, h: Column) -> Column:
+    """A block as the struct that :func:`surface_points` takes: a corner and three edge vectors, arrays of three."""
+    return F.struct(base.alias("base"), v1.alias("v1"), v2.alias("v2"), h.alias("h"))
+
+
+def _cross(a: Column, b: Column) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def _length(v) -> Column:
+    return F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+
+
 def face_counts(blocks: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Points per block by its share of the window's surface, one at least."""
-    area = 2 * (F.col("dx") * F.col("dy") + F.col("dy") * F.col("dz") + F.col("dx") * F.col("dz"))
-    total = blocks.groupBy(*keys).agg(F.sum(area).alias("total"))
-    return blocks.join(total, keys).withColumn("count", F.greatest(F.lit(1), F.floor(n * area / F.col("total")))).drop("total")
+    """Points per block (``count``) by its share of the window's surface, one at least.
+
+    A block's surface counts as that of a cuboid with its edges' lengths; a block without any counts as 1.
+    """
+    a, b, c = (_length(F.col(f"frame.{v}")) for v in ("v1", "v2", "h"))
+    area = 2 * (a * b + a * c + b * c)
+    sized = blocks.withColumn("_area", F.when((area > 0) & (area < float("inf")), area))
+    total = sized.groupBy(*keys).agg(F.sum("_area").alias("_sum"), F.count("*").alias("_n"))
+    total = total.select(*keys, F.when(F.col("_sum") > 0, F.col("_sum")).otherwise(F.col("_n")).alias("_total"))
+    return sized.join(total, keys).withColumn("count", F.greatest(F.lit(1), F.floor(n * F.coalesce("_area", F.lit(1.0)) / F.col("_total")))).drop("_area", "_total")
 
 
 def surface_points(blocks: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
-    """Points on the surfaces of axis-aligned blocks: faces by area, uniform within, with outward normals.
+    """Points on the surfaces of blocks, tilted ones too: faces by their area, uniform within, with the face's normal.
 
-    blocks: (keys, block, x0, y0, z0, dx, dy, dz, net). Draws are hashes of seed, block and number, so reruns agree.
+    blocks: (keys, block, net, frame), ``frame`` as :func:`block_frame` gives it. Normals are those of the block's upright
+    faces: -z and z where the first two edges span the face, -y and y for the first and third, -x and x for the others.
+    Draws are hashes of seed, block and number, so reruns agree.
     """
+    # Draws of 40 bits.
     draw = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "block", "k"), F.lit(1 << 40)) / float(1 << 40))
-    rows = face_counts(blocks, keys, n).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
-    rows = rows.withColumns({"u": draw(1), "v": draw(2), "f": draw(3), "side": F.when(draw(4) < 0.5, 0.0).otherwise(1.0)})
-    ax, ay, az = F.col("dy") * F.col("dz"), F.col("dx") * F.col("dz"), F.col("dx") * F.col("dy")
-    face = F.when(F.col("f") * (ax + ay + az) < ax, "x").when(F.col("f") * (ax + ay + az) < ax + ay, "y").otherwise("z")
-    rows = rows.withColumn("face", face)
-    is_face = lambda c: F.col("face") == c
-    share = {
-        "x": F.when(is_face("x"), F.col("side")).otherwise(F.col("u")),
-        "y": F.when(is_face("y"), F.col("side")).when(is_face("x"), F.col("u")).otherwise(F.col("v")),
-        "z": F.when(is_face("z"), F.col("side")).otherwise(F.col("v")),
-    }
-    at = {c: F.col(f"{c}0") + share[c] * F.col(f"d{c}") for c in XYZ}
-    normal = {f"n{c}": F.when(F.col("face") == c, 2 * F.col("side") - 1).otherwise(0.0) for c in XYZ}
-    return rows.withColumns(at | normal).select(*keys, "block", "net", "k", *XYZ, "nx", "ny", "nz")
+    base, v1, v2, h = (F.col(f"frame.{v}") for v in ("base", "v1", "v2", "h"))
+    areas = {f"_a{i}": F.coalesce(_length(_cross(a, b)), F.lit(0.0)) for i, (a, b) in enumerate([(v1, v2), (v1, h), (v2, h)])}
+    rows = face_counts(blocks, keys, n).withColumns(areas).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
+    all_ = F.col("_a0") + F.col("_a1") + F.col("_a2")
+    at, none = draw(3) * all_, all_ == 0
+    pair = F.when(none, F.floor(draw(3) * 3).cast("int")).when(at < F.col("_a0"), 0).when(at < F.col("_a0") + F.col("_a1"), 1).otherwise(2)
+    rows = rows.withColumns({"_pair": pair, "_far": draw(4) >= 0.5, "_u": draw(1), "_v": draw(2)})
+    is_pair = lambda i: F.col("_pair") == i
+    far = F.when(F.col("_far"), 1.0).otherwise(0.0)
+    # Shares of the three edges: two drawn, the third at one end.
+    along = (F.when(is_pair(2), far).otherwise(F.col("_u")), F.when(is_pair(0), F.col("_v")).when(is_pair(1), far).otherwise(F.col("_u")), F.when(is_pair(0), far).otherwise(F.col("_v")))
+    out = {c: base[i] + along[0] * v1[i] + along[1] * v2[i] + along[2] * h[i] for i, c in enumerate(XYZ)}
+    out |= {f"n{c}": F.when(is_pair(i), 2 * far - 1).otherwise(0.0) for c, i in zip(XYZ, (2, 1, 0), strict=True)}
+    return rows.withColumns(out).select(*keys, "block", "net", "k", *XYZ, "nx", "ny", "nz")
+
+
+def drawn(rows: DataFrame, keys: list[str], ids: list[str], n: int, seed: int) -> DataFrame:
+    """``n`` rows of each group (all, if fewer) by a seeded draw without replacement: those of least hash of ``ids``.
+
+    The group's n-th least hash is found by refined quantiles, so that no task holds a group; ties go by ``ids``.
+    """
+    from .quantiles import order_statistic
+
+    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), *ids))
+    last = order_statistic(hashed.select(*keys, "_h"), keys, "_h", n).withColumnRenamed("value", "_last")
+    near = hashed.join(last, keys, "left").where(F.col("_last").isNull() | (F.col("_h") <= F.col("_last")))
+    tied = near.where(F.col("_h") == F.col("_last")).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*ids)))
+    room = near.where(F.col("_h") < F.col("_last")).groupBy(*keys).agg(F.count("*").alias("_below"))
+    tied = tied.join(room, keys, "left").where(F.col("_k") <= F.lit(n) - F.coalesce("_below", F.lit(0))).drop("_k", "_below")
+    return near.where(F.col("_last").isNull() | (F.col("_h") < F.col("_last"))).unionByName(tied).drop("_h", "_last")
 
 
 def surface_cloud(blocks: DataFrame, media: DataFrame, masters: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
-    """Exactly n points per window on its conductors' surfaces, with normals, permittivity and flux.
+    """At most n points per window on its conductors' surfaces, with normals, permittivity and flux.
 
     blocks: as in :func:`surface_points`, with ``tech``; media: (tech, er, z_top); masters: (keys, pos, neg). Flux is 1 on
-    the positive conductor's points, -1 on the negative's, else 0.
+    the positive conductor's points, -1 on the negative's, else 0. Every block has its share of points, one at least; of
+    more than n in all n are drawn without replacement.
     """
     from .samples import flux
     from .stack import dielectric_at
 
     techs = blocks.select(*keys, "tech").distinct()
-    rows = dielectric_at(surface_points(blocks, keys, n, seed).join(techs, keys), media)
-    rows = rows.join(masters, keys).withColumn("flux", flux(F.col("net"), F.col("pos"), F.col("neg"))).drop("pos", "neg", "tech")
-    return resampled(rows.withColumn("p_idx", F.xxhash64("block", "k")), keys, n, seed).drop("p_idx", "copy")
+    rows = drawn(surface_points(blocks, keys, n, seed), keys, ["block", "k"], n, seed + 1)
+    rows = dielectric_at(rows.join(techs, keys), media)
+    return rows.join(masters, keys).withColumn("flux", flux(F.col("net"), F.col("pos"), F.col("neg"))).drop("pos", "neg", "tech")
+
 
+def grid_cells(points: DataFrame, bounds: dict[str, tuple[Column | float, Column | float]], n: int) -> DataFrame:
+    """Interval number per axis between ``n`` evenly spaced edges, the last edge included: 0 to n - 2; -1 outside the bounds.
 
-def grid_cells(points: DataFrame, bounds: dict[str, tuple[float, float]], n: int) -> DataFrame:
-    """Cell number per axis, -1 outside the bounds."""
+    bounds: least and largest value of each axis, numbers or columns.
+    """
     def cell(c: str) -> Column:
-        lo, hi = bounds[c]
-        return F.when((F.col(c) < lo) | (F.col(c) >= hi), -1).otherwise(F.floor((F.col(c) - lo) / (hi - lo) * n)).cast("int")
+        lo, hi = (v if isinstance(v, Column) else F.lit(float(v)) for v in bounds[c])
+        step = F.least(F.floor((F.col(c) - lo) / (hi - lo) * (n - 1)), F.lit(n - 2))
+        return F.when((F.col(c) < lo) | (F.col(c) > hi) | (hi <= lo), -1).otherwise(step).cast("int")
 
     return points.withColumns({f"g{c}": cell(c) for c in XYZ})
 
 
-def spread_density(points: DataFrame, key: str, n: int, decay: float = 0.5) -> DataFrame:
-    """Per cell the density that spreads from seed cells through conductor cells, by breadth-first search per cloud.
+def spread_density(points: DataFrame, key: str, n: int, decay: float = 0.9, start: float = 0.9) -> DataFrame:
+    """The density of every cell of each cloud's ``n`` x ``n`` x ``n`` grid: (key, gx, gy, gz, points, density).
+
+    points: (key, gx, gy, gz, is_seed). Cells with a seed point have ``start``; from there density spreads to the six
+    neighbours, step by step: a cell takes the least density of its neighbours that are reached already, times ``decay`` if
+    one of these holds points, unchanged if it comes through empty cells alone. A cloud without seeds has none.
 
-    points: (key, gx, gy, gz, is_seed). Sequential in a cloud; its grid bounds the work.
+    Points are counted by cell before a cloud's cells meet, so that a group holds ``n`` to the third rows at most.
     """
     kind = dict(points.dtypes)[key]
-
-    def bfs(g: pd.DataFrame) -> pd.DataFrame:
-        cells: dict[tuple, bool] = {}
-        for x, y, z, s in zip(g["gx"], g["gy"], g["gz"], g["is_seed"], strict=True):
-            if min(x, y, z) >= 0:
-                cells[x, y, z] = cells.get((x, y, z), False) or bool(s)
-        level = {c: 0 for c, s in sorted(cells.items()) if s}
-        front = list(level)
-        while front:
-            nxt = []
-            for x, y, z in front:
-                for c in ((x + 1, y, z), (x - 1, y, z), (x, y + 1, z), (x, y - 1, z), (x, y, z + 1), (x, y, z - 1)):
-                    if c in cells and c not in level:
-                        level[c] = level[x, y, z] + 1
-                        nxt.append(c)
-            front = nxt
-        rows = [(g[key].iloc[0], *c, decay ** level[c] if c in level else 0.0) for c in sorted(cells)]
-        return pd.DataFrame(rows, columns=[key, "gx", "gy", "gz", "density"])
-
-    return points.groupBy(key).applyInPandas(bfs, f"{key} {kind}, gx int, gy int, gz int, density double")
+    cells = points.where((F.col("gx") >= 0) & (F.col("gy") >= 0) & (F.col("gz") >= 0))
+    cells = cells.groupBy(key, "gx", "gy", "gz").agg(F.count("*").alias("points"), F.bool_or("is_seed").alias("is_seed"))
+
+    def around(grid: np.ndarray, fill: float) -> list[np.ndarray]:
+        wide = np.pad(grid, 1, constant_values=fill)
+        return [np.roll(wide, by, axis)[1:-1, 1:-1, 1:-1] for axis in range(3) for by in (1, -1)]
+
+    def spread(g: pd.DataFrame) -> pd.DataFrame:
+        held, density = np.zeros((n, n, n), dtype=np.int64), np.full((n, n, n), np.inf)
+        at = tuple(g[c].to_numpy() for c in ("gx", "gy", "gz"))
+        held[at] = g["points"]
+        seeds = g["is_seed"].fillna(False).to_numpy(dtype=bool)
+        density[tuple(a[seeds] for a in at)] = start
+        while True:
+            reached = np.isfinite(density)
+            least = np.minimum.reduce(around(density, np.inf))
+            through = np.logical_or.reduce(around(reached & (held > 0), False))
+            new = ~reached & np.isfinite(least)
+            if not new.any():
+                break
+            density[new] = (np.where(through, decay, 1.0) * np.where(np.isfinite(least), least, 0.0))[new]
+        x, y, z = (a.ravel() for a in np.indices((n, n, n)))
+        return pd.DataFrame({key: g[key].iloc[0], "gx": x, "gy": y, "gz": z, "points": held.ravel(), "density": np.where(np.isfinite(density), density, 0.0).ravel()})
+
+    return cells.groupBy(key).applyInPandas(spread, f"{key} {kind}, gx int, gy int, gz int, points long, density double")
+
+
+def grid_sample(points: DataFrame, key: str, bounds: dict[str, tuple[Column | float, Column | float]], n: int, most: int, seed: int, decay: float = 0.9, start: float = 0.9) -> DataFrame:
+    """``most`` points a cloud (all, if fewer), those of largest ``weight``: a seeded draw times the density of their cell.
+
+    points: (key, p_idx, x, y, z, flux); points of the two electrodes (flux not 0) are seeds. Points outside the bounds
+    have weight 0.
+    """
+    placed = grid_cells(points, bounds, n)
+    density = spread_density(placed.withColumn("is_seed", F.col("flux") != 0), key, n, decay, start).drop("points")
+    draw = F.pmod(F.xxhash64(F.lit(seed), "p_idx"), F.lit(1 << 40)) / float(1 << 40)
+    weighed = placed.join(density, [key, "gx", "gy", "gz"], "left").withColumn("weight", draw * F.coalesce("density", F.lit(0.0)))
+    return weighted_top(weighed, [key], F.col("weight"), most).drop("gx", "gy", "gz", "density")
 
 
 def weighted_top(points: DataFrame, keys: list[str], weight: Column, n: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""GDSII stream files: elements by cell, and rectangles in micrometres.
+"""GDSII stream files: elements by cell, polygons and rectangles in micrometres, placed by their hierarchy.
 
 Hierarchy is flattened one level at a time by joins, so that a cell placed often is read once.
 """
@@ -8,6 +8,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 # Record types of the format.
 UNITS, ENDSTR, STRNAME, BOUNDARY, PATH, SREF, AREF, TEXT = 0x03, 0x07, 0x06, 0x08, 0x09, 0x0A, 0x0B, 0x0C
 LAYER, DATATYPE, WIDTH, XY, ENDEL, SNAME, COLROW, STRANS, MAG, ANGLE, BOX = 0x0D, 0x0E, 0x0F, 0x10, 0x11, 0x12, 0x13, 0x1A, 0x1B, 0x1C, 0x2D
+PATHTYPE, BGNEXTN, ENDEXTN = 0x21, 0x30, 0x31
+FLUSH, ROUND, SQUARE, GIVEN = 0, 1, 2, 4  # ends of paths
 ELEMENTS = {BOUNDARY: "boundary", PATH: "path", SREF: "ref", AREF: "array", TEXT: "text", BOX: "box"}
-SCHEMA = "path string, seq long, cell string, kind string, layer int, dtype int, width long, name string, mirrored boolean, angle double, mag double, cols int, rows int, xy array<long>, dbu double"
+SCHEMA = "path string, seq long, cell string, kind string, layer int, dtype int, width long, name string, mirrored boolean, angle double, mag double, cols int, rows int, xy array<long>, dbu double, ends int, start_ext long, end_ext long"
+ROUND_STEPS = 8  # corners of a round end
 
 
 def real8(b: bytes) -> float:
@@ -49,8 +53,10 @@ def elements(data: bytes) -> Iterator[dict]:
         elif e is not None:
             if kind in (LAYER, DATATYPE):
                 e["layer" if kind == LAYER else "dtype"] = struct.unpack(">h", body)[0]
-            elif kind == WIDTH:
-                e["width"] = struct.unpack(">i", body)[0]
+            elif kind in (WIDTH, BGNEXTN, ENDEXTN):
+                e[{WIDTH: "width", BGNEXTN: "start_ext", ENDEXTN: "end_ext"}[kind]] = struct.unpack(">i", body)[0]
+            elif kind == PATHTYPE:
+                e["ends"] = struct.unpack(">h", body)[0]
             elif kind == XY:
                 e["xy"] = list(struct.unpack(f">{len(body) // 4}i", body))
             elif kind == SNAME:
@@ -128,3 +134,106 @@ def flattened(rows: DataFrame, top: str) -> DataFrame:
         if not placed.limit(1).count():
             return out
     raise RuntimeError("a cell is placed within itself")
+
+
+def outline(xy: list[float], width: float, ends: int = FLUSH, start: float = 0.0, end: float = 0.0) -> list[float]:
+    """Corners of a path's outline: mitred at turns up to a right angle, beyond it cut square half a width out.
+
+    Ends are flush, round (``ROUND_STEPS`` corners), square (half a width longer) or given lengths longer. A path without
+    width or length is empty, unless its ends give it one.
+    """
+    p = np.asarray(xy, dtype=float).reshape(-1, 2)
+    p = p[np.concatenate([[True], (np.diff(p, axis=0) != 0).any(1)])] if len(p) else p
+    h = abs(width) / 2
+    start, end = {FLUSH: (0.0, 0.0), ROUND: (0.0, 0.0), GIVEN: (start, end)}.get(ends, (h, h))
+    if not h or not len(p) or len(p) == 1 and ends != ROUND and start + end <= 0:
+        return []
+    d = np.diff(p, axis=0) if len(p) > 1 else np.array([[1.0, 0.0]])
+    d /= np.hypot(*d.T)[:, None]
+    n = np.column_stack([-d[:, 1], d[:, 0]])
+    left, right = [p[0] - d[0] * start + n[0] * h], [p[0] - d[0] * start - n[0] * h]
+    for k in range(1, len(p) - 1):
+        turn, along = d[k - 1, 0] * d[k, 1] - d[k - 1, 1] * d[k, 0], d[k - 1] @ d[k]
+        reach = (n[k - 1] + n[k]) / (1 + along) * h if along > -1 + 1e-12 else None
+        if along >= -1e-12:
+            left.append(p[k] + reach)
+            right.append(p[k] - reach)
+            continue
+        outer, inner, side = (right, left, -1) if turn > 0 else (left, right, 1)
+        outer += [p[k] + (side * n[k - 1] + d[k - 1]) * h, p[k] + (side * n[k] - d[k]) * h]
+        short = min(np.hypot(*(p[k] - p[k - 1])), np.hypot(*(p[k + 1] - p[k])))
+        inner += [p[k] - side * reach] if reach is not None and np.hypot(*reach) <= short else [p[k]]
+    left.append(p[-1] + d[-1] * end + n[-1] * h)
+    right.append(p[-1] + d[-1] * end - n[-1] * h)
+    if ends == ROUND:
+        arc = np.pi * np.arange(1, ROUND_STEPS) / ROUND_STEPS
+        far = [p[-1] + h * (n[-1] * np.cos(t) + d[-1] * np.sin(t)) for t in arc]
+        near = [p[0] + h * (-n[0] * np.cos(t) - d[0] * np.sin(t)) for t in arc]
+        return np.concatenate([left, far, right[::-1], near]).ravel().tolist()
+    return np.concatenate([left, right[::-1]]).ravel().tolist()
+
+
+def polygons(rows: DataFrame) -> DataFrame:
+    """Shapes of cells as polygons: (path, seq, cell, layer, dtype, xy) in micrometres, closed by themselves.
+
+    Boundaries and boxes lose their repeated last corner; paths become their outline. What encloses nothing is left out.
+    """
+
+    @F.pandas_udf("array<double>")
+    def outlines(xy: pd.Series, width: pd.Series, ends: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+        return pd.Series([outline(list(p), w, int(e), a, b) for p, w, e, a, b in zip(xy, width, ends, start, end, strict=True)], dtype=object)
+
+    n, first = F.size("xy"), lambda i: F.get("xy", F.lit(i))
+    whole = F.when((first(0) == F.element_at("xy", -2)) & (first(1) == F.element_at("xy", -1)), F.slice("xy", 1, n - 2)).otherwise(F.col("xy"))
+    um = lambda c: F.transform(c, lambda v: v * F.col("dbu"))
+    head = ("path", "seq", "cell", "layer", "dtype")
+    drawn = rows.where(F.col("kind").isin("boundary", "box") & (n >= 6)).select(*head, um(whole).alias("xy"))
+    scaled = lambda c: F.coalesce(F.col(c), F.lit(0)) * F.col("dbu")
+    paths = rows.where((F.col("kind") == "path") & (n >= 2))
+    paths = paths.select(*head, outlines(um(F.col("xy")), scaled("width"), F.coalesce("ends", F.lit(FLUSH)), scaled("start_ext"), scaled("end_ext")).alias("xy"))
+    return drawn.unionAll(paths).where(F.size("xy") >= 6)
+
+
+def placements(rows: DataFrame, top: str) -> DataFrame:
+    """Every instance of a cell below ``top`` (and of itself): (cell, a, b, c, d, px, py).
+
+    A corner (x, y) of the cell lies at (a x + b y + px, c x + d y + py): mirrored at the x axis, magnified, turned by any
+    angle and moved, level by level. Each round places the cells that the last round found, by a join; a cell within itself
+    raises.
+    """
+    from ..lineage import ensure_checkpoints
+
+    spark = rows.sparkSession
+    ensure_checkpoints(spark)
+    at = lambda k: F.get("xy", F.lit(k)).cast("double") * F.col("dbu")
+    count = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(1)), F.lit(1))
+    refs = rows.where(F.col("kind").isin("ref", "array"))
+    refs = refs.withColumn("_i", F.explode(F.sequence(F.lit(0), count("cols") - 1))).withColumn("_j", F.explode(F.sequence(F.lit(0), count("rows") - 1)))
+    # An array's second and third corners lie all its columns and all its rows away.
+    off = lambda k: at(k) + F.coalesce((at(k + 2) - at(k)) / count("cols") * F.col("_i"), F.lit(0.0)) + F.coalesce((at(k + 4) - at(k)) / count("rows") * F.col("_j"), F.lit(0.0))
+    quarter = F.pmod(F.col("angle") / 90, F.lit(4.0))
+    exact = lambda f, *values: F.when(quarter == F.floor(quarter), F.element_at(F.array(*map(F.lit, values)), quarter.cast("int") + 1)).otherwise(f(F.radians("angle"))) * F.col("mag")
+    cos, sin, flip = exact(F.cos, 1.0, 0.0, -1.0, 0.0), exact(F.sin, 0.0, 1.0, 0.0, -1.0), F.when(F.col("mirrored"), -1.0).otherwise(1.0)
+    refs = refs.select(F.col("cell").alias("_in"), F.col("name").alias("_of"), cos.alias("ra"), (-sin * flip).alias("rb"), sin.alias("rc"), (cos * flip).alias("rd"), off(0).alias("dx"), off(1).alias("dy"))
+    now = spark.createDataFrame([(top, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0)], "cell string, a double, b double, c double, d double, px double, py double")
+    out, c = now, F.col
+    for _ in range(rows.select("cell").distinct().count() + 1):
+        below = now.join(refs, c("cell") == c("_in"))
+        now = below.select(
+            c("_of").alias("cell"), (c("a") * c("ra") + c("b") * c("rc")).alias("a"), (c("a") * c("rb") + c("b") * c("rd")).alias("b"), (c("c") * c("ra") + c("d") * c("rc")).alias("c"), (c("c") * c("rb") + c("d") * c("rd")).alias("d"),
+            (c("a") * c("dx") + c("b") * c("dy") + c("px")).alias("px"), (c("c") * c("dx") + c("d") * c("dy") + c("py")).alias("py"),
+        ).checkpoint()
+        if not now.limit(1).count():
+            return out
+        out = out.unionAll(now)
+    raise RuntimeError("a cell is placed within itself")
+
+
+def flat_polygons(rows: DataFrame, top: str) -> DataFrame:
+    """Polygons of ``top`` with those of all placed cells, any angle and magnification: (cell, layer, dtype, seq, xy)."""
+    shapes = polygons(rows).drop("path")
+    moved = placements(rows, top).join(shapes, "cell")
+    corner = lambda i: F.get("xy", i)
+    places = F.sequence(F.lit(0), F.size("xy") - 2, F.lit(2))
+    at = F.flatten(F.transform(places, lambda i: F.array(F.col("a") * corner(i) + F.col("b") * corner(i + 1) + F.col("px"), F.col("c") * corner(i) + F.col("d") * corner(i + 1) + F.col("py"))))
+    return moved.select("cell", "layer", "dtype", "seq", at.alias("xy"))
