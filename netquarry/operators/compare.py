@@ -19,12 +19,18 @@ def errors(a: DataFrame, b: DataFrame, keys: list[str], reference: str = "a") ->
     return joined.select(*keys, "a", "b", F.abs(diff).alias("abs_err"), diff.alias("diff"), (F.abs(diff) / F.greatest(F.abs(truth), F.lit(FLOOR))).alias("rel_err"))
 
 
-def summary(column: str) -> list[Column]:
-    """Count, mean, exact median, population deviation, mean magnitude, maximum and minimum."""
-    return [
-        F.count(column).alias("n"), F.avg(column).alias("mean"), F.median(column).alias("median"), F.stddev_pop(column).alias("std"),
-        F.avg(F.abs(column)).alias("mean_abs"), F.max(column).alias("max"), F.min(column).alias("min"),
-    ]
+def summary(rows: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
+    """Count, mean, exact median, population deviation, mean magnitude, maximum and minimum, of all rows or each group.
+
+    The median comes from refined quantiles, so that no task holds a group's values.
+    """
+    from .quantiles import with_median
+
+    rows = rows.select(*(keys or []), column)
+    c = F.col(column)
+    return with_median(rows, keys or [], column, [
+        F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.avg(F.abs(c)).alias("mean_abs"), F.max(c).alias("max"), F.min(c).alias("min"),
+    ])
 
 
 def histogram(rows: DataFrame, column: str = "rel_err") -> DataFrame:

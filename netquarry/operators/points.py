@@ -234,13 +234,16 @@ def surface_cloud(blocks: DataFrame, media: DataFrame, masters: DataFrame, keys:
     the positive conductor's points, -1 on the negative's, else 0. Every block has its share of points, one at least; of
     more than n in all n are drawn without replacement.
     """
+    rows = drawn(surface_points(blocks, keys, n, seed), keys, ["block", "k"], n, seed + 1)
+    return charged(rows.join(blocks.select(*keys, "tech").distinct(), keys), media, masters, keys)
+
+
+def charged(rows: DataFrame, media: DataFrame, masters: DataFrame, keys: list[str]) -> DataFrame:
+    """Points (keys, tech, net, z …) with the permittivity at their height and the flux of their net."""
     from .samples import flux
     from .stack import dielectric_at
 
-    techs = blocks.select(*keys, "tech").distinct()
-    rows = drawn(surface_points(blocks, keys, n, seed), keys, ["block", "k"], n, seed + 1)
-    rows = dielectric_at(rows.join(techs, keys), media)
-    return rows.join(masters, keys).withColumn("flux", flux(F.col("net"), F.col("pos"), F.col("neg"))).drop("pos", "neg", "tech")
+    return dielectric_at(rows, media).join(masters, keys).withColumn("flux", flux(F.col("net"), F.col("pos"), F.col("neg"))).drop("pos", "neg", "tech")
 
 
 def grid_cells(points: DataFrame, bounds: dict[str, tuple[Column | float, Column | float]], n: int) -> DataFrame:

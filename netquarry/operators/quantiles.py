@@ -25,36 +25,46 @@ def _ranked(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame) ->
     by = [*keys, "want"]
     rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("value")).checkpoint()
     none = F.lit(None).cast(dict(rows.dtypes)["value"])
-    # ``rank`` counts within the values in question, those from ``lo`` to ``hi``.
+    # ``rank`` counts within the values in question, those between ``lo`` and ``hi`` (both excluded; null is open).
     state = wanted.select(*by, "rank", none.alias("lo"), none.alias("hi")).checkpoint()
     small = state.count() <= STATES
     sent = (lambda d: F.broadcast(d)) if small else (lambda d: d)
 
     def held(state: DataFrame) -> DataFrame:
-        within = (F.col("lo").isNull() | (F.col("value") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
+        within = (F.col("lo").isNull() | (F.col("value") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") < F.col("hi")))
         return rows.join(sent(state), keys).where(within)
 
     out = None
     for _ in range(ROUNDS):
-        seen = held(state).groupBy(*by, "rank", "lo", "hi").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most")).checkpoint()
-        alike, few = F.col("least") == F.col("most"), F.col("n") <= FEW
-        # Equal values need no order; of the others there are few.
+        seen = held(state).groupBy(*by, "rank", "lo", "hi").agg(F.count("*").alias("n")).checkpoint()
+        few = F.col("n") <= FEW
         at = F.row_number().over(Window.partitionBy(*by).orderBy("value")) - 1
-        mixed = held(seen.where(few & ~alike).select(*by, "rank", "lo", "hi")).withColumn("_at", at).where(F.col("_at") == F.col("rank")).select(*by, "value")
-        part = seen.where(alike & (F.col("rank") < F.col("n"))).select(*by, F.col("least").alias("value")).unionByName(mixed).checkpoint()
+        part = held(seen.where(few).drop("n")).withColumn("_at", at).where(F.col("_at") == F.col("rank")).select(*by, "value").checkpoint()
         out = part if out is None else out.unionByName(part)
-        many = seen.where(~few & ~alike)
+        many = seen.where(~few)
         if not many.limit(1).count():
             return out
         cuts = F.percentile_approx("value", [i / CUTS for i in range(CUTS + 1)], ACCURACY)
-        cut = held(many.select(*by, "rank", "lo", "hi")).groupBy(*by).agg(cuts.alias("cuts")).join(many, by)
+        cut = held(many.drop("n")).groupBy(*by).agg(cuts.alias("cuts")).join(many, by)
         place = F.floor(F.col("rank") / F.col("n") * CUTS).cast("int")
-        # The ends of a sketch are its least and largest value, but only nearly.
-        low = F.when(place <= 1, F.col("least")).otherwise(F.element_at("cuts", F.greatest(place, F.lit(1))))
-        high = F.when(place + 2 >= CUTS, F.col("most")).otherwise(F.element_at("cuts", F.least(place + 3, F.lit(CUTS + 1))))
-        narrow = cut.select(*by, "rank", "lo", "hi", low.alias("new_lo"), high.alias("new_hi")).checkpoint()
-        below = held(narrow).groupBy(*by, "rank", "new_lo", "new_hi").agg(F.count_if(F.col("value") < F.col("new_lo")).alias("below"))
-        state = below.select(*by, (F.col("rank") - F.col("below")).alias("rank"), F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi")).checkpoint()
+        low = F.when(place > 1, F.element_at("cuts", F.greatest(place, F.lit(1))))
+        high = F.when(place + 2 < CUTS, F.element_at("cuts", F.least(place + 3, F.lit(CUTS + 1))))
+        narrow = cut.select(*by, "rank", "lo", "hi", low.alias("a"), high.alias("b")).checkpoint()
+        v, a, b = F.col("value"), F.col("a"), F.col("b")
+        # Five parts: below a, at a, between, at b, above b. Whichever holds the rank is the next to look at, or the answer.
+        parts = {"n0": v < a, "n1": v == a, "n2": (a.isNull() | (v > a)) & (b.isNull() | (v < b)), "n3": (v == b) & ~a.eqNullSafe(b), "n4": v > b}
+        found = held(narrow).groupBy(*by, "rank", "lo", "hi", "a", "b").agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in parts.items()])
+        before = {k: sum((F.col(f"n{i}") for i in range(k)), F.lit(0)) for k in range(6)}
+        which = F.when(F.col("rank") < before[1], 0).when(F.col("rank") < before[2], 1).when(F.col("rank") < before[3], 2).when(F.col("rank") < before[4], 3).otherwise(4)
+        found = found.withColumn("which", which).checkpoint()
+        w = F.col("which")
+        out = out.unionByName(found.where(w.isin(1, 3)).select(*by, F.when(w == 1, a).otherwise(b).alias("value")))
+        gone = F.when(w == 2, before[2]).when(w == 4, before[4]).otherwise(F.lit(0))
+        # Only part 2 lies between a and b; part 0 below a, part 4 above b.
+        lo, hi = F.when(w == 0, F.col("lo")).when(w == 2, F.coalesce(a, F.col("lo"))).otherwise(b), F.when(w == 0, a).when(w == 2, F.coalesce(b, F.col("hi"))).otherwise(F.col("hi"))
+        state = found.where(~w.isin(1, 3)).select(*by, (F.col("rank") - gone).alias("rank"), lo.alias("lo"), hi.alias("hi")).checkpoint()
+        if not state.limit(1).count():
+            return out
     raise RuntimeError("values didn't separate")
 
 
@@ -83,3 +93,17 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float])
     wanted = spread.select(*by, "share", F.explode(ends).alias("e")).select(*by, "share", F.col("e.rank").cast("long").alias("want"), F.col("e.w").alias("w")).where("w > 0").checkpoint()
     values = _ranked(rows, by, value, wanted.select(*by, "want", F.col("want").alias("rank")).distinct())
     return wanted.join(values, [*by, "want"]).groupBy(*keys, "share").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+
+
+def with_median(rows: DataFrame, keys: list[str], value: str, aggregates: list[Column]) -> DataFrame:
+    """Aggregates of each group (one row where ``keys`` are none) and its exact ``median``; the rows are computed once."""
+    from ..lineage import ensure_checkpoints
+
+    ensure_checkpoints(rows.sparkSession)
+    rows = rows.checkpoint()
+    middle = quantiles(rows, keys, value, [0.5]).select(*keys, F.col("value").alias("median"))
+    out = rows.groupBy(*keys).agg(*aggregates)
+    if keys:
+        return out.join(middle, keys, "left")
+    found = middle.first()  # one number
+    return out.withColumn("median", F.lit(None if found is None else found["median"]).cast("double"))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FEMTO = 1e15
@@ -65,13 +68,11 @@ def grouped_cases(conductors: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def offsets(samples: DataFrame) -> DataFrame:
-    """Per window the samples and the range [start, end) of their global indices, windows in order.
+    """Per window the samples and the range [start, end) of their global indices, windows in order."""
+    from .ranks import running
 
-    One row a window is all that is ordered globally.
-    """
     n = samples.groupBy("window_id").agg(F.count("*").alias("n"))
-    end = F.sum("n").over(Window.orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0))
-    return n.select("window_id", "n", (end - F.col("n")).alias("start"), end.alias("end"))
+    return running(n, ["window_id"], "n", "start").select("window_id", "n", "start", (F.col("start") + F.col("n")).alias("end"))
 
 
 def locate(indices: DataFrame, ranges: DataFrame, width: int = 1024) -> DataFrame:
@@ -81,25 +82,42 @@ def locate(indices: DataFrame, ranges: DataFrame, width: int = 1024) -> DataFram
     return found.select("index", "window_id", (F.col("index") - F.col("start")).alias("place"))
 
 
-def permutation(spark: SparkSession, ids: list[str], seed: int | None, kind: str = "random") -> DataFrame:
-    """(window_id, position): sorted ids in the order of a seeded shuffle (``random``) or permutation (``numpy``)."""
-    ids = sorted(ids)
-    if seed is not None and kind == "random":
-        random.Random(seed).shuffle(ids)
-    elif seed is not None:
-        import numpy as np
-
-        ids = [ids[i] for i in np.random.default_rng(seed).permutation(len(ids))]
-    return spark.createDataFrame([(w, i) for i, w in enumerate(ids)], "window_id string, position int")
+def permutation(windows: DataFrame, seed: int | None, kind: str = "random", key: str = "window_id") -> DataFrame:
+    """(key, position): distinct ids in order, or in the order of a seeded shuffle (``random``) or permutation (``numpy``).
 
-
-def split_windows(spark: SparkSession, ids: list[str], train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
-    """(window_id, split): whole windows, counts cut to whole numbers, the rest to test."""
-    order = permutation(spark, ids, seed)
-    n = len(set(ids))
+    A shuffle moves places whatever lies there, so each task draws the same one for the number of windows and looks up
+    its own rows' places: 8 bytes a window and task with ``numpy``, some 40 with ``random``.
+    """
+    from .ranks import numbered
+
+    ranked = numbered(windows.select(key).distinct(), [key], "position")
+    if seed is None:
+        return ranked
+    n = ranked.count()
+
+    @F.pandas_udf("long")
+    def place(ranks: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if kind == "numpy":
+            order = np.random.default_rng(seed).permutation(n)
+        else:
+            shuffled = list(range(n))
+            random.Random(seed).shuffle(shuffled)
+            order = np.array(shuffled, dtype=np.int64)
+        at = np.empty(n, dtype=np.int64)
+        at[order] = np.arange(n)
+        for r in ranks:
+            yield pd.Series(at[r.to_numpy()])
+
+    return ranked.select(key, place("position").alias("position"))
+
+
+def split_windows(windows: DataFrame, train: float = 0.7, val: float = 0.15, seed: int = 42, key: str = "window_id") -> DataFrame:
+    """(key, split, position): whole windows, counts cut to whole numbers, the rest to test."""
+    order = permutation(windows, seed, key=key)
+    n = order.count()
     a, b = int(n * train), int(n * train) + int(n * val)
     p = F.col("position")
-    return order.select("window_id", F.when(p < a, "train").when(p < b, "val").otherwise("test").alias("split"), "position")
+    return order.select(key, F.when(p < a, "train").when(p < b, "val").otherwise("test").alias("split"), "position")
 
 
 def leaks(splits: DataFrame) -> DataFrame:

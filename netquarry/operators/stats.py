@@ -21,13 +21,16 @@ def average_walks(rows: DataFrame, keys: list[str], walks: str) -> DataFrame:
 
 
 def distribution(value: str) -> list[Column]:
-    return [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.median(value).alias("median"), F.min(value).alias("min"), F.max(value).alias("max")]
+    return [F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
 
 
 def window_statistics(blocks: DataFrame, group: str) -> DataFrame:
     """Per group the distribution of blocks a window, with windows, conductors and totals; most blocks first."""
     each = blocks.groupBy(group, "window_id").agg(F.count("*").alias("blocks"), F.count_distinct("conductor").alias("conductors"))
-    return each.groupBy(group).agg(F.count("*").alias("windows"), F.sum("blocks").alias("total_blocks"), F.sum("conductors").alias("total_conductors"), *distribution("blocks"))
+    from .quantiles import with_median
+
+    counts = [F.count("*").alias("windows"), F.sum("blocks").alias("total_blocks"), F.sum("conductors").alias("total_conductors")]
+    return with_median(each, [group], "blocks", [*counts, *distribution("blocks")])
 
 
 def outcome_counts(files: DataFrame, group: str) -> DataFrame:

@@ -63,7 +63,10 @@ def merged(existing: DataFrame, new: DataFrame, key: str = "name") -> DataFrame:
     both = existing.withColumn("_s", F.lit(0)).unionByName(new.withColumn("_s", F.lit(1)))
     first = F.row_number().over(Window.partitionBy(key).orderBy("_s", "position"))
     kept = both.withColumn("_f", first).where("_f = 1")
-    return kept.withColumn("position", F.row_number().over(Window.orderBy("_s", "position")) - 1).drop("_s", "_f")
+    from .ranks import numbered
+
+    placed = numbered(kept.withColumnRenamed("position", "_p").drop("_f"), ["_s", "_p"], "position")
+    return placed.withColumn("position", F.col("position").cast("int")).drop("_s", "_p")
 
 
 def unsolved(tasks: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame:

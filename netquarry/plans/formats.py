@@ -322,3 +322,56 @@ def k15_split_csv(spark, sf_dir):
     folder = out_folder(spark, "csv")
     export.split_csv(table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_size") % 5 == 0, "test").otherwise("train").alias("split")), folder)
     return spark.read.option("header", True).schema("p_partkey long, p_name string, split string").csv(folder)
+
+
+# Large files: nets of all orders in eight label files, components and nets of all customers in four designs.
+
+
+def _folder_of_files(lines, spark: SparkSession, name: str) -> str:
+    """Writes (file, place, value) as one text a file, lines in order of place, by Spark's text writer."""
+    folder = out_folder(spark, name)
+    lines.repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(folder)
+    return folder
+
+
+def _file_of(path: str = "path") -> Column:
+    return F.regexp_extract(path, r"file=(\d+)", 1).cast("int")
+
+
+@query("""WITH n AS (SELECT l_orderkey AS k, l_linenumber AS j, max(l_quantity) AS q, max(l_suppkey % 7 + 1) AS c FROM lineitem GROUP BY ALL)
+    SELECT CAST(k % 8 AS INTEGER) AS file, concat('net_', k, '_', j) AS net, CASE WHEN node = 0 THEN NULL ELSE concat('net_', k, '_', j, ':1') END AS node_b, round(CASE WHEN node = 0 THEN q ELSE c / 4.0 END * CASE WHEN k % 8 < 4 THEN 1 ELSE 1000 END, 6) AS value_ff
+    FROM n, range(0, 2) t(node)""")
+def s17_split_labels(spark, sf_dir):
+    """Grounds and couplings of label files that are read in splits, their names through the map, in two units."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("j")).agg(F.max("l_quantity").alias("q"), F.max(F.col("l_suppkey") % 7 + 1).alias("c"))
+    rows = rows.withColumns({"file": (F.col("k") % 8).cast("int"), "id": F.col("k") * 8 + F.col("j")})
+    star = say("*", F.col("id"))
+    place = lambda part: F.struct(F.lit(part).alias("part"), "id").alias("place")
+    head = rows.select("file").distinct().select("file", F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("id")).alias("place"), say('*SPEF "x"\n*C_UNIT 1 ', F.when(F.col("file") < 4, "FF").otherwise("PF"), "\n*NAME_MAP").alias("value"))
+    names = rows.select("file", place(1), say(star, " net_", F.col("k"), "_", F.col("j")).alias("value"))
+    gap = head.select("file", F.struct(F.lit(2).alias("part"), F.lit(0).cast("long").alias("id")).alias("place"), F.lit("").alias("value"))
+    body = rows.select("file", place(3), say("*D_NET ", star, " ", F.col("q"), "\n*CAP\n1 ", star, " ", F.col("q"), "\n2 ", star, " ", star, ":1 ", F.col("c") / 4, "\n*END").alias("value"))
+    folder = _folder_of_files(head.unionByName(names).unionByName(gap).unionByName(body), spark, "labels")
+    found = spef.read_spef_files(spark, folder).where("kind = 'cap'")
+    return found.select(_file_of().alias("file"), "net", "node_b", F.round(F.col("value_f") * 1e15, 6).alias("value_ff"))
+
+
+@query("""SELECT CAST(c_nationkey % 4 AS INTEGER) AS file, 'component' AS kind, concat('c', c_custkey) AS name, c_mktsegment AS what, round(c_custkey / 100.0, 6) AS x FROM customer
+    UNION ALL SELECT CAST(c_nationkey % 4 AS INTEGER), 'net', concat('n', c_custkey), concat('c', c_custkey, '/A,PIN/p'), NULL FROM customer
+    UNION ALL SELECT CAST(c_nationkey % 4 AS INTEGER), 'route', concat('n', c_custkey), 'm1', round((c_custkey % 500) / 100.0, 6) FROM customer""")
+def s08_split_designs(spark, sf_dir):
+    """Components, nets and routes of designs that are read in splits: sections and units reach every record."""
+    c = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 4).cast("int").alias("file"), F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("cell"))
+    mark = lambda part, *lines: c.select("file").distinct().select("file", F.struct(F.lit(part).alias("part"), F.lit(0).cast("long").alias("k")).alias("place"), F.lit("\n".join(lines)).alias("value"))
+    row = lambda part, *text: c.select("file", F.struct(F.lit(part).alias("part"), "k").alias("place"), say(*text).alias("value"))
+    k = F.col("k")
+    parts = [
+        mark(0, "VERSION 5.8 ;", "DESIGN top ;", "UNITS DISTANCE MICRONS 100 ;", "COMPONENTS 1 ;"), row(1, "- c", k, " ", F.col("cell"), " + PLACED ( ", k, " 7 ) N ;"), mark(2, "END COMPONENTS", "NETS 1 ;"),
+        row(3, "- n", k, " ( c", k, " A ) ( PIN p )\n  + ROUTED m1 ( ", k % 500, " 5 ) ( ", k % 500 + 10, " * )\n ;"), mark(4, "END NETS", "END DESIGN"),
+    ]
+    lines = parts[0]
+    for p in parts[1:]:
+        lines = lines.unionByName(p)
+    found = lefdef.read_def_files(spark, _folder_of_files(lines, spark, "designs"))
+    what = F.when(F.col("kind") == "component", F.col("cell")).when(F.col("kind") == "net", F.array_join("connections", ",")).otherwise(F.col("layer"))
+    return found.where(F.col("kind").isin("component", "net", "route")).select(_file_of().alias("file"), "kind", "name", what.alias("what"), F.round(F.coalesce("x", F.get("points", F.lit(0))), 6).alias("x"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import components, compare, geometry, layout, raster, samples, spatial, windows
+from ..operators import components, compare, geometry, layout, ranks, raster, samples, spatial, windows
 from ..sources import catalog
 from . import base
 from .base import RECTS, query, r6, rounded, table
@@ -137,9 +137,11 @@ def f31_durations(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalars.duration(F.col("value") * 100).alias("text"))
 
 
-@query("SELECT i, CAST(least(floor(i * 37.0 / 64), 36) AS INTEGER) AS source FROM range(64) t(i)")
+@query("SELECT p_partkey, CAST(least(floor((p_partkey % (10 + p_size)) * (1 + p_partkey % 90) / CAST(10 + p_size AS DOUBLE)), p_partkey % 90) AS INTEGER) AS source FROM part")
 def r09_resize_index(spark, sf_dir):
-    return spark.range(64).select(F.col("id").alias("i"), scalars.resize_index(F.col("id"), F.lit(37), F.lit(64)).alias("source"))
+    """Source rows of images of 1 to 90 rows resized to 11 and more."""
+    size = F.lit(10) + F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.resize_index(F.col("p_partkey") % size, F.lit(1) + F.col("p_partkey") % 90, size).alias("source"))
 
 
 @query("""WITH b AS (SELECT p_partkey, p_size AS s, p_partkey % 7 AS t, p_retailprice / 500 AS r FROM part)
@@ -171,7 +173,7 @@ def l08_window_subset(spark, sf_dir):
 
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("window_id"), F.col("turn").alias("sample"))
     index = turns.select("window_id", F.lit(0).alias("position")).distinct()
-    wanted = sorted((r["window_id"] for r in index.collect() if int(r["window_id"]) % 7 == 1), reverse=True)  # a caller's list
+    wanted = ranks.numbered(index.where(F.col("window_id").cast("long") % 7 == 1).select("window_id"), [F.desc("window_id")], "position").withColumn("position", F.col("position").cast("int"))
     kept = WindowSamples(turns, index, turns, turns).subset(wanted)
     return kept.index.join(kept.samples.groupBy("window_id").agg(F.count("*").alias("samples")), "window_id").select("window_id", "position", "samples")
 

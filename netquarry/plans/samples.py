@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import labels, samples
+from ..operators import labels, ranks, samples
 from . import base
 from .base import CAPS, query, rounded, table
 
@@ -93,22 +93,38 @@ def l12_sample_labels(spark, sf_dir):
 
 @query("""SELECT n_nationkey, CAST(k // 4 AS INTEGER) AS shard_id, CAST(k % 4 AS INTEGER) AS shard_offset FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_name) - 1 AS k FROM nation)""")
 def w05_shards(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = table(spark, sf_dir, "nation").withColumn("position", F.row_number().over(Window.orderBy("n_name")) - 1)
+    order = ranks.numbered(table(spark, sf_dir, "nation"), ["n_name"], "position")
     return samples.shards(order, 4).select("n_nationkey", "shard_id", "shard_offset")
 
 
-@query("SELECT 'train' AS split, CAST(17 AS BIGINT) AS n UNION ALL SELECT 'val', 3 UNION ALL SELECT 'test', 5")
+@query("""WITH w AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM conversations)),
+    c AS (SELECT CAST(floor(max(n) * 0.7) AS BIGINT) AS a, CAST(floor(max(n) * 0.15) AS BIGINT) AS b, max(n) AS n, CAST(sum(conv_id) AS BIGINT) AS ids FROM w)
+    SELECT split, m AS n, ids FROM (SELECT unnest(['train', 'val', 'test']) AS split, unnest([a, b, n - a - b]) AS m, ids FROM c) WHERE m > 0""")
 def l09_window_split(spark, sf_dir):
-    ids = [r["n_name"] for r in table(spark, sf_dir, "nation").select("n_name").collect()]  # 25 rows at any scale
-    return samples.split_windows(spark, ids).groupBy("split").agg(F.count("*").alias("n"))
+    """Windows of each split, and the sum of all splits' ids: each window is in one of them."""
+    split = samples.split_windows(table(spark, sf_dir, "conversations"), key="conv_id")
+    total = split.agg(F.sum("conv_id").alias("ids"))
+    return split.groupBy("split").agg(F.count("*").alias("n")).join(F.broadcast(total))  # one row
 
 
-@query("SELECT CAST(0 AS BIGINT) AS leaks")
+@query("""SELECT conv_id AS window_id, count(DISTINCT CASE WHEN (conv_id + turn) % 7 < 4 OR conv_id % 3 = 0 THEN 'train' WHEN (conv_id + turn) % 7 = 4 THEN 'val' ELSE 'test' END) AS n
+    FROM conversations GROUP BY 1 HAVING n > 1""")
 def u03_leakage(spark, sf_dir):
-    ids = [r["n_name"] for r in table(spark, sf_dir, "nation").select("n_name").collect()]  # 25 rows at any scale
-    return samples.leaks(samples.split_windows(spark, ids)).agg(F.count("*").alias("leaks"))
+    """Windows that leak: turns of a third of them all go to one split, those of the others where they may."""
+    k = (F.col("conv_id") + F.col("turn")) % 7
+    split = F.when((k < 4) | (F.col("conv_id") % 3 == 0), "train").when(k == 4, "val").otherwise("test")
+    return samples.leaks(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("window_id"), split.alias("split")))
+
+
+@query("""WITH w AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS k FROM (SELECT DISTINCT conv_id FROM conversations))
+    SELECT count(*) AS n, min(k) AS least, max(k) AS most, CAST(sum(k) AS BIGINT) AS places, CAST(sum(conv_id) AS BIGINT) AS ids, count(*) > 3 AS moved FROM w""")
+def k09_permuted_windows(spark, sf_dir):
+    """Places of a seeded permutation of all windows: each place once, and not the order of ids."""
+    order = samples.permutation(table(spark, sf_dir, "conversations"), 0, "numpy", "conv_id")
+    straight = samples.permutation(table(spark, sf_dir, "conversations"), None, key="conv_id").withColumnRenamed("position", "k")
+    both = order.join(straight, "conv_id")
+    p = F.col("position")
+    return both.agg(F.count_distinct("position").alias("n"), F.min(p).alias("least"), F.max(p).alias("most"), F.sum(p).alias("places"), F.sum("conv_id").alias("ids"), F.coalesce(F.bool_or(p != F.col("k")), F.lit(False)).alias("moved"))
 
 
 @query("""SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) <= floor(count(*) OVER (PARTITION BY p_brand) * 0.8) THEN 'train' ELSE 'test' END AS split FROM part""")

@@ -262,21 +262,31 @@ def r17_mirrored(spark, sf_dir):
     return points.mirrored(_cloud(spark, sf_dir), "x").select("label", "idx", "x", "y", "z")
 
 
-@query(f"""WITH {_CLOUD} SELECT idx, CASE WHEN x < -0.2 OR x >= 0.2 THEN -1 ELSE CAST(floor((x + 0.2) / 0.4 * 8) AS INTEGER) END AS gx, CASE WHEN y < -0.2 OR y >= 0.2 THEN -1 ELSE CAST(floor((y + 0.2) / 0.4 * 8) AS INTEGER) END AS gy,
-    CASE WHEN z < -0.2 OR z >= 0.2 THEN -1 ELSE CAST(floor((z + 0.2) / 0.4 * 8) AS INTEGER) END AS gz FROM cloud""")
+def _interval(c, n):
+    """Interval of a coordinate between ``n`` edges from -0.2 to 0.2, in SQL."""
+    return f"CASE WHEN {c} < -0.2 OR {c} > 0.2 THEN -1 ELSE CAST(least(floor(({c} - -0.2) / (0.2 - -0.2) * {n - 1}), {n - 2}) AS INTEGER) END AS g{c}"
+
+
+@query(f"WITH {_CLOUD} SELECT idx, {_interval('x', 8)}, {_interval('y', 8)}, {_interval('z', 8)} FROM cloud")
 def r15_grid_cells(spark, sf_dir):
     return points.grid_cells(_cloud(spark, sf_dir), {c: (-0.2, 0.2) for c in "xyz"}, 8).select("idx", "gx", "gy", "gz")
 
 
-@query(f"""WITH RECURSIVE {_CLOUD}, g AS (SELECT label, idx, CASE WHEN x < -0.2 OR x >= 0.2 THEN -1 ELSE CAST(floor((x + 0.2) / 0.4 * 8) AS INTEGER) END AS gx, CASE WHEN y < -0.2 OR y >= 0.2 THEN -1 ELSE CAST(floor((y + 0.2) / 0.4 * 8) AS INTEGER) END AS gy,
-      CASE WHEN z < -0.2 OR z >= 0.2 THEN -1 ELSE CAST(floor((z + 0.2) / 0.4 * 8) AS INTEGER) END AS gz FROM cloud),
-    cells AS (SELECT label, gx, gy, gz, bool_or(idx % 50 = 0) AS seed FROM g WHERE least(gx, gy, gz) >= 0 GROUP BY ALL),
-    walk AS (SELECT label, gx, gy, gz, 0 AS steps FROM cells WHERE seed UNION
-      SELECT c.label, c.gx, c.gy, c.gz, steps + 1 FROM walk w JOIN cells c ON c.label = w.label AND abs(c.gx - w.gx) + abs(c.gy - w.gy) + abs(c.gz - w.gz) = 1 WHERE steps < 40)
-    SELECT label, gx, gy, gz, coalesce(pow(0.5, min(steps)), 0) AS density FROM cells LEFT JOIN walk USING (label, gx, gy, gz) GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {_CLOUD}, p AS (SELECT label, idx, {_interval('x', 7)}, {_interval('y', 7)}, {_interval('z', 7)} FROM cloud),
+    held AS (SELECT label, gx, gy, gz, count(*) AS points, bool_or(idx % 50 = 0) AS seed FROM p WHERE least(gx, gy, gz) >= 0 GROUP BY ALL),
+    grid AS (SELECT label, a.i AS gx, b.i AS gy, c.i AS gz FROM (SELECT DISTINCT label FROM held), range(7) a(i), range(7) b(i), range(7) c(i)),
+    far AS (SELECT g.label, g.gx, g.gy, g.gz, min(abs(g.gx - s.gx) + abs(g.gy - s.gy) + abs(g.gz - s.gz)) AS far FROM grid g LEFT JOIN held s ON s.label = g.label AND s.seed GROUP BY ALL),
+    cells AS (SELECT far.*, coalesce(points, 0) AS points FROM far LEFT JOIN held USING (label, gx, gy, gz)),
+    walk AS (SELECT label, gx, gy, gz, points, 0 AS step, CAST(0.9 AS DOUBLE) AS density FROM cells WHERE far = 0
+      UNION ALL SELECT label, gx, gy, gz, points, step, least * CASE WHEN through THEN 0.8 ELSE 1.0 END FROM (
+        SELECT c.label, c.gx, c.gy, c.gz, c.points, w.step + 1 AS step, min(w.density) AS least, bool_or(w.points > 0) AS through FROM walk w JOIN cells c
+          ON c.label = w.label AND c.far = w.step + 1 AND abs(c.gx - w.gx) + abs(c.gy - w.gy) + abs(c.gz - w.gz) = 1 GROUP BY c.label, c.gx, c.gy, c.gz, c.points, w.step + 1))
+    SELECT label, CAST(gx AS INTEGER) AS gx, CAST(gy AS INTEGER) AS gy, CAST(gz AS INTEGER) AS gz, CAST(points AS BIGINT) AS points, round(coalesce(density, 0), 9) AS density FROM cells LEFT JOIN (SELECT label, gx, gy, gz, density FROM walk) USING (label, gx, gy, gz)""")
 def r15_spread_density(spark, sf_dir):
-    cells = points.grid_cells(_cloud(spark, sf_dir), {c: (-0.2, 0.2) for c in "xyz"}, 8)
-    return points.spread_density(cells.withColumn("is_seed", F.col("idx") % 50 == 0), "label", 8)
+    """The density of every cell of each label's grid, spread from cells of seeds through cells with points and empty ones."""
+    cells = points.grid_cells(_cloud(spark, sf_dir), {c: (-0.2, 0.2) for c in "xyz"}, 7)
+    out = points.spread_density(cells.withColumn("is_seed", F.col("idx") % 50 == 0), "label", 7, decay=0.8, start=0.9)
+    return out.withColumn("density", F.round("density", 9))
 
 
 @query(f"""WITH RECURSIVE {_CLOUD}, walk(label, step, chosen) AS (
@@ -297,28 +307,62 @@ def r14_resampled(spark, sf_dir):
     return each.groupBy("label").agg(F.sum("k").alias("n"), F.count("*").alias("points"), F.min("k").alias("least"), F.max("k").alias("most"))
 
 
-def _surface_blocks(spark, sf_dir):
-    s = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(
-        (s % 5).alias("window_id"), s.alias("block"), F.col("s_name").alias("net"), (s % 11).cast("double").alias("x0"), (s % 13).cast("double").alias("y0"), (s % 3).cast("double").alias("z0"),
-        (1 + s % 4).cast("double").alias("dx"), (1 + s % 2).cast("double").alias("dy"), F.lit(0.5).alias("dz"),
-    )
+# Tilted blocks in windows of suppliers and parts: two slanted edges and one upright.
+_TILTED = """b AS (SELECT p_partkey % 50 AS window_id, p_partkey AS block, p_brand AS net, p_partkey % 3 AS medium, 1.0 + p_size % 4 AS ax, (p_size % 2) * 0.5 AS ay, (p_partkey % 4) * -0.3 AS bx, 1.0 + p_partkey % 2 AS by_ FROM part),
+    c AS (SELECT *, sqrt(ax * ax + ay * ay) AS u, sqrt(bx * bx + by_ * by_) AS v FROM b), a AS (SELECT *, 2 * (u * v + u * 0.5 + v * 0.5) AS area FROM c)"""
+
+
+def _tilted_blocks(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    v = lambda *xs: F.array(*[(x if not isinstance(x, (int, float)) else F.lit(x)).cast("double") for x in xs])
+    frame = points.block_frame(v(k % 11, k % 13, k % 3 * 4 + 1), v(1 + s % 4, s % 2 * 0.5, 0), v(k % 4 * -0.3, 1 + k % 2, 0), v(0, 0, 0.5))
+    return table(spark, sf_dir, "part").select((k % 50).alias("window_id"), k.alias("block"), F.col("p_brand").alias("net"), F.lit("t").alias("tech"), frame.alias("frame"))
 
 
 @query()
 def r12_surface_points(spark, sf_dir):
-    return points.surface_points(_surface_blocks(spark, sf_dir), ["window_id"], 1024, 11)
+    return points.surface_points(_tilted_blocks(spark, sf_dir), ["window_id"], 1024, 11)
 
 
-@query("""WITH b AS (SELECT s_suppkey % 5 AS window_id, s_suppkey AS block, 2 * ((1 + s_suppkey % 4) * (1 + s_suppkey % 2) + (1 + s_suppkey % 2) * 0.5 + (1 + s_suppkey % 4) * 0.5) AS area FROM supplier)
-    SELECT window_id, block, greatest(1, CAST(floor(1024 * area / sum(area) OVER (PARTITION BY window_id)) AS BIGINT)) AS points, greatest(1, CAST(floor(1024 * area / sum(area) OVER (PARTITION BY window_id)) AS BIGINT)) AS on_faces FROM b""")
+@query(f"""WITH {_TILTED}, n AS (SELECT window_id, block, greatest(1, CAST(floor(1024 * area / sum(area) OVER (PARTITION BY window_id)) AS BIGINT)) AS n FROM a)
+    SELECT window_id, block, n AS points, n AS on_faces FROM n""")
 def r12_surface_counts(spark, sf_dir):
-    """Points per block, and how many lie within it on exactly the face that their normal names."""
-    blocks = _surface_blocks(spark, sf_dir)
-    rows = points.surface_points(blocks, ["window_id"], 1024, 11).join(blocks.drop("net"), ["window_id", "block"])
+    """Points per block, and how many lie on exactly the face that their normal names: their shares of the three edges say so."""
+    blocks = _tilted_blocks(spark, sf_dir)
+    rows = points.surface_points(blocks, ["window_id"], 1024, 11).join(blocks.select("window_id", "block", "frame"), ["window_id", "block"])
+    at = lambda v, i: F.col(f"frame.{v}")[i]
+    px, py, pz = (F.col(c) - at("base", i) for i, c in enumerate("xyz"))
+    # The first two edges lie level, so their shares solve a system of two.
+    det = at("v1", 0) * at("v2", 1) - at("v1", 1) * at("v2", 0)
+    shares = ((px * at("v2", 1) - py * at("v2", 0)) / det, (py * at("v1", 0) - px * at("v1", 1)) / det, pz / at("h", 2))
     ok = F.lit(True)
-    for c in "xyz":
-        lo, hi, n = F.col(f"{c}0"), F.col(f"{c}0") + F.col(f"d{c}"), F.col(f"n{c}")
-        ok = ok & F.when(n == 0, F.col(c).between(lo, hi)).otherwise(F.abs(F.col(c) - F.when(n > 0, hi).otherwise(lo)) < 1e-9)
+    for share, n in zip(shares, ("nx", "ny", "nz"), strict=True):
+        ok = ok & F.when(F.col(n) == 0, share.between(-1e-9, 1 + 1e-9)).otherwise(F.abs(share - F.when(F.col(n) > 0, 1.0).otherwise(0.0)) < 1e-9)
     one = F.abs("nx") + F.abs("ny") + F.abs("nz") == 1
     return rows.groupBy("window_id", "block").agg(F.count("*").alias("points"), F.count_if(ok & one).alias("on_faces"))
+
+
+@query(f"""WITH {_TILTED}, n AS (SELECT *, greatest(1, CAST(floor(4096 * area / sum(area) OVER (PARTITION BY window_id)) AS BIGINT)) AS n FROM a), t AS (SELECT *, sum(n) OVER (PARTITION BY window_id) AS total FROM n)
+    SELECT window_id, CAST(least(4096, max(total)) AS BIGINT) AS points, CAST(least(4096, max(total)) AS BIGINT) AS different, bool_and(true) AS right_ FROM t GROUP BY 1""")
+def r12_surface_cloud(spark, sf_dir):
+    """Points of each window's cloud, all different, with the permittivity of their block's medium and the flux of its net."""
+    blocks = _tilted_blocks(spark, sf_dir)
+    media = spark.createDataFrame([("t", 2.0, 3.0), ("t", 3.5, 7.0), ("t", 5.0, 20.0)], "tech string, er double, z_top double")
+    masters = blocks.groupBy("window_id").agg(F.min("net").alias("pos"), F.max("net").alias("neg"))
+    cloud = points.surface_cloud(blocks, media, masters, ["window_id"], 4096, 5).join(masters, "window_id")
+    er = F.element_at(F.array(*map(F.lit, (2.0, 3.5, 5.0))), (F.col("block") % 3 + 1).cast("int"))
+    flux = F.when(F.col("net") == F.col("pos"), 1.0).when(F.col("net") == F.col("neg"), -1.0).otherwise(0.0)
+    good = (F.col("er") == er) & (F.col("flux") == flux)
+    return cloud.groupBy("window_id").agg(F.count("*").alias("points"), F.count_distinct("block", "k").alias("different"), F.bool_and(good).alias("right_"))
+
+
+@query(f"""WITH {_TILTED}, n AS (SELECT *, greatest(1, CAST(floor(4096 * area / sum(area) OVER (PARTITION BY window_id)) AS BIGINT)) AS n FROM a)
+    SELECT window_id, block, n, 2.0 + 1.5 * medium AS er, CASE WHEN net = min(net) OVER (PARTITION BY window_id) THEN 1.0 WHEN net = max(net) OVER (PARTITION BY window_id) THEN -1.0 ELSE 0.0 END AS flux FROM n""")
+def r12_surface_flux(spark, sf_dir):
+    """Points, permittivity and flux of each block of a cloud of which nothing is drawn away."""
+    blocks = _tilted_blocks(spark, sf_dir)
+    media = spark.createDataFrame([("t", 2.0, 3.0), ("t", 3.5, 7.0), ("t", 5.0, 20.0)], "tech string, er double, z_top double")
+    masters = blocks.groupBy("window_id").agg(F.min("net").alias("pos"), F.max("net").alias("neg"))
+    rows = points.surface_points(blocks, ["window_id"], 4096, 5).join(blocks.select("window_id", "block", "tech"), ["window_id", "block"])
+    cloud = points.charged(rows, media, masters, ["window_id"])
+    return cloud.groupBy("window_id", "block").agg(F.count("*").alias("n"), F.avg("er").alias("er"), F.avg("flux").alias("flux"))

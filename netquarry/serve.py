@@ -29,19 +29,22 @@ class WindowSamples:
     ids_as_density: bool = False
     highlight: float = 1.0
 
-    def subset(self, window_ids: list[str]) -> WindowSamples:
-        """The listed windows, in the order given (column ``position`` of the index)."""
-        spark = self.index.sparkSession
-        order = spark.createDataFrame([(w, i) for i, w in enumerate(dict.fromkeys(window_ids))], "window_id string, position int")
+    def subset(self, window_ids: list[str] | DataFrame) -> WindowSamples:
+        """The listed windows, in the order given (column ``position`` of the index).
+
+        A long list comes as a table (window_id, position), and stays one.
+        """
+        order = window_ids
+        if isinstance(window_ids, list):
+            order = self.index.sparkSession.createDataFrame([(w, i) for i, w in enumerate(dict.fromkeys(window_ids))], "window_id string, position int")
         keep = order.select("window_id")
         semi = lambda d: d.join(keep, "window_id", "left_semi")
         return replace(self, pixels=semi(self.pixels), index=self.index.drop("position").join(order, "window_id"), conductors=semi(self.conductors), samples=semi(self.samples))
 
     def split(self, train: float = 0.7, val: float = 0.15, seed: int = 42) -> dict[str, WindowSamples]:
         """Whole windows to train, val and test."""
-        ids = [r["window_id"] for r in self.index.select("window_id").collect()]  # one id a window
-        parts = samples.split_windows(self.index.sparkSession, ids, train, val, seed).orderBy("position").collect()
-        return {k: self.subset([r["window_id"] for r in parts if r["split"] == k]) for k in ("train", "val", "test")}
+        parts = samples.split_windows(self.index, train, val, seed)
+        return {k: self.subset(parts.where(F.col("split") == k).select("window_id", "position")) for k in ("train", "val", "test")}
 
     def features(self, wanted: DataFrame) -> DataFrame:
         """Sparse features of samples (window_id, pos_id, neg_id): the painted pixels with the sample's highlight."""

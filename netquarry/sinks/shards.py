@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import numbered
 from ..operators.samples import permutation, shards
 
 VERSION = 2
@@ -39,7 +40,7 @@ def _put(pixels: DataFrame, windows: DataFrame, path: str, order: DataFrame, per
     good = F.when(F.col("cid") < 0, F.raise_error(F.lit("negative conductor id")).cast("long")).otherwise(F.col("cid"))
     rows = pixels.withColumns({"cid": good, "batch": batch}).join(placed.select("window_id", "shard_id"), "window_id")
     rows.repartitionByRange("shard_id", "window_id").sortWithinPartitions("shard_id", "window_id", "layer", "y", "x").write.mode(mode).partitionBy("shard_id").parquet(f"{path}/pixels")
-    index.repartition(1).write.mode(mode).parquet(f"{path}/index")  # a row a window
+    index.write.mode(mode).parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
 
@@ -51,10 +52,9 @@ def write(pixels: DataFrame, windows: DataFrame, path: str, per_shard: int = 64,
     if problems(windows).limit(1).count():
         raise ValueError("windows don't fit one store")
     if seed is None or arrival:
-        order = windows.select("window_id", (F.row_number().over(Window.orderBy(arrival or "window_id")) - 1).alias("position"))
+        order = numbered(windows, [arrival or "window_id"], "position").select("window_id", "position")
     else:
-        # A permutation is drawn for the list of windows, on the driver: one string a window, no pixels.
-        order = permutation(pixels.sparkSession, [r["window_id"] for r in windows.select("window_id").collect()], seed, "numpy")
+        order = permutation(windows, seed, "numpy")
     return _put(pixels, windows, path, order, per_shard, 0, "overwrite")
 
 
@@ -70,7 +70,7 @@ def append(pixels: DataFrame, windows: DataFrame, path: str, per_shard: int = 64
     if problems(both).limit(1).count():
         raise ValueError("windows don't fit the store")
     start = 0 if there is None else there.count()
-    order = windows.select("window_id", (F.row_number().over(Window.orderBy(arrival)) - 1).alias("position"))
+    order = numbered(windows, [arrival], "position").select("window_id", "position")
     return _put(pixels, windows, path, order, per_shard, start, "append")
 
 

@@ -156,11 +156,16 @@ def test_dielectric(spark):
 
 
 def test_split_is_seeded_and_disjoint(spark):
-    ids = [f"W{i}" for i in range(20)]
-    a, b = (rows(samples.split_windows(spark, ids, seed=42), "window_id", "split") for _ in range(2))
+    order = sorted(f"W{i}" for i in range(20))
+    ids = spark.createDataFrame([(w,) for w in order[::-1]] * 2, "window_id string")
+    a, b = (rows(samples.split_windows(ids, seed=42), "window_id", "split") for _ in range(2))
     assert a == b and len({w for w, _ in a}) == 20
     assert sum(s == "train" for _, s in a) == 14 and sum(s == "val" for _, s in a) == 3
-    assert samples.leaks(samples.split_windows(spark, ids)).count() == 0
+    assert samples.leaks(samples.split_windows(ids)).count() == 0
+    random.Random(42).shuffle(order)
+    assert [r.window_id for r in samples.permutation(ids, 42).orderBy("position").collect()] == order
+    drawn = [sorted(order)[i] for i in np.random.default_rng(0).permutation(20)]
+    assert [r.window_id for r in samples.permutation(ids, 0, "numpy").orderBy("position").collect()] == drawn
 
 
 def test_shuffled_batches_keep_windows(spark):
@@ -188,8 +193,11 @@ def test_farthest_points_spread(spark):
     assert set(got[1:]) & {0, 10} and len(set(got)) == 3
 
 
+FRAMED = "k string, block int, net string, frame struct<base: array<double>, v1: array<double>, v2: array<double>, h: array<double>>"
+
+
 def test_surface_points_lie_on_faces(spark):
-    b = spark.createDataFrame([("w", 1, "n", 0.0, 0.0, 0.0, 2.0, 1.0, 1.0)], "k string, block int, net string, x0 double, y0 double, z0 double, dx double, dy double, dz double")
+    b = spark.createDataFrame([("w", 1, "n", ([0.0] * 3, [2.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]))], FRAMED)
     for r in points.surface_points(b, ["k"], 200, 1).collect():
         on = [(r.x, 0, 2, r.nx), (r.y, 0, 1, r.ny), (r.z, 0, 1, r.nz)]
         assert sum(n != 0 for *_, n in on) == 1
@@ -248,15 +256,114 @@ def test_outcomes(spark):
 
 
 def test_surface_cloud(spark):
-    b = spark.createDataFrame([("w", "t", k, f"n{k}", 0.0, 0.0, float(2 * k), 2.0, 1.0, 1.0) for k in range(3)], "k0 string, tech string, block int, net string, x0 double, y0 double, z0 double, dx double, dy double, dz double")
+    b = spark.createDataFrame([("w", "t", k, f"n{k}", ([0.0, 0.0, 2.0 * k], [2.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0])) for k in range(3)], FRAMED.replace("k string", "k0 string, tech string"))
     media = spark.createDataFrame([("t", 2.0, 1.5), ("t", 4.0, 9.0)], "tech string, er double, z_top double")
     masters = spark.createDataFrame([("w", "n0", "n2")], "k0 string, pos string, neg string")
     for n in (50, 400):
         got = points.surface_cloud(b, media, masters, ["k0"], n, 3).collect()
-        assert len(got) == n and {r.flux for r in got} == {1.0, -1.0, 0.0}
+        assert len(got) == n // 3 * 3 and {r.flux for r in got} == {1.0, -1.0, 0.0}
         assert all(r.flux == {"n0": 1.0, "n1": 0.0, "n2": -1.0}[r.net] and r.er == (2.0 if r.z < 1.5 else 4.0) for r in got)
 
 
+def test_surface_cloud_of_tilted_blocks(spark):
+    """Faces by area, places even within them, and exactly n by the final draw."""
+    frames = [([1.0, 2.0, 3.0], [4.0, 1.0, 0.0], [-1.0, 2.0, 0.5], [0.2, 0.0, 1.0]), ([0.0] * 3, [0.0] * 3, [0.0] * 3, [0.0] * 3)]
+    b = spark.createDataFrame([("w", k, "n", f) for k, f in enumerate(frames)], FRAMED)
+    got = points.surface_points(b, ["k"], 6000, 3).collect()
+    base, v1, v2, h = (np.array(x) for x in frames[0])
+    size = [np.linalg.norm(np.cross(a, c)) for a, c in ((v1, v2), (v1, h), (v2, h))]
+    mine = [r for r in got if r.block == 0]
+    for axis, share in zip("zyx", np.array(size) / sum(size), strict=True):
+        on = [r for r in mine if r[f"n{axis}"]]
+        assert abs(len(on) / len(mine) - share) < 0.03 and abs(sum(r[f"n{axis}"] > 0 for r in on) / len(on) - 0.5) < 0.05
+    shares = np.linalg.solve(np.column_stack([v1, v2, h]), (np.array([[r.x, r.y, r.z] for r in mine]) - base).T)
+    assert shares.min() > -1e-9 and shares.max() < 1 + 1e-9 and (np.minimum(abs(shares), abs(shares - 1)).min(0) < 1e-9).all()
+    assert [tuple(r)[4:7] for r in got if r.block == 1] and all((r.x, r.y, r.z) == (0, 0, 0) for r in got if r.block == 1)
+    many = spark.createDataFrame([("w", k, "n", frames[0]) for k in range(300)] + [("v", 0, "n", frames[0])], FRAMED.replace("k string", "k0 string"))
+    drawn = points.drawn(points.surface_points(many, ["k0"], 100, 3), ["k0"], ["block", "k"], 100, 9)
+    assert {r.k0: r.n for r in drawn.groupBy("k0").agg(F.count("*").alias("n")).collect()} == {"w": 100, "v": 100}
+
+
+def test_draws_are_exact(spark, monkeypatch):
+    from netquarry.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", 50)
+    d = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").alias("i")).unionAll(spark.createDataFrame([(7, 1), (7, 2), (8, 5), (8, 5)], "g long, i long"))
+    got = points.drawn(d, ["g"], ["i"], 400, 1)
+    assert got.columns == ["g", "i"] and {r.g: r.n for r in got.groupBy("g").agg(F.count("*").alias("n")).collect()} == {0: 400, 1: 400, 2: 400, 7: 2, 8: 2}
+    assert got.where("g < 3").distinct().count() == 1200 and sorted(r.i for r in got.where("g = 0").collect()) != list(range(0, 1200, 3))
+    assert points.drawn(d, ["g"], ["i"], 1, 1).groupBy("g").count().where("count <> 1").count() == 0
+
+
+@pytest.mark.parametrize("few", [8, 100_000])
+def test_quantiles(spark, monkeypatch, few):
+    from netquarry.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "CUTS", 8)
+    rng = random.Random(few)
+    groups = {
+        "even": [float(i) for i in range(1000)], "wide": [(-1) ** i * 10.0 ** rng.uniform(-300, 300) for i in range(999)], "ties": [1.0] * 700 + [2.0] * 299 + [3.0],
+        "one": [5.0], "two": [1.0, 4.0], "steps": [float(2**k) for k in range(60)] * 9, "null": [None], "some": [None, 3.0, None, 1.0],
+    }
+    d = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(5)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.g, r.share): r.value for r in quantiles.quantiles(d, ["g"], "v", shares).collect()}
+    want = {(g, s): float(np.quantile([v for v in vs if v is not None], s)) for g, vs in groups.items() for s in shares if any(v is not None for v in vs)}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(v, rel=1e-12) for k, v in want.items())
+    assert quantiles.quantiles(d.where("g = 'even'"), [], "v", [0.5]).first()["value"] == 499.5
+    assert rows(quantiles.order_statistic(d, ["g"], "v", 2), "g", "value") == sorted((g, sorted(v for v in vs if v is not None)[1]) for g, vs in groups.items() if sum(v is not None for v in vs) > 1)
+    assert quantiles.quantiles(d.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+def test_no_task_sees_all_rows(spark):
+    """Orders and medians over all rows have no plan with a single partition."""
+    from netquarry.operators import compare, quantiles, ranks
+
+    seen = []
+    d = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("k"), F.rand(1).alias("v")).repartition(4)
+    for df in (ranks.numbered(d, ["k"], "n"), samples.offsets(d.select((F.col("k") % 50).alias("window_id"))), samples.permutation(d.select(F.col("k").cast("string").alias("window_id")), 3)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen.append("SinglePartition" in plan)
+        df.count()
+    assert not any(seen)
+    assert compare.summary(d, "v").first()["median"] == pytest.approx(quantiles.quantiles(d, [], "v", [0.5]).first()["value"])
+
+
+def test_nearest_like_all_pairs(spark):
+    rng = random.Random(4)
+    cloud = [("a", i, *[rng.gauss(0, 1) for _ in range(3)]) for i in range(400)] + [("a", 1000 + i, 50.0 + i, 50.0, 50.0) for i in range(3)]
+    cloud += [("b", i, float(i % 5), float(i % 3), 0.0) for i in range(60)] + [("c", i, 1.0, 1.0, 1.0) for i in range(9)] + [("d", 0, 5.0, 5.0, 5.0)]
+    cloud += [("e", i, float(i), 0.0, 0.0) for i in range(300)] + [("e", 900 + i, 1e5, 1e-3 * i, 0.0) for i in range(40)]
+    asked = [(k, i, x, y, z) for k, i, x, y, z in cloud if i % 7 == 0 or i >= 900] + [("a", 5000, -90.0, 0.0, 3.0), ("a", 5001, 25.0, 25.0, 25.0), ("e", 5002, 4e4, 0.0, 0.0), ("none", 1, 0.0, 0.0, 0.0)]
+    p = spark.createDataFrame(cloud, "k string, p_idx int, p_x double, p_y double, p_z double")
+    q = spark.createDataFrame(asked, "k string, q_idx int, q_x double, q_y double, q_z double")
+    want = []
+    for k, i, *at in asked:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(at, v, strict=True)), j) for c, j, *v in cloud if c == k)[:4]
+        want += [(k, i, r + 1, j) for r, (_, j) in enumerate(near)]
+    assert rows(points.nearest(q, p, ["k"], 4), "k", "q_idx", "rank", "p_idx") == sorted(want)
+
+
+def test_grid_samples(spark):
+    rng = random.Random(2)
+    cloud = [("c", i, rng.uniform(0, 1), rng.uniform(0, 1), rng.uniform(0, 1), float(i % 10 == 0)) for i in range(500)] + [("c", 900, 3.0, 0.5, 0.5, 1.0), ("c", 901, 1.0, 1.0, 1.0, 0.0)]
+    d = spark.createDataFrame(cloud, "k string, p_idx int, x double, y double, z double, flux double")
+    cells = points.grid_cells(d, {c: (0.0, 1.0) for c in "xyz"}, 5)
+    assert {r.gx for r in cells.where("p_idx = 900").collect()} == {-1} and {r.gx for r in cells.where("p_idx = 901").collect()} == {3}
+    got = points.grid_sample(d, "k", {c: (0.0, 1.0) for c in "xyz"}, 5, 60, 1).collect()
+    assert len(got) == 60 and all(0 < r.weight <= 0.9 for r in got) and 900 not in {r.p_idx for r in got}
+    assert sorted(map(tuple, got)) == sorted(map(tuple, points.grid_sample(d.repartition(7), "k", {c: (0.0, 1.0) for c in "xyz"}, 5, 60, 1).collect()))
+
+
+def test_density_passes_gaps_and_decays_in_conductors(spark):
+    # A line of cells: seed, points, empty, empty, points, empty.
+    held = [("c", 0, True), ("c", 1, False), ("c", 4, False), ("no", 0, False)]
+    d = spark.createDataFrame([(k, x, 0, 0, s) for k, x, s in held], "k string, gx int, gy int, gz int, is_seed boolean")
+    got = {(r.k, r.gx): round(r.density, 9) for r in points.spread_density(d, "k", 6, decay=0.5, start=0.8).where("gy = 0 and gz = 0").collect()}
+    assert [got["c", x] for x in range(6)] == [0.8, 0.4, 0.2, 0.2, 0.2, 0.1] and {got["no", x] for x in range(6)} == {0.0}
+
+
 def test_large_ids_raise(spark):
     d = spark.createDataFrame([("w", 0, 1 << 31, 0, 1, 0, 1, 0)], "window_id string, layer int, cid long, px0 int, px1 int, py0 int, py1 int, seq int")
     with pytest.raises(Exception, match="2.31"):
