@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..lineage import scratch
 from ..operators import labels, layout
-from ..sinks import export, shards, text as text_sink
-from ..sources import cap3d, catalog, lefdef, solver, spef
+from ..sinks import export, npz as npz_sink, shards, text as text_sink
+from ..sources import cap3d, catalog, lefdef, npz, solver, spef
 from . import base
 from .base import CAPS, query, rounded, table
 
@@ -375,3 +375,31 @@ def s08_split_designs(spark, sf_dir):
     found = lefdef.read_def_files(spark, _folder_of_files(lines, spark, "designs"))
     what = F.when(F.col("kind") == "component", F.col("cell")).when(F.col("kind") == "net", F.array_join("connections", ",")).otherwise(F.col("layer"))
     return found.where(F.col("kind").isin("component", "net", "route")).select(_file_of().alias("file"), "kind", "name", what.alias("what"), F.round(F.coalesce("x", F.get("points", F.lit(0))), 6).alias("x"))
+
+
+# Archives: pixels and clouds are written as NumPy files and read through the data sources.
+
+
+@query(f"""WITH {_PIXELS} SELECT CAST(window_id AS VARCHAR) AS window_id, format('shard_{{:06d}}.npz', k // 4) AS shard, k % 4 AS shard_offset, layer, count(*) AS pixels, CAST(sum(cid) AS BIGINT) AS ids, CAST(sum(y * 64 + x) AS BIGINT) AS places,
+    round(sum(cid % 8 / 8.0), 4) AS density FROM w JOIN pixels USING (window_id) GROUP BY ALL""")
+def s31_npz_shards(spark, sf_dir):
+    pixels = base.painted(spark, sf_dir).select(F.col("window_id").cast("string").alias("window_id"), "layer", "y", "x", (F.col("cid") % 8 / 8).alias("density"), F.col("cid").cast("long").alias("cid"))
+    windows = base.rects(spark, sf_dir).select(F.col("window_id").cast("string").alias("window_id")).distinct()
+    folder = out_folder(spark, "npz")
+    npz_sink.write_shards(pixels, windows, folder, 8, 64, 64, 4)
+    return npz.shards(spark, folder).groupBy("window_id", "shard", "shard_offset", "layer").agg(F.count("*").alias("pixels"), F.sum("cid").alias("ids"), F.sum(F.col("y") * 64 + F.col("x")).alias("places"), F.round(F.sum("density"), 4).alias("density"))
+
+
+@query("""SELECT concat('W', vec_id // 64) AS window_id, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) - 1 AS p_idx, round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(embedding[2] AS DOUBLE), 6) AS nx,
+    CASE WHEN label < 5 THEN 1.0 ELSE -1.0 END AS flux, CASE WHEN vec_id // 64 % 2 = 0 THEN concat('net', label) ELSE CAST(label AS VARCHAR) END AS net FROM embeddings""")
+def s34_npz_clouds(spark, sf_dir):
+    """Clouds of 64 points; those of every other window have names, the others take them from their ids."""
+    k, label = F.col("vec_id"), F.col("label")
+    at = lambda i: F.col("embedding")[i]
+    points = table(spark, sf_dir, "embeddings").select(
+        say("W", F.expr("vec_id div 64")).alias("window_id"), k.alias("p_idx"), at(0).alias("x"), at(1).alias("nx"), F.when(label < 5, 1.0).otherwise(-1.0).alias("flux"), label.alias("net_id"),
+        F.when(F.expr("vec_id div 64") % 2 == 0, say("net", label)).alias("net"),
+    )
+    folder = out_folder(spark, "npz-clouds")
+    npz_sink.write_clouds(points, folder)
+    return npz.clouds(spark, folder).select("window_id", "p_idx", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("x", "nx")], F.col("flux").cast("double").alias("flux"), "net")
