@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches
+from .runtime import block_of, bound_batches
 
 SAMPLE_DOCS = 96
 SAMPLE_CHARS = 6_000
@@ -51,8 +51,9 @@ def has_letter(text: str) -> bool:
 def learn(docs: DataFrame, lang: Column, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> dict[str, bytes]:
     """Dictionary content by language, from rows for which ``usable`` holds."""
     text = F.col(text_col)
-    fit = usable & lang.isNotNull() & text.isNotNull() & (F.length(text) <= SAMPLE_CHARS) & text.rlike(r"\p{L}")
+    fit = usable & lang.isNotNull() & text.isNotNull() & text.rlike(r"\p{L}")
     hashed = docs.where(fit).select(lang.alias("lang"), F.xxhash64(F.col(id_col), text).alias("h"), text.alias("t"))
+    hashed = hashed.withColumn("t", block_of(F.col("t"), SAMPLE_CHARS))
     # Hashes are made distinct before they meet, so that a row that repeats often doesn't fill a language's task.
     order = Window.partitionBy("lang").orderBy("h")
     chosen = hashed.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)

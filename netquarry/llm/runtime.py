@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its measured size is at most this many bytes.
@@ -77,6 +77,12 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def block_of(text: Column, chars: int) -> Column:
+    """The text, or of a longer one a block of ``chars`` code points at a place that its hash draws: for bounded samples."""
+    place = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - chars + 1, F.lit(1))).cast("int")
+    return F.when(F.length(text) <= chars, text).otherwise(F.substring(text, place + 1, F.lit(chars)))
+
+
 def cleanup(spark: SparkSession) -> None:
     """Removes everything that operators wrote to the shared folder; their lazy results can't be read after that."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches
+from .runtime import block_of, bound_batches
 
 SAMPLE = 4_000
 SAMPLE_CHARS = 12_000
@@ -253,12 +253,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     """Word weights and bias, from the bounded sample of labelled rows."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     seen = labels.where(usable & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
-    short = docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(id_col).alias("i"), F.xxhash64(text).alias("h"))
+    all_ = docs.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("h"))
     order = [F.xxhash64("i", "h"), "i", "h", "y"]
-    chosen = docs.sparkSession.createDataFrame(short.join(seen, "i").distinct().orderBy(*order).limit(SAMPLE).collect(), "i long, h long, y int")
+    chosen = docs.sparkSession.createDataFrame(all_.join(seen, "i").distinct().orderBy(*order).limit(SAMPLE).collect(), "i long, h long, y int")
     texts = docs.select(F.col(id_col).alias("d"), F.xxhash64(text).alias("t_h"), text.alias("t"))
     found = texts.join(F.broadcast(chosen), (F.col("d") == F.col("i")) & (F.col("t_h") == F.col("h")))
-    rows = sorted(found.select("d", "y", "t").dropDuplicates(["d", "y", "t"]).collect())
+    # Texts are bounded once they are chosen.
+    rows = sorted(found.select("d", "y", block_of(F.col("t"), SAMPLE_CHARS).alias("t")).dropDuplicates(["d", "y", "t"]).collect())
     y = np.array([r["y"] for r in rows], dtype=float)
     texts = [r["t"] for r in rows]
     bags = Bags(texts)
