@@ -113,9 +113,25 @@ def polyline_pieces(lines: DataFrame, keys: list[str], w: str = "w_") -> DataFra
     """Polylines (``points`` array of x, y) clipped to a window: one row per connected piece with its points.
 
     Segments inside follow each other in one piece while the earlier one leaves where the next begins. All of it
-    happens within the row, so that nothing but the join that brought line and window together is shuffled.
+    happens within the row, so that nothing but the join that brought line and window together is shuffled. Lines of
+    one segment, which most are, are clipped as plain columns.
     """
     n = F.size("points")
+    return _single_pieces(lines.where(n == 2), keys, w).unionByName(_chained_pieces(lines.where(n > 2), keys, w))
+
+
+def _single_pieces(lines: DataFrame, keys: list[str], w: str) -> DataFrame:
+    p, q = F.col("points")[0], F.col("points")[1]
+    flat = lines.select(*keys, *[F.col(f"{w}{c}") for c in ("x0", "y0", "x1", "y1")], p["x"].alias("_px"), p["y"].alias("_py"), q["x"].alias("_qx"), q["y"].alias("_qy"))
+    enter, leave, ok = segment_clip((F.col("_px"), F.col("_py")), (F.col("_qx"), F.col("_qy")), w)
+    dx, dy = F.col("_qx") - F.col("_px"), F.col("_qy") - F.col("_py")
+    cut = flat.withColumns({"_t0": enter, "_t1": leave, "_ok": ok}).where("_ok and _t0 <= _t1").where((F.col("_t1") - F.col("_t0")) * F.greatest(F.abs(dx), F.abs(dy)) > EPS)
+    end = lambda t: F.struct((F.col("_px") + F.col(t) * dx).alias("x"), (F.col("_py") + F.col(t) * dy).alias("y"))
+    return cut.select(*keys, F.lit(1).cast("long").alias("piece"), F.array(end("_t0"), end("_t1")).alias("points"))
+
+
+def _chained_pieces(lines: DataFrame, keys: list[str], w: str) -> DataFrame:
+    n = F.size("points")
 
     def timed(p: Column, q: Column) -> Column:
         enter, leave, flat_ok = segment_clip((p["x"], p["y"]), (q["x"], q["y"]), w)
@@ -127,7 +143,7 @@ def polyline_pieces(lines: DataFrame, keys: list[str], w: str = "w_") -> DataFra
         ends = F.struct(at("t0", "x").alias("ax"), at("t0", "y").alias("ay"), at("t1", "x").alias("bx"), at("t1", "y").alias("by"))
         return F.when(s["ok"] & (s["t0"] <= s["t1"]) & (length > EPS), ends)
 
-    rows = lines.where(n >= 2).select(*keys, F.zip_with(F.slice("points", 1, n - 1), F.slice("points", 2, n - 1), timed).alias("_legs"))
+    rows = lines.select(*keys, F.zip_with(F.slice("points", 1, n - 1), F.slice("points", 2, n - 1), timed).alias("_legs"))
     rows = rows.select(*keys, F.transform("_legs", leg).alias("_legs")).where(F.exists("_legs", lambda s: s.isNotNull()))
     # A piece begins at a leg that the one before it doesn't lead into, and goes on until the next begins or a gap comes.
     before = lambda i: F.get("_legs", i - 1)

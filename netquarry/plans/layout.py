@@ -63,6 +63,25 @@ def j12_bound_pins(spark, sf_dir):
     return out.select(F.col("component").cast("long").alias("component"), "pin", "conductor", "synthetic", r6("x0").alias("x0"))
 
 
+@query("""WITH p AS (SELECT p_partkey // 10 AS m, p_partkey AS k, p_partkey % 4 + 0.5 AS x0, p_size % 3 + 0.25 AS y0, p_partkey % 4 + 1.5 AS x1, p_size % 3 + 2.25 AS y1 FROM part),
+    c AS (SELECT c_custkey AS component, c_custkey // 10 AS m, CAST(c_custkey AS DOUBLE) AS px, CAST(c_nationkey AS DOUBLE) AS py, ['N', 'S', 'E', 'W', 'FN', 'FS', 'FE', 'FW'][c_custkey % 8 + 1] AS o FROM customer),
+    r AS (SELECT component, k, o, px, py, unnest([x0, x1]) * CASE WHEN o[1] = 'F' THEN -1 ELSE 1 END AS x, unnest([y0, y1]) AS y, CASE WHEN o[1] = 'F' THEN o[2] ELSE o END AS turn, o[1] = 'F' AS f FROM c JOIN p USING (m)),
+    t AS (SELECT component, k, px, py, CASE turn WHEN 'N' THEN x WHEN 'S' THEN -x WHEN 'E' THEN y ELSE -y END AS x, CASE turn WHEN 'N' THEN y WHEN 'S' THEN -y WHEN 'E' THEN -x ELSE x END AS y,
+        least(0, CASE turn WHEN 'N' THEN 1 WHEN 'S' THEN -1 ELSE 0 END * CASE WHEN f THEN -8 ELSE 8 END) + CASE WHEN turn = 'W' THEN -5 ELSE 0 END AS low_x,
+        least(0, CASE turn WHEN 'E' THEN -1 WHEN 'W' THEN 1 ELSE 0 END * CASE WHEN f THEN -8 ELSE 8 END) + CASE WHEN turn = 'S' THEN -5 ELSE 0 END AS low_y FROM r)
+    SELECT component, k, round(min(px + x - low_x), 6) AS x0, round(min(py + y - low_y), 6) AS y0, round(max(px + x - low_x), 6) AS x1, round(max(py + y - low_y), 6) AS y1 FROM t GROUP BY component, k""")
+def j12_oriented_pins(spark, sf_dir):
+    """Pins of macros of 8 by 5 placed in all eight orientations, least corner at the placement."""
+    k = F.col("p_partkey")
+    pins = table(spark, sf_dir, "part").select(F.expr("p_partkey div 10").cast("string").alias("macro"), k.cast("string").alias("pin"), F.lit("m1").alias("layer"), (k % 4 + 0.5).alias("x0"), (F.col("p_size") % 3 + 0.25).alias("y0"), (k % 4 + 1.5).alias("x1"), (F.col("p_size") % 3 + 2.25).alias("y1"))
+    c = F.col("c_custkey")
+    orient = F.element_at(F.array(*map(F.lit, ("N", "S", "E", "W", "FN", "FS", "FE", "FW"))), (c % 8 + 1).cast("int"))
+    comps = table(spark, sf_dir, "customer").select(c.cast("string").alias("component"), F.expr("c_custkey div 10").cast("string").alias("cell"), c.cast("double").alias("x"), F.col("c_nationkey").cast("double").alias("y"), orient.alias("orient"), F.lit(8.0).alias("w"), F.lit(5.0).alias("h"))
+    nets = comps.select("component", F.lit("none").alias("pin"), F.lit("n").alias("net"), F.lit(0).alias("seq"))
+    out = layout.bound_pins(comps, pins, nets)
+    return out.select(F.col("component").cast("long").alias("component"), F.col("pin").cast("long").alias("k"), *[r6(x).alias(x) for x in layout.COLS])
+
+
 @query(f"""WITH {_TILES}, p AS (SELECT o_orderkey AS probe, (o_orderkey % 160) / 2.0 AS px, (o_custkey % 160) / 2.0 AS py FROM orders)
     SELECT probe, tile FROM p JOIN tiles ON px BETWEEN w_x0 AND w_x1 AND py BETWEEN w_y0 AND w_y1""")
 def j14_point_probe(spark, sf_dir):

@@ -165,19 +165,43 @@ def j07_components_in_windows(spark, sf_dir):
     return spatial.components_in_windows(comps, sizes, _tiles(spark).withColumnRenamed("tile", "window_id"), 10.0)
 
 
-@query(f"""WITH {_TILES}, s AS (SELECT o_orderkey AS net, o_orderkey % 90 - 5.0 AS px, o_custkey % 80 + 0.5 AS py, o_custkey % 90 - 5.0 AS qx, o_custkey % 80 + 0.5 AS qy FROM orders WHERE o_orderkey % 90 <> o_custkey % 90)
+def _tiled_lines(spark, lines):
+    """Polylines (net, points) with the tiles that their box touches; spread first, since the table may be one small file."""
+    lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "net")
+    box = lines.withColumns({"l_x0": F.array_min("points.x"), "l_x1": F.array_max("points.x"), "l_y0": F.array_min("points.y"), "l_y1": F.array_max("points.y")})
+    return spatial.overlap_join(box, _tiles(spark), "l_", "w_", 10.0, closed=True)
+
+
+@query(f"""WITH {_TILES}, s AS (SELECT o_orderkey AS net, o_orderkey % 90 - 5.0 AS px, o_custkey % 80 + 0.5 AS py, o_custkey % 90 - 5.0 AS qx, o_custkey % 80 + 0.5 AS qy FROM orders)
     SELECT net, tile, round(greatest(least(px, qx), w_x0), 6) AS x_lo, round(least(greatest(px, qx), w_x1), 6) AS x_hi FROM s JOIN tiles ON py BETWEEN w_y0 AND w_y1 AND greatest(px, qx) >= w_x0 AND least(px, qx) <= w_x1
     WHERE least(greatest(px, qx), w_x1) - greatest(least(px, qx), w_x0) > 1e-9""")
 def j09_clipped_polylines(spark, sf_dir):
+    """Level lines cut to tiles; those of no length have no piece."""
     x = lambda c: (F.col(c) % 90 - 5).cast("double")
     y = F.col("o_custkey") % 80 + 0.5
     point = lambda c: F.struct(x(c).alias("x"), y.cast("double").alias("y"))
-    lines = table(spark, sf_dir, "orders").where("o_orderkey % 90 <> o_custkey % 90").select(F.col("o_orderkey").alias("net"), F.array(point("o_orderkey"), point("o_custkey")).alias("points"))
-    box = lines.withColumns({"l_x0": F.array_min("points.x"), "l_x1": F.array_max("points.x"), "l_y0": F.array_min("points.y"), "l_y1": F.array_max("points.y")})
-    pieces = geometry.polyline_pieces(spatial.overlap_join(box, _tiles(spark), "l_", "w_", 10.0, closed=True), ["net", "tile"])
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("net"), F.array(point("o_orderkey"), point("o_custkey")).alias("points"))
+    pieces = geometry.polyline_pieces(_tiled_lines(spark, lines), ["net", "tile"])
     return pieces.select("net", "tile", F.round(F.array_min("points.x"), 6).alias("x_lo"), F.round(F.array_max("points.x"), 6).alias("x_hi"))
 
 
+@query(f"""WITH {_TILES}, s AS (SELECT o_orderkey AS net, i AS leg, (o_orderkey * (2 * i + 3) % 97) - 8.0 AS px, (o_custkey * (i + 2) % 89) - 4.0 AS py, (o_orderkey * (2 * i + 5) % 97) - 8.0 AS qx, (o_custkey * (i + 3) % 89) - 4.0 AS qy FROM orders, range(0, 4) r(i)),
+    t AS (SELECT *, qx - px AS dx, qy - py AS dy FROM s JOIN tiles ON least(px, qx) <= w_x1 AND greatest(px, qx) >= w_x0 AND least(py, qy) <= w_y1 AND greatest(py, qy) >= w_y0),
+    c AS (SELECT *, greatest(0.0, CASE WHEN dx = 0 THEN 0.0 ELSE least((w_x0 - px) / dx, (w_x1 - px) / dx) END, CASE WHEN dy = 0 THEN 0.0 ELSE least((w_y0 - py) / dy, (w_y1 - py) / dy) END) AS t0,
+      least(1.0, CASE WHEN dx = 0 THEN 1.0 ELSE greatest((w_x0 - px) / dx, (w_x1 - px) / dx) END, CASE WHEN dy = 0 THEN 1.0 ELSE greatest((w_y0 - py) / dy, (w_y1 - py) / dy) END) AS t1 FROM t),
+    k AS (SELECT net, tile, leg, px + t0 * dx AS ax, py + t0 * dy AS ay, px + t1 * dx AS bx, py + t1 * dy AS by_ FROM c WHERE t0 <= t1 AND (t1 - t0) * greatest(abs(dx), abs(dy)) > 1e-9),
+    f AS (SELECT *, CASE WHEN lag(leg) OVER q = leg - 1 AND abs(lag(bx) OVER q - ax) <= 1e-9 AND abs(lag(by_) OVER q - ay) <= 1e-9 THEN 0 ELSE 1 END AS first FROM k WINDOW q AS (PARTITION BY net, tile ORDER BY leg)),
+    p AS (SELECT *, sum(first) OVER (PARTITION BY net, tile ORDER BY leg) AS piece FROM f)
+    SELECT net, tile, CAST(piece AS BIGINT) AS piece, count(*) + 1 AS points, round(arg_min(ax, leg), 7) AS ax, round(arg_min(ay, leg), 7) AS ay, round(arg_max(bx, leg), 7) AS bx, round(arg_max(by_, leg), 7) AS by_ FROM p GROUP BY net, tile, piece""")
+def f37_polyline_pieces(spark, sf_dir):
+    """Sloping lines of four legs that leave tiles and come back: pieces with their points, first and last."""
+    point = lambda i: F.struct((F.col("o_orderkey") * (2 * i + 3) % 97 - 8).cast("double").alias("x"), (F.col("o_custkey") * (i + 2) % 89 - 4).cast("double").alias("y"))
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("net"), F.array(*[point(i) for i in range(5)]).alias("points"))
+    pieces = geometry.polyline_pieces(_tiled_lines(spark, lines), ["net", "tile"])
+    end = lambda i, c: F.round(F.element_at("points", i)[c], 7)
+    return pieces.select("net", "tile", "piece", F.size("points").cast("long").alias("points"), end(1, "x").alias("ax"), end(1, "y").alias("ay"), end(-1, "x").alias("bx"), end(-1, "y").alias("by_"))
+
+
 @query(f"""WITH {RECTS}, {_TILES}, c AS (SELECT tile AS window_id, layer, unnest(range(CAST(floor(greatest(x0, w_x0)) AS INTEGER), CAST(ceil(least(x1, w_x1)) AS INTEGER))) AS x, CAST(floor(greatest(y0, w_y0)) AS INTEGER) AS a, CAST(ceil(least(y1, w_y1)) AS INTEGER) AS b
       FROM rects JOIN tiles ON x1 > w_x0 AND x0 < w_x1 AND y1 > w_y0 AND y0 < w_y1)
     SELECT window_id, layer, count(*) / 100.0 AS density FROM (SELECT DISTINCT window_id, layer, x, unnest(range(a, b)) AS y FROM c) GROUP BY ALL""")

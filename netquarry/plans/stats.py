@@ -178,6 +178,19 @@ def f38_dielectric(spark, sf_dir):
     return rounded(stack.dielectric_at(pts, media, 0.0).select("p_partkey", "er"), "er")
 
 
+@query("""WITH m AS (SELECT p_brand AS tech, CAST(p_size AS DOUBLE) AS z_top, 1 + (p_size * 7 % 13) / 4.0 AS er FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY tech ORDER BY z_top) - 1 AS i, count(*) OVER (PARTITION BY tech) AS n, lead(er) OVER (PARTITION BY tech ORDER BY z_top) AS above FROM m),
+    p AS (SELECT p_partkey, p_brand AS tech, p_partkey % 55 + CASE p_partkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1e-10 ELSE 0 END AS z FROM part),
+    f AS (SELECT p_partkey, z, min(z_top) AS z_top, arg_min(er, z_top) AS er, arg_min(coalesce(above, -1), z_top) AS above FROM p JOIN r ON p.tech = r.tech AND z_top >= z - 1e-9 GROUP BY ALL)
+    SELECT p.p_partkey, round(CASE WHEN f.er IS NULL THEN (SELECT arg_max(er, z_top) FROM m WHERE m.tech = p.tech) WHEN abs(f.z_top - f.z) <= 1e-9 AND f.above >= 0 THEN (f.er + f.above) / 2 ELSE f.er END, 6) AS er FROM p LEFT JOIN f ON p.p_partkey = f.p_partkey""")
+def f38_interfaces(spark, sf_dir):
+    """Permittivity at heights of which two of three lie on an interface, or a tenth of a tolerance beside it."""
+    size = F.col("p_size")
+    media = table(spark, sf_dir, "part").select(F.col("p_brand").alias("tech"), size.cast("double").alias("z_top"), (1 + size * 7 % 13 / 4).alias("er")).distinct()
+    k = F.col("p_partkey")
+    pts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("tech"), "p_partkey", (k % 55 + F.when(k % 3 == 0, 0.5).when(k % 3 == 1, 1e-10).otherwise(0.0)).alias("z"))
+    return rounded(stack.dielectric_at(pts, media).select("p_partkey", "er"), "er")
+
+
 @query(f"""WITH {_STACK}, a AS (SELECT tech, name, z1, row_number() OVER (PARTITION BY tech ORDER BY z1, name) AS rank FROM m),
     b AS (SELECT tech, name, z1 + CASE WHEN k % 3 = 0 THEN 0.01 ELSE 0 END AS z1, row_number() OVER (PARTITION BY tech ORDER BY z1 + CASE WHEN k % 3 = 0 THEN 0.01 ELSE 0 END, name) AS rank FROM m)
     SELECT a.tech, CAST(a.rank AS INTEGER) AS rank, a.name AS layer_a, b.name AS layer_b, abs(a.z1 - b.z1) <= 1e-4 AS close, lower(a.name) = lower(b.name) AS same_name FROM a JOIN b ON a.tech = b.tech AND a.rank = b.rank""")
