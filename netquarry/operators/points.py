@@ -131,17 +131,26 @@ def ball(queries: DataFrame, points: DataFrame, keys: list[str], radius: float,
     return found.withColumn("ids", F.concat("ids", F.array_repeat(F.col("ids")[0], F.lit(n) - F.size("ids"))))
 
 
-def farthest(points: DataFrame, key: str, n: int, seed: int = 0, start: int | None = None) -> DataFrame:
+GROUPED = 100_000  # points of a cloud that one task takes at most
+PENDING = 16  # rounds after which least distances are written down
+
+
+def farthest(points: DataFrame, key: str, n: int, seed: int = 0, start: int | None = None, grouped: int = GROUPED) -> DataFrame:
     """Farthest point sampling per cloud: ``order`` and ``p_idx`` of n points, the first drawn by seed or at place ``start``.
 
-    Inherently sequential in a cloud, so each cloud is one group; clouds are windows of bounded size.
+    Clouds of ``grouped`` points at most are picked from in one task each. Larger ones go in rounds, all clouds at once: each
+    round is a partial argmax of the least distances so far, ties to the smaller index as in the groups.
     """
-    kind = dict(points.dtypes)[key]
+    from ..lineage import ensure_checkpoints
+
+    ensure_checkpoints(points.sparkSession)
+    kind, index = dict(points.dtypes)[key], dict(points.dtypes)["p_idx"]
+    sizes = points.groupBy(key).agg(F.count("*").alias("_n")).checkpoint()
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("p_idx")
         xyz = g[list(XYZ)].to_numpy(dtype=float)
-        at = int(np.random.default_rng(seed).integers(len(xyz))) if start is None else start % len(xyz)
+        at = _start(len(xyz), seed, start)
         far, out = np.full(len(xyz), np.inf), []
         for _ in range(min(n, len(xyz))):
             out.append(at)
@@ -149,7 +158,47 @@ def farthest(points: DataFrame, key: str, n: int, seed: int = 0, start: int | No
             at = int(far.argmax())
         return pd.DataFrame({key: g[key].iloc[0], "order": np.arange(len(out)), "p_idx": g["p_idx"].to_numpy()[out]})
 
-    return points.groupBy(key).applyInPandas(pick, f"{key} {kind}, order long, p_idx long")
+    schema = f"{key} {kind}, order long, p_idx {index}"
+    small = points.join(sizes.where(F.col("_n") <= grouped), key, "left_semi").groupBy(key).applyInPandas(pick, schema)
+    large = sizes.where(F.col("_n") > grouped)
+    if not large.limit(1).count():
+        return small
+    rounds = _farthest_in_rounds(points.join(large.select(key), key, "left_semi"), large, key, n, seed, start)
+    return rounds if not sizes.where(F.col("_n") <= grouped).limit(1).count() else small.unionByName(rounds)
+
+
+def _start(size: int, seed: int, start: int | None) -> int:
+    return int(np.random.default_rng(seed).integers(size)) if start is None else start % size
+
+
+def _farthest_in_rounds(points: DataFrame, sizes: DataFrame, key: str, n: int, seed: int, start: int | None) -> DataFrame:
+    from .quantiles import _ranked
+
+    @F.pandas_udf("long")
+    def place(size: pd.Series) -> pd.Series:
+        return size.map(lambda s: _start(int(s), seed, start))
+
+    first = _ranked(points, [key], "p_idx", sizes.select(key, F.lit(0).alias("want"), place("_n").alias("rank"))).select(key, F.col("value").alias("p_idx"))
+    spot = F.struct("p_idx", *XYZ)
+    chosen = points.join(first, [key, "p_idx"]).groupBy(key).agg(F.first(spot).alias("c")).select(key, F.array("c").alias("new"), F.lit(0).cast("long").alias("order")).checkpoint()
+    state = points.select(key, "p_idx", *XYZ, F.lit(float("inf")).alias("far")).checkpoint()
+    small = sizes.count() <= 100_000  # a row a cloud
+    out = chosen.select(key, "order", F.col("new")[0]["p_idx"].alias("p_idx"))
+    gap = lambda c: sum(((F.col(x) - c[x]) ** 2 for x in XYZ[1:]), (F.col("x") - c["x"]) ** 2)
+    left = sizes
+    for k in range(1, n):
+        left = left.where(F.col("_n") > k)
+        going = chosen.join(left.select(key), key, "left_semi")
+        near = state.join(F.broadcast(going) if small else going, key).withColumn("far", F.least("far", F.array_min(F.transform("new", gap))))
+        if k % PENDING == 0:
+            state = near.select(key, "p_idx", *XYZ, "far").checkpoint()
+            near = state.withColumn("new", F.array().cast(dict(chosen.dtypes)["new"]))
+        best = near.groupBy(key).agg(F.max_by(spot, F.struct("far", (-F.col("p_idx")).alias("i"))).alias("c"), F.first("new").alias("new"))
+        chosen = best.select(key, F.concat("new", F.array("c")).alias("new"), F.lit(k).cast("long").alias("order")).checkpoint()
+        if not chosen.limit(1).count():
+            break
+        out = out.unionAll(chosen.select(key, "order", F.element_at("new", -1)["p_idx"].alias("p_idx")))
+    return out
 
 
 def resampled(points: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:

@@ -302,16 +302,25 @@ def r15_spread_density(spark, sf_dir):
     return out.withColumn("density", F.round("density", 9))
 
 
-@query(f"""WITH RECURSIVE {_CLOUD}, walk(label, step, chosen) AS (
+_FARTHEST = f"""WITH RECURSIVE {_CLOUD}, walk(label, step, chosen) AS (
       SELECT label, 0, [arg_min(struct_pack(i := idx, x := x, y := y, z := z), idx)] FROM cloud GROUP BY label
       UNION ALL SELECT label, step + 1, list_append(chosen, next) FROM (
         SELECT w.label, w.step, w.chosen, arg_min(struct_pack(i := c.idx, x := c.x, y := c.y, z := c.z), struct_pack(d := -list_min(list_transform(w.chosen, lambda p: (c.x - p.x) ** 2 + (c.y - p.y) ** 2 + (c.z - p.z) ** 2)), i := c.idx)) AS next
         FROM walk w JOIN cloud c ON c.label = w.label WHERE w.step < 15 GROUP BY ALL))
-    SELECT label, CAST(k - 1 AS BIGINT) AS "order", chosen[k].i AS p_idx FROM walk, range(1, 17) r(k) WHERE step = least(15, (SELECT max(step) FROM walk)) AND k <= len(chosen)""")
+    SELECT label, CAST(k - 1 AS BIGINT) AS "order", chosen[k].i AS p_idx FROM walk, range(1, 17) r(k) WHERE step = least(15, (SELECT max(step) FROM walk)) AND k <= len(chosen)"""
+
+
+@query(_FARTHEST)
 def r19_farthest_points(spark, sf_dir):
     return points.farthest(_cloud(spark, sf_dir).withColumnRenamed("idx", "p_idx"), "label", 16, start=0)
 
 
+@query(_FARTHEST)
+def r19_farthest_in_rounds(spark, sf_dir):
+    """The same, by the way of large clouds: a partial argmax a round over all clouds."""
+    return points.farthest(_cloud(spark, sf_dir).withColumnRenamed("idx", "p_idx"), "label", 16, start=0, grouped=0)
+
+
 @query(f"WITH {_CLOUD}, c AS (SELECT label, count(*) AS m FROM cloud GROUP BY 1) SELECT label, CAST(200 AS BIGINT) AS n, least(m, 200) AS points, CASE WHEN m >= 200 THEN 1 ELSE 200 // m END AS least, CASE WHEN m >= 200 THEN 1 ELSE CAST(ceil(200 / m) AS BIGINT) END AS most FROM c")
 def r14_resampled(spark, sf_dir):
     """Points in all, different ones, and how often the least and most frequent come."""

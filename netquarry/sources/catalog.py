@@ -20,9 +20,9 @@ REGISTRY = (
 )
 
 
-def registry(spark: SparkSession, path: str) -> DataFrame:
-    """Datasets by id; sources default to kind zip and not preferred, the window list to windows.yaml."""
-    rows = spark.read.schema(REGISTRY).option("multiLine", True).json(path).select(F.explode("datasets").alias("d")).select("d.*")
+def registry(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Datasets by id; sources default to kind zip and not preferred, the window list to windows.yaml. ``lines``: a document a line."""
+    rows = spark.read.schema(REGISTRY).option("multiLine", not lines).json(path).select(F.explode("datasets").alias("d")).select("d.*")
     filled = F.transform("sources", lambda s: F.struct(s["name"].alias("name"), s["url"].alias("url"), s["filename"].alias("filename"), F.coalesce(s["kind"], F.lit("zip")).alias("kind"), F.coalesce(s["preferred"], F.lit(False)).alias("preferred")))
     return rows.withColumns({"sources": filled, "windows_file": F.coalesce("windows_file", F.lit("windows.yaml"))}).orderBy("dataset_id")
 

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+HELD = 5_000  # rows of small files that are given out together
+
+
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, window_id, text): the window is the file's name up to its first extension."""
     reader = spark.read.option("recursiveFileLookup", True)
@@ -34,6 +37,7 @@ def parsed(files: DataFrame, rows_of: Callable[[str], Iterator[dict]], schema: s
     columns = ["window_id", "path", "seq", *fields, "error"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
         for b in batches:
             for path, window, text in zip(b["path"], b["window_id"], b["text"], strict=True):
                 rows: list[tuple] = []
@@ -42,7 +46,11 @@ def parsed(files: DataFrame, rows_of: Callable[[str], Iterator[dict]], schema: s
                         rows.append((window, path, k, *[r.get(f) for f in fields], None))
                 except (ValueError, IndexError, KeyError) as e:
                     rows = [(window, path, 0, *[None] * len(fields), f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=columns, dtype=object)
+                held += rows
+                if len(held) >= HELD:
+                    yield pd.DataFrame(held, columns=columns, dtype=object)
+                    held = []
+        yield pd.DataFrame(held, columns=columns, dtype=object)
 
     return files.select("path", "window_id", "text").mapInPandas(parse, f"window_id string, path string, seq long, {schema}, error string")
 

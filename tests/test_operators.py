@@ -364,6 +364,15 @@ def test_density_passes_gaps_and_decays_in_conductors(spark):
     assert [got["c", x] for x in range(6)] == [0.8, 0.4, 0.2, 0.2, 0.2, 0.1] and {got["no", x] for x in range(6)} == {0.0}
 
 
+def test_farthest_in_rounds_like_groups(spark):
+    rng = random.Random(6)
+    d = spark.createDataFrame([(k, i, *[float(rng.randrange(5)) for _ in range(3)]) for k, n in (("a", 90), ("b", 7), ("c", 40)) for i in range(n)], "k string, p_idx long, x double, y double, z double")
+    for seed, start in ((3, None), (0, 5)):
+        want = rows(points.farthest(d, "k", 36, seed, start), "k", "order", "p_idx")
+        assert rows(points.farthest(d, "k", 36, seed, start, grouped=0), "k", "order", "p_idx") == want
+        assert rows(points.farthest(d, "k", 36, seed, start, grouped=40), "k", "order", "p_idx") == want
+
+
 def test_large_ids_raise(spark):
     d = spark.createDataFrame([("w", 0, 1 << 31, 0, 1, 0, 1, 0)], "window_id string, layer int, cid long, px0 int, px1 int, py0 int, py1 int, seq int")
     with pytest.raises(Exception, match="2.31"):
