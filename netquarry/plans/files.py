@@ -251,3 +251,44 @@ def f26_cloud_names(spark, sf_dir):
     known = spark.range(50).select(say("net", F.col("id")).alias("net"))
     found = names.ladder(table(spark, sf_dir, "customer").select("c_custkey", said.alias("name")), known, "name", names.CLOUD)
     return found.select("c_custkey", F.coalesce("resolved", "name").alias("resolved"))
+
+
+# A store of shards with its conductors, and label files for two windows of three.
+_STORE = f"""{base.RECTS}, t AS (SELECT window_id, cid, CAST(count(*) AS DOUBLE) AS q FROM rects WHERE window_id % 3 <> 0 GROUP BY ALL), n AS (SELECT window_id, count(*) AS n FROM pixels GROUP BY 1), own AS (SELECT window_id, cid, count(*) AS m FROM pixels GROUP BY ALL)"""
+
+
+def _loaded(spark, sf_dir):
+    from .. import serve
+    from ..sinks import shards, text as text_sink
+
+    rects = base.rects(spark, sf_dir)
+    window = F.col("window_id").cast("string").alias("window_id")
+    pixels = base.painted(spark, sf_dir).select(window, "layer", "y", "x", F.lit(0.5).alias("density"), F.col("cid").cast("long").alias("cid"))
+    entry = F.struct(say("N", F.col("cid")).alias("k"), F.col("cid").cast("int").alias("v"))
+    windows = rects.groupBy(window).agg(F.map_from_entries(F.collect_set(entry)).alias("conductor_id_map"))
+    windows = windows.withColumns({"layer_names": F.array(F.lit("M1")), "layer_has_density": F.array(F.lit(True)), "height": F.lit(64), "width": F.lit(64)})
+    folder = out_folder(spark, "store")
+    shards.write(pixels, windows, folder, 4)
+    selfs = rects.where("window_id % 3 <> 0").groupBy(window, say("N", F.col("cid")).alias("net")).agg((F.count("*") * 1e-12).alias("value_f"))
+    pairs = selfs.where("false").select("window_id", F.col("net").alias("net_lo"), F.col("net").alias("net_hi"), "value_f")
+    files = text_sink.spef(selfs, pairs, "top").select("window_id", F.lit("raphael").alias("solver"), F.concat(F.lit("/l/"), "window_id", F.lit(".spef")).alias("path"), "text")
+    return serve.load(spark, folder, files, "self", highlight=2.0)
+
+
+@query(f"""WITH {_STORE} SELECT CAST(window_id AS VARCHAR) AS window_id, CAST(cid AS INTEGER) AS pos_id, round(q * 1000, 3) AS target FROM t""")
+def l01_store_samples(spark, sf_dir):
+    """Self samples of a store's labelled windows: conductors through the index, labels through SPEF text."""
+    return _loaded(spark, sf_dir).samples.select("window_id", F.col("pos_id").cast("int").alias("pos_id"), F.round("target", 3).alias("target"))
+
+
+@query(f"""WITH {_STORE}, f AS (SELECT window_id, min(cid) AS cid FROM t GROUP BY 1) SELECT CAST(f.window_id AS VARCHAR) AS window_id, CAST(f.cid AS INTEGER) AS pos_id, n.n AS pixels, round(n.n * 0.5 + coalesce(own.m, 0) * 2.0, 6) AS total FROM f JOIN n USING (window_id) LEFT JOIN own ON own.window_id = f.window_id AND own.cid = f.cid""")
+def l04_store_features(spark, sf_dir):
+    """Features of the sample of each window's least conductor: the density of its pixels, raised on its own."""
+    data = _loaded(spark, sf_dir)
+    wanted = data.samples.groupBy("window_id").agg(F.min("pos_id").alias("pos_id")).withColumn("neg_id", F.lit(0))
+    return data.features(wanted).groupBy("window_id", F.col("pos_id").cast("int").alias("pos_id")).agg(F.count("*").alias("pixels"), F.round(F.sum("feature"), 6).alias("total"))
+
+
+@query(f"""WITH {_STORE}, w AS (SELECT window_id, count(*) AS n FROM t GROUP BY 1), o AS (SELECT CAST(window_id AS VARCHAR) AS window_id, n, CAST(sum(n) OVER (ORDER BY CAST(window_id AS VARCHAR)) AS BIGINT) AS e FROM w) SELECT window_id, n, e - n AS start, e AS "end" FROM o""")
+def l10_store_ranges(spark, sf_dir):
+    return _loaded(spark, sf_dir).ranges()

@@ -40,7 +40,7 @@ def r24_width_filter(spark, sf_dir):
     p AS (SELECT ox0 AS x0, oy0 AS y0, ox1 AS x1, y0 AS y1 FROM o UNION ALL SELECT ox0, y1, ox1, oy1 FROM o UNION ALL SELECT ox0, y0, x0, y1 FROM o UNION ALL SELECT x1, y0, ox1, y1 FROM o)
     SELECT count(*) AS shells, round(sum((x1 - x0) * (y1 - y0)), 4) AS area FROM p WHERE x0 < x1 AND y0 < y1""")
 def r25_conformal_shells(spark, sf_dir):
-    shapes = base.rects(spark, sf_dir).where("layer = 1")
+    shapes = base.rects(spark, sf_dir)
     profile = spark.createDataFrame([(1, -0.25, 0.5, 4.2)], "layer int, etch double, thickness double, er double")
     bounds = shapes.select("window_id").distinct().withColumns({f"b_{c}": F.lit(v) for c, v in zip(layout.COLS, (2.0, 2.0, 60.0, 60.0), strict=True)})
     out = layout.conformal_shells(shapes, profile, bounds)

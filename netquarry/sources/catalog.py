@@ -1,10 +1,7 @@
-"""Dataset registry, window lists, technology stacks, layer maps, shard indices, clouds and annotations."""
+"""Dataset registry, window lists, technology stacks, layer maps and annotations."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,30 +93,6 @@ def layermap(files: DataFrame, lower: bool = False) -> DataFrame:
     return rows.withColumn("layer_name", F.lower("layer_name")) if lower else rows
 
 
-CLOUD = "window_id string, p_idx long, x float, y float, z float, nx float, ny float, nz float, diel float, flux float, net_id float, net string"
-
-
-def point_clouds(spark: SparkSession, path: str) -> DataFrame:
-    """Points of npz archives, one row a point; names fall back to the id as text."""
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        import numpy as np
-
-        for b in batches:
-            for name, content in zip(b["path"], b["content"], strict=True):
-                with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                    p = z["points"].astype(np.float32)
-                    names = [str(x) for x in z["names"]] if "names" in z else [str(int(i)) for i in p[:, 8]]
-                frame = pd.DataFrame(p[:, :9], columns=["x", "y", "z", "nx", "ny", "nz", "diel", "flux", "net_id"])
-                frame.insert(0, "p_idx", range(len(p)))
-                frame.insert(0, "window_id", name.rsplit("/", 1)[-1].split(".")[0])
-                frame["net"] = names
-                yield frame
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content").mapInPandas(load, CLOUD)
-
-
 def annotations(spark: SparkSession, path: str) -> DataFrame:
     schema = "cap double, cap_type string, conductor_num int, point_num int, electrode1_point_num int, electrode2_point_num int, point_cloud_path string"
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
@@ -129,21 +102,3 @@ def clean_annotations(rows: DataFrame, kind: str) -> DataFrame:
     """Capacitances of 1e-17 at least; couplings need more than two fifths of the points on the two electrodes."""
     ok = F.col("cap") >= 1e-17
     return rows.where(ok if kind == "total" else ok & (F.try_divide(F.col("electrode1_point_num") + F.col("electrode2_point_num"), F.col("point_num")) > 0.4))
-
-
-def density_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Sparse pixels of npz shards: (window_id, layer, y, x, density, cid) where anything is set."""
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        import numpy as np
-
-        for b in batches:
-            for content in b["content"]:
-                with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                    density, ids, names = z["density"], z["id"], z["window_ids"]
-                for k, w in enumerate(names):
-                    layer, y, x = np.nonzero((density[k] != 0) | (ids[k] != 0))
-                    yield pd.DataFrame({"window_id": str(w), "layer": layer, "y": y, "x": x, "density": density[k][layer, y, x].astype("float64"), "cid": ids[k][layer, y, x].astype("int64")})
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("content").mapInPandas(load, "window_id string, layer int, y int, x int, density double, cid long")
