@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compare, names, raster, samples, stats, views
+from ..operators import compare, layout, names, raster, samples, stats, views
 from ..sinks import export
 from ..sources import cap3d, catalog, lefdef
 from . import base
@@ -292,3 +292,29 @@ def l04_store_features(spark, sf_dir):
 @query(f"""WITH {_STORE}, w AS (SELECT window_id, count(*) AS n FROM t GROUP BY 1), o AS (SELECT CAST(window_id AS VARCHAR) AS window_id, n, CAST(sum(n) OVER (ORDER BY CAST(window_id AS VARCHAR)) AS BIGINT) AS e FROM w) SELECT window_id, n, e - n AS start, e AS "end" FROM o""")
 def l10_store_ranges(spark, sf_dir):
     return _loaded(spark, sf_dir).ranges()
+
+
+@query(f"WITH {base.RECTS}, p AS (SELECT window_id, layer, count(*) AS n FROM pixels GROUP BY ALL) SELECT w.window_id, CAST(l.i AS INTEGER) AS layer, concat('M', l.i) AS layer_name, coalesce(p.n, 0) AS n FROM (SELECT DISTINCT window_id FROM pixels) w CROSS JOIN range(0, 10) l(i) LEFT JOIN p ON p.window_id = w.window_id AND p.layer = l.i")
+def r06_all_layers(spark, sf_dir):
+    """Pixels of each window on every layer of a technology, painted or not."""
+    layers = spark.range(10).select(F.col("id").cast("int").alias("layer"), say("M", F.col("id")).alias("layer_name"))
+    return layout.with_all_layers(base.painted(spark, sf_dir), layers).select("window_id", "layer", "layer_name", "n")
+
+
+@query("""WITH n AS (SELECT l_orderkey AS w, l_linenumber AS j, max(l_quantity) AS q FROM lineitem GROUP BY ALL)
+    SELECT CAST(w AS VARCHAR) AS window_id, 'total' AS kind, concat('block_', j) AS net, CAST(NULL AS VARCHAR) AS other, round(q, 3) AS pf FROM n
+    UNION ALL SELECT CAST(a.w AS VARCHAR), 'pair', least(concat('block_', a.j), concat('block_', b.j)), greatest(concat('block_', a.j), concat('block_', b.j)), round(least(a.q, b.q) / 4, 3) FROM n a JOIN n b ON a.w = b.w AND b.j = a.j + 1""")
+def k05_block_labels(spark, sf_dir):
+    """Labels of blocks by number, written as SPEF text and read back."""
+    from ..sinks import text as text_sink
+    from ..sources import spef
+    from .formats import texts
+
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("window_id"), F.col("l_linenumber").alias("net")).agg(F.max("l_quantity").alias("q"))
+    after = n.select("window_id", (F.col("net") - 1).alias("net"), F.col("net").alias("net_hi"), F.col("q").alias("q2"))
+    pairs = n.join(after, ["window_id", "net"]).select("window_id", F.col("net").alias("net_lo"), "net_hi", (F.least("q", "q2") / 4 * 1e-12).alias("value_f"))
+    rows = spef.read_spef(texts(text_sink.block_spef(n.select("window_id", "net", (F.col("q") * 1e-12).alias("value_f")), pairs, "top")))
+    pf = lambda c: F.round(F.col(c) * 1e12, 3).alias("pf")
+    totals = spef.nets(rows).select("window_id", F.lit("total").alias("kind"), "net", F.lit(None).cast("string").alias("other"), pf("total_f"))
+    found = spef.caps(rows).where("node_b is not null")
+    return totals.unionAll(found.select("window_id", F.lit("pair").alias("kind"), F.least("node_a", "node_b").alias("net"), F.greatest("node_a", "node_b").alias("other"), pf("value_f")))
