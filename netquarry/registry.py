@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import files, formats, labels, layout, names, polygons, raster, samples, stats  # noqa: F401
+from .plans import discover, files, formats, labels, layout, names, polygons, raster, samples, stats  # noqa: F401
 from .plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

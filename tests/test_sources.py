@@ -315,3 +315,20 @@ def test_streaming(spark, tmp_path):
     go()
     go()
     assert rows(current_totals(spark, str(tmp_path / "out")), "window_id", "net", "total_f") == [("W0", "NET_A", pytest.approx(3e-15)), ("W0", "NET_B", pytest.approx(4e-15)), ("W1", "NET_A", pytest.approx(7e-15)), ("W1", "NET_B", pytest.approx(4e-15))]
+
+
+def test_folders_are_listed_and_cleaned(spark, tmp_path):
+    from netquarry.sources import discover
+
+    for name in ("t/small/cap3d/W1.cap3d", "t/small/gds.tmp/x", "t/small/windows.yaml", "r/W2/all_nets.dspf", "r/W10/all_nets.dspf", "r/W3/else", "s/index.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    files = discover.listing(spark, str(tmp_path))
+    assert files.count() == 7 and files.where("length <> 1").count() == 0
+    assert rows(discover.datasets(files), "dataset", "files") == [("t_small", 1)]
+    assert [r.window_id for r in discover.window_folders(files).orderBy("number").collect()] == ["W2", "W10"]
+    assert rows(discover.stores(files), "store") == [(f"{tmp_path}/s",)]
+    roots = spark.createDataFrame([(f"{tmp_path}/t/small",)], "root string")
+    assert rows(discover.artifacts(files, roots), "artifact", "files") == [("cap3d", 1), ("windows.yaml", 1)]
+    assert discover.remove_stale(spark, str(tmp_path)) == [f"{tmp_path}/t/small/gds.tmp"] and not (tmp_path / "t/small/gds.tmp").exists()
+    assert discover.remove_stale(spark, str(tmp_path)) == [] and (tmp_path / "t/small/cap3d/W1.cap3d").exists()
