@@ -17,11 +17,11 @@ written to the shared folder.
 Similar shingles (:func:`drop_near_duplicates`). Documents whose sets of five-word shingles have a similarity of 0.8
 or more differ in some 39 of 256 bits, which no covering code finds in one piece. So the anchors are those of many
 samples of the bits: a sample's code is that of all its words (covering radius 0), a fingerprint goes to one anchor a
-sample, and the number of samples follows from the wanted recall at the least similarity. Members of an anchor
-compare with its head alone, so that no pairs are made; those that the head doesn't hold go on to finer anchors, of as
-many more bits as their number asks for. What lies within :data:`REACH` bits is then checked by
-the texts' exact similarity. So links are always right, and found with a probability of ``RECALL`` at 0.8 and more
-above it.
+sample, and the number of samples follows from the share of pairs at the least similarity that is to meet. Members of an
+anchor compare with its head; those that the head doesn't hold compare with all members where these are ``FEW`` at most, and
+go on to finer anchors, of as many more bits as their number asks for, where there are more. What lies within :data:`REACH`
+bits is then checked by the texts' exact similarity. So links are right, and found with a probability of 0.9 and more at
+0.8, and above it nearly always.
 
 Defined results: null texts are empty; texts without words have fingerprint zero and link like others; texts
 of fewer words than a shingle use the whole sequence; a null id is never a component's smallest id unless all ids
@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import add
 
 import numpy as np
@@ -54,11 +54,13 @@ BLOCK = 65_536  # shingles whose hashes are held at a time
 SIMILAR = 0.8
 WIDE = 5  # words of a shingle where similarity is asked for
 BITS = 256  # of a wide fingerprint
-RECALL = 0.9  # of pairs whose similarity is just ``SIMILAR``
+MET = 0.95  # of pairs whose similarity is just ``SIMILAR``: share that meets at an anchor, so that 0.9 and more are found
 #: Share of bits in which fingerprints of sets of similarity 0.8 differ: the angle of their indicator vectors.
 DIFFER = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
-#: Differing bits up to which texts are compared: 2.3 deviations above the mean at similarity 0.8.
-REACH = round(BITS * DIFFER + 2.3 * math.sqrt(BITS * DIFFER * (1 - DIFFER)))
+#: Differing bits up to which texts are compared: 3 deviations above the mean at similarity 0.8.
+REACH = round(BITS * DIFFER + 3 * math.sqrt(BITS * DIFFER * (1 - DIFFER)))
+
+FEW = 128  # members of an anchor up to which those that its head doesn't hold meet all of them
 
 #: Parity masks of the [31, 26] Hamming code: bit i - 1 counts for check k where i has bit k.
 PARITY = tuple(sum(1 << (i - 1) for i in range(1, 32) if i >> k & 1) for k in range(5))
@@ -204,9 +206,29 @@ def wide_fingerprint(text: str, width: int = WIDE) -> np.ndarray:
     return np.packbits(2 * total > len(hashes), bitorder="little").view(np.int64)
 
 
+def met_by(size: int, samples: int) -> float:
+    """Share of pairs at the least similarity that agree in all bits of one of the samples.
+
+    Their differing bits are one draw that all samples share, so this is the mean over how many bits differ.
+    """
+    log_choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    out = 0.0
+    for d in range(BITS - size + 1):
+        share = math.exp(log_choose(BITS, d) + d * math.log(DIFFER) + (BITS - d) * math.log(1 - DIFFER))
+        out += share * -math.expm1(samples * math.log1p(-min(math.exp(log_choose(BITS - d, size) - log_choose(BITS, size)), 1 - 1e-12)))
+    return out
+
+
+@lru_cache
 def number_of(size: int) -> int:
-    """Samples of ``size`` bits that give ``RECALL`` at the least similarity."""
-    return max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - DIFFER) ** size)))
+    """Samples of ``size`` bits that give ``MET`` at the least similarity."""
+    low, high = 1, 1
+    while met_by(size, high) < MET:
+        low, high = high, 2 * high
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if met_by(size, middle) >= MET else (middle + 1, high)
+    return low
 
 
 def samples_of(size: int, seed: int = SEED) -> np.ndarray:
@@ -226,7 +248,7 @@ def anchors_at(fps: np.ndarray, samples: np.ndarray, salt: np.ndarray | int = 0)
 
 def anchored(nodes: DataFrame, count: int) -> DataFrame:
     """Rows (anchor, node) of nodes (node, fp): samples so long that few of ``count`` random fingerprints share an anchor."""
-    samples = samples_of(max(12, count.bit_length() + 4))
+    samples = samples_of(max(12, count.bit_length() + 2))
 
     @F.pandas_udf("array<long>")
     def anchors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -308,19 +330,33 @@ def similar_groups(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame])
     def starred(found: DataFrame) -> DataFrame:
         return close(found.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
 
+    def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Links so far and those of ``pairs`` that are similar."""
+        return materialize(known.unionByName(similar(pairs, texts_of)).distinct(), "near-links") if pairs.limit(1).count() else known
+
     coarse = met(anchored(spread(nodes, "node"), nodes.count()), "near-coarse")
     stars = starred(coarse)
-    # Members that their anchor's head doesn't hold, where there are several, meet at finer anchors.
-    loose = coarse.where("c > 2 and head <> node").join(stars, (F.col("head") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti").select("anchor", "node")
-    loose = materialize(loose, "near-loose")
-    crowds = loose.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
-    fine = finer(loose.join(crowds, "anchor").join(nodes, "node").select("anchor", "node", "fp", "c"))
-    stars = materialize(stars.unionByName(starred(met(fine, "near-fine"))).distinct(), "near-stars")
     # Each node's least head first: most others then connect already and need no look at their texts.
     first = materialize(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-first")
-    links = similar(first, texts_of)
-    left = materialize(parted(stars, rooted(nodes, links)).join(first, ["a", "b"], "left_anti"), "near-pairs")
-    return rooted(nodes, links.unionByName(similar(left, texts_of)))
+    links = verified(first, first.limit(0))
+    left = parted(stars, rooted(nodes, links)).join(first, ["a", "b"], "left_anti")
+    links = verified(materialize(left, "near-pairs"), links)
+    # Members that aren't connected to their anchor's head meet the others there; where those are many, each other at
+    # finer anchors.
+    roots = rooted(nodes, links)
+    crowd = coarse.where("c > 2 and head <> node").join(roots, "node").withColumnRenamed("root", "mine")
+    crowd = crowd.join(roots.select(F.col("node").alias("head"), F.col("root").alias("theirs")), "head")
+    loose = materialize(crowd.where("mine <> theirs").select("anchor", "node", "mine", "c"), "near-loose")
+    members = crowd.where(F.col("c") <= FEW).select("anchor", F.col("node").alias("a"), F.col("mine").alias("root_a"))
+    others = loose.where(F.col("c") <= FEW).select("anchor", F.col("node").alias("b"), F.col("mine").alias("root_b")).join(members, "anchor")
+    others = others.where("root_a <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = verified(close(others), links)
+    many = loose.where(F.col("c") > FEW).select("anchor", "node")
+    if many.limit(1).count():
+        sizes = many.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
+        fine = finer(many.join(sizes, "anchor").join(nodes, "node").select("anchor", "node", "fp", "c"))
+        links = verified(materialize(parted(starred(met(fine, "near-fine")), rooted(nodes, links)), "near-pairs"), links)
+    return rooted(nodes, links)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDE) -> DataFrame:

@@ -346,16 +346,51 @@ def test_near_duplicates_by_similarity(spark):
     assert right > 60 and gone >= 0.95 * right, (gone, right)
 
 
-def test_recall_at_the_least_similarity():
-    rng, hits, met = np.random.default_rng(15), 0, 0
-    samples = simhash.samples_of(22)
-    for _ in range(150):
-        h = rng.integers(0, 2**63, 290, dtype=np.uint64)
-        a, b = h[:270], np.concatenate([h[30:270], h[270:]])  # 240 of 290 shared: 0.83
+@pytest.mark.parametrize("size", [12, 22, 28])
+def test_recall_at_the_least_similarity(size):
+    """Pairs of sets at just 0.8 meet at an anchor, and lie within reach, nine times of ten and more."""
+    rng, found, n = np.random.default_rng(15), 0, 300
+    samples = simhash.samples_of(size)
+    assert abs(simhash.met_by(size, len(samples)) - simhash.MET) < 0.02
+    for _ in range(n):
+        h = rng.integers(0, 2**63, 300, dtype=np.uint64)
+        a, b = h[:270], h[30:]  # 240 of 300 shared
         bits = [2 * np.unpackbits(simhash.mixed(x).view(np.uint8), axis=1).sum(0, dtype=int) > len(x) for x in (a, b)]
-        hits += int((bits[0] != bits[1]).sum()) <= simhash.REACH
-        met += any((bits[0][s] == bits[1][s]).all() for s in samples)
-    assert hits >= 143 and met >= 138, (hits, met)
+        found += int((bits[0] != bits[1]).sum()) <= simhash.REACH and any((bits[0][s] == bits[1][s]).all() for s in samples)
+    assert found >= 0.9 * n, (size, found)
+
+
+def changed(rng, ws, shares):
+    """Words with so many replaced, far apart: each takes five shingles."""
+    new = list(ws)
+    for k in rng.sample(range(2, len(ws) // 8 - 1), shares):
+        new[8 * k] = f"x{rng.randrange(10**9)}"
+    return new
+
+
+def test_recall_at_the_least_similarity_of_texts(spark):
+    """Pairs at 0.8, and families without a centre: texts that are alike through others only."""
+    rng, texts, pairs = random.Random(3), [], 260
+    for k in range(pairs):
+        ws = [f"p{k}w{i}" for i in range(274)]  # 270 shingles; six words changed leave 240 of 300
+        texts += [" ".join(ws), " ".join(changed(rng, ws, 6))]
+    assert abs(similarity(texts[0], texts[1]) - 0.8) < 1e-9
+    families = []
+    for f in range(6):
+        ws = [f"f{f}w{i}" for i in range(274)]
+        families.append({len(texts) + k: " ".join(changed(rng, ws, 4)) for k in range(30)})  # 0.74 to 0.8 and more, where changes meet
+        texts += families[-1].values()
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(d).collect()}
+    gone = sum(2 * k + 1 not in kept for k in range(pairs))
+    assert all(2 * k in kept for k in range(pairs)) and gone >= 0.9 * pairs, gone
+    want = lost = 0
+    for family in families:
+        groups = near_groups(family)
+        want += len(family) - len(groups)
+        lost += sum(i not in kept for i in family)
+        assert {min(g) for g in groups} <= kept
+    assert want > 20 and lost >= 0.9 * want, (lost, want)
 
 
 def test_near_duplicates_of_repeated_ids(spark):
@@ -561,6 +596,21 @@ def plain_em(v, prior, rounds=200):
     return q
 
 
+def test_long_labelled_texts_are_learned_from(spark):
+    """Languages and labels that only long texts have."""
+    rng = random.Random(8)
+    speak = {"aa": "lorana miveto sutiro ".split(), "bb": "grukh skazzt dvorn ".split()}
+    rows = [(10 * k + j, " ".join(rng.choices(speak[lang], k=2500)), lang) for k in range(6) for j, lang in enumerate(speak)] + [(100 + j, " ".join(rng.choices(w, k=30)), None) for j, w in enumerate(speak.values())]
+    assert min(len(t) for _, t, lang in rows if lang) > max(langid.SAMPLE_CHARS, toxicity.SAMPLE_CHARS)
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in langid.language_id(d, F.lit(False)).where("doc_id >= 100").collect()} == {100: "aa", 101: "bb"}
+    rude = [(i, " ".join(rng.choices(speak["aa"], k=2200)) + (" you zorblat zorblat" * 60 if i % 2 else ""), i % 2) for i in range(60)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in rude], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rude], "doc_id long, toxic int")
+    weights, _ = toxicity.learn(d, labels, F.lit(True))
+    assert weights != {w.encode(): 4.0 for w in toxicity.MILD + toxicity.STRONG}
+
+
 def test_label_model_finds_good_voters():
     rng = np.random.default_rng(6)
     y = rng.random(4000) < 0.2
@@ -688,6 +738,16 @@ def test_secret_parts_link_through_their_scope(spark):
     assert got == {0: "access:0:20,weak_secret:21:61", 1: "weak_endpoint:0:19,weak_secret:20:108", 2: "weak_access:0:12,weak_secret:813:853", 3: "", 4: "", 5: ""}
 
 
+def test_secrets_of_edge_rows(spark):
+    """Empty tables, clashing columns, repeated rows."""
+    line = "user=alice\nqX7" + "aB3" * 12
+    rows = [(1, line), (1, line), (2, None), (None, "token=abcdefgh"), (3, "")]
+    d = spark.createDataFrame([(*r, 1, "h", 2, "s", "l", "r") for r in rows], "doc_id long, text string, held int, id string, at int, scope string, linked string, lines string")
+    got = sorted(repr((r.doc_id, r.n_assign, r.spans)) for r in secrets.secret_scan(d).collect())
+    assert got == sorted(map(repr, [(1, 0, "weak_access:0:10,weak_secret:11:50")] * 2 + [(2, 0, ""), (None, 1, "assign:0:14"), (3, 0, "")]))
+    assert secrets.secret_scan(d.limit(0)).count() == 0
+
+
 def test_links_like_all_pairs(spark):
     rng = random.Random(17)
     bits = ["secret=abcdefgh", "AKIA" + "Z9" * 9, "0123456789abcdef01234567", "Abcdefghijklmnop1234567890QRSTUVWXYZabcd", "user=bob99", "account: carol.x", "https://h.example/x", "host=db.example.com", "é", "😀", "words", "token: short", "\n", "\n", "\n \n", "\r\n\r\n", "\n\n\n", " ", " "]
