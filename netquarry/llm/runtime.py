@@ -50,12 +50,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of ``df`` (cheap to count, as after :func:`materialize`) measure ``limit`` at most."""
+    return df.count() * (row_bytes + ROW_OVERHEAD) <= limit
+
+
 def if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` (cheap to count, as after :func:`materialize`), marked for broadcast if its rows measure under ``limit``.
+    """``df``, marked for broadcast if it :func:`fits`.
 
     Beyond it the join is left to the planner: exchanges of both sides, of which skewed parts are split.
     """
-    return F.broadcast(df) if df.count() * (row_bytes + ROW_OVERHEAD) <= limit else df
+    return F.broadcast(df) if fits(df, row_bytes, limit) else df
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -42,7 +42,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import batches_of, bound_batches, if_small, materialize
+from .exact_dedup import cascade, sieve, sifted, told
+from .runtime import batches_of, bound_batches, fits, if_small, materialize
 
 WIDTH = 3
 THRESHOLD = 3
@@ -378,8 +379,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def texts_of(wanted: DataFrame) -> DataFrame:
         """A node's text is that of its least row: equal fingerprints have equal sets of shingles."""
         wanted = nodes.join(wanted, "node", "left_semi").select("node", F.col("key.id").alias("of"), F.col("key.text_hash").alias("its"))
-        wanted = if_small(materialize(wanted, "near-wanted"), 32)
-        found = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(wanted, (F.xxhash64("text") == F.col("its")) & F.col("id").eqNullSafe(F.col("of")))
+        wanted = materialize(wanted, "near-wanted")
+        found = docs.select(F.col(id_col).alias("of"), F.xxhash64(text).alias("its"), text.alias("text"))
+        if not fits(wanted, 32) and (bits := sieve(wanted, ["of", "its"])):
+            # Only texts that are asked for move.
+            found = sifted(found, ["of", "its"], bits)
+        found = found.withColumnRenamed("of", "id").withColumnRenamed("its", "text_hash")
+        found = found.join(if_small(wanted, 32), (F.col("text_hash") == F.col("its")) & F.col("id").eqNullSafe(F.col("of")))
         return found.select("node", "text").dropDuplicates(["node"])
 
     named = nodes.join(similar_groups(nodes.select("node", "fp"), texts_of), "node")
@@ -388,4 +394,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = rows.join(judged, "node").where(F.col("stays").isNull() | ~F.col("id").eqNullSafe(F.col("stays.id")))
     gone = materialize(gone.select(F.col("id").alias("gone"), F.col("text_hash").alias("its")).distinct(), "near-gone")
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"))
-    return keyed.join(if_small(gone, 32), (F.col("text_hash") == F.col("its")) & F.col("id").eqNullSafe(F.col("gone")), "left_anti").select("doc.*")
+    among = (F.col("text_hash") == F.col("its")) & F.col("id").eqNullSafe(F.col("gone"))
+    if not fits(gone, 32):
+        judged = rows.select("id", "text_hash").distinct().join(gone, among, "left").select("id", "text_hash", F.col("its").isNotNull().alias("goes"))
+        cascaded = cascade(materialize(judged, "near-judged"), ["id", "text_hash"], "goes")
+        if cascaded is not None:
+            return told(keyed, ["id", "text_hash"], cascaded).where("stays").select("doc.*")
+    return keyed.join(if_small(gone, 32), among, "left_anti").select("doc.*")
