@@ -190,7 +190,14 @@ class Encoder:
         self.pairs: dict[int, bool] = {}
         # Ids as little-endian 32-bit integers.
         self.pretokens = Memo(lambda p: array("I", self.stream((p.encode(),))).tobytes())
-        self.words = Memo(lambda w: b"".join(map(self.pretokens.__getitem__, self.find(" " + w))))
+        self.words = Memo(self.word)
+
+    def word(self, w: str) -> bytes:
+        """Ids of a word with the space before it. One that is a pre-token is remembered as a word only."""
+        found = self.find(" " + w)
+        if len(found) > 1:
+            return b"".join(map(self.pretokens.__getitem__, found))
+        return self.pretokens.get(found[0]) or self.pretokens.make(found[0])
 
     def merge(self, data: bytes) -> list[int]:
         """The tokens of bytes at hand: longest first, shorter where neighbours clash, back where all clash."""
