@@ -393,6 +393,43 @@ def test_recall_at_the_least_similarity_of_texts(spark):
     assert want > 20 and lost >= 0.9 * want, (lost, want)
 
 
+def test_near_duplicates_are_all_found(spark, monkeypatch):
+    """Pairs at just 0.8, a crowd without a centre, a text alike to one that is connected to its anchor's head: none is lost."""
+    monkeypatch.setattr(simhash, "OFTEN", 2)
+    rng, texts, pairs = random.Random(8), [], 150
+    for k in range(pairs):
+        ws = [f"p{k}w{i}" for i in range(274)]
+        texts += [" ".join(ws), " ".join(changed(rng, ws, 6))]
+    ws = [f"cw{i}" for i in range(274)]
+    crowd = {len(texts) + k: " ".join(changed(rng, ws, 4 + k % 4)) for k in range(200)}
+    texts += crowd.values()
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = near_groups(crowd)
+    assert 1 < len(groups) < len(crowd)
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(d).collect())
+    assert kept == sorted([2 * k for k in range(pairs)] + [min(g) for g in groups])
+
+
+def test_bounds_of_similarity():
+    """Similar sets share a leading shingle whichever are frequent, and parities never tell them further apart than they are."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 4, 5, 6, 9, 10, 37, 300, 1023, 1025, 2000):
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            cut = int(rng.integers(0, n // 5 + 1))
+            more = int(rng.integers(0, max(0, int((n - cut) / 0.8 - 1e-9) - n) + 1))
+            y = np.unique(np.concatenate([rng.permutation(x)[cut:], rng.integers(0, 2**64, more, dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            frequent = np.sort(rng.permutation(x)[: n // 3])
+            a, b = (set(np.concatenate(simhash.leading(s, frequent)).tolist()) for s in (x, y))
+            if both >= 0.8 * (len(x) + len(y) - both):
+                assert a & b
+            fine = [simhash.fine_parities(s) for s in (x, y)]
+            fine = [f if len(f) <= min(map(len, fine)) else f[: len(f) // 2] ^ f[len(f) // 2 :] for f in fine]
+            for p, q in (fine, (simhash.parities(x), simhash.parities(y))):
+                assert sum(int(v).bit_count() for v in (p ^ q).view(np.uint64)) <= len(x) + len(y) - 2 * both
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     base = " ".join(f"v{i}" for i in range(100))
     rows = [(3, base), (7, base + " more"), (7, "something else that is quite another text"), (None, "null id and a text of its own here"), (None, base.upper()), (None, None), (9, " \t"), (5, "one two"), (6, "One  two")]
