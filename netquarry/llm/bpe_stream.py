@@ -33,7 +33,7 @@ from .runtime import bound_batches
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO = 250_000  # pre-tokens whose ids a worker remembers, and as many space-separated words; twice, by turns
+MEMO = 125_000  # pre-tokens with a space before them whose ids a worker remembers, and as many others; twice, by turns
 MEMO_BYTES = 48  # characters; longer ones are merged each time
 PIECE = 1 << 14  # characters of a text, about, that are cut into pre-tokens at a time
 PAIRS = 1_000_000  # pairs whose compatibility a worker remembers
@@ -178,8 +178,20 @@ class Memo(dict):
         return out
 
 
+class Words(Memo):
+    """Ids of words with the space before them. Those of several pre-tokens aren't remembered, their pre-tokens are."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__(lambda w: encoder.pretokens.make(" " + w))
+        self.encoder = encoder
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.encoder.find(" " + key)
+        return self.encoder.of(found) if len(found) > 1 else super().__missing__(key)
+
+
 class Encoder:
-    """Texts to ids; pre-tokens, and words with the space before them, are remembered in bounded memos."""
+    """Texts to ids; pre-tokens are remembered in bounded memos, those with a space before them apart from others."""
 
     def __init__(self, merges: MergeList, special: dict[str, int] | None = None, pattern: str = PATTERN):
         import regex
@@ -190,14 +202,12 @@ class Encoder:
         self.pairs: dict[int, bool] = {}
         # Ids as little-endian 32-bit integers.
         self.pretokens = Memo(lambda p: array("I", self.stream((p.encode(),))).tobytes())
-        self.words = Memo(self.word)
+        self.words = Words(self)
 
-    def word(self, w: str) -> bytes:
-        """Ids of a word with the space before it. One that is a pre-token is remembered as a word only."""
-        found = self.find(" " + w)
-        if len(found) > 1:
-            return b"".join(map(self.pretokens.__getitem__, found))
-        return self.pretokens.get(found[0]) or self.pretokens.make(found[0])
+    def of(self, found: list[str]) -> bytes:
+        """Ids of pre-tokens: those with a space before them are remembered as words, without it."""
+        words, pretokens = self.words, self.pretokens
+        return b"".join([words[p[1:]] if p[0] == " " else pretokens[p] for p in found])
 
     def merge(self, data: bytes) -> list[int]:
         """The tokens of bytes at hand: longest first, shorter where neighbours clash, back where all clash."""
@@ -259,9 +269,9 @@ class Encoder:
         it, so that the words between spaces are encoded (and remembered) on their own.
         """
         if LOOSE_SPACE(text):
-            return b"".join(map(self.pretokens.__getitem__, self.find(text)))
+            return self.of(self.find(text))
         head, *words = text.split(" ")
-        return b"".join(map(self.pretokens.__getitem__, self.find(head))) + b"".join(map(self.words.__getitem__, words))
+        return self.of(self.find(head)) + b"".join(map(self.words.__getitem__, words))
 
     def plain(self, text: str, start: int = 0, end: int | None = None) -> Iterator[bytes]:
         """Ids of a stretch without special tokens. Pieces that nothing cuts for long hand on their tokens as they come."""

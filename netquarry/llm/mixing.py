@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import if_small, materialize
+from .runtime import if_small, local_rows, materialize
 
 COPIES = 3  # times that a document can be taken
 COSTS = (0, 1, 3)  # of a word taken once, again, a third time: convex
@@ -213,7 +213,7 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
         full, rest = divmod(sum(f), r["size"]) if r["size"] else (0, 0)
         first = r["p"][0] if r["p"] else None
         planned.append((list(r["p"]), full, rest, sizes.get(first, 0), float(target.get(first, 0.0))))
-    out = materialize(spark.createDataFrame(planned, "p array<string>, full long, rest long, source_size long, target double"), "mixing-plan")
+    out = materialize(local_rows(spark, planned, "p array<string>, full long, rest long, source_size long, target double"), "mixing-plan")
     places = materialize(cut(rows.select("p", "o", "size"), out.where("rest > 0").select("p", "rest")), "mixing-places")
     return materialize(out.join(places, "p", "left").select("p", "full", F.col("place").alias("upto"), "source_size", "target"), "mixing-plan")
 

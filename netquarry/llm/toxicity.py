@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import block_of, bound_batches
+from .runtime import block_of, bound_batches, local_rows
 
 SAMPLE = 4_000
 SAMPLE_CHARS = 12_000
@@ -255,7 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     seen = labels.where(usable & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
     all_ = docs.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("h"))
     order = [F.xxhash64("i", "h"), "i", "h", "y"]
-    chosen = docs.sparkSession.createDataFrame(all_.join(seen, "i").distinct().orderBy(*order).limit(SAMPLE).collect(), "i long, h long, y int")
+    chosen = local_rows(docs.sparkSession, all_.join(seen, "i").distinct().orderBy(*order).limit(SAMPLE).collect(), "i long, h long, y int")
     texts = docs.select(F.col(id_col).alias("d"), F.xxhash64(text).alias("t_h"), text.alias("t"))
     found = texts.join(F.broadcast(chosen), (F.col("d") == F.col("i")) & (F.col("t_h") == F.col("h")))
     # Texts are bounded once they are chosen.

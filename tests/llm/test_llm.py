@@ -217,6 +217,17 @@ def test_every_pretoken_streams(monkeypatch):
     assert [c[0] for c in seen] == [b"one", b" two", b" ", b"\n", b"3"] or {c[0] for c in seen} == {b"one", b" two", b" ", b" one", b"\n", b"3"}
 
 
+def test_memo_holds_a_pretoken_once(tokenizer, monkeypatch):
+    encoder = bpe_stream.Encoder(bpe_stream.load(BPE)[0].m)
+    text = "one, one\none  one,two\tone's (one) " + " ".join(f"a{k}-b{k}\nc{k}." for k in range(300))
+    assert encoder.encode(text) == tokenizer.encode(text).ids
+    assert not [w for w in encoder.words if len(encoder.find(" " + w)) > 1] and not [p for p in encoder.pretokens if p[0] == " "]
+    monkeypatch.setattr(bpe_stream, "MEMO", 16)
+    encoder = bpe_stream.Encoder(encoder.m)
+    assert encoder.encode(text) == tokenizer.encode(text).ids
+    assert all(len(m) <= 16 and len(m.old) <= 16 for m in (encoder.words, encoder.pretokens))
+
+
 def test_streamed_long_pretokens(tokenizer):
     encoder, _ = bpe_stream.load(BPE)
     rng = random.Random(2)
@@ -950,6 +961,17 @@ def test_sql(spark, name):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in df.select(*columns).collect())
 
 
+def test_small_tables_start_no_python_workers(spark, monkeypatch):
+    def fails(*_, **__):
+        raise AssertionError("a list of rows goes through Python workers of its own")
+
+    d, empty = sf_docs(spark), sf_docs(spark).limit(0)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", fails)
+    assert mixing.select_mix(d).count() and not mixing.select_mix(empty).count()
+    assert toxicity.learn(d, labels, F.lit(True))[0] and toxicity.learn(empty, labels, F.lit(True))[0]
+
+
 def test_pipeline(spark, tokenizer):
     import corpus_pipeline as cp
 
