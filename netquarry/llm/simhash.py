@@ -145,11 +145,13 @@ def linked(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     home = split.select("side", F.explode(anchors_of(F.col("half"), 1)).alias("anchor"), F.col("fp").alias("a"))
     near = split.select("side", F.explode(anchors_of(F.col("half"), 2)).alias("anchor"), F.col("fp").alias("b"))
     close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= threshold
+    # Spark sizes what comes from an explode as the rows before it, and would send a table of replicas through the driver.
+    home, near = home.hint("merge"), near.hint("merge")
     heads = home.groupBy(*at).agg(F.min("a").alias("head"))
     starred = near.join(heads, at).select(*at, "b", "head", close("head", "b").alias("held"))
     stars = starred.where("held and head <> b").select(F.least("head", "b").alias("a"), F.greatest("head", "b").alias("b"))
     # Those that the head doesn't hold, at home or near, meet everybody on the other side.
-    loose = starred.where("not held").select(*at, "b")
+    loose = starred.where("not held").select(*at, "b").hint("merge")
     held = home.join(heads, at).select(*at, "a", close("a", "head").alias("held"))
     met = held.join(loose, at).where(close("a", "b"))
     met = met.select("a", "b").unionByName(held.where("not held").join(near, at).where(close("a", "b")).select("a", "b")).where("a <> b")

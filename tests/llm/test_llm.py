@@ -295,6 +295,12 @@ def test_links_are_complete(spark):
     assert {frozenset(g) for g in groups_of(signed, got)} == {frozenset(g) for g in groups_of(signed, want)}
 
 
+def test_replicas_are_not_broadcast(spark):
+    links = simhash.linked(spark.range(500).selectExpr("xxhash64(id) as fp"))
+    links.collect()
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dense_families_link_by_their_head(spark):
     near = [1 << a for a in range(64)]  # all within two bits of each other, and within one of zero
     got = simhash.linked(spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in [0, *near]], "fp long")).collect()
