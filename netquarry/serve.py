@@ -49,7 +49,8 @@ class WindowSamples:
     def features(self, wanted: DataFrame) -> DataFrame:
         """Sparse features of samples (window_id, pos_id, neg_id): the painted pixels with the sample's highlight."""
         base = F.col("cid").cast("boolean").cast("double") if self.ids_as_density else F.col("density")
-        rows = wanted.join(self.pixels, "window_id")
+        # Never the pixels go through the driver: their files are small beside their rows.
+        rows = wanted.join(self.pixels.hint("merge"), "window_id")
         lit = raster.highlighted(base, F.col("cid"), F.col("pos_id"), F.when(F.col("neg_id") > 0, F.col("neg_id")))
         raised = F.when((F.col("cid") == F.col("pos_id")), base + self.highlight).otherwise(lit)
         return rows.select("window_id", "pos_id", "neg_id", "layer", "y", "x", raised.alias("feature"))
@@ -77,7 +78,8 @@ def load(spark: SparkSession, store: str, label_files: DataFrame, goal: str, sol
     chosen = samples.label_files(index.select("window_id"), label_files.select("window_id", "solver", "path"), SOLVERS[solver])
     files = chosen.join(label_files.select("window_id", "path", "text"), ["window_id", "path"])
     rows = spef.read_spef(files).where("error is null")
-    conductors = index.select("window_id", F.explode("conductor_id_map").alias("net", "cid"))
+    # A window's map is one value, which tells Spark nothing of the rows in it.
+    conductors = index.select("window_id", F.explode("conductor_id_map").alias("net", "cid")).hint("merge")
     if goal == "self":
         found = samples.self_samples(spef.nets(rows).withColumnRenamed("total_f", "value_f").withColumn("seq", -F.col("seq")), conductors)
     elif goal == "coupling":
