@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import ensure_checkpoints
+from ..operators.joins import measured
 from ..operators.ranks import numbered
 from ..operators.samples import permutation, shards
 
@@ -31,14 +33,20 @@ def problems(windows: DataFrame) -> DataFrame:
     return repeated.unionAll(unlike).unionAll(flags)
 
 
+def _cut(windows: DataFrame) -> DataFrame:
+    """Windows computed once: they are looked at for problems, numbered and written."""
+    ensure_checkpoints(windows.sparkSession)
+    return windows.checkpoint()
+
+
 def _put(pixels: DataFrame, windows: DataFrame, path: str, order: DataFrame, per_shard: int, start: int, mode: str) -> DataFrame:
     """Writes a batch whose windows come at ``start`` and after in the store's order; returns the whole index."""
     spark: SparkSession = pixels.sparkSession
     batch = F.lit(uuid.uuid4().hex)
     placed = shards(order.withColumn("position", F.col("position") + start), per_shard)
-    index = windows.join(placed.drop("position"), "window_id").withColumns({"format_version": F.lit(VERSION), "batch": batch})
+    index = windows.join(placed.drop("position").hint("merge"), "window_id").withColumns({"format_version": F.lit(VERSION), "batch": batch})
     good = F.when(F.col("cid") < 0, F.raise_error(F.lit("negative conductor id")).cast("long")).otherwise(F.col("cid"))
-    rows = pixels.withColumns({"cid": good, "batch": batch}).join(placed.select("window_id", "shard_id"), "window_id")
+    rows = pixels.withColumns({"cid": good, "batch": batch}).join(measured(placed.select("window_id", "shard_id"), 64), "window_id")
     rows.repartitionByRange("shard_id", "window_id").sortWithinPartitions("shard_id", "window_id", "layer", "y", "x").write.mode(mode).partitionBy("shard_id").parquet(f"{path}/pixels")
     index.write.mode(mode).parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
@@ -49,6 +57,7 @@ def write(pixels: DataFrame, windows: DataFrame, path: str, per_shard: int = 64,
 
     The order is arrival (a column of ``windows``), or sorted ids, permuted if a seed is given. Negative ids raise.
     """
+    windows = _cut(windows)
     if problems(windows).limit(1).count():
         raise ValueError("windows don't fit one store")
     if seed is None or arrival:
@@ -64,7 +73,7 @@ def append(pixels: DataFrame, windows: DataFrame, path: str, per_shard: int = 64
     Windows that the store has already, or that don't fit its layers and shape, raise before anything is written.
     """
     spark: SparkSession = pixels.sparkSession
-    there = _index(spark, path)
+    there, windows = _index(spark, path), _cut(windows)
     columns = ["window_id", "layer_names", "layer_has_density", "height", "width"]
     both = windows.select(*columns) if there is None else windows.select(*columns).unionByName(there.select(*columns))
     if problems(both).limit(1).count():
@@ -92,7 +101,9 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     index = spark.read.parquet(f"{path}/index")
     if index.where(F.col("format_version") != VERSION).limit(1).count():
         raise ValueError("format version")
-    pixels = spark.read.parquet(f"{path}/pixels").join(index.select("window_id", "batch"), ["window_id", "batch"], "left_semi")
+    # Pixels compress so well that Spark takes their files for a small table.
+    listed = measured(index.select("window_id", "batch"), 96)
+    pixels = spark.read.parquet(f"{path}/pixels").join(listed, ["window_id", "batch"], "left_semi")
     return pixels.drop("batch"), index
 
 

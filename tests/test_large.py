@@ -21,3 +21,8 @@ def test_pixels_of_samples_are_not_broadcast(spark):
     wanted = spark.createDataFrame([("1", 1, 0)], "window_id string, pos_id int, neg_id int")
     found = WindowSamples(pixels, None, None, None).features(wanted)
     assert found.count() == 50 and "Broadcast" not in plan(found)
+
+
+def test_pixels_of_shards_are_summed_before_they_meet_the_index(spark):
+    tree = plan(QUERIES["k10_shards"](spark, SF))
+    assert tree.index("Join") < tree.index("Aggregate")
