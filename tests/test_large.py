@@ -26,3 +26,24 @@ def test_pixels_of_samples_are_not_broadcast(spark):
 def test_pixels_of_shards_are_summed_before_they_meet_the_index(spark):
     tree = plan(QUERIES["k10_shards"](spark, SF))
     assert tree.index("Join") < tree.index("Aggregate")
+
+
+def test_copies_of_a_rectangle_never_meet(spark, monkeypatch):
+    from netquarry.operators import components
+
+    made = []
+    edges = components.touching_edges
+    monkeypatch.setattr(components, "touching_edges", lambda *a: made.append(edges(*a)) or made[-1])
+    boxes = [(i, (i % 7 * 2) % 9, i % 2) for i in range(400)]
+    shapes = [(100 - i, layer, float(at), 0.0, float(at + 1), 1.0) for i, at, layer in boxes] + [(900, 0, None, 0.0, 1.0, 1.0), (901, 0, None, 0.0, 1.0, 1.0)]
+    found = components.touching_components(spark.createDataFrame(shapes, "id int, layer int, x0 double, y0 double, x1 double, y1 double"), 8.0)
+    got = {r.node: r.root for r in found.collect()}
+    want = {k: k for k, *_ in shapes}
+    changed = True
+    while changed:
+        changed = False
+        for a, la, xa, _, ya, _ in shapes:
+            low = min([want[b] for b, lb, xb, _, yb, _ in shapes if la == lb and None not in (xa, xb) and xa <= yb and xb <= ya], default=a)
+            changed |= low < want[a]
+            want[a] = min(low, want[a])
+    assert got == want and made[0].count() < 50
