@@ -38,3 +38,20 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame
 def shuffled(rows: DataFrame, keys: list[str], seed: int, name: str) -> DataFrame:
     """``rows`` with their place in a seeded permutation: the rank of a hash of the keys, ties by the keys."""
     return numbered(rows, [F.xxhash64(F.lit(seed), *keys), *[F.col(k) for k in keys]], name)
+
+
+def carried(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with the last ``value`` that isn't null at or before each row, in ascending order of columns, among rows of equal keys."""
+    from ..lineage import ensure_checkpoints
+
+    ensure_checkpoints(rows.sparkSession)
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by = [*[F.col(k) for k in keys], *[F.col(c).asc_nulls_last() for c in order]]
+    placed = rows.withColumn("_value", value).repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()).checkpoint()
+    # A row a partition and key: what the key's later partitions begin with.
+    ends = placed.groupBy("_part", *keys).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begin = ends.select("_part", *keys, F.last("_end", ignorenulls=True).over(before).alias("_begin"))
+    within = Window.partitionBy("_part", *keys).orderBy(*by[len(keys) :]).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumn("_last", F.last("_value", ignorenulls=True).over(within)).join(begin, ["_part", *keys], "left")
+    return out.withColumn(name, F.coalesce("_last", "_begin")).drop("_value", "_part", "_last", "_begin")

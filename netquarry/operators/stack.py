@@ -69,12 +69,18 @@ def selected(layers: DataFrame, bottom: Column, top: Column) -> DataFrame:
     return layers.withColumn("_keep", keep).where("_keep").drop("_keep")
 
 
-def dielectric_at(points: DataFrame, media: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+FEW = 1024  # media of a tech that stand in one array
+
+
+def dielectric_at(points: DataFrame, media: DataFrame, tolerance: float = 1e-9, few: int = FEW) -> DataFrame:
     """``er`` at each point's z. At an interface the mean of both media, else the lowest medium that reaches z, else
     the topmost; 1.0 without media. media: (tech, er, z_top).
 
-    The media of a tech become one sorted array, so points meet them without a range join and find theirs by bisection.
+    Where no tech has more than ``few`` media, they become one sorted array a tech, so that points meet them without a range join and
+    find theirs by bisection. A longer array would be copied for every point: there points and media are sorted together.
     """
+    if media.groupBy("tech").count().where(F.col("count") > few).limit(1).count():
+        return _sorted_dielectric(points, media, tolerance)
     stack = media.groupBy("tech").agg(F.array_sort(F.collect_list(F.struct("z_top", "er"))).alias("m"))
     n, z = F.size("m"), F.col("z")
 
@@ -94,6 +100,25 @@ def dielectric_at(points: DataFrame, media: DataFrame, tolerance: float = 1e-9)
     return rows.withColumn("er", value).drop("m", "_k")
 
 
+def _sorted_dielectric(points: DataFrame, media: DataFrame, tolerance: float) -> DataFrame:
+    """From the top down, the last medium before a point is the lowest that reaches it."""
+    from .ranks import carried
+
+    up = Window.partitionBy("tech").orderBy("z_top", "er")
+    known = media.where("tech is not null")
+    found = F.struct("z_top", "er", F.lead("er").over(up).alias("above"), F.lead(F.lit(True)).over(up).alias("more"))
+    depth = lambda z: (F.lit(0.0) - z).alias("_depth")
+    tops = known.select("tech", depth(F.col("z_top")), F.lit(0).alias("_kind"), (-F.row_number().over(up)).alias("_least"), found.alias("_medium"))
+    held = points.select("tech", depth(F.nanvl(F.col("z"), F.lit(float("inf"))) - F.lit(tolerance)), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_point"))
+    rows = carried(tops.unionByName(held, allowMissingColumns=True), ["tech"], ["_depth", "_kind", "_least"], F.col("_medium"), "_m").where("_kind = 1")
+    last = known.groupBy("tech").agg(F.max_by("er", F.struct("z_top", "er")).alias("_top"), F.lit(True).alias("_known"))
+    rows = rows.select("tech", "_point", "_m").join(last, "tech", "left")
+    m = F.col("_m")
+    at = F.abs(m["z_top"] - F.col("_point.z")) <= tolerance
+    value = F.when(F.col("_known").isNull(), 1.0).when(m.isNull(), F.col("_top")).when(at & m["more"], (m["er"] + m["above"]) / 2).otherwise(m["er"])
+    return rows.select("_point.*", value.alias("_er")).withColumn("er", F.col("_er")).drop("_er")
+
+
 def matched_by_height(a: DataFrame, b: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """Layers of two lists paired by rank of (z, name) per tech; nothing where the counts differ.
 

@@ -47,3 +47,17 @@ def test_copies_of_a_rectangle_never_meet(spark, monkeypatch):
             changed |= low < want[a]
             want[a] = min(low, want[a])
     assert got == want and made[0].count() < 50
+
+
+def test_sorted_media_are_those_of_the_array(spark):
+    from netquarry.operators import stack
+
+    rng = random.Random(5)
+    media = [(t, float(rng.randint(1, 9)), rng.randint(0, 30) / 2) for t in ("a", "b", None) for _ in range(40)]
+    points = [(t, z, k) for k, (t, z) in enumerate((t, z) for t in ("a", "b", "c", None) for z in [None, float("nan"), -1.0, *(rng.randint(-2, 34) / 2 + rng.choice((0, 1e-10, 0.2)) for _ in range(60))])]
+    m, p = spark.createDataFrame(media, "tech string, er double, z_top double"), spark.createDataFrame(points, "tech string, z double, k int")
+    for tolerance in (0.0, 1e-9):
+        small, large = (stack.dielectric_at(p, m, tolerance, few) for few in (1000, 1))
+        assert small.columns == large.columns
+        assert {r.k: r.er for r in small.collect()} == {r.k: r.er for r in large.collect()}
+        assert "array_sort" not in plan(large)
