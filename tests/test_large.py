@@ -61,3 +61,36 @@ def test_sorted_media_are_those_of_the_array(spark):
         assert small.columns == large.columns
         assert {r.k: r.er for r in small.collect()} == {r.k: r.er for r in large.collect()}
         assert "array_sort" not in plan(large)
+
+
+def test_segments_are_cut_in_batches(spark):
+    """Against a plain clip of each segment; no expression goes over arrays element by element."""
+    from netquarry.operators import geometry
+
+    rng = random.Random(3)
+    some = lambda: rng.choice((rng.uniform(-2, 3), float(rng.randint(-1, 2))))
+    lines = [(k, [(some(), some()) for _ in range(rng.randint(0, 7))]) for k in range(200)] + [(900, None), (901, [(0.2, 0.2), (0.4, None), (0.6, 0.6), (0.8, 0.6)])]
+    got = geometry.polyline_pieces(spark.createDataFrame(lines, "net int, points array<struct<x:double,y:double>>").selectExpr("*", "0 as w_x0", "0 as w_y0", "1 as w_x1", "1.0d as w_y1"), ["net"])
+    assert "lambda" not in plan(got)
+    want = []
+    for net, points in lines:
+        pieces, last = [], None
+        for k, (p, q) in enumerate(zip(points or [], (points or [])[1:], strict=False)):
+            lo, hi = 0.0, 1.0
+            if None in (*p, *q):
+                continue
+            for a, b in zip(p, q, strict=True):
+                if a == b:
+                    lo, hi = (lo, hi) if 0 <= a <= 1 else (1.0, 0.0)
+                else:
+                    lo, hi = max(lo, min(-a / (b - a), (1 - a) / (b - a))), min(hi, max(-a / (b - a), (1 - a) / (b - a)))
+            if (hi - lo) * max(abs(q[0] - p[0]), abs(q[1] - p[1])) <= 1e-9:
+                continue
+            ends = [tuple(a + t * (b - a) for a, b in zip(p, q, strict=True)) for t in (lo, hi)]
+            if last == k - 1 and max(abs(u - v) for u, v in zip(pieces[-1][-1], ends[0], strict=True)) <= 1e-9:
+                pieces[-1].append(ends[1])
+            else:
+                pieces.append(ends)
+            last = k
+        want += [(net, i + 1, [(round(x, 9) + 0.0, round(y, 9) + 0.0) for x, y in p]) for i, p in enumerate(pieces)]
+    assert sorted((r.net, r.piece, [(round(p.x, 9) + 0.0, round(p.y, 9) + 0.0) for p in r.points]) for r in got.collect()) == sorted(want)
