@@ -94,3 +94,13 @@ def test_segments_are_cut_in_batches(spark):
             last = k
         want += [(net, i + 1, [(round(x, 9) + 0.0, round(y, 9) + 0.0) for x, y in p]) for i, p in enumerate(pieces)]
     assert sorted((r.net, r.piece, [(round(p.x, 9) + 0.0, round(p.y, 9) + 0.0) for p in r.points]) for r in got.collect()) == sorted(want)
+
+
+def test_labels_of_a_text_are_computed_twice_at_most(spark):
+    from netquarry.sinks import text
+
+    pairs = spark.range(40).selectExpr("cast(id % 3 as string) as window_id", "concat('a', id) as net_lo", "concat('b', id) as net_hi", "id * 1e-15 as value_f")
+    selfs = spark.range(7).selectExpr("cast(id % 3 as string) as window_id", "concat('a', id) as net", "1e-15d as value_f")
+    tree = plan(text.spef(selfs, pairs, "top"))
+    tree = tree[: tree.index("Initial Plan")] if "Initial Plan" in tree else tree
+    assert tree.count("Range (0, 40") <= 2 and "lambda" not in tree
